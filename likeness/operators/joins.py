@@ -27,16 +27,17 @@ def heavy_keys(df: DataFrame, on: list[str], min_rows: int = 1_000_000) -> list:
 
 
 def skew_join(
-    left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", slices: int = 16, min_rows: int = 1_000_000
+    left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", slices: int = 16, min_rows: int = 1_000_000, heavy: list | None = None
 ) -> DataFrame:
     """Equi-join with few ``right`` rows per key and any number of ``left`` rows per key.
 
     Left rows of heavy (or null) keys are dealt over ``slices`` by a hash of the row, the
-    matching right rows are copied to every slice; all other keys join as usual.
+    matching right rows are copied to every slice; all other keys join as usual. A caller
+    that joins shrinking parts of one table passes the ``heavy`` keys of the whole.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
-    heavy = heavy_keys(left, on, min_rows)
+    heavy = heavy_keys(left, on, min_rows) if heavy is None else heavy
     if not heavy:
         return left.join(right, on, how)
     schema = left.select(*on).schema
