@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from ..functions import random as R
 from ..functions import replies as J
 from ..functions import text as X
 from ..operators import logs as L
+from ..session import work_folder
 from ..sources import bundle as B
 from .common import load, sql_below, sql_u
 
@@ -129,7 +128,7 @@ FINITE_SQL = """SELECT l_returnflag, count(*) AS n, count_if(l_discount >= 0.05)
 
 def csv_round_trip(spark, d):
     """Tables written as one CSV folder each and read back with their schema."""
-    out = tempfile.mkdtemp(prefix="likeness-csv-")
+    out = work_folder(spark, "csv")
     tables = {n: load(spark, d, n) for n in ("customer", "orders")}
     B.write_tables(tables, out, "csv", {"orders": [{"column_name": "o_orderdate", "data_type": "DATE"}]})
     back = B.read_tables(spark, out, "csv", {n: t.schema for n, t in tables.items()})
@@ -143,7 +142,7 @@ ROUND_SQL = """SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) A
 
 def csv_sniffed(spark, d):
     """Column types found in CSV text without a schema."""
-    out = tempfile.mkdtemp(prefix="likeness-csv-")
+    out = work_folder(spark, "csv")
     B.write_tables({"part": load(spark, d, "part")}, out, "csv")
     t = B.read_csv(spark, f"{out}/part")
     types = t.schema
@@ -155,7 +154,7 @@ SNIFF_SQL = """SELECT t.*, (SELECT count(*) FROM part) AS n FROM (VALUES ('p_par
 
 
 def parquet_round_trip(spark, d):
-    out = tempfile.mkdtemp(prefix="likeness-parquet-")
+    out = work_folder(spark, "parquet")
     B.write_tables({"events": load(spark, d, "events")}, out, "parquet")
     return B.read_tables(spark, out, "parquet")["events"].groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"))
 
