@@ -206,9 +206,13 @@ def associations(columns: DataFrame) -> DataFrame:
     named = columns.where(strip("column_name") != "").select("table_name", "position", strip("column_name").alias("name"))
     low = F.lower("name")
     tokens = sorted({t for a, b, _, _ in ASSOCIATION_RULES for t in a + b})
-    firsts = named.groupBy("table_name").agg(
-        *[F.min(F.when(F.contains(low, F.lit(t)), F.struct("position", "name"))).getField("name").alias(f"t_{t}") for t in tokens]
+    # positions first: minima of numbers combine cheaply, the few names are fetched afterwards
+    places = named.where(low.rlike("|".join(tokens))).groupBy("table_name").agg(
+        *[F.min(F.when(F.contains(low, F.lit(t)), F.col("position"))).alias(t) for t in tokens]
     )
+    wanted = places.select("table_name", F.explode(F.array(*[F.struct(F.lit(t).alias("token"), F.col(t).alias("position")) for t in tokens])).alias("x"))
+    wanted = wanted.select("table_name", "x.*").where("position IS NOT NULL")
+    found = wanted.join(named, ["table_name", "position"]).groupBy("table_name").agg(*[F.max(F.when(F.col("token") == t, F.col("name"))).alias(f"t_{t}") for t in tokens])
     w = Window.partitionBy("table_name").orderBy("position")
     ids = named.where(low.endswith("_id")).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= ASSOCIATION_LIMIT + 1)
     ids = ids.groupBy("table_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "name"))), lambda s: s["name"]).alias("ids"))
@@ -230,10 +234,12 @@ def associations(columns: DataFrame) -> DataFrame:
     def key(p: Column) -> Column:
         return F.struct(F.least(p["col_a"], p["col_b"]), F.greatest(p["col_a"], p["col_b"]))
 
-    rows = firsts.join(ids, "table_name", "left").select("table_name", F.concat(id_pairs, by_rule).alias("p"))
-    keys = F.transform("p", key)
-    once = F.filter("p", lambda x, i: F.array_position(keys, key(x)) == i + 1)
-    return rows.select("table_name", F.posexplode(F.slice(once, 1, ASSOCIATION_LIMIT)).alias("rank", "a")).select(
+    rows = found.join(ids, "table_name", "full").select("table_name", F.concat(F.slice(id_pairs, 1, ASSOCIATION_LIMIT), by_rule).alias("p"))
+    seen = F.aggregate(
+        "p", F.array().cast("array<struct<col_a:string,col_b:string,association:string,confidence:double>>"),
+        lambda acc, x: F.when(F.exists(acc, lambda o: key(o) == key(x)), acc).otherwise(F.array_append(acc, x)),
+    )
+    return rows.select("table_name", F.posexplode(F.slice(seen, 1, ASSOCIATION_LIMIT)).alias("rank", "a")).select(
         "table_name", (F.col("rank") + 1).alias("rank"), "a.*"
     )
 

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions import random as R
 from ..functions.text import quote
+from ..session import together
 from .profile import _batches, _c, approx_distinct_counts
 from .relate import _PARTIAL, _co_moments, merge_co_moments
 from .rows import hashed_index, ordered_index
@@ -133,23 +134,28 @@ def exact_quantiles(df: DataFrame, columns: list[str], ids: list[str], points: i
     return hit.groupBy("column", "prob").agg(F.sum(F.col("value") * part).alias("value"))
 
 
+def scalar_names(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
+
+
 def fit(df: DataFrame, columns: list[str] | None = None, value_limit: int = VALUE_LIMIT) -> Copula:
     """Marginals and normal-score correlations of a table."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    columns = columns or [c for c in kinds if not isinstance(kinds[c], (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
-    size = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(_c(c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
-    n = size["n"]
-    filled = {c: size[f"c{i}"] for i, c in enumerate(columns)}
-    distinct = {r["column"]: r["cardinality"] for r in approx_distinct_counts(df, columns).collect()} if columns else {}
+    columns = scalar_names(df) if columns is None else columns
+    seen = {r["column"]: r for r in approx_distinct_counts(df, columns).collect()} if columns else {}
+    n = next((r["n"] for r in seen.values()), 0)
+    filled = {c: seen[c]["filled"] for c in columns}
+    distinct = {c: seen[c]["cardinality"] for c in columns}
     discrete = [c for c in columns if distinct[c] <= value_limit]
     rest = [c for c in columns if c not in discrete]
     continuous = [c for c in rest if isinstance(kinds[c], (T.NumericType, *_TIMES))]
 
     tables: dict[str, list] = {c: [] for c in discrete}
-    if discrete:
-        for r in value_tables(df, discrete).where("value IS NOT NULL").collect():
-            tables[r["column"]].append((r["value"], r["n"]))
-    grids = quantile_grid(df, continuous)
+    counted, grids = together(
+        lambda: value_tables(df, discrete).where("value IS NOT NULL").collect() if discrete else [], lambda: quantile_grid(df, continuous)
+    )
+    for r in counted:
+        tables[r["column"]].append((r["value"], r["n"]))
     marginals = []
     for c in columns:
         m = Marginal(c, "drawn", kinds[c], 1 - filled[c] / n if n else 1.0)
@@ -261,7 +267,7 @@ def draw_column(base: DataFrame, ids: list[str], source: DataFrame, column: str,
     evenly spread integers. A value with very many rows is expanded in bounded chunks.
     """
     counts = source.groupBy(_c(column).alias("_value")).agg(F.count(F.lit(1)).alias("_cnt"))
-    n = source.count()
+    n = counts.agg(F.sum("_cnt")).first()[0] or 0
     if n == 0:
         return base.withColumn(column, F.lit(None).cast(source.schema[column].dataType))
     keyed = counts.withColumn("_key", F.coalesce(F.sha2(F.col("_value").cast("string"), 256), F.lit("")))
@@ -285,7 +291,7 @@ def synthesize(
     source: DataFrame, rows: int, seed: int = 42, key: str | None = None, skip: list[str] = (), stream: str = "table", portable: bool = False, model: Copula | None = None
 ) -> DataFrame:
     """A look-alike table. ``key`` becomes 1..rows (or a stable id text), ``skip`` columns are left out."""
-    columns = [f.name for f in source.schema.fields if f.name != key and f.name not in skip and not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
+    columns = [c for c in scalar_names(source) if c != key and c not in skip]
     model = model or fit(source, columns)
     base = source.sparkSession.range(0, max(1, int(rows))).withColumnRenamed("id", "_row")
     out = sample_on(base, ["_row"], model, seed, stream, portable)

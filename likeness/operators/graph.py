@@ -22,16 +22,17 @@ def plan_rows(nodes: DataFrame, edges: DataFrame, base_rows: int = 100, max_roun
     count stands for ``base_rows``.
 
     Each round joins the remaining edges once with the freshly placed nodes; edges of a
-    parent with very many children are dealt over several tasks. Both round results go to
-    the checkpoint folder, so the plan does not grow with the depth.
+    parent with very many children are dealt over several tasks. Both round results are
+    written to the checkpoint folder, so the plan does not grow with the depth.
     """
     factor = F.when(F.coalesce("cardinality", F.lit("1:N")) == "1:1", 1).otherwise(CHILD_FACTOR)
     left = edges.select("parent", "child", factor.cast("bigint").alias("factor")).distinct()
-    every = nodes.select("node").union(edges.select("parent")).union(edges.select("child")).distinct()
-    left, every = cut_lineage(left), cut_lineage(every)
+    left = cut_lineage(left)
+    every = nodes.select("node").union(left.select("parent")).union(left.select("child")).distinct()
     heavy = heavy_keys(left, ["parent"])
 
-    fresh = every.join(left.select(F.col("child").alias("node")).distinct(), "node", "left_anti").withColumn("rows", F.lit(base_rows).cast("bigint"))
+    roots = every.join(left.select(F.col("child").alias("node")).distinct(), "node", "left_anti")
+    fresh = cut_lineage(roots.withColumn("rows", F.lit(base_rows).cast("bigint")))
     placed = [fresh.withColumn("tier", F.lit(0))]
     pending = None
     for tier in range(1, max_rounds):

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import random as R
 from ..functions.text import clamp, quote
-from ..session import cut_lineage
+from ..session import cut_lineage, together
 from . import copula as K
 from .generate import Link
 from .joins import heavy_keys, skew_join
@@ -66,14 +66,18 @@ def synthesize_tables(
     keys = {t: next((k.to_column for k in links if k.to_table == t), None) for t in tables}
     out: dict[str, DataFrame] = {}
     order = parents_first(list(tables), links)
+    foreign = {t: [k.from_column for k in links if k.from_table == t] for t in tables}
+    keys = {t: k if k not in foreign[t] else None for t, k in keys.items()}
+
+    def fitted(t: str) -> K.Copula:
+        return K.fit(tables[t], [c for c in K.scalar_names(tables[t]) if c != keys[t] and c not in foreign[t]])
+
+    models = dict(zip(order, together(*[lambda t=t: fitted(t) for t in order])))
     seeds = {t: int((table_seeds or {}).get(t, seed + i)) for i, t in enumerate(order)}
     for t in order:
         source = tables[t]
-        up = [k for k in links if k.from_table == t]
-        foreign = [k.from_column for k in up]
-        key = keys[t] if keys[t] not in foreign else None
-        df = K.synthesize(source, rows[t], seeds[t], key, foreign, t)
-        for k in up:
+        df = K.synthesize(source, rows[t], seeds[t], keys[t], foreign[t], t, model=models[t])
+        for k in (k for k in links if k.from_table == t):
             row = R.below(seeds[t], f"{t}.{k.from_column}.parent", "_row", rows[k.to_table])
             value = K.key_value(row, tables[k.to_table].schema[k.to_column].dataType, seeds[k.to_table], k.to_table)
             df = df.withColumn(k.from_column, value.cast(source.schema[k.from_column].dataType))

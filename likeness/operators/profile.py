@@ -13,6 +13,7 @@ from ..functions.text import plain_number, quote
 
 BATCH = 3  # columns per aggregation, keeps the generated code small
 SKETCH_BITS = 12
+LONG_FROM = 32  # columns from which exact distinct counts go through the long form
 _NESTED = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
 
 
@@ -49,7 +50,7 @@ def profile(df: DataFrame, columns: list[str] | None = None, cardinality: str =
     columns = columns or scalar_columns(df)
     kinds = {f.name: f.dataType for f in df.schema.fields}
     basics = reduce(DataFrame.unionByName, [_basic_stats(df, b, kinds) for b in _batches(columns)])
-    distinct = approx_distinct_counts(df, columns) if cardinality == "approx" else distinct_counts(df, columns)
+    distinct = approx_distinct_counts(df, columns).select("column", "cardinality") if cardinality == "approx" else distinct_counts(df, columns)
     place = F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("column")).cast("int")
     out = basics.join(F.broadcast(distinct), "column", "left").withColumn("cardinality", F.coalesce("cardinality", F.lit(0)))
     out = out.withColumn("position", place - 1).withColumn("profile_mode", F.lit("sampled" if sample_rows else "full"))
@@ -94,11 +95,14 @@ def distinct_sketch(c: Column) -> Column:
 
 
 def approx_distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Sketch estimates, one row per column."""
+    """(column, cardinality, filled, n): sketch estimates with non-null and row counts."""
 
     def batch(names: list[str]) -> DataFrame:
-        row = df.agg(*[F.hll_sketch_estimate(distinct_sketch(_c(c))).alias(f"d{i}") for i, c in enumerate(names)])
-        cells = [F.struct(F.lit(c).alias("column"), F.col(f"d{i}").alias("cardinality")) for i, c in enumerate(names)]
+        row = df.agg(
+            F.count(F.lit(1)).alias("n"), *[F.count(_c(c)).alias(f"c{i}") for i, c in enumerate(names)],
+            *[F.hll_sketch_estimate(distinct_sketch(_c(c))).alias(f"d{i}") for i, c in enumerate(names)],
+        )
+        cells = [F.struct(F.lit(c).alias("column"), F.col(f"d{i}").alias("cardinality"), F.col(f"c{i}").alias("filled"), F.col("n")) for i, c in enumerate(names)]
         return row.select(F.inline(F.array(*cells)))
 
     return reduce(DataFrame.unionByName, [batch(b) for b in _batches(columns)])
@@ -112,9 +116,19 @@ def long_values(df: DataFrame, columns: list[str], keep: list[str] | None = None
 
 
 def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Exact distinct counts; repeated values collapse before the shuffle."""
-    values = long_values(df, columns).groupBy("column", "value").agg(F.lit(1))
-    return values.groupBy("column").agg(F.count(F.lit(1)).alias("cardinality"))
+    """Exact distinct counts; repeated values collapse before the shuffle.
+
+    A column of its own reads and shuffles only its own values in their own type. Very wide
+    tables go through one scan in long form instead.
+    """
+    if len(columns) > LONG_FROM:
+        values = long_values(df, columns).groupBy("column", "value").agg(F.lit(1))
+        return values.groupBy("column").agg(F.count(F.lit(1)).alias("cardinality"))
+
+    def one(c: str) -> DataFrame:
+        return df.select(_c(c).alias("v")).where("v IS NOT NULL").distinct().agg(F.lit(c).alias("column"), F.count(F.lit(1)).alias("cardinality"))
+
+    return reduce(DataFrame.unionByName, [one(c) for c in columns])
 
 
 def row_counts(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
@@ -163,11 +177,9 @@ def key_candidates(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     A sketch pass (HyperLogLog) drops most columns; only the rest pays for exact counts.
     """
     columns = columns or scalar_columns(df)
-    first = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(_c(c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
-    n = first["n"]
-    whole = [c for i, c in enumerate(columns) if n > 0 and first[f"c{i}"] == n]
-    estimate = {r["column"]: r["cardinality"] for r in approx_distinct_counts(df, whole).collect()} if whole else {}
-    likely = [c for c in whole if estimate[c] >= 0.8 * n]
+    seen = approx_distinct_counts(df, columns).collect()
+    n = seen[0]["n"]
+    likely = [r["column"] for r in seen if n > 0 and r["filled"] == n and r["cardinality"] >= 0.8 * n]
     if not likely:
         return df.sparkSession.createDataFrame([], "column string, cardinality bigint, id_like boolean, rank int")
     exact = distinct_counts(df.select(*[_c(c) for c in likely]), likely).where(F.col("cardinality") == F.lit(n))

@@ -37,7 +37,7 @@ def ordered_index(df: DataFrame, keys: list[str], order: list[str], name: str =
     """Dense number 0..n-1 per key group in ``order`` (which must be unique inside a group).
 
     One range shuffle splits even a single group over all tasks. The placement is written to
-    the checkpoint folder, so a lost executor cannot change it. The position inside a
+    the checkpoint folder, so a lost executor cannot change it (``_place`` holds partition and position). The position inside a
     partition plus the sizes of the partitions before gives the number.
     """
     blocks = blocks or shuffle_width(df)

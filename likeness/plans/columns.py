@@ -14,6 +14,7 @@ from ..functions import text as X
 from ..operators import catalog as C
 from ..operators import graph as G
 from ..operators import pii
+from ..session import cut_lineage
 from .common import load, sql_below, sql_pick, sql_u
 
 SUFFIXES = ["_id", "_name", "_email", "_date", "_price", "_category", "_type", "_city", "_state", "_country", "_cost", "_subcategory", "_phone", "_flag", "", "Id"]
@@ -22,7 +23,7 @@ TYPES = ["INTEGER", "VARCHAR(20)", "decimal(10,2)", "timestamp with time zone",
 
 def words(spark, d) -> DataFrame:
     """(doc_id, source, position, word) of every document, whole texts."""
-    docs = load(spark, d, "documents")
+    docs = load(spark, d, "documents", "doc_id")
     split = docs.select("doc_id", "source", F.posexplode(F.split(F.lower("text"), "[^a-z]+")).alias("position", "word"))
     return split.where("word <> ''")
 
@@ -35,12 +36,13 @@ WORDS_SQL = """words AS (SELECT doc_id, source, pos AS position, word FROM (
 def doc_columns(spark, d) -> DataFrame:
     """Catalog: one table per document, one column per different word."""
     firsts = words(spark, d).groupBy("doc_id", "word").agg(F.min("position").alias("position"))
-    return firsts.select(
+    catalog = firsts.select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("table_name"), "position",
         F.concat("word", R.pick(SUFFIXES, R.below(7, "suffix", "word", len(SUFFIXES)))).alias("column_name"),
         R.pick(TYPES, R.below(7, "type", "word", len(TYPES))).alias("data_type"),
         (R.below(7, "null", "word", 2) == 1).alias("is_nullable"), F.lit(False).alias("is_pk"),
     )
+    return cut_lineage(catalog)
 
 
 DOC_COLUMNS_SQL = f"""{WORDS_SQL},
@@ -52,7 +54,11 @@ cols AS (SELECT 'doc_' || doc_id AS table_name, min(position) AS position,
 
 def column_names(spark, d) -> DataFrame:
     """The different (column_name, data_type) of the document catalog."""
-    return doc_columns(spark, d).select("column_name", "data_type").distinct()
+    w = words(spark, d).select("word").distinct()
+    return w.select(
+        F.concat("word", R.pick(SUFFIXES, R.below(7, "suffix", "word", len(SUFFIXES)))).alias("column_name"),
+        R.pick(TYPES, R.below(7, "type", "word", len(TYPES))).alias("data_type"),
+    )
 
 
 NAMES_SQL = f"WITH {DOC_COLUMNS_SQL}, names AS (SELECT DISTINCT column_name, data_type FROM cols)"
@@ -60,12 +66,12 @@ NAMES_SQL = f"WITH {DOC_COLUMNS_SQL}, names AS (SELECT DISTINCT column_name, dat
 
 def word_links(spark, d) -> DataFrame:
     """Catalog: one table per word, one ``{next word}_id`` column per neighbour, and a key column."""
-    docs = load(spark, d, "documents")
+    docs = load(spark, d, "documents", "doc_id")
     arr = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != "")
     pairs = docs.select(arr.alias("w")).where("size(w) > 1").select(
         F.explode(F.arrays_zip(F.expr("slice(w, 1, size(w) - 1)").alias("a"), F.expr("slice(w, 2, size(w) - 1)").alias("b"))).alias("p")
     )
-    links = pairs.select(F.col("p.a").alias("table_name"), F.concat("p.b", F.lit("_id")).alias("column_name")).distinct()
+    links = cut_lineage(pairs.select(F.col("p.a").alias("table_name"), F.concat("p.b", F.lit("_id")).alias("column_name")).distinct())
     links = links.select("table_name", "column_name", F.lit(1).alias("position"), (R.below(7, "null", "column_name", 2) == 1).alias("is_nullable"), F.lit(False).alias("is_pk"))
     tables = links.select("table_name").distinct()
     kind = R.below(7, "pk", "table_name", 3)
@@ -73,7 +79,7 @@ def word_links(spark, d) -> DataFrame:
         "table_name", F.when(kind == 0, F.lit("id")).when(kind == 1, F.concat("table_name", F.lit("Id"))).otherwise(F.lit("code")).alias("column_name"),
         F.lit(0).alias("position"), F.lit(False).alias("is_nullable"), (kind == 2).alias("is_pk"),
     )
-    return keys.unionByName(links)
+    return cut_lineage(keys.unionByName(links))
 
 
 LINKS_SQL = f"""arrs AS (SELECT list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM documents),
@@ -248,7 +254,7 @@ SELECT c_custkey, column_name, string_agg(v, ', ' ORDER BY r) AS expanded_values
 
 
 def pii_token_hits(spark, d):
-    tokens = load(spark, d, "documents").select("lang", F.explode(F.split("text", r"\s+")).alias("v")).where("v <> ''")
+    tokens = load(spark, d, "documents", "doc_id").select("lang", F.explode(F.split("text", r"\s+")).alias("v")).where("v <> ''")
     return tokens.groupBy("lang").agg(F.count(F.lit(1)).alias("tokens"), *[F.count_if(t).alias(k) for k, t in pii.value_tests(F.col("v")).items()])
 
 
@@ -311,7 +317,7 @@ def pii_entities(spark, d):
     def tagger(texts):
         return [{"GPE"} if t[:1].isupper() and not t[1:].isupper() else set() for t in texts]
 
-    docs = load(spark, d, "documents").select("doc_id", F.col("lang").alias("topic"), F.initcap("source").alias("origin"))
+    docs = load(spark, d, "documents", "doc_id").select("doc_id", F.col("lang").alias("topic"), F.initcap("source").alias("origin"))
     return pii.detect(docs, ["topic", "origin"], tagger=tagger, ids=["doc_id"])
 
 
@@ -323,7 +329,7 @@ _REPLY = f"""CASE kind WHEN 0 THEN concat('```json\n', {_REPLY_BODY}, '\n```') W
 
 
 def _reply_frames(spark, d):
-    docs = load(spark, d, "documents").withColumn("kind", R.below(9, "reply", "doc_id", 4))
+    docs = load(spark, d, "documents", "doc_id").withColumn("kind", R.below(9, "reply", "doc_id", 4))
     replies = docs.select(F.col("doc_id").alias("batch_id"), F.expr(_REPLY.replace("\n", "\\n")).alias("reply"))
     cols = docs.select(
         F.col("doc_id").alias("batch_id"), F.concat(F.lit("doc_"), F.col("doc_id")).alias("table_name"),
@@ -473,7 +479,7 @@ UNION ALL SELECT 'edge', ft, tt, 0, fc || '/' || tc || '/' || card || '/' || CAS
 
 def link_rows(spark, d):
     """Composite keys: every document references its source by two columns."""
-    docs = load(spark, d, "documents")
+    docs = load(spark, d, "documents", "doc_id")
     keys = docs.select(
         F.concat(F.lit("doc_"), "doc_id").alias("table_name"), F.array("lang", "source").alias("columns"), F.concat(F.lit("src_"), "source").alias("ref_table"),
         F.array(F.lit("lang"), F.lit("code")).alias("ref_columns"),
@@ -551,7 +557,7 @@ CASE WHEN p_size <= 35 THEN 1.5::DOUBLE END AS null_value_percent, CASE WHEN p_s
 
 def _star_catalog(spark, d) -> dict[str, DataFrame]:
     """Sources are projects, documents are tables, words are columns, labels are profiles, neighbours are links."""
-    docs = load(spark, d, "documents")
+    docs = load(spark, d, "documents", "doc_id")
     named = docs.select("doc_id", "source", F.concat(F.lit("t"), F.col("n_chars").cast("string")).alias("table_name"), "lang", "n_chars")
     cols = words(spark, d).groupBy("doc_id", "word").agg(F.min("position").alias("position"))
     return {
@@ -716,7 +722,7 @@ SELECT request_id, field AS requested, CASE field WHEN 'null_percent' THEN CASE
 
 def value_lists(spark, d):
     """List handling on the documents' own lines: values, weights, clipping, squeezing."""
-    docs = load(spark, d, "documents")
+    docs = load(spark, d, "documents", "doc_id")
     w = X.weighted_values(F.concat(F.col("lang"), F.lit("|"), F.col("n_chars").cast("string"), F.lit("; "), F.col("source"), F.lit(",\n"), F.col("lang"), F.lit("|9")))
     return docs.select(
         "doc_id", F.size(X.value_array("text")).alias("n_values"), F.md5(X.value_list("text")).alias("values_digest"),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.bundle import spread
+
 STAR_KEYS = [
     ("nation", "n_regionkey", "region", "r_regionkey"),
     ("customer", "c_nationkey", "nation", "n_nationkey"),
@@ -36,8 +38,10 @@ def columns_of(table: str) -> list[tuple[str, str]]:
     return [tuple(c.split(":")) for c in COLUMNS[table].split()]
 
 
-def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+def load(spark: SparkSession, sf_dir: str, table: str, *spread_by: str) -> DataFrame:
+    """A given table; with ``spread_by`` columns a small file is dealt over all cores for work that is heavy per row."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(df, *spread_by) if spread_by else df
 
 
 # --- the random columns in DuckDB SQL ------------------------------------------------

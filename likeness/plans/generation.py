@@ -237,7 +237,7 @@ def randomize_orders(spark, d):
         P.ColumnConfig("o_orderdate", "TIMESTAMP", randomization_pct=5), P.ColumnConfig("o_orderpriority", "VARCHAR", randomization_pct=30),
         P.ColumnConfig("o_custkey", "BIGINT", randomization_pct=100), P.ColumnConfig("o_orderkey", "BIGINT", is_pk=True, randomization_pct=100),
     ]
-    out = P.apply_config(load(spark, d, "orders"), "orders", cfg, ["o_orderkey"], seed=42, locked={"o_custkey"})
+    out = P.apply_config(load(spark, d, "orders", "o_orderkey"), "orders", cfg, ["o_orderkey"], seed=42, locked={"o_custkey"})
     return out.withColumn("o_totalprice", F.round("o_totalprice", 4))
 
 
@@ -290,7 +290,7 @@ def bounds_lineitem(spark, d):
         P.ColumnConfig("l_quantity", "DOUBLE", min_val=40, max_val="10"), P.ColumnConfig("l_discount", "DOUBLE", min_val=0.02), P.ColumnConfig("l_tax", "DOUBLE", max_val=0.05),
         P.ColumnConfig("l_linenumber", "INT", min_val=2, max_val=2), P.ColumnConfig("l_extendedprice", "INTEGER", min_val="5000.5"), P.ColumnConfig("l_returnflag", "VARCHAR", min_val=1),
     ]
-    out = P.apply_config(load(spark, d, "lineitem"), "li", cfg, _LI, seed=9)
+    out = P.apply_config(load(spark, d, "lineitem", "l_orderkey"), "li", cfg, _LI, seed=9)
     return out.withColumn("l_quantity", F.round("l_quantity", 4)).drop("l_shipdate")
 
 
@@ -318,7 +318,7 @@ CASE WHEN r1 > round_even(n * 0.125::DOUBLE, 0) THEN p_size END AS p_size, CASE
 
 
 def noise_lineitem(spark, d):
-    out = P.add_noise(load(spark, d, "lineitem").withColumn("fixed", F.lit(7.0)), ["l_quantity", "l_extendedprice", "fixed", "l_linenumber"], _LI[:3], seed=13, stddev_scale=0.5, variation_pct=20)
+    out = P.add_noise(load(spark, d, "lineitem", "l_orderkey").withColumn("fixed", F.lit(7.0)), ["l_quantity", "l_extendedprice", "fixed", "l_linenumber"], _LI[:3], seed=13, stddev_scale=0.5, variation_pct=20)
     return out.select(*_LI[:3], "l_linenumber", *[F.round(c, 4).alias(c) for c in ("l_quantity", "l_extendedprice", "fixed")])
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import profile as P
 from ..operators import relate as L
+from ..session import together
 from .common import COLUMNS, STAR_KEYS, columns_of, load, sql_bits
 
 NUMBERS = {"int", "bigint", "double"}
@@ -169,7 +170,8 @@ SELECT col AS "column", rank, value FROM r WHERE rank <= 50"""
 
 
 def pk_candidates(spark, d):
-    parts = [P.key_candidates(load(spark, d, t)).withColumn("table", F.lit(t)) for t in COLUMNS]
+    found = together(*[lambda t=t: P.key_candidates(load(spark, d, t)) for t in COLUMNS])
+    parts = [df.withColumn("table", F.lit(t)) for t, df in zip(COLUMNS, found)]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,12 +46,35 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def _session_folder(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/likeness-{spark.sparkContext.applicationId}"
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for written tables, beside the checkpoints and so shared by all machines."""
-    return f"{ensure_checkpoint_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    """A new folder for written tables, below the checkpoint folder and so shared by all machines."""
+    return f"{_session_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_work_folders(spark: SparkSession) -> None:
+    """Remove what this session wrote; DataFrames made from it can no longer be used."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows survive the loss of any executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows as a written table: computed once, safe when executors are lost.
+
+    A written table is preferred to ``checkpoint()``, which computes the last stage twice
+    and leaves the optimizer without a size for the joins that follow.
+    """
+    path = work_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def together(*calls: Callable[[], object], at_once: int = 4) -> list:
+    """Results of independent driver calls; their Spark jobs run side by side."""
+    if len(calls) < 2:
+        return [c() for c in calls]
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(lambda c: c(), calls))

@@ -20,6 +20,12 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal a table out again when it arrives in fewer pieces than there are cores; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def head(df: DataFrame, n: int, order: list[str] | None = None) -> DataFrame:
     """The first rows in a given order, or any ``n`` rows."""
     return (df.orderBy(*order) if order else df).limit(max(1, int(n)))
