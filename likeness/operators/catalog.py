@@ -172,7 +172,8 @@ def validate_links(relations: DataFrame, columns: DataFrame, self_links: bool =
     known = columns.select("table_name", "column_name").distinct()
     a = known.select(F.col("table_name").alias("from_table"), F.col("column_name").alias("from_column"))
     b = known.select(F.col("table_name").alias("to_table"), F.col("column_name").alias("to_column"))
-    return first.join(a, ["from_table", "from_column"], "left_semi").join(b, ["to_table", "to_column"], "left_semi").select(*ends, "cardinality", "is_optional", "confidence")
+    from_known = skew_join(first, a, ["from_table", "from_column"], "left_semi")
+    return skew_join(from_known, b, ["to_table", "to_column"], "left_semi").select(*ends, "cardinality", "is_optional", "confidence")
 
 
 def locked_columns(relations: DataFrame) -> DataFrame:
@@ -419,7 +420,7 @@ def upsert_config(columns: DataFrame, updates: DataFrame) -> DataFrame:
 
 def replace_links(relations: DataFrame, fresh: DataFrame) -> DataFrame:
     """All relations of the projects named in ``fresh`` are replaced by ``fresh``."""
-    return relations.join(fresh.select("project_id").distinct(), "project_id", "left_anti").unionByName(fresh)
+    return skew_join(relations, fresh.select("project_id").distinct(), ["project_id"], "left_anti").unionByName(fresh)
 
 
 # --- catalog views -------------------------------------------------------------------
@@ -447,34 +448,33 @@ def delete_tables(catalog: dict[str, DataFrame], doomed: DataFrame) -> dict[str,
     tables, columns, profiles, relations, projects = (catalog[k] for k in ("tables", "columns", "column_profiles", "relations", "projects"))
     gone = tables.join(doomed.select("table_id").distinct(), "table_id", "left_semi").select("project_id", "table_id", "table_name")
     tables_left = tables.join(gone.select("table_id"), "table_id", "left_anti")
-    columns_left = columns.join(gone.select("table_id"), "table_id", "left_anti")
+    columns_left = skew_join(columns, gone.select("table_id"), ["table_id"], "left_anti")
     names = gone.select("project_id", "table_name").distinct()
     projects_left = projects.join(tables_left.select("project_id").distinct(), "project_id", "left_semi").unionByName(
         projects.join(tables.select("project_id").distinct(), "project_id", "left_anti")
     )
-    links = relations.join(names.withColumnRenamed("table_name", "from_table"), ["project_id", "from_table"], "left_anti").join(
-        names.withColumnRenamed("table_name", "to_table"), ["project_id", "to_table"], "left_anti"
-    )
+    links = skew_join(relations, names.withColumnRenamed("table_name", "from_table"), ["project_id", "from_table"], "left_anti")
+    links = skew_join(links, names.withColumnRenamed("table_name", "to_table"), ["project_id", "to_table"], "left_anti")
     return {
         "projects": projects_left,
         "tables": tables_left,
         "columns": columns_left,
         "column_profiles": profiles.join(columns_left.select("column_id"), "column_id", "left_semi"),
-        "relations": links.join(projects_left.select("project_id"), "project_id", "left_semi"),
+        "relations": skew_join(links, projects_left.select("project_id"), ["project_id"], "left_semi"),
     }
 
 
 def delete_projects(catalog: dict[str, DataFrame], doomed: DataFrame) -> dict[str, DataFrame]:
     """The catalog without the projects in ``doomed`` (project_id) and everything under them."""
     ids = doomed.select("project_id").distinct()
-    tables = catalog["tables"].join(ids, "project_id", "left_anti")
-    columns = catalog["columns"].join(tables.select("table_id"), "table_id", "left_semi")
+    tables = skew_join(catalog["tables"], ids, ["project_id"], "left_anti")
+    columns = skew_join(catalog["columns"], tables.select("table_id"), ["table_id"], "left_semi")
     return {
         "projects": catalog["projects"].join(ids, "project_id", "left_anti"),
         "tables": tables,
         "columns": columns,
         "column_profiles": catalog["column_profiles"].join(columns.select("column_id"), "column_id", "left_semi"),
-        "relations": catalog["relations"].join(ids, "project_id", "left_anti"),
+        "relations": skew_join(catalog["relations"], ids, ["project_id"], "left_anti"),
     }
 
 
@@ -549,7 +549,8 @@ def missing_evidence(requests: DataFrame, columns: DataFrame, relations: DataFra
         F.min_by(F.struct(F.col("null_percent").cast("string").alias("null_percent"), F.col("min").alias("min"), F.col("max").alias("max"), F.col("is_pii").cast("string").alias("is_pii")), "position").alias("k")
     )
     linked = locked_columns(relations).select(F.lower(strip("table_name")).alias("t"), F.lower(strip("column_name")).alias("c"), F.lit(True).alias("linked")).distinct()
-    j = asked.join(known, ["t", "c"], "left").join(linked, ["t", "c"], "left")
+    # one column may be asked about very often
+    j = skew_join(asked, known.join(linked, ["t", "c"], "full"), ["t", "c"], "left")
     value = _case([(F.col("field") == f, F.col(f"k.{f}")) for f in ("null_percent", "min", "max", "is_pii")], F.lit(None).cast("string"))
     lacks = F.when(F.col("field") == "relationship", F.col("linked").isNull()).otherwise(value.isNull() | (value == ""))
     return j.select("request_id", F.col("field").alias("requested"), F.when(F.col("field").isNotNull() & lacks, F.col("field")).alias("missing"))

@@ -26,7 +26,7 @@ from .series import running_sum
 
 VALUE_LIMIT = 1000  # columns with at most so many values keep exact value tables
 GRID = 257  # quantile points of a continuous column
-CHUNK = 10_000  # rows a single explode may emit per input row
+CHUNK = 100_000  # rows one task may make from one input row
 
 _TIMES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -267,24 +267,31 @@ def draw_column(base: DataFrame, ids: list[str], source: DataFrame, column: str,
     evenly spread integers. A value with very many rows is expanded in bounded chunks.
     """
     counts = source.groupBy(_c(column).alias("_value")).agg(F.count(F.lit(1)).alias("_cnt"))
-    n = counts.agg(F.sum("_cnt")).first()[0] or 0
-    if n == 0:
+    n, largest = counts.agg(F.sum("_cnt"), F.max("_cnt")).first()
+    if not n:
         return base.withColumn(column, F.lit(None).cast(source.schema[column].dataType))
     keyed = counts.withColumn("_key", F.coalesce(F.sha2(F.col("_value").cast("string"), 256), F.lit("")))
     numbered = hashed_index(keyed, ["_key"], seed, f"{stream}.values", "_t")
     placed = running_sum(numbered, [], "_cnt", "_end", "_t").withColumn("_end", F.col("_end").cast("bigint"))
-    places = explode_counts(placed.withColumn("_start", F.col("_end") - F.col("_cnt")).select("_value", "_start", "_cnt"), "_cnt", "_i")
+    places = explode_counts(placed.withColumn("_start", F.col("_end") - F.col("_cnt")).select("_value", "_start", "_cnt"), ["_start"], "_cnt", "_i", largest)
     places = places.select((F.col("_start") + F.col("_i")).alias("_place"), F.col("_value").alias(column))
     return base.withColumn("_place", F.floor(R.fast_u(seed, f"{stream}.{column}", ids) * n).cast("bigint")).join(places, "_place").drop("_place")
 
 
-def explode_counts(df: DataFrame, count: str, name: str) -> DataFrame:
-    """Repeat every row ``count`` times with ``name`` = 0..count-1, in two steps of bounded size."""
-    chunks = F.when(F.col(count) > 0, F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(count) - 1) / CHUNK).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
-    some = df.withColumn("_chunk", F.explode(chunks))
+def explode_counts(df: DataFrame, keys: list[str], count: str, name: str, largest: int) -> DataFrame:
+    """Repeat every row ``count`` times with ``name`` = 0..count-1.
+
+    ``largest`` is the largest count. Beyond ``CHUNK`` the rows are cut into chunks that are
+    dealt over all tasks before they are expanded.
+    """
+    total = F.col(count).cast("bigint")
+    none = F.array().cast("array<bigint>")
+    if largest <= CHUNK:
+        return df.withColumn(name, F.explode(F.when(total > 0, F.sequence(F.lit(0).cast("bigint"), total - 1)).otherwise(none)))
+    chunks = F.when(total > 0, F.sequence(F.lit(0).cast("bigint"), F.floor((total - 1) / CHUNK).cast("bigint"))).otherwise(none)
+    some = df.withColumn("_chunk", F.explode(chunks)).repartition(*keys, "_chunk")
     first = F.col("_chunk") * CHUNK
-    last = F.least(first + CHUNK, F.col(count).cast("bigint")) - 1
-    return some.withColumn(name, F.explode(F.sequence(first, last))).drop("_chunk")
+    return some.withColumn(name, F.explode(F.sequence(first, F.least(first + CHUNK, total) - 1))).drop("_chunk")
 
 
 def synthesize(

@@ -19,9 +19,9 @@ def heavy_keys(df: DataFrame, on: list[str], min_rows: int = 1_000_000) -> list:
     pass, so the list is small whatever the data.
     """
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    total, largest = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     limit = max(min_rows, total // (4 * shuffle_width(df)))
-    if total <= limit:
+    if largest <= limit:
         return []
     return counts.where(F.col("n") > limit).select(*on).collect()
 

@@ -199,8 +199,9 @@ def _child_rows(parents: DataFrame, link: Link, numbers: list[str]) -> DataFrame
     count = _stat(link.from_table, link.from_column, "count")
     stats = [_stat(link.from_table, c, w) for c in numbers for w in ("mean", "sd")]
     p = parents.select(F.col("_row").alias("_parent_row"), _c(link.to_column).alias(link.from_column), F.greatest(F.round(count), F.lit(0)).cast("bigint").alias("_cnt"), *[F.col(s).alias("_up" + s) for s in stats])
+    largest = p.agg(F.max("_cnt")).first()[0] or 0
     p = running_sum(p, [], "_cnt", "_end", "_parent_row")
-    rows = K.explode_counts(p, "_cnt", "_i")
+    rows = K.explode_counts(p, ["_parent_row"], "_cnt", "_i", largest)
     return rows.withColumn("_row", (F.col("_end") - F.col("_cnt")).cast("bigint") + F.col("_i")).drop("_end", "_cnt", "_i", "_parent_row")
 
 

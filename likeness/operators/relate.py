@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import quote
+from .joins import skew_join
 from .profile import approx_distinct_counts, distinct_counts, numeric_columns, scalar_columns
 
 EXPRESSION_LIMIT = 6  # columns; beyond it co-moment matrices per Arrow batch are faster
@@ -211,9 +212,9 @@ def fk_overlaps(tables: dict[str, DataFrame], relations: list[tuple[str, str, st
     return reduce(DataFrame.unionByName, parts)
 
 
-def drop_orphans(child: DataFrame, child_col: str, parent: DataFrame, parent_col: str) -> DataFrame:
+def drop_orphans(child: DataFrame, child_col: str, parent: DataFrame, parent_col: str, min_rows: int = 1_000_000) -> DataFrame:
     """Child rows whose non-null key exists in the parent; rows with a null key stay."""
     keys = parent.select(_c(parent_col).alias("_k")).where("_k IS NOT NULL").distinct()
     # the null keys never meet the join, so they cannot pile up in one task
-    known = child.where(_c(child_col).isNotNull()).join(keys, _c(child_col) == F.col("_k"), "left_semi")
-    return known.unionByName(child.where(_c(child_col).isNull()))
+    known = skew_join(child.where(_c(child_col).isNotNull()).withColumn("_k", _c(child_col)), keys, ["_k"], "left_semi", min_rows=min_rows)
+    return known.drop("_k").unionByName(child.where(_c(child_col).isNull()))

@@ -14,6 +14,7 @@ from ..functions import text as X
 from ..operators import catalog as C
 from ..operators import graph as G
 from ..operators import pii
+from ..operators.joins import skew_join
 from ..session import cut_lineage
 from .common import load, sql_below, sql_pick, sql_u
 
@@ -671,7 +672,7 @@ SELECT min(table_id) AS table_id, coalesce(n, 0) AS n_columns, count(*) AS copie
 def project_summary(spark, d):
     c = _star_catalog(spark, d)
     tables = c["tables"].withColumn("position", F.col("table_id"))
-    cols = c["columns"].join(tables.select("table_id", "project_id"), "table_id")
+    cols = skew_join(c["columns"], tables.select("table_id", "project_id"), ["table_id"])
     return C.project_summaries(c["projects"], tables, cols, c["relations"].where("from_column = 'id'"))
 
 
