@@ -426,6 +426,11 @@ def replace_links(relations: DataFrame, fresh: DataFrame) -> DataFrame:
 # --- catalog views -------------------------------------------------------------------
 
 
+def table_columns(tables: DataFrame, columns: DataFrame) -> DataFrame:
+    """Every column with the project and name of its table."""
+    return skew_join(columns, tables.select("table_id", "project_id", "table_name"), ["table_id"])
+
+
 def columns_with_stats(columns: DataFrame, profiles: DataFrame) -> DataFrame:
     """Every column with its profile, if there is one."""
     return columns.join(profiles, "column_id", "left")

@@ -48,3 +48,10 @@ def skew_join(
     copies = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(slices - 1))).otherwise(F.array(F.lit(0)))
     r = right.join(marks, on, "left").withColumn("_slice", F.explode(copies)).drop("_heavy")
     return l.join(r, [*on, "_slice"], how).drop("_slice")
+
+
+def match(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Inner equi-join in which null keys meet null keys, so that no group gets lost."""
+    renamed = right.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on])
+    return left.join(renamed, same).drop(*[f"_on_{c}" for c in on])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import random as R
 from ..session import cut_lineage
-from .joins import shuffle_width
+from .joins import match, shuffle_width
 
 
 def hashed_index(df: DataFrame, ids: list[str], seed: int, stream: str, name: str = "row_idx", buckets: int | None = None) -> DataFrame:
@@ -56,7 +56,7 @@ def ordered_index(df: DataFrame, keys: list[str], order: list[str], name: str =
         firsts = placed.groupBy(*keys, "_block").agg(F.min(name).alias("_first"))
         start = F.min("_first").over(Window.partitionBy(*keys))
         firsts = firsts.select(*keys, "_block", start.alias("_start"))
-        placed = placed.join(firsts, [*keys, "_block"]).withColumn(name, F.col(name) - F.col("_start")).drop("_start")
+        placed = match(placed, firsts, [*keys, "_block"]).withColumn(name, F.col(name) - F.col("_start")).drop("_start")
     return placed.drop("_place", "_block", "_pos", "_offset")
 
 
@@ -142,7 +142,8 @@ def thresholds(df: DataFrame, ids: list[str], choices: list[Choice], seed: int)
         h = R.bits(seed, c.stream, ids)
         bound = exact[c.name][0]
         if c.name in last_ids:
-            tie = (h == F.lit(bound)) & (F.struct(*ids) <= F.struct(*[F.lit(v) for v in last_ids[c.name]]))
+            last = F.struct(*[F.lit(v).cast(df.schema[i].dataType).alias(i) for i, v in zip(ids, last_ids[c.name])])
+            tie = (h == F.lit(bound)) & (F.struct(*ids) <= last)
             out[c.name] = yes & ((h < F.lit(bound)) | tie)
         else:
             out[c.name] = yes & (h <= F.lit(bound))

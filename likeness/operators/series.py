@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .joins import shuffle_width, skew_join
+from .joins import match, shuffle_width, skew_join
 from .profile import _c
 from .relate import safe_corr
 from .rows import ordered_index
@@ -63,7 +63,7 @@ def fill_gaps(df: DataFrame, keys: list[str], columns: list[str], t: str = "t",
         *[F.coalesce(F.last(f"_last_{c}", True).over(past), F.first(f"_first_{c}", True).over(every)).alias(f"_carry_{c}") for c in columns],
     )
     inside = Window.partitionBy(*keys, "_b").orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
-    joined = blocked.join(carry, [*keys, "_b"])
+    joined = match(blocked, carry, [*keys, "_b"])
     filled = {c: F.coalesce(F.last(_c(c), True).over(inside), F.col(f"_carry_{c}")) for c in columns}
     return joined.withColumns(filled).drop("_b", *[f"_carry_{c}" for c in columns])
 
@@ -75,7 +75,7 @@ def running_sum(df: DataFrame, keys: list[str], column: str, out: str, t: str =
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*keys, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_before"))
     inside = Window.partitionBy(*keys, "_b").orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
-    return blocked.join(offsets, [*keys, "_b"]).withColumn(out, F.sum(_c(column)).over(inside) + F.col("_before")).drop("_b", "_before")
+    return match(blocked, offsets, [*keys, "_b"]).withColumn(out, F.sum(_c(column)).over(inside) + F.col("_before")).drop("_b", "_before")
 
 
 def moving_average(df: DataFrame, keys: list[str], column: str, window: Column, n: Column, out: str = "ma", t: str = "t", rows: int = BLOCK_ROWS) -> DataFrame:
@@ -122,7 +122,7 @@ def median_step(df: DataFrame, keys: list[str], ts: str, t: str = "t") -> DataFr
     ranked = ordered_index(s, keys, ["step", t], "_rank")
     sizes = s.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     mid = (F.col("_rank") == F.floor((F.col("_n") - 1) / 2)) | (F.col("_rank") == F.floor(F.col("_n") / 2))
-    joined = ranked.join(F.broadcast(sizes), keys) if keys else ranked.crossJoin(F.broadcast(sizes))
+    joined = match(ranked.withColumn("_one", F.lit(1)), sizes.withColumn("_one", F.lit(1)), [*keys, "_one"])
     return joined.where(mid).groupBy(*keys).agg(F.avg("step").alias("median_step"))
 
 
@@ -322,9 +322,11 @@ def _rounded(c: Column, default: float) -> Column:
 def analyze(df: DataFrame, keys: list[str], ts: str, values: list[str], tie: list[str] = (), rows: int = BLOCK_ROWS, min_rows: int = 4) -> tuple[DataFrame, DataFrame]:
     """Pattern models: one row per (keys, column), and residual correlations (keys, col_a, col_b, corr).
 
-    Series with fewer than ``min_rows`` rows are left out.
+    Series with fewer than ``min_rows`` rows are left out; rows with a null key belong to no series.
     """
     placed = ordered_index(df.select(*keys, ts, *tie, *values), keys, [ts, *tie])
+    keys_known = reduce(lambda a, b: a & b, [_c(k).isNotNull() for k in keys], F.lit(True))
+    placed = placed.where(keys_known)
     span = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("source_rows"), F.min(ts).alias("source_start"), F.max(ts).alias("source_end")).where(F.col("source_rows") >= min_rows)
     info = span.join(frequencies(placed, keys, ts, rows=rows), keys, "left").withColumn("frequency", F.coalesce("frequency", F.lit("D")))
     info = info.withColumn("season", season_length(F.col("frequency"), F.col("source_rows"))).drop("steps")
@@ -368,7 +370,7 @@ def nested_models(models: DataFrame, correlations: DataFrame, keys: list[str]) -
     m = models.groupBy(*keys, *shared).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("column"), F.struct(*fields))))).alias("columns"))
     inner = correlations.groupBy(*keys, "col_a").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("col_b", "corr")))).alias("row"))
     c = inner.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("col_a", "row"))).alias("residual_correlation_matrix"))
-    return (m.join(c, keys, "left") if keys else m.crossJoin(F.broadcast(c))).withColumn("numeric_columns", F.array_sort(F.map_keys("columns")))
+    return (m.join(c, keys, "left") if keys else match(m.withColumn("_one", F.lit(1)), c.withColumn("_one", F.lit(1)), ["_one"]).drop("_one")).withColumn("numeric_columns", F.array_sort(F.map_keys("columns")))
 
 
 def summary_text(nested: DataFrame) -> Column:

@@ -41,7 +41,8 @@ def noise_factors(models: DataFrame, correlations: DataFrame, keys: list[str]) -
     """(keys, column, columns, weights): each column's weights over the independent normals of its series."""
     ordered = models.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("column", "residual_std"))).alias("cols"))
     pairs = correlations.groupBy(*keys).agg(F.collect_list(F.struct("col_a", "col_b", "corr")).alias("pairs"))
-    joined = ordered.join(pairs, keys, "left") if keys else ordered.crossJoin(F.broadcast(pairs))
+    one = F.lit(1)
+    joined = ordered.withColumn("_one", one).join(pairs.withColumn("_one", one), [*keys, "_one"], "left")
 
     @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
     def factor(cols: pd.Series, links: pd.Series) -> pd.Series:

@@ -576,6 +576,26 @@ profiles AS (SELECT column_id, length(column_name) AS cardinality FROM columns W
 relations AS (SELECT source AS project_id, 't' || n_chars AS from_table, 't' || (n_chars + 1) AS to_table FROM documents)"""
 
 
+def project_columns(spark, d):
+    c = _star_catalog(spark, d)
+    return C.table_columns(c["tables"], c["columns"]).groupBy("project_id", "table_name").agg(F.count(F.lit(1)).alias("columns"), F.min("column_name").alias("first"))
+
+
+PROJECT_COLUMNS_SQL = f"""WITH {STAR_SQL} SELECT project_id, table_name, count(*) AS columns, min(column_name) AS first FROM columns JOIN tables USING (table_id) GROUP BY ALL"""
+
+_ASSOC = """concat('```json\n{"associations": [{"col_a": "', lang, '", "col_b": "', source, '", "association": "geography", "confidence": ', n_chars, '}, {"col_a": "x", "col_b": "', doc_id, '", "confidence": "low"}, {"col_a": "", "col_b": "z"}]}\n', '```')"""
+
+
+def association_clean(spark, d):
+    """Association replies, one per document."""
+    docs = load(spark, d, "documents", "doc_id")
+    return C.clean_associations(docs.select(F.col("doc_id").cast("string").alias("table_name"), F.expr(_ASSOC).alias("reply")))
+
+
+ASSOCIATION_CLEAN_SQL = """SELECT CAST(doc_id AS VARCHAR) AS table_name, lang AS col_a, source AS col_b, 'geography' AS association, least(n_chars, 1)::DOUBLE AS confidence, 'inferred by model' AS reason FROM documents
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 'x', CAST(doc_id AS VARCHAR), 'other', 0.5, 'inferred by model' FROM documents"""
+
+
 def schema_with_stats(spark, d):
     c = _star_catalog(spark, d)
     return C.columns_with_stats(c["columns"], c["column_profiles"]).groupBy("table_id").agg(
@@ -764,7 +784,7 @@ QUERIES = {
     "generation_settings": generation_settings, "config_upsert": config_upsert, "schema_with_stats": schema_with_stats,
     "catalog_document": catalog_document, "catalog_cascade_delete": catalog_cascade_delete, "project_delete": project_delete,
     "relations_replace": relations_replace, "tables_dedupe": tables_dedupe, "project_summary": project_summary, "table_digest": table_digest,
-    "evidence_gaps": evidence_gaps, "value_lists": value_lists, "name_forms": name_forms,
+    "evidence_gaps": evidence_gaps, "value_lists": value_lists, "name_forms": name_forms, "project_columns": project_columns, "association_clean": association_clean,
 }
 
 ORACLES = {
@@ -777,5 +797,6 @@ ORACLES = {
     "graph_edges": GRAPH_SQL, "link_rows": LINK_ROWS_SQL, "schema_specs": SPECS_SQL, "generation_settings": SETTINGS_SQL, "config_upsert": UPSERT_SQL,
     "schema_with_stats": SCHEMA_STATS_SQL, "catalog_document": CATALOG_DOC_SQL, "catalog_cascade_delete": CASCADE_SQL, "project_delete": PROJECT_DELETE_SQL,
     "relations_replace": REPLACE_SQL, "tables_dedupe": DEDUPE_SQL, "project_summary": SUMMARY_SQL, "table_digest": DIGEST_SQL,
+    "project_columns": PROJECT_COLUMNS_SQL, "association_clean": ASSOCIATION_CLEAN_SQL,
     "evidence_gaps": EVIDENCE_GAPS_SQL, "value_lists": VALUE_LISTS_SQL, "name_forms": NAME_FORMS_SQL,
 }

@@ -346,6 +346,22 @@ round(CASE WHEN p_type <> 'SMALL' THEN 0.6::DOUBLE * n.b + 0.4::DOUBLE * list_su
 FROM part p LEFT JOIN n USING (p_partkey)"""
 
 
+def parameter_gate(spark, d):
+    """Noise and then smoothing, as asked for by generation parameters."""
+    part = load(spark, d, "part", "p_partkey")
+    cfg = [P.ColumnConfig("p_size", "INT"), P.ColumnConfig("p_retailprice", "DOUBLE"), P.ColumnConfig("p_name", "VARCHAR")]
+    params = {"variation_pct": 5, "stddev_scale": 2.0, "knn_smoothing": 0.5, "knn_neighbors": 4}
+    return P.generation_parameters(part, cfg, ["p_partkey"], 42, params, load(spark, d, "part"))
+
+
+def numeric_columns(spark, d):
+    """Columns that count as numeric by type and content."""
+    o = load(spark, d, "orders").withColumns({"as_text": F.col("o_totalprice").cast("string"), "words": F.col("o_orderstatus")})
+    cfg = [P.ColumnConfig("as_text", "VARCHAR", generator="numerical"), P.ColumnConfig("words", "VARCHAR", generator="numerical")]
+    n = o.agg(F.count(F.lit(1)).alias("n"))
+    return n.select(F.explode(F.array(*[F.lit(c) for c in P.config_numeric(o, cfg)])).alias("column"), "n")
+
+
 def resample_up(spark, d):
     """Customers grown to the number of orders by draws with replacement."""
     c = load(spark, d, "customer")
@@ -380,12 +396,12 @@ QUERIES = {
     "gen_customers": gen_customers, "gen_orders_fk": gen_orders_fk, "gen_price": gen_price, "gen_stitched": gen_stitched, "gen_cycle": gen_cycle,
     "gen_text_kinds": gen_text_kinds, "gen_planned": gen_planned, "anonymize_customer": anonymize_customer, "anonymize_joinable": anonymize_joinable,
     "randomize_orders": randomize_orders, "randomize_typed": randomize_typed, "bounds_lineitem": bounds_lineitem, "inject_nulls_part": inject_nulls_part,
-    "noise_lineitem": noise_lineitem, "knn_smooth_part": knn_smooth_part, "resample_up": resample_up, "resample_down": resample_down, "row_index": row_index,
+    "parameter_gate": parameter_gate, "numeric_columns": numeric_columns, "noise_lineitem": noise_lineitem, "knn_smooth_part": knn_smooth_part, "resample_up": resample_up, "resample_down": resample_down, "row_index": row_index,
 }
 
 ORACLES = {
     "gen_customers": GEN_CUSTOMERS_SQL, "gen_orders_fk": GEN_ORDERS_SQL, "gen_price": GEN_PRICE_SQL, "gen_stitched": GEN_STITCHED_SQL, "gen_cycle": GEN_CYCLE_SQL,
     "gen_text_kinds": _text_kinds_sql(), "gen_planned": GEN_PLANNED_SQL, "anonymize_customer": ANONYMIZE_SQL, "anonymize_joinable": JOINABLE_SQL,
     "randomize_orders": RANDOMIZE_SQL, "randomize_typed": TYPED_SQL, "bounds_lineitem": BOUNDS_SQL, "inject_nulls_part": NULLS_SQL,
-    "noise_lineitem": NOISE_SQL, "knn_smooth_part": KNN_SQL, "resample_up": RESAMPLE_UP_SQL, "resample_down": RESAMPLE_DOWN_SQL, "row_index": ROW_INDEX_SQL,
+    "numeric_columns": """SELECT c AS "column", (SELECT count(*) FROM orders) AS n FROM (VALUES ('o_orderkey'), ('o_custkey'), ('o_totalprice'), ('as_text')) t(c)""", "noise_lineitem": NOISE_SQL, "knn_smooth_part": KNN_SQL, "resample_up": RESAMPLE_UP_SQL, "resample_down": RESAMPLE_DOWN_SQL, "row_index": ROW_INDEX_SQL,
 }

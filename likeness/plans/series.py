@@ -86,7 +86,7 @@ def ts_moving_average(spark, d):
     """Window length differs per event type, odd and even, longer than a block."""
     e = indexed(spark, d)
     n = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    x = e.join(F.broadcast(n), "event_type").withColumn("w", F.length("event_type") * 30)
+    x = e.join(n, "event_type").withColumn("w", F.length("event_type") * 30)
     return S.moving_average(x, ["event_type"], "value", F.least("w", "n"), F.col("n"), rows=BLOCK).withColumn("ma", F.round("ma", 6))
 
 
