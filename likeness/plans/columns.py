@@ -564,7 +564,7 @@ def _star_catalog(spark, d) -> dict[str, DataFrame]:
     return {
         "projects": docs.select(F.col("source").alias("project_id"), F.lit("CSV").alias("source_type")).distinct(),
         "tables": named.select(F.col("source").alias("project_id"), F.col("doc_id").alias("table_id"), "table_name", F.col("n_chars").alias("row_count")),
-        "columns": cols.select(F.col("doc_id").alias("table_id"), F.concat_ws("/", F.col("doc_id").cast("string"), "word").alias("column_id"), F.col("word").alias("column_name"), F.col("position") + 1, F.lit("text").alias("data_type")).withColumnRenamed("(position + 1)", "position"),
+        "columns": cols.select(F.col("doc_id").alias("table_id"), F.concat_ws("/", F.col("doc_id").cast("string"), "word").alias("column_id"), F.col("word").alias("column_name"), (F.col("position") + 1).alias("position"), F.lit("text").alias("data_type")),
         "column_profiles": cols.where("length(word) > 4").select(F.concat_ws("/", F.col("doc_id").cast("string"), "word").alias("column_id"), F.length("word").alias("cardinality")),
         "relations": named.select(F.col("source").alias("project_id"), F.col("table_name").alias("from_table"), F.lit("id").alias("from_column"), F.concat(F.lit("t"), (F.col("n_chars") + 1).cast("string")).alias("to_table"), F.lit("id").alias("to_column")),
     }
