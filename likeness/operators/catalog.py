@@ -322,7 +322,8 @@ def clean_suggestions(replies: DataFrame, columns: DataFrame) -> DataFrame:
     schema = f"suggestions array<struct<{', '.join(p.strip().replace(' ', ':') for p in _SUGGESTION.split(','))}>>"
     given = replies.select("batch_id", F.explode(F.from_json(json_object("reply"), schema)["suggestions"]).alias("s")).select("batch_id", "s.*")
     given = given.withColumnRenamed("generator_type", "given_generator").withColumnRenamed("allowed_values", "given_values")
-    matched = columns.join(given, ["batch_id", "column_id"], "inner").select(
+    # a reply may name one column many times; a column stands once in the catalog
+    matched = skew_join(given, columns, ["batch_id", "column_id"], "inner").select(
         "batch_id", "column_id", "table_name", "column_name",
         F.coalesce("semantic_type", F.lit("unknown")).alias("semantic_type"),
         safe_generator(F.coalesce("given_generator", F.lit("auto")), "data_type").alias("generator_type"),

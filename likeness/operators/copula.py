@@ -21,6 +21,7 @@ from ..functions.text import quote
 from ..session import together
 from .profile import _batches, _c, approx_distinct_counts
 from .relate import _PARTIAL, _co_moments, merge_co_moments
+from .joins import skew_join
 from .rows import hashed_index, ordered_index
 from .series import running_sum
 
@@ -275,7 +276,8 @@ def draw_column(base: DataFrame, ids: list[str], source: DataFrame, column: str,
     placed = running_sum(numbered, [], "_cnt", "_end", "_t").withColumn("_end", F.col("_end").cast("bigint"))
     places = explode_counts(placed.withColumn("_start", F.col("_end") - F.col("_cnt")).select("_value", "_start", "_cnt"), ["_start"], "_cnt", "_i", largest)
     places = places.select((F.col("_start") + F.col("_i")).alias("_place"), F.col("_value").alias(column))
-    return base.withColumn("_place", F.floor(R.fast_u(seed, f"{stream}.{column}", ids) * n).cast("bigint")).join(places, "_place").drop("_place")
+    drawn = base.withColumn("_place", F.floor(R.fast_u(seed, f"{stream}.{column}", ids) * n).cast("bigint"))
+    return skew_join(drawn, places, ["_place"]).drop("_place")  # a small source makes few, large places
 
 
 def explode_counts(df: DataFrame, keys: list[str], count: str, name: str, largest: int) -> DataFrame:

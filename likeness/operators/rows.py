@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import random as R
 from ..session import cut_lineage
-from .joins import match, shuffle_width
+from .joins import match, shuffle_width, skew_join
 
 
 def hashed_index(df: DataFrame, ids: list[str], seed: int, stream: str, name: str = "row_idx", buckets: int | None = None) -> DataFrame:
@@ -185,4 +185,4 @@ def resample(df: DataFrame, ids: list[str], target: int, seed: int, stream: str)
         return df.where(keep).withColumn("copy", F.lit(0).cast("bigint"))
     index = hashed_index(df, ids, seed, stream + ".index")
     extra = df.sparkSession.range(1, target - n + 1).withColumnRenamed("id", "copy").withColumn("row_idx", R.below(seed, stream + ".extra", "copy", n))
-    return df.withColumn("copy", F.lit(0).cast("bigint")).unionByName(extra.join(index, "row_idx").drop("row_idx"))
+    return df.withColumn("copy", F.lit(0).cast("bigint")).unionByName(skew_join(extra, index, ["row_idx"]).drop("row_idx"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
+from ..session import cut_lineage, together
 from .joins import match, shuffle_width, skew_join
 from .profile import _c
 from .relate import safe_corr
@@ -228,14 +228,15 @@ def trends(long: DataFrame, keys: list[str], t: str = "t") -> DataFrame:
     return g.withColumn("slope", F.coalesce("slope", F.lit(0.0)))
 
 
-def _heavy_series(df: DataFrame, info: DataFrame, keys: list[str], rows: Column, extra: Column | None = None) -> list:
-    """Heavy join keys from the known series lengths, without another look at the data."""
+def _heavy_series(df: DataFrame, info: DataFrame, keys: list[str]) -> tuple[list, list]:
+    """Heavy join keys from the known series lengths, without another look at the data: series, and (series, phase)."""
     total = info.agg(F.sum("n")).first()[0] or 0
     limit = max(HEAVY_ROWS, total // (4 * shuffle_width(df)))
     if total <= limit:
-        return []
-    big = info.where(rows > limit)
-    return (big.select(*keys, F.explode(extra).alias("phase")) if extra is not None else big.select(*keys)).collect()
+        return [], []
+    big = info.where(F.col("n") > limit)
+    phases = big.where(F.col("n") / F.col("period") > limit).select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("period") - 1)).alias("phase"))
+    return big.select(*keys).collect(), phases.collect()
 
 
 def decompose(long: DataFrame, keys: list[str], info: DataFrame, rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -246,14 +247,14 @@ def decompose(long: DataFrame, keys: list[str], info: DataFrame, rows: int = BLO
     season, and the rest.
     """
     line = info.select(*keys, "slope", "intercept", "n", "period")
-    x = skew_join(long, line, keys, "inner", heavy=_heavy_series(long, info, keys, F.col("n")))
+    heavy, heavy_phases = _heavy_series(long, info, keys)
+    x = skew_join(long, line, keys, "inner", heavy=heavy)
     x = x.withColumn("flat", F.col("value") - (F.col("slope") * F.col("t") + F.col("intercept")))
     x = moving_average(x, keys, "flat", F.least("period", "n"), F.col("n"), "moving_trend", rows=rows)
-    x = skew_join(x, info.select(*keys, "period"), keys, "inner", heavy=_heavy_series(long, info, keys, F.col("n")))
+    x = skew_join(x, info.select(*keys, "period"), keys, "inner", heavy=heavy)
     x = cut_lineage(x.withColumn("phase", F.col("t") % F.col("period")).drop("period"))
     means = x.groupBy(*keys, "phase").agg(F.avg(F.col("flat") - F.col("moving_trend")).alias("seasonal"))
-    heavy = _heavy_series(long, info, keys, F.col("n") / F.col("period"), F.sequence(F.lit(0).cast("bigint"), F.col("period") - 1))
-    x = skew_join(x, means, [*keys, "phase"], "inner", heavy=heavy)
+    x = skew_join(x, means, [*keys, "phase"], "inner", heavy=heavy_phases)
     return x.withColumn("residual", F.col("flat") - F.col("moving_trend") - F.col("seasonal")), means
 
 
@@ -308,7 +309,11 @@ def _harmonics(profile: pd.Series, n: pd.Series, season: pd.Series) -> pd.DataFr
 
 
 def harmonics(means: DataFrame, keys: list[str], info: DataFrame) -> DataFrame:
-    """Two strongest waves of the seasonal part per series, from its phase means (one value per phase)."""
+    """Two strongest waves of the seasonal part per series, from its phase means.
+
+    A season has at most 1,440 phases, or a quarter of the rows of a series with steps of 100
+    days and more, so the list per series is small.
+    """
     packed = means.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("phase", "seasonal"))), lambda s: s["seasonal"]).alias("profile"))
     packed = packed.join(info.select(*keys, "n", "season"), keys)
     return packed.withColumn("_h", _harmonics("profile", "n", "season")).select(*keys, "_h.*")
@@ -348,7 +353,8 @@ def analyze(df: DataFrame, keys: list[str], ts: str, values: list[str], tie: lis
         _rounded(F.col("_m"), 0.0).alias("residual_mean"), _rounded(F.col("_s"), 0.001).alias("residual_std"), _rounded(F.col("_a"), 0.0).alias("autocorr_lag1"),
         _rounded(F.col("value_min"), 0.0).alias("value_min"), _rounded(F.col("value_max"), 1.0).alias("value_max"),
     )
-    return cut_lineage(models), cut_lineage(residual_correlations(parts, keys, values))
+    corr = residual_correlations(parts, keys, values)
+    return tuple(together(lambda: cut_lineage(models), lambda: cut_lineage(corr)))
 
 
 def residual_correlations(parts: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

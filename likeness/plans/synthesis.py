@@ -33,7 +33,7 @@ MARGINALS_SQL = " UNION ALL ".join(
 
 def copula_corr(spark, d):
     """Correlation of normal scores of columns with few values."""
-    model = K.fit(load(spark, d, "lineitem"), SCORED)
+    model = K.fit(load(spark, d, "lineitem", "l_orderkey"), SCORED)
     rows = [(SCORED[i], SCORED[j], round(float(model.corr[i, j]), 6)) for i in range(4) for j in range(i + 1, 4)]
     return spark.createDataFrame(rows, "col_a string, col_b string, corr double")
 
@@ -84,7 +84,7 @@ COPULA_CORR_SQL = f"WITH {_scores_sql()} " + " UNION ALL ".join(
 
 def copula_sample(spark, d):
     """A sample as large as the source from columns with few values."""
-    src = load(spark, d, "lineitem")
+    src = load(spark, d, "lineitem", "l_orderkey")
     out = K.synthesize(src.select("l_quantity", "l_discount"), src.count(), seed=21, stream="li", portable=True)
     return out.groupBy("l_quantity", "l_discount").agg(F.count(F.lit(1)).alias("n"))
 
