@@ -13,6 +13,7 @@ from ..functions.text import quote
 from .joins import skew_join
 from .profile import approx_distinct_counts, distinct_counts, numeric_columns, scalar_columns
 
+CONSTANT = 1e-28  # variance / mean^2 up to which a column is constant: below the resolution of a double
 EXPRESSION_LIMIT = 6  # columns; beyond it co-moment matrices per Arrow batch are faster
 
 
@@ -23,8 +24,11 @@ def _c(name: str) -> Column:
 def safe_corr(x: Column, y: Column) -> Column:
     """Pearson correlation on complete pairs; 0 where a side is constant or nothing is left."""
     both = x.isNotNull() & y.isNotNull()
-    vx, vy = F.var_pop(F.when(both, x)), F.var_pop(F.when(both, y))
-    r = F.covar_pop(x, y) / F.nullif(F.sqrt(vx * vy), F.lit(0.0))
+    x, y = F.when(both, x).cast("double"), F.when(both, y).cast("double")
+    vx, vy = F.var_pop(x), F.var_pop(y)
+    # merged partial variances of a constant can leave rounding noise
+    spread = F.when((vx > F.lit(CONSTANT) * F.avg(x) * F.avg(x)) & (vy > F.lit(CONSTANT) * F.avg(y) * F.avg(y)), F.sqrt(vx) * F.sqrt(vy))
+    r = F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
     return F.coalesce(F.nanvl(r, F.lit(0.0)), F.lit(0.0))
 
 
@@ -115,7 +119,7 @@ def _pearson_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     parts = df.select(*[_c(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]).mapInPandas(_co_moments, _PARTIAL)
     g = merge_co_moments(parts)
     # a constant column leaves only rounding noise in cxx
-    noise = F.expr("cxx <= 1e-20 * n * (1 + mx*mx) OR cyy <= 1e-20 * n * (1 + my*my)")
+    noise = F.expr(f"cxx <= {CONSTANT}D * n * mx*mx OR cyy <= {CONSTANT}D * n * my*my")
     r = F.when(noise, F.lit(0.0)).otherwise(F.col("cxy") / F.nullif(F.sqrt(F.col("cxx")) * F.sqrt(F.col("cyy")), F.lit(0.0)))
     found = g.select("i", "j", F.coalesce(F.nanvl(r, F.lit(0.0)), F.lit(0.0)).alias("corr"))
     k = len(columns)

@@ -293,7 +293,7 @@ SELECT ar.s AS event_type, ar.c AS "column", t, m.t1 + {step} AS ts,
 round(greatest(least(m.slope * t + m.icept + {scale}::DOUBLE * {wave} + ar.r, m.hi), m.lo), 4) AS value FROM ar JOIN model m ON m.s = ar.s AND m.c = ar.c"""
 
 
-_GEN_EVENTS = _generate_sql(_RAW, "n", 7, 0.5, True, "to_minutes(t + 1)")
+_GEN_EVENTS = _generate_sql(_RAW, "n", 7, 0.5, True, "CASE freq WHEN 'min' THEN to_minutes(t + 1) WHEN 'h' THEN to_hours(t + 1) ELSE to_days(CAST(t + 1 AS INTEGER)) END")
 
 QUERIES = {
     "ts_steps": ts_steps, "ts_median_step": ts_median_step, "ts_frequency": ts_frequency, "ts_frequency_classes": ts_frequency_classes, "season_lengths": season_lengths,

@@ -142,3 +142,10 @@ def test_profile_reads_only_its_columns(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     plan = P.profile(df, ["l_tax"])._jdf.queryExecution().executedPlan().toString()
     assert "l_orderkey" not in plan and "l_tax" in plan
+
+
+@pytest.mark.parametrize("method", ["expression", "matrix"])
+def test_constant_columns_spread_over_partitions(spark, method):
+    df = spark.range(900).repartition(7).select((F.col("id") * 1.0).alias("x"), F.lit(0.1).alias("c"), (F.lit(1e9) + F.col("id") / 1e5).alias("far")).where("x >= 0")
+    got = {(r["col_a"], r["col_b"]): r["corr"] for r in L.pearson(df.repartition(11), top_k=None, method=method).collect()}
+    assert got["x", "c"] == 0.0 and got["c", "far"] == 0.0 and got["x", "far"] > 0.999999
