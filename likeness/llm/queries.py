@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, packing, pieces, quality, simple8b
+from . import crf, exact, packing, pieces, quality, simple8b
 from .common import documents
 
 TOKENIZERS = "/opt/tokenizers"  # folder of the public tokenizer files
@@ -43,9 +43,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), _file("word_bpe_49k.json"), with_ids=False)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.judge(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op2_sentencepiece": op2_sentencepiece, "op3_simple8b": op3_simple8b, "op4_quality_rules": op4_quality_rules,
-    "op6_exact_dedup": op6_exact_dedup, "op9_packing": op9_packing,
+    "op6_exact_dedup": op6_exact_dedup, "op9_packing": op9_packing, "op10_toxicity": op10_toxicity,
 }
 ORACLES = {"op6_exact_dedup": OP6_SQL}
 
