@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf, exact, packing, pieces, quality, simple8b
+from . import crf, exact, hyperminhash, packing, pieces, quality, simple8b
 from .common import documents
 
 TOKENIZERS = "/opt/tokenizers"  # folder of the public tokenizer files
@@ -28,6 +28,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.groups(documents(spark, sf_dir))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.DigestIndex(spark).add(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
@@ -49,7 +53,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_sentencepiece": op2_sentencepiece, "op3_simple8b": op3_simple8b, "op4_quality_rules": op4_quality_rules,
-    "op6_exact_dedup": op6_exact_dedup, "op9_packing": op9_packing, "op10_toxicity": op10_toxicity,
+    "op5_hyperminhash": op5_hyperminhash, "op6_exact_dedup": op6_exact_dedup, "op9_packing": op9_packing, "op10_toxicity": op10_toxicity,
 }
 ORACLES = {"op6_exact_dedup": OP6_SQL}
 
