@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf, exact, hyperminhash, packing, pieces, quality, simple8b
+from . import crf, exact, hyperminhash, packing, pieces, quality, recompress, simple8b
 from .common import documents
 
 TOKENIZERS = "/opt/tokenizers"  # folder of the public tokenizer files
@@ -43,6 +43,10 @@ FROM n WINDOW w AS (PARTITION BY h)
 """
 
 
+def op8_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.strip(documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), _file("word_bpe_49k.json"), with_ids=False)
 
@@ -52,8 +56,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op2_sentencepiece": op2_sentencepiece, "op3_simple8b": op3_simple8b, "op4_quality_rules": op4_quality_rules,
-    "op5_hyperminhash": op5_hyperminhash, "op6_exact_dedup": op6_exact_dedup, "op9_packing": op9_packing, "op10_toxicity": op10_toxicity,
+    "op2_sentencepiece": op2_sentencepiece, "op3_simple8b": op3_simple8b, "op4_quality_rules": op4_quality_rules, "op5_hyperminhash": op5_hyperminhash,
+    "op6_exact_dedup": op6_exact_dedup, "op8_recompression": op8_recompression, "op9_packing": op9_packing, "op10_toxicity": op10_toxicity,
 }
 ORACLES = {"op6_exact_dedup": OP6_SQL}
 
