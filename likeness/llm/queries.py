@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf, exact, hyperminhash, packing, pieces, quality, recompress, simple8b
+from . import crf, exact, gru, hyperminhash, packing, pieces, quality, recompress, simple8b
 from .common import documents
 
 TOKENIZERS = "/opt/tokenizers"  # folder of the public tokenizer files
@@ -15,6 +15,10 @@ def _file(name: str) -> str:
     return f"{TOKENIZERS}/{name}"
 
 
+def op1_gru_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru.score(documents(spark, sf_dir))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(documents(spark, sf_dir), _file("piece_bpe_32k.model"))
 
@@ -56,7 +60,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op2_sentencepiece": op2_sentencepiece, "op3_simple8b": op3_simple8b, "op4_quality_rules": op4_quality_rules, "op5_hyperminhash": op5_hyperminhash,
+    "op1_gru_scoring": op1_gru_scoring, "op2_sentencepiece": op2_sentencepiece, "op3_simple8b": op3_simple8b, "op4_quality_rules": op4_quality_rules, "op5_hyperminhash": op5_hyperminhash,
     "op6_exact_dedup": op6_exact_dedup, "op8_recompression": op8_recompression, "op9_packing": op9_packing, "op10_toxicity": op10_toxicity,
 }
 ORACLES = {"op6_exact_dedup": OP6_SQL}
