@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf, exact, gru, hyperminhash, packing, pieces, quality, recompress, simple8b
+from . import crf, exact, gru, hyperminhash, packing, pieces, quality, recompress, simple8b, suffix
 from .common import documents
 
 TOKENIZERS = "/opt/tokenizers"  # folder of the public tokenizer files
@@ -47,6 +47,10 @@ FROM n WINDOW w AS (PARTITION BY h)
 """
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.strip(documents(spark, sf_dir))
+
+
 def op8_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompress.strip(documents(spark, sf_dir))
 
@@ -61,7 +65,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_gru_scoring": op1_gru_scoring, "op2_sentencepiece": op2_sentencepiece, "op3_simple8b": op3_simple8b, "op4_quality_rules": op4_quality_rules, "op5_hyperminhash": op5_hyperminhash,
-    "op6_exact_dedup": op6_exact_dedup, "op8_recompression": op8_recompression, "op9_packing": op9_packing, "op10_toxicity": op10_toxicity,
+    "op6_exact_dedup": op6_exact_dedup, "op7_suffix_array": op7_suffix_array, "op8_recompression": op8_recompression, "op9_packing": op9_packing, "op10_toxicity": op10_toxicity,
 }
 ORACLES = {"op6_exact_dedup": OP6_SQL}
 
