@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import WORDS, id_and_text, plain_words, rows_of
+from .common import WORDS, id_and_text, plain_words, rows_of, slices
 
 TRIM = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum())
 BOUNDS = [-1.0, 0.0, 0.5, 1.0, 1.5, 2.0, 3.0, 4.0]  # of association; one more bin is "not seen"
@@ -327,3 +327,24 @@ def judge(docs: DataFrame, labels: DataFrame, bar: float = 0.3, id_col: str = "d
     model = learn(plain, labels, **options)
     out = scores(plain, model)
     return out.select("doc_id", F.coalesce(~training_rows(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= bar).cast("int").alias("predicted"), "spans")
+
+
+def clean(df: DataFrame, labels: DataFrame, bar: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``df`` with a score below ``bar``, all columns as they are; texts are scored where they lie, without a shuffle."""
+    model = learn(id_and_text(df, id_col, text_col), labels, **options)
+    if model.constant is not None:  # nothing could be learned: nothing is rejected
+        return df
+
+    def work(batches):
+        import pyarrow as pa
+
+        tagger = Tagger(model)
+        for batch in batches:
+            where = batch.schema.names.index(text_col)
+            sizes = [len(x) if x is not None else 0 for x in batch.column(where).to_pylist()]
+            for a, b in slices(sizes, 2 << 20):
+                part = batch.slice(a, b - a)
+                words = [plain_words((t or "").encode()) for t in part.column(where).to_pylist()]
+                yield part.filter(pa.array([_calibrated(model.calibration, evidence(p)) < bar for p in tagger.marginals(words)], pa.bool_()))
+
+    return df.mapInArrow(work, df.schema)

@@ -69,5 +69,32 @@ QUERIES = {
 }
 ORACLES = {"op6_exact_dedup": OP6_SQL}
 
-#: Stages of the corpus pipeline, in order.
-STAGES = []
+# --- stages of the corpus pipeline ------------------------------------------------------
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the tagger rejects go."""
+    return crf.clean(docs, documents(spark, sf_dir, "labels"))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the smallest doc_id stays."""
+    return exact.deduplicate(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays."""
+    return hyperminhash.deduplicate(docs)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages are taken out of the texts; a document of which nothing is left goes. ``n_chars`` follows the text."""
+    return recompress.stripped(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of power-of-two length in sequences."""
+    return packing.pack(docs, _file("word_bpe_49k.json"), with_ids=False)
+
+
+STAGES = [("toxicity", toxicity_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("substring_dedup", substring_stage), ("packing", packing_stage)]
