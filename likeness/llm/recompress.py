@@ -148,7 +148,7 @@ def shared_anchors(docs: DataFrame, find, limit: int = 16 << 20) -> DataFrame:
                     k = np.unique(of(text))
                     keys.append(k)
                     owner.append(np.full(len(k), doc, np.int64))
-            if not keys:
+            if not sum(map(len, keys)):
                 continue
             key, doc = np.concatenate(keys), np.concatenate(owner)
             first, _, several = _settled_first(key, doc)
