@@ -270,7 +270,6 @@ def _plain(text: str) -> str:
 
 def expanded_values(name: Column | str, seeds: Column, max_values: int = 12) -> Column:
     """Seeds in canonical spelling followed by the rest of the best-matching family."""
-    max_values = max(2, min(int(max_values), 25))
     norms = F.array_distinct(F.filter(F.transform(seeds, tight), lambda x: x != ""))
     column = tight(name)
     scores = []

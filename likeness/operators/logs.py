@@ -9,13 +9,12 @@ from ..functions.replies import action_label, json_details, other_details, token
 from ..functions.text import byte_text, strip
 
 
-def recent(logs: DataFrame, limit: int = 20, username: str | None = None, most: int = 100) -> DataFrame:
-    """Newest log rows, optionally of one user (any case); ``limit`` is held within 1..most."""
-    limit = max(1, min(int(limit), most))
+def recent(logs: DataFrame, limit: int = 20, username: str | None = None) -> DataFrame:
+    """The ``limit`` newest log rows, optionally of one user (any case)."""
     clean = (username or "").strip()
     if clean:
         logs = logs.where(F.lower("username") == clean.lower())
-    return logs.orderBy(F.desc("created_at"), F.desc("log_id")).limit(limit)
+    return logs.orderBy(F.desc("created_at"), F.desc("log_id")).limit(max(1, int(limit)))
 
 
 def recent_per_user(logs: DataFrame, limit: int = 5) -> DataFrame:

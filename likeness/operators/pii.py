@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import random as R
 from ..functions.text import digit_count, has_any, has_token, quote, snake, strip
-from .profile import _batches, value_sample
+from .profile import _batches, long_values, value_sample
 
 # Name hints and scores, tested in this order.
 NAME_HINTS = [
@@ -145,7 +145,7 @@ def detect(
     tagger: Callable | None = None,
     ids: list[str] | None = None,
     match: str = "contains",
-    entity_values: int = 80,
+    entity_values: int | None = None,
 ) -> DataFrame:
     """PII verdict for the columns of a table; value patterns are counted over every row."""
     columns = columns or [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
@@ -153,7 +153,7 @@ def detect(
     if tagger is not None:
         if not ids:
             raise ValueError("entity tagging needs the id columns of the table")
-        samples = value_sample(df, columns, ids, entity_values)
+        samples = value_sample(df, columns, ids, entity_values) if entity_values else long_values(df, columns, ids)
         signals = signals.join(F.broadcast(entity_signal(samples, tagger)), "column", "left")
     return decide(signals, match)
 

@@ -38,6 +38,12 @@ def _batches(columns: list[str]) -> list[list[str]]:
     return [columns[i : i + BATCH] for i in range(0, len(columns), BATCH)]
 
 
+def _drawn(df: DataFrame, rows: int, seed: int = 42) -> DataFrame:
+    """About ``rows`` rows drawn over the whole table (all of a smaller one), not its first ones."""
+    n = df.count()
+    return df if n <= rows else df.sample(min(1.0, max(1, rows) / n), seed)
+
+
 def profile(df: DataFrame, columns: list[str] | None = None, cardinality: str = "approx", sample_rows: int | None = None) -> DataFrame:
     """One row per column: type, nulls, null percent, min, max, cardinality, sd, variance.
 
@@ -46,7 +52,7 @@ def profile(df: DataFrame, columns: list[str] | None = None, cardinality: str =
     ``cardinality``: ``approx`` (HyperLogLog) or ``exact`` (one shuffle of distinct values).
     """
     if sample_rows:
-        df = df.limit(max(1, int(sample_rows)))
+        df = _drawn(df, int(sample_rows))
     columns = columns or scalar_columns(df)
     kinds = {f.name: f.dataType for f in df.schema.fields}
     basics = reduce(DataFrame.unionByName, [_basic_stats(df, b, kinds) for b in _batches(columns)])
@@ -133,7 +139,7 @@ def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def row_counts(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
     """Total and profiled row counts; the total is unknown for a sample."""
-    seen = df.limit(sample_rows) if sample_rows else df
+    seen = _drawn(df, int(sample_rows)) if sample_rows else df
     n = seen.agg(F.count(F.lit(1)).alias("profiled_rows"))
     return n.select((F.lit(None).cast("bigint") if sample_rows else F.col("profiled_rows")).alias("total_rows"), "profiled_rows")
 
@@ -161,11 +167,10 @@ def column_evidence(df: DataFrame, columns: list[str] | None = None, top: int =
 
 
 def value_sample(df: DataFrame, columns: list[str], ids: list[str], size: int = 50, seed: int = 42) -> DataFrame:
-    """Up to ``size`` (5..200) non-null values per column, all columns in one scan.
+    """Up to ``size`` non-null values per column, all columns in one scan.
 
     The choice is random by row id, so it is unbiased and repeatable.
     """
-    size = max(5, min(int(size), 200))
     cells = long_values(df, columns, ids).withColumn("_h", R.bits(seed, "value_sample", ["column", *ids]))
     w = Window.partitionBy("column").orderBy("_h", *ids)
     return cells.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= size).select("column", "rank", "value")

@@ -32,8 +32,8 @@ def safe_corr(x: Column, y: Column) -> Column:
     return F.coalesce(F.nanvl(r, F.lit(0.0)), F.lit(0.0))
 
 
-def pearson(df: DataFrame, columns: list[str] | None = None, top_k: int | None = 30, method: str = "auto") -> DataFrame:
-    """Upper triangle of the correlation matrix, strongest first: (col_a, col_b, corr)."""
+def pearson(df: DataFrame, columns: list[str] | None = None, top_k: int | None = None, method: str = "auto") -> DataFrame:
+    """Upper triangle of the correlation matrix, strongest first: (col_a, col_b, corr); ``top_k`` leaves out weaker pairs."""
     columns = columns or numeric_columns(df)
     if len(columns) < 2:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
@@ -130,10 +130,12 @@ def _pearson_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 # --- categorical association ---------------------------------------------------------
 
 
-def small_columns(df: DataFrame, columns: list[str], limit: int = 50) -> list[str]:
+def small_columns(df: DataFrame, columns: list[str], limit: int | None = None) -> list[str]:
     """Columns with 2..limit distinct values: a sketch drops the large ones, the rest is counted exactly."""
     if not columns:
         return []
+    if limit is None:
+        return columns
     sketch = {r["column"]: r["cardinality"] for r in approx_distinct_counts(df, columns).collect()}
     few = [c for c in columns if sketch[c] <= 2 * limit]
     if not few:
@@ -142,26 +144,65 @@ def small_columns(df: DataFrame, columns: list[str], limit: int = 50) -> list[st
     return [c for c in few if 2 <= exact.get(c, 0) <= limit]
 
 
+_CELLS = "i int, j int, a string, b string, o bigint"
+
+
+def _count_pairs(limit: int = 1_000_000):
+    """Counts the value pairs of all column pairs of a partition, as packed codes; gives the cells out beyond ``limit`` of them."""
+
+    def work(batches):
+        codes: list[dict] | None = None
+        cells: dict[tuple[int, int], dict[int, int]] = {}
+        held = 0
+
+        def out():
+            names = [list(c) for c in codes]
+            for (i, j), got in cells.items():
+                at = np.fromiter(got, np.int64, len(got))
+                left, right = at >> 32, at & 0xFFFFFFFF
+                yield pd.DataFrame({"i": i, "j": j, "a": [names[i][x] for x in left], "b": [names[j][x] for x in right], "o": list(got.values())})
+
+        for pdf in batches:
+            if codes is None:
+                codes = [{} for _ in pdf.columns]
+            numbers = []
+            for k, name in enumerate(pdf.columns):
+                known = codes[k]
+                where, values = pd.factorize(pdf[name])  # null: -1
+                table = np.array([known.setdefault(v, len(known)) for v in values] + [-1], np.int64)
+                numbers.append(table[where])
+            for i in range(len(numbers)):
+                for j in range(i + 1, len(numbers)):
+                    both = (numbers[i] >= 0) & (numbers[j] >= 0)
+                    packed, n = np.unique(numbers[i][both] << 32 | numbers[j][both], return_counts=True)
+                    got = cells.setdefault((i, j), {})
+                    before = len(got)
+                    for p, c in zip(packed.tolist(), n.tolist()):
+                        got[p] = got.get(p, 0) + c
+                    held += len(got) - before
+            if held > limit:
+                yield from out()
+                codes, cells, held = None, {}, 0
+        if codes is not None:
+            yield from out()
+
+    return work
+
+
 def contingency(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Observed cells of every column pair in one scan: (i, j, a, b, o).
+    """Observed cells of every column pair in one scan: (i, j, a, b, o), for any number of columns and values.
 
-    Grouping sets combine to at most 50 x 50 cells per pair before the shuffle.
+    Each partition counts its pairs (Arrow batches) and the counts are added; no row is multiplied.
     """
-    k = len(columns)
     named = df.select(*[_c(c).cast("string").alias(f"v{i}") for i, c in enumerate(columns)])
-    cols = [F.col(f"v{i}") for i in range(k)]
-    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
-    gid = {(i, j): sum(1 << (k - 1 - p) for p in range(k) if p not in (i, j)) for i, j in pairs}
-    g = named.groupingSets([[cols[i], cols[j]] for i, j in pairs], *cols).agg(F.count(F.lit(1)).alias("o"), F.grouping_id().alias("g"))
-    cells = [
-        F.when(F.col("g") == gid[i, j], F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"v{i}").alias("a"), F.col(f"v{j}").alias("b")))
-        for i, j in pairs
-    ]
-    return g.select(F.coalesce(*cells).alias("p"), "o").select("p.*", "o").where("a IS NOT NULL AND b IS NOT NULL")
+    return named.mapInPandas(_count_pairs(), _CELLS).groupBy("i", "j", "a", "b").agg(F.sum("o").alias("o"))
+
 
+def cramers_v(df: DataFrame, columns: list[str] | None = None, max_unique: int | None = None, top_k: int | None = None) -> DataFrame:
+    """Cramer's V of every categorical pair, strongest first: (col_a, col_b, score, metric).
 
-def cramers_v(df: DataFrame, columns: list[str] | None = None, max_unique: int = 50, top_k: int | None = 30) -> DataFrame:
-    """Cramer's V of every categorical pair, strongest first: (col_a, col_b, score, metric)."""
+    ``max_unique`` leaves out columns with more distinct values, ``top_k`` weaker pairs; by default nothing is left out.
+    """
     if columns is None:
         numeric = set(numeric_columns(df))
         columns = [c for c in scalar_columns(df) if c not in numeric]
@@ -171,7 +212,7 @@ def cramers_v(df: DataFrame, columns: list[str] | None = None, max_unique: int =
     cells = contingency(df, columns)
     rows = cells.groupBy("i", "j", "a").agg(F.sum("o").cast("double").alias("r"))
     cols = cells.groupBy("i", "j", "b").agg(F.sum("o").cast("double").alias("c"))
-    full = cells.join(F.broadcast(rows), ["i", "j", "a"]).join(F.broadcast(cols), ["i", "j", "b"])
+    full = cells.join(rows, ["i", "j", "a"]).join(cols, ["i", "j", "b"])
     o = F.col("o").cast("double")
     stat = full.groupBy("i", "j").agg(
         F.sum(o).alias("n"), F.sum(o * o / (F.col("r") * F.col("c"))).alias("s"),

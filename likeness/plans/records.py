@@ -144,13 +144,38 @@ def csv_sniffed(spark, d):
     """Column types found in CSV text without a schema."""
     out = work_folder(spark, "csv")
     B.write_tables({"part": load(spark, d, "part")}, out, "csv")
-    t = B.read_csv(spark, f"{out}/part")
+    t = B.read_csv(spark, f"{out}/part", escaped=True)
     types = t.schema
     row = t.agg(F.count(F.lit(1)).alias("n"))
     return row.select(F.explode(F.array(*[F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type")) for f in types.fields])).alias("c"), "n").select("c.*", "n")
 
 
-SNIFF_SQL = """SELECT t.*, (SELECT count(*) FROM part) AS n FROM (VALUES ('p_partkey', 'int'), ('p_name', 'string'), ('p_brand', 'string'), ('p_type', 'string'), ('p_size', 'int'), ('p_retailprice', 'double')) t("column", type)"""
+def _sniffed(c: str) -> str:
+    """The narrowest type that all texts of a column can be read as, by casts."""
+    text = f"CAST({c} AS VARCHAR)"
+    kinds = [("int", "INTEGER"), ("bigint", "BIGINT"), ("double", "DOUBLE")]
+    cases = " ".join(f"WHEN count(TRY_CAST({text} AS {sql})) = count({c}) AND (count_if({text} LIKE '%.%') = 0 OR '{name}' = 'double') THEN '{name}'" for name, sql in kinds)
+    return f"SELECT '{c}' AS \"column\", CASE {cases} ELSE 'string' END AS type, count(*) AS n FROM part"
+
+
+SNIFF_SQL = " UNION ALL ".join(_sniffed(c) for c in ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"))
+
+
+def csv_documents(spark, d):
+    """Whole texts with line breaks, quotes, backslashes and spaces at the ends through CSV files of one row per line."""
+    out, docs = work_folder(spark, "csv"), load(spark, d, "documents")
+    odd = docs.withColumn("text", F.concat(F.lit(" \\n\\\\"), "text", F.lit('\r\n"\\r" ')))
+    B.write_tables({"documents": odd}, out, "csv")
+    return B.read_tables(spark, out, "csv", {"documents": odd.schema})["documents"]
+
+
+def csv_conversations(spark, d):
+    out, turns = work_folder(spark, "csv"), load(spark, d, "conversations")
+    B.write_tables({"conversations": turns}, out, "csv")
+    return B.read_tables(spark, out, "csv", {"conversations": turns.schema})["conversations"]
+
+
+CSV_DOCS_SQL = r"""SELECT doc_id, ' \n\\' || text || chr(13) || chr(10) || '"\r" ' AS text, lang, source, n_chars FROM documents"""
 
 
 def parquet_round_trip(spark, d):
@@ -204,15 +229,15 @@ QUERIES = {
     "activity_recent": activity_recent, "activity_of_user": activity_of_user, "activity_newest_per_user": activity_newest_per_user, "user_search": user_search,
     "activity_tokens": activity_tokens, "activity_rollup": activity_rollup, "activity_lines": activity_lines, "timezone_display": timezone_display,
     "format_dates": format_dates, "preview": preview, "finite_values": finite_values, "csv_round_trip": csv_round_trip, "csv_sniffed": csv_sniffed,
-    "parquet_round_trip": parquet_round_trip, "size_budgets": size_budgets, "source_files": source_files, "user_counts": user_counts, "lenient_values": lenient_values,
+    "csv_documents": csv_documents, "csv_conversations": csv_conversations, "parquet_round_trip": parquet_round_trip, "size_budgets": size_budgets, "source_files": source_files, "user_counts": user_counts, "lenient_values": lenient_values,
 }
 
 ORACLES = {
     "activity_recent": f"WITH {LOG_SQL} SELECT {', '.join(_SHOWN)} FROM log ORDER BY created_at DESC, log_id DESC LIMIT 100",
-    "activity_of_user": f"WITH {LOG_SQL} SELECT {', '.join(_SHOWN)} FROM log WHERE lower(username) = 'user7' ORDER BY created_at DESC, log_id DESC LIMIT 100",
+    "activity_of_user": f"WITH {LOG_SQL} SELECT {', '.join(_SHOWN)} FROM log WHERE lower(username) = 'user7' ORDER BY created_at DESC, log_id DESC LIMIT 500",
     "activity_newest_per_user": f"WITH {LOG_SQL} SELECT * FROM (SELECT log_id, username, row_number() OVER (PARTITION BY username ORDER BY created_at DESC, log_id DESC) AS rank FROM log) WHERE rank <= 5",
     "user_search": f"WITH {LOG_SQL} SELECT username, count(*) AS events FROM log WHERE contains(lower(username), 'ser1') GROUP BY 1",
     "activity_tokens": TOKENS_SQL, "activity_rollup": ROLLUP_SQL, "activity_lines": LINES_SQL, "timezone_display": TIMEZONE_SQL, "format_dates": FORMAT_SQL,
     "preview": PREVIEW_SQL, "finite_values": FINITE_SQL, "csv_round_trip": ROUND_SQL, "csv_sniffed": SNIFF_SQL,
-    "parquet_round_trip": "SELECT event_type, count(*) AS n, max(ts) AS last FROM events GROUP BY 1", "size_budgets": SIZE_SQL, "user_counts": USERS_SQL, "lenient_values": LENIENT_SQL,
+    "csv_documents": CSV_DOCS_SQL, "csv_conversations": "SELECT * FROM conversations", "parquet_round_trip": "SELECT event_type, count(*) AS n, max(ts) AS last FROM events GROUP BY 1", "size_budgets": SIZE_SQL, "user_counts": USERS_SQL, "lenient_values": LENIENT_SQL,
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import copula as K
 from ..operators import multitable as M
 from ..operators.generate import Link
+from ..session import work_folder
 from ..streaming import activity, running_profile
 from .common import STAR_KEYS, load, sql_normal
 
@@ -188,9 +189,16 @@ WHERE (SELECT count(*) FROM orders) > 0"""
 # --- streams -------------------------------------------------------------------------
 
 
+def _mixed_files(spark, d, files: int = 6) -> str:
+    """The events dealt over several files without regard to time, so that every micro-batch brings late ones."""
+    out = work_folder(spark, "mixed")
+    load(spark, d, "events").repartition(files, F.xxhash64("event_id")).write.parquet(out)
+    return out
+
+
 def stream_rollup(spark, d):
-    """Hourly events and token sums per action, from a stream over the events files."""
-    return activity.run(spark, d, "events.parquet")
+    """Hourly events and token sums per action, from a stream over many files in mixed order."""
+    return activity.run(spark, _mixed_files(spark, d), "*.parquet")
 
 
 STREAM_ROLLUP_SQL = """SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type AS action, count(*) AS events, CAST(sum(json_extract_string(props, '$.k')::BIGINT) AS BIGINT) AS tokens FROM events GROUP BY ALL"""
@@ -203,15 +211,18 @@ def stream_rollup_batch(spark, d):
 
 def stream_profile(spark, d):
     """Column profile of the events kept up to date by a stream."""
-    out = running_profile.run(spark, d, "events.parquet", load(spark, d, "events").schema)
-    return out.withColumn("sd", F.round("sd", 4)).drop("cardinality")
+    events = load(spark, d, "events")
+    out = running_profile.run(spark, _mixed_files(spark, d), "*.parquet", events.schema)
+    exact = F.create_map(*[x for c, n in events.agg(*[F.count_distinct(c).alias(c) for c in events.columns]).first().asDict().items() for x in (F.lit(c), F.lit(n))])
+    near = F.abs(F.col("cardinality") - exact[F.col("column")]) <= 0.05 * exact[F.col("column")] + 1  # the sketch's error bound
+    return out.withColumn("sd", F.round("sd", 4)).withColumn("cardinality_near", near).drop("cardinality")
 
 
 _EVENT_NUMBERS = ("event_id", "user_id", "value")
 STREAM_PROFILE_SQL = " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", count(*) AS n, count(*) - count({c}) AS nulls, CAST(min({c}) AS VARCHAR) AS min, CAST(max({c}) AS VARCHAR) AS max, "
     + (f"round(stddev_samp({c}), 4)" if c in _EVENT_NUMBERS else "NULL::DOUBLE")
-    + " AS sd FROM events"
+    + " AS sd, true AS cardinality_near FROM events"
     for c in ("event_id", "ts", "user_id", "event_type", "value", "props")
 )
 

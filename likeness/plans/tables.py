@@ -96,7 +96,7 @@ def _with_gaps_sql() -> str:
 
 def _cramers(table: str):
     def run(spark, d):
-        return L.cramers_v(load(spark, d, table)).withColumn("score", F.round("score", 6))
+        return L.cramers_v(load(spark, d, table), max_unique=50, top_k=30).withColumn("score", F.round("score", 6))
 
     return run
 
@@ -121,6 +121,25 @@ def _cramers_sql(table: str) -> str:
     FROM s WHERE least(ra, cb) > 1 ORDER BY score DESC, i, j LIMIT 30"""
 
 
+WIDE = 70
+
+
+def cramers_wide(spark, d):
+    """Association of seventy columns: the length classes of the first words of each document."""
+    docs = load(spark, d, "documents")
+    words = F.split("text", " ")
+    wide = docs.select(*[F.concat(F.lit("k"), F.length(F.get(words, F.lit(i))) % (3 + i % 5)).alias(f"w{i}") for i in range(WIDE)])
+    return L.cramers_v(wide).withColumn("score", F.round("score", 6))
+
+
+WIDE_SQL = f"""WITH w AS (SELECT doc_id, unnest(range({WIDE})) AS i, string_split(text, ' ') AS s FROM documents WHERE text IS NOT NULL),
+v AS (SELECT doc_id, i, length(s[i + 1]) % (3 + i % 5) AS x FROM w WHERE i < len(s)),
+cells AS (SELECT a.i, b.i AS j, a.x AS a, b.x AS b, count(*)::DOUBLE AS o FROM v a JOIN v b ON a.doc_id = b.doc_id AND a.i < b.i GROUP BY ALL),
+m AS (SELECT *, sum(o) OVER (PARTITION BY i, j, a) AS r, sum(o) OVER (PARTITION BY i, j, b) AS c FROM cells),
+s AS (SELECT i, j, sum(o * o / (r * c)) AS s, count(DISTINCT a) AS ra, count(DISTINCT b) AS cb FROM m GROUP BY ALL)
+SELECT 'w' || i AS col_a, 'w' || j AS col_b, round(sqrt(greatest(s - 1, 0) / (least(ra, cb) - 1)), 6) AS score, 'Cramer''s V' AS metric FROM s WHERE least(ra, cb) > 1"""
+
+
 def contingency(spark, d):
     cols = ["l_returnflag", "l_linestatus", "l_linenumber"]
     out = L.contingency(load(spark, d, "lineitem"), cols)
@@ -231,6 +250,7 @@ QUERIES = {
     "pearson_gaps": _with_gaps,
     "cramers_orders": _cramers("orders"),
     "cramers_part": _cramers("part"),
+    "cramers_wide": cramers_wide,
     "contingency_lineitem": contingency,
     "value_counts_top6": value_counts,
     "column_evidence": column_evidence,
@@ -255,6 +275,7 @@ ORACLES = {
     "pearson_gaps": _with_gaps_sql(),
     "cramers_orders": _cramers_sql("orders"),
     "cramers_part": _cramers_sql("part"),
+    "cramers_wide": WIDE_SQL,
     "contingency_lineitem": CONTINGENCY_SQL,
     "value_counts_top6": VALUE_COUNTS_SQL,
     "column_evidence": EVIDENCE_SQL,

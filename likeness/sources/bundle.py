@@ -10,10 +10,42 @@ from ..functions.dates import DATE_FORMAT, TIMESTAMP_FORMAT, format_datetime
 from ..functions.text import finite, quote
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """CSV with a header. Without a schema the types are sniffed, which reads the data twice."""
-    r = spark.read.option("header", True).option("multiLine", False).option("escape", '"')
-    return r.schema(schema).csv(path) if schema is not None else r.option("inferSchema", True).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = False, escaped: bool = False) -> DataFrame:
+    """CSV with a header. Without a schema the types are sniffed, which reads the data twice.
+
+    ``escaped`` undoes the line-break escapes of ``write_tables``, whose files hold one row per line and
+    stay splittable. ``multi_line`` reads foreign files with line breaks inside quotes; such a file
+    is read by one task.
+    """
+    r = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+    df = r.schema(schema).csv(path) if schema is not None else r.option("inferSchema", True).csv(path)
+    return _unescaped(df) if escaped else df
+
+
+def _texts(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+
+
+def _escaped(df: DataFrame) -> DataFrame:
+    """Backslashes and line breaks of text columns as two characters."""
+
+    def one(c: str):
+        out = F.replace(F.col(quote(c)), F.lit("\\"), F.lit("\\\\"))
+        for plain, mark in (("\n", "\\n"), ("\r", "\\r")):
+            out = F.replace(out, F.lit(plain), F.lit(mark))
+        return out
+
+    return df.withColumns({c: one(c) for c in _texts(df)}) if _texts(df) else df
+
+
+def _unescaped(df: DataFrame) -> DataFrame:
+    """Escapes are split off at doubled backslashes first, so that a written backslash and n stay apart from a line break."""
+
+    def one(c: str):
+        parts = F.transform(F.split(F.col(quote(c)), r"\\\\"), lambda x: F.replace(F.replace(x, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")))
+        return F.when(F.contains(F.col(quote(c)), F.lit("\\")), F.array_join(parts, "\\")).otherwise(F.col(quote(c)))
+
+    return df.withColumns({c: one(c) for c in _texts(df)}) if _texts(df) else df
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -22,8 +54,8 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Deal a table out again when it arrives in fewer pieces than there are cores; larger tables stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    cores = int(df.sparkSession.conf.get("spark.sql.leafNodeDefaultParallelism", None) or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
 
 
 def head(df: DataFrame, n: int, order: list[str] | None = None) -> DataFrame:
@@ -38,8 +70,8 @@ def finite_rows(df: DataFrame) -> DataFrame:
 
 
 def preview(df: DataFrame, rows: int = 25, order: list[str] | None = None) -> DataFrame:
-    """1..25 rows ready for display."""
-    return finite_rows(head(df, max(1, min(int(rows), 25)), order))
+    """The first ``rows`` rows ready for display."""
+    return finite_rows(head(df, rows, order))
 
 
 def is_datetime(config: dict) -> bool:
@@ -63,10 +95,12 @@ def format_dates(df: DataFrame, configs: list[dict]) -> DataFrame:
 
 
 def write_tables(tables: dict[str, DataFrame], path: str, fmt: str = "parquet", configs: dict[str, list[dict]] | None = None) -> None:
-    """One folder per table under ``path``."""
+    """One folder per table under ``path``. CSV text keeps all characters: line breaks and backslashes are escaped, spaces at the ends stay."""
     for name, df in tables.items():
         if fmt == "csv":
-            format_dates(df, (configs or {}).get(name, [])).write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/{name}")
+            rows = _escaped(format_dates(df, (configs or {}).get(name, [])))
+            keep = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+            rows.write.mode("overwrite").options(**keep).csv(f"{path}/{name}")
         elif fmt == "parquet":
             df.write.mode("overwrite").parquet(f"{path}/{name}")
         else:
@@ -82,7 +116,7 @@ def read_tables(spark: SparkSession, path: str, fmt: str, names: dict[str, T.Str
         names = sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory())
     schemas = names if isinstance(names, dict) else dict.fromkeys(names)
     if fmt == "csv":
-        return {n: read_csv(spark, f"{path}/{n}", s) for n, s in schemas.items()}
+        return {n: read_csv(spark, f"{path}/{n}", s, escaped=True) for n, s in schemas.items()}
     return {n: read_parquet(spark, f"{path}/{n}") for n in schemas}
 
 
