@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,22 +21,27 @@ from .series import running_sum
 
 
 def parents_first(tables: list[str], links: list[Link]) -> list[str]:
-    """Tables in an order with parents before children; a cycle is cut where it is met."""
+    """Tables in an order with parents before children, by name where free; a cycle starts at its first table by name."""
+    waiting = {t: {k.to_table for k in links if k.from_table == t and k.to_table != t} for t in sorted(tables)}
     order: list[str] = []
-    seen: set[str] = set()
+    while waiting:
+        ready = [t for t, parents in waiting.items() if not parents & waiting.keys()]
+        order += ready or [_in_cycle(waiting)]
+        for t in ready or order[-1:]:
+            del waiting[t]
+    return order
 
-    def visit(t: str) -> None:
-        if t in seen:
-            return
-        seen.add(t)
-        for k in links:
-            if k.from_table == t:
-                visit(k.to_table)
-        order.append(t)
 
-    for t in sorted(tables):
-        visit(t)
-    return order
+def _in_cycle(waiting: dict[str, set[str]]) -> str:
+    """The first table by name that is its own ancestor."""
+    for t in waiting:
+        seen, front = set(), {t}
+        while front:
+            front = {p for f in front for p in waiting[f] if p in waiting} - seen
+            seen |= front
+        if t in seen:
+            return t
+    raise AssertionError("no table is free and none lies in a cycle")
 
 
 def usable_links(tables: dict[str, DataFrame], links: list[Link], self_links: bool = False) -> list[Link]:
@@ -54,35 +60,78 @@ def primary_key(df: DataFrame) -> str | None:
     return best["column"] if best else None
 
 
+class _Keys:
+    """Key columns as expressions of the row number, the same wherever the row is needed.
+
+    A column that others point to gets fresh keys, or, if it points elsewhere itself (1:1 and longer
+    chains), the parent's key at a permuted row: each parent at most once while there are enough.
+    Columns that point to each other in a circle hold the same keys, as many as the smallest of
+    their tables has rows. Any other foreign key is the parent's key at a drawn row.
+    """
+
+    def __init__(self, tables: dict[str, DataFrame], links: list[Link], rows: dict[str, int], seeds: dict[str, int]):
+        self.tables, self.rows, self.seeds = tables, rows, seeds
+        self.goal: dict[tuple[str, str], tuple[str, str]] = {}
+        for k in links:
+            if (k.from_table, k.from_column) != (k.to_table, k.to_column):
+                self.goal.setdefault((k.from_table, k.from_column), (k.to_table, k.to_column))
+        self.referenced = set(self.goal.values())
+        self.first = {}
+        for t, c in sorted(self.referenced - self.goal.keys()):
+            self.first.setdefault(t, c)
+        self.circle: dict[tuple[str, str], int] = {}
+        for start in self.goal:
+            path = [start]
+            while path[-1] in self.goal and self.goal[path[-1]] not in path:
+                path.append(self.goal[path[-1]])
+            end = self.goal.get(path[-1])
+            if end in path:
+                ring = path[path.index(end) :]
+                least = min(rows[t] for t, _ in ring)
+                self.circle.update(dict.fromkeys(ring, least))
+
+    def columns(self, table: str) -> list[str]:
+        return sorted({c for t, c in self.referenced | self.goal.keys() if t == table})
+
+    def value(self, table: str, column: str, row: Column) -> Column:
+        at, kind = (table, column), self.tables[table].schema[column].dataType
+        if at in self.circle:
+            return K.key_value(F.pmod(row, F.lit(self.circle[at])), kind, 0, "circle").cast(kind)
+        if at not in self.goal:
+            name = table if self.first.get(table) == column else f"{table}.{column}"
+            return K.key_value(row, kind, self.seeds[table], name)
+        parent, key = self.goal[at]
+        n = self.rows[parent]
+        if at in self.referenced:  # a step without a common divisor visits every parent once
+            step = next(s for s in range(max(1, int(n * 0.618)), 2 * n + 2) if math.gcd(s, n) == 1)
+            picked = F.pmod(row * F.lit(step) + F.lit(self.seeds[table] % n), F.lit(n))
+        else:  # nothing points here, so the row is the table's own
+            picked = R.below(self.seeds[table], f"{table}.{column}.parent", "_row", n)
+        return self.value(parent, key, picked).cast(kind)
+
+
 def synthesize_tables(
     tables: dict[str, DataFrame], links: list[Link], num_rows: int = 100, seed: int = 42, row_counts: dict[str, int] | None = None, table_seeds: dict[str, int] | None = None
 ) -> dict[str, DataFrame]:
-    """Every table by its own copula; keys are fresh and foreign keys point to them.
+    """Every table by its own copula; keys are fresh and foreign keys point to them, for any shape of links.
 
-    Parent keys are numbered 1..n, so a foreign key is a drawn number: no join.
+    Keys are expressions of row numbers, so a foreign key is the parent's expression at a drawn row: no join.
     """
-    links = usable_links(tables, links)
+    links = usable_links(tables, links, self_links=True)
     rows = {t: max(1, int((row_counts or {}).get(t, num_rows))) for t in tables}
-    keys = {t: next((k.to_column for k in links if k.to_table == t), None) for t in tables}
-    out: dict[str, DataFrame] = {}
     order = parents_first(list(tables), links)
-    foreign = {t: [k.from_column for k in links if k.from_table == t] for t in tables}
-    keys = {t: k if k not in foreign[t] else None for t, k in keys.items()}
+    seeds = {t: int((table_seeds or {}).get(t, seed + i)) for i, t in enumerate(order)}
+    keys = _Keys(tables, links, rows, seeds)
 
     def fitted(t: str) -> K.Copula:
-        return K.fit(tables[t], [c for c in K.scalar_names(tables[t]) if c != keys[t] and c not in foreign[t]])
+        return K.fit(tables[t], [c for c in K.scalar_names(tables[t]) if c not in keys.columns(t)])
 
     models = dict(zip(order, together(*[lambda t=t: fitted(t) for t in order])))
-    seeds = {t: int((table_seeds or {}).get(t, seed + i)) for i, t in enumerate(order)}
+    out: dict[str, DataFrame] = {}
     for t in order:
-        source = tables[t]
-        df = K.synthesize(source, rows[t], seeds[t], keys[t], foreign[t], t, model=models[t])
-        for k in (k for k in links if k.from_table == t):
-            row = R.below(seeds[t], f"{t}.{k.from_column}.parent", "_row", rows[k.to_table])
-            value = K.key_value(row, tables[k.to_table].schema[k.to_column].dataType, seeds[k.to_table], k.to_table)
-            df = df.withColumn(k.from_column, value.cast(source.schema[k.from_column].dataType))
-        cols = [c for c in source.columns if c in df.columns]
-        out[t] = df.select(*[quote(c) for c in cols])
+        df = K.synthesize(tables[t], rows[t], seeds[t], None, keys.columns(t), t, model=models[t])
+        df = df.withColumns({c: keys.value(t, c, F.col("_row")) for c in keys.columns(t)})
+        out[t] = df.select(*[quote(c) for c in tables[t].columns if c in df.columns])
     return out
 
 
@@ -119,12 +168,16 @@ def synthesize_hierarchy(
     A table with several parents hangs on the first one; its other foreign keys are drawn.
     """
     keys = keys or {t: primary_key(df) for t, df in tables.items()}
-    links = [k if k.to_column == keys.get(k.to_table) else Link(k.from_table, k.from_column, k.to_table, keys.get(k.to_table) or "") for k in usable_links(tables, links)]
+    given = usable_links(tables, links, self_links=True)
+    links = [k if k.to_column == keys.get(k.to_table) else Link(k.from_table, k.from_column, k.to_table, keys.get(k.to_table) or "") for k in given if k.from_table != k.to_table]
     links = [k for k in dict.fromkeys(links) if k.to_column]
     links = [k for k in links if not key_overlap(tables[k.from_table], k.from_column, tables[k.to_table], k.to_column).first()["disjoint"]]
     order = parents_first(list(tables), links)
     place = {t: i for i, t in enumerate(order)}
     links = [k for k in links if place[k.to_table] < place[k.from_table]]
+    # links to the own table and back along a circle carry no fan-out: their keys are drawn at the end
+    done = {(k.from_table, k.from_column) for k in links}
+    late = [k for k in given if (k.from_table, k.from_column) not in done and keys.get(k.to_table) == k.to_column and k.from_column != keys.get(k.from_table)]
     clean = dict(tables)
     for t in order:
         for k in links:
@@ -134,7 +187,7 @@ def synthesize_hierarchy(
     first = {}
     for k in links:
         first.setdefault(k.from_table, k)
-    foreign = {t: {k.from_column for k in links if k.from_table == t} for t in tables}
+    foreign = {t: {k.from_column for k in [*links, *late] if k.from_table == t} for t in tables}
     largest = max(df.count() for df in tables.values())
     scale = num_rows / largest if num_rows > 0 and largest else 1.0
 
@@ -163,6 +216,7 @@ def synthesize_hierarchy(
     for i, t in enumerate(order):
         if t in first:
             base = _child_rows(made[first[t].to_table], first[t], numbers(t))
+            base = _with_free_rows(base, clean[t], first[t], scale)
         else:
             n = max(1, round(sizes[t] * scale))
             base = tables[t].sparkSession.range(0, n).withColumnRenamed("id", "_row")
@@ -171,18 +225,39 @@ def synthesize_hierarchy(
             if m.kind == "drawn":
                 df = K.draw_column(df, ["_row"], clean[t].select(m.name), m.name, seed + i, t)
         if t in first:
-            df = _from_deviations(df, clean[t], numbers(t))
+            df = _from_deviations(df, clean[t], numbers(t), t)
         if keys.get(t):
             df = df.withColumn(keys[t], K.key_value(F.col("_row"), tables[t].schema[keys[t]].dataType, seed, t))
         for k in links:
             if k.from_table == t and k is not first[t]:
                 n = made[k.to_table].count()
                 row = R.below(seed, f"{t}.{k.from_column}.parent", "_row", n)
-                df = df.withColumn(k.from_column, K.key_value(row, tables[k.to_table].schema[k.to_column].dataType, seed, k.to_table))
+                df = _drawn_key(df, k, row, tables, clean, seed)
         made[t] = cut_lineage(df)
+    for k in late:
+        row = R.below(seed, f"{k.from_table}.{k.from_column}.parent", "_row", made[k.to_table].count())
+        made[k.from_table] = _drawn_key(made[k.from_table], k, row, tables, clean, seed)
     return {t: made[t].select(*[_c(c) for c in tables[t].columns if c in made[t].columns]) for t in tables}
 
 
+def _drawn_key(df: DataFrame, link: Link, row: Column, tables: dict[str, DataFrame], clean: dict[str, DataFrame], seed: int) -> DataFrame:
+    """A foreign key drawn over the made parents, null as often as in the source."""
+    source = clean[link.from_table]
+    nulls = source.agg(F.avg(_c(link.from_column).isNull().cast("double"))).first()[0] or 0.0
+    hidden = R.u(seed, f"{link.from_table}.{link.from_column}.null", "_row") < nulls
+    value = K.key_value(row, tables[link.to_table].schema[link.to_column].dataType, seed, link.to_table).cast(source.schema[link.from_column].dataType)
+    return df.withColumn(link.from_column, F.when(~hidden, value) if nulls else value)
+
+
+def _with_free_rows(base: DataFrame, source: DataFrame, link: Link, scale: float) -> DataFrame:
+    """Adds children without a parent, as many as the source has in proportion; their row numbers follow the others'."""
+    n = round(source.where(_c(link.from_column).isNull()).count() * scale)
+    if not n:
+        return base
+    last = base.agg(F.coalesce(F.max("_row") + 1, F.lit(0))).first()[0]
+    return base.unionByName(base.sparkSession.range(last, last + n).withColumnRenamed("id", "_row"), allowMissingColumns=True)
+
+
 def _deviations(df: DataFrame, link: Link, numbers: list[str], child: DataFrame) -> DataFrame:
     agg = child_aggregates(child, link, numbers)
     key = link.from_column
@@ -205,12 +280,11 @@ def _child_rows(parents: DataFrame, link: Link, numbers: list[str]) -> DataFrame
     return rows.withColumn("_row", (F.col("_end") - F.col("_cnt")).cast("bigint") + F.col("_i")).drop("_end", "_cnt", "_i", "_parent_row")
 
 
-def _from_deviations(df: DataFrame, source: DataFrame, numbers: list[str]) -> DataFrame:
+def _from_deviations(df: DataFrame, source: DataFrame, numbers: list[str], table: str) -> DataFrame:
     """Numbers from the parent's mean and spread, within the source's bounds and in its type."""
     if not numbers:
         return df
     row = source.agg(*[f(_c(c).cast("double")).alias(f"{w}{i}") for i, c in enumerate(numbers) for w, f in (("lo", F.min), ("hi", F.max))]).first()
-    table = next(c for c in df.columns if c.startswith("_up__")).split("__")[1]
     out = {}
     for i, c in enumerate(numbers):
         mean, sd = F.col("_up" + _stat(table, c, "mean")), F.coalesce(F.col("_up" + _stat(table, c, "sd")), F.lit(0.0))

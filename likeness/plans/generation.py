@@ -56,7 +56,7 @@ def _rows(table: str) -> str:
     return f"(SELECT range AS i FROM range((SELECT count(*) FROM {table})))"
 
 
-_POOL = "greatest(500, least(20000, (SELECT count(*) FROM {0}) // 2))"
+_POOL = "greatest(500, (SELECT count(*) FROM {0}) // 2)"
 
 
 def sql_text(kind: str, key: str, seed: int, stream: str) -> str:

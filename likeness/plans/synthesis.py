@@ -133,7 +133,7 @@ def _checks(tables: dict[str, DataFrame], made: dict[str, DataFrame], links: lis
     """Per link: rows without a parent; per table: rows, and whether every number lies within the source's bounds."""
     parts = []
     for k in links:
-        lost = made[k.from_table].join(made[k.to_table].select(F.col(k.to_column).alias("_p")), F.col(k.from_column) == F.col("_p"), "left_anti")
+        lost = made[k.from_table].where(F.col(k.from_column).isNotNull()).join(made[k.to_table].select(F.col(k.to_column).alias("_p")), F.col(k.from_column) == F.col("_p"), "left_anti")
         parts.append(lost.agg(F.lit(f"{k.from_table}.{k.from_column}").alias("check"), F.count(F.lit(1)).alias("n")))
     for t, df in made.items():
         nums = [c for c, kind in df.dtypes if kind == "double"]
@@ -186,6 +186,72 @@ def hier_synth_checks(spark, d):
 HIER_CHECKS_SQL = """SELECT * FROM (VALUES ('customer.c_nationkey', 0), ('orders.o_custkey', 0), ('nation out of bounds', 0), ('customer out of bounds', 0), ('orders out of bounds', 0)) t("check", n)
 WHERE (SELECT count(*) FROM orders) > 0"""
 
+# --- shapes of keys --------------------------------------------------------------------
+
+SHAPES = [
+    Link("badge", "id", "person", "id"), Link("visit", "badge_id", "badge", "id"), Link("visit", "person_code", "person", "code"),
+    Link("visit", "earlier", "visit", "id"), Link("left", "k", "right", "k"), Link("right", "k", "left", "k"),
+]
+_SHAPE_TABLES = {
+    "person": "SELECT c_custkey AS id, 'P' || c_custkey AS code, c_acctbal AS balance FROM customer",
+    "badge": "SELECT c_custkey AS id, c_mktsegment AS colour FROM customer WHERE c_custkey % 3 <> 0",
+    "visit": "SELECT o_orderkey AS id, CASE WHEN o_custkey % 3 <> 0 THEN o_custkey END AS badge_id, 'P' || o_custkey AS person_code,"
+    " CASE WHEN o_orderpriority <> '1-URGENT' THEN o_orderkey END AS earlier, o_totalprice AS cost FROM orders",
+    "left": "SELECT p_partkey AS k, p_size AS size FROM part",
+    "right": "SELECT p_partkey AS k, p_retailprice AS price FROM part",
+}
+
+
+def _shape_tables(spark, d) -> dict[str, DataFrame]:
+    names = {n: load(spark, d, n) for n in ("customer", "orders", "part")}
+    return {t: spark.sql(sql.replace(" FROM customer", " FROM {customer}").replace(" FROM orders", " FROM {orders}").replace(" FROM part", " FROM {part}"), **{n: df for n, df in names.items() if f" FROM {n}" in sql}) for t, sql in _SHAPE_TABLES.items()}
+
+
+def key_shapes(spark, d):
+    """Chains of keys, two referenced columns, a link to the own table and a circle: rows, lost keys and distinct referenced keys of the look-alikes."""
+    tables = _shape_tables(spark, d)
+    made = M.synthesize_tables(tables, SHAPES, seed=9, row_counts={t: df.count() for t, df in tables.items()})
+    parts = []
+    for k in SHAPES:
+        lost = made[k.from_table].where(F.col(k.from_column).isNotNull()).join(made[k.to_table].select(F.col(k.to_column).alias("_p")), F.col(k.from_column) == F.col("_p"), "left_anti")
+        parts.append(lost.agg(F.lit(f"{k.from_table}.{k.from_column} lost").alias("check"), F.count(F.lit(1)).alias("n")))
+        parts.append(made[k.to_table].agg(F.lit(f"{k.from_table}.{k.from_column} parents").alias("check"), F.count_distinct(k.to_column).alias("n")))
+    parts += [df.agg(F.lit(f"{t} rows").alias("check"), F.count(F.lit(1)).alias("n")) for t, df in made.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+_SHAPES_CTE = "WITH " + ", ".join(f'"{t}" AS ({sql})' for t, sql in _SHAPE_TABLES.items())
+SHAPES_SQL = _SHAPES_CTE + " " + " UNION ALL ".join(
+    [
+        f"""SELECT '{k.from_table}.{k.from_column} lost' AS "check", count(*) AS n FROM "{k.from_table}" WHERE {k.from_column} IS NOT NULL AND {k.from_column} NOT IN (SELECT {k.to_column} FROM "{k.to_table}")
+        UNION ALL SELECT '{k.from_table}.{k.from_column} parents', count(DISTINCT {k.to_column}) FROM "{k.to_table}" """
+        for k in SHAPES
+    ]
+    + [f"""SELECT '{t} rows', count(*) FROM "{t}" """ for t in _SHAPE_TABLES]
+)
+
+
+def hier_free_children(spark, d):
+    """Children without a parent stay without one in the look-alike, also for names with two underlines; links to the own table point to made rows."""
+    tables = _shape_tables(spark, d)
+    tables = {"my__person": tables["person"].select("id", "balance"), "my__visit": tables["visit"].select("id", F.when(F.col("cost") % 10 >= 3, F.regexp_extract("person_code", "[0-9]+", 0).cast("long")).alias("person_id"), "earlier", "cost")}
+    links = [Link("my__visit", "person_id", "my__person", "id"), Link("my__visit", "earlier", "my__visit", "id")]
+    made = M.synthesize_hierarchy(tables, links, tables["my__visit"].count(), seed=5, keys={"my__person": "id", "my__visit": "id"})
+    v, p = made["my__visit"], made["my__person"]
+    far = F.col("n") - tables["my__visit"].where("earlier IS NULL").count()
+    lost = [v.where(f"{c} IS NOT NULL").join(o.select(F.col("id").alias(c)), c, "left_anti").agg(F.lit(f"{c} lost").alias("check"), F.count(F.lit(1)).alias("n")) for c, o in (("person_id", p), ("earlier", v))]
+    free = v.where("person_id IS NULL").agg(F.lit("without a person").alias("check"), F.count(F.lit(1)).alias("n"))
+    share = v.where("earlier IS NULL").agg(F.count(F.lit(1)).alias("n")).select(F.lit("without an earlier one, near the source").alias("check"), (F.abs(far) <= 4 * F.sqrt(F.col("n")) + 1).cast("bigint").alias("n"))
+    return reduce(DataFrame.unionByName, [*lost, free, share])
+
+
+FREE_SQL = _SHAPES_CTE + """, v AS (SELECT CASE WHEN cost % 10 >= 3 THEN CAST(substr(person_code, 2) AS BIGINT) END AS person_id, earlier, id FROM visit)
+SELECT 'person_id lost' AS "check", count(*) AS n FROM v WHERE person_id IS NOT NULL AND person_id NOT IN (SELECT id FROM person)
+UNION ALL SELECT 'earlier lost', count(*) FROM v WHERE earlier IS NOT NULL AND earlier NOT IN (SELECT id FROM v)
+UNION ALL SELECT 'without a person', count(*) FROM v WHERE person_id IS NULL
+UNION ALL SELECT 'without an earlier one, near the source', CAST(count(*) > 0 AS BIGINT) FROM v"""
+
+
 # --- streams -------------------------------------------------------------------------
 
 
@@ -227,12 +293,14 @@ STREAM_PROFILE_SQL = " UNION ALL ".join(
 )
 
 QUERIES = {
+    "key_shapes": key_shapes, "hier_free_children": hier_free_children,
     "stream_rollup": stream_rollup, "stream_rollup_batch": stream_rollup_batch, "stream_profile": stream_profile,
     "copula_marginals": copula_marginals, "copula_corr": copula_corr, "copula_sample": copula_sample, "single_synth": single_synth, "text_synth": text_synth,
     "multi_synth": multi_synth, "multi_synth_checks": multi_synth_checks, "hier_synth": hier_synth, "hier_synth_checks": hier_synth_checks,
 }
 
 ORACLES = {
+    "key_shapes": SHAPES_SQL, "hier_free_children": FREE_SQL,
     "stream_rollup": STREAM_ROLLUP_SQL, "stream_rollup_batch": STREAM_ROLLUP_SQL, "stream_profile": STREAM_PROFILE_SQL,
     "copula_marginals": MARGINALS_SQL, "copula_corr": COPULA_CORR_SQL, "copula_sample": COPULA_SAMPLE_SQL, "multi_synth_checks": MULTI_CHECKS_SQL, "hier_synth_checks": HIER_CHECKS_SQL,
 }

@@ -59,7 +59,7 @@ def test_profile_edges(spark):
     empty = P.profile(df.where("c = 0")).collect()
     assert all(r["nulls"] == 0 and r["profiled_rows"] == 0 and r["null_value_percent"] is None for r in empty)
     sampled = P.profile(spark.range(100), sample_rows=10).first()
-    assert sampled["profile_mode"] == "sampled" and sampled["total_rows"] is None and sampled["profiled_rows"] == 10
+    assert sampled["profile_mode"] == "sampled" and sampled["total_rows"] is None and 0 < sampled["profiled_rows"] < 40
 
 
 def test_sketch_is_close_and_wide_tables_match(spark, monkeypatch):
@@ -101,7 +101,8 @@ def test_cramers_brute_force(spark):
     np.add.at(obs, (a, b), 1)
     exp = obs.sum(1, keepdims=True) @ obs.sum(0, keepdims=True) / obs.sum()
     want = math.sqrt(((obs - exp) ** 2 / exp).sum() / (obs.sum() * 2))
-    got = L.cramers_v(df).collect()
+    got = L.cramers_v(df, max_unique=50).collect()
+    assert {(r["col_a"], r["col_b"]) for r in L.cramers_v(df).collect()} == {("a", "b"), ("a", "u"), ("b", "u")}
     assert [(r["col_a"], r["col_b"]) for r in got] == [("a", "b")] and math.isclose(got[0]["score"], want, rel_tol=1e-9)
 
 
