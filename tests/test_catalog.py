@@ -89,6 +89,15 @@ def test_long_chain(spark):
     assert got == {f"n{i}": i for i in range(13)}
 
 
+def test_deep_chain_with_branches(spark):
+    n = 20_000
+    chain = spark.range(n).select(F.concat(F.lit("n"), "id").alias("parent"), F.concat(F.lit("n"), F.col("id") + 1).alias("child"), F.when(F.col("id") < 3, "1:N").otherwise("1:1").alias("cardinality"))
+    more = edges(spark, [("n5", "side", "1:N"), ("side", "n9", "1:1"), (f"n{n}", "x", "1:1"), ("x", "y", "1:1"), ("y", "x", "1:1")])
+    got = {r["node"]: (r["tier"], r["rows"]) for r in G.plan_rows(nodes(spark, ["n0"]), chain.unionByName(more), 2).collect()}
+    assert all(got[f"n{i}"] == (i, 2 * 5 ** min(i, 3) * (5 if i >= 9 else 1)) for i in range(n + 1))
+    assert got["side"] == (6, 1250) and got["x"] == (n + 1, 1250) and got["y"] == (n + 1, 2)
+
+
 def test_document_pages(spark):
     cols = spark.range(2500).select(F.lit(1).alias("table_id"), (F.col("id") + 1).alias("position"), F.concat(F.lit("c"), "id").alias("column_name"), F.lit("int").alias("data_type"))
     tables = spark.createDataFrame([(1, "big"), (2, "none")], "table_id int, table_name string")
