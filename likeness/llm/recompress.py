@@ -22,11 +22,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, plain_words, rows_of
+from ..session import cut_lineage
+from .common import id_and_text, plain_words, rows_of, slices
 from .hyperminhash import WordHashes, _constants, _mix
 
 WINDOW = 13
 ROUNDS = 2
+NONE = (1 << 64) - 1
 
 
 def _round(sym, begin, end, low, high, salt):
@@ -76,6 +78,26 @@ def window_hashes(h, size: int, seed: int):
     return out
 
 
+def _least_inside(key, low, high, n: int, size: int, best) -> None:
+    """Lowers ``best`` (one value per window) to the least key whose range [low, high) lies in the window."""
+    import numpy as np
+
+    width = high - low
+    for w in range(1, size + 1):
+        mine = np.flatnonzero(width == w)
+        if not len(mine):
+            continue
+        at = np.full(n + size, NONE)  # keys by the first word of their range
+        np.minimum.at(at, low[mine], key[mine])
+        reach, wide = 1, size - w + 1  # ranges may start at that many places of a window
+        while reach * 2 <= wide:
+            at = np.minimum(at[:-reach], at[reach:])
+            reach *= 2
+        if wide > reach:
+            at = np.minimum(at[: reach - wide], at[wide - reach :])
+        np.minimum(best, at[:n], out=best)
+
+
 def anchors(h, size: int = WINDOW, rounds: int = ROUNDS):
     """The anchor (unsigned 64-bit) of each window of ``size`` words; ``h`` are the words' hashes."""
     import numpy as np
@@ -85,28 +107,53 @@ def anchors(h, size: int = WINDOW, rounds: int = ROUNDS):
     if n <= 0:
         return np.zeros(0, u)
     at = np.arange(len(h), dtype=np.int64)
-    best = np.full(n, u((1 << 64) - 1))
+    best = np.full(n, NONE)
     sym, begin, end, low, high = h, at, at + 1, at, at + 1
     salts = _constants(rounds, 5)
     for r in range(rounds):
         sym, begin, end, low, high = _round(sym, begin, end, low, high, salts[r])
-        width = high - low
-        ok = (width <= size) & (low >= 0) & (high <= len(h))
+        ok = (high - low <= size) & (low >= 0) & (high <= len(h))
         s, lo, hi = sym[ok], low[ok], high[ok]
         # the range's words are part of the key: they are the same wherever the symbol is found
         rim = _mix(h[lo] ^ _mix(h[hi - 1] + (hi - lo).astype(u)))
         key = (_mix(s ^ rim) >> u(3)) | u((rounds - 1 - r) << 61)  # higher rounds sort first
-        for d in range(size):
-            reach = hi - lo + d <= size
-            target = lo[reach] - d
-            inside = (target >= 0) & (target < n)
-            np.minimum.at(best, target[inside], key[reach][inside])
-    alone = best == u((1 << 64) - 1)
+        _least_inside(key, lo, hi, n, size, best)
+    alone = best == NONE
     if alone.any():
         best[alone] = window_hashes(h, size, 7)[alone] >> u(1) | u(1 << 63)
     return best
 
 
+def joined(hashes: list, size: int):
+    """Word hashes of several documents in a row with a mark of its own after each, and the place of each document.
+
+    A window or range over a mark belongs to no document, so what lies inside one is as if it stood alone.
+    """
+    import numpy as np
+
+    lengths = np.array([len(h) for h in hashes], np.int64)
+    ends = np.cumsum(lengths + 1)
+    out = np.empty(int(ends[-1]) + size, np.uint64)
+    marks = np.concatenate([ends - 1, np.arange(int(ends[-1]), len(out))])
+    inside = np.ones(len(out), bool)
+    inside[marks] = False
+    out[inside] = np.concatenate(hashes)
+    out[marks] = _mix(np.arange(len(marks), dtype=np.uint64) + np.uint64(1 << 40))
+    return out, ends - 1 - lengths
+
+
+def _anchors_of(known: WordHashes, size: int):
+    """Function from texts to the anchors of each."""
+
+    def of(texts: list[bytes]) -> list:
+        h = [known.of(plain_words(t)) for t in texts]
+        row, places = joined(h, size)
+        every = anchors(row, size)
+        return [every[p : p + max(0, len(x) - size + 1)] for p, x in zip(places, h)]
+
+    return of
+
+
 def _settled_first(key, doc):
     """(first, settled): whether a row is the only one that its batch sends for the key; the key's smallest doc in the batch, per row; whether it has two docs."""
     import numpy as np
@@ -132,28 +179,36 @@ def _columns(names, kinds, arrays):
 def shared_anchors(docs: DataFrame, find, limit: int = 16 << 20) -> DataFrame:
     """(doc_id, keys): the anchors of each document that another document has too.
 
-    ``find()`` returns a function from a text to its anchors. A batch sends one row per anchor to the
-    shuffle; further documents of the batch with that anchor are settled at once and travel apart.
+    ``find()`` returns a function from texts to the anchors of each. A batch sends one row per anchor to
+    the shuffle; further documents of the batch with that anchor are settled at once and travel apart.
     """
 
-    def work(batches):
+    def settled(keys, owner):
         import numpy as np
         import pyarrow as pa
 
+        key, doc = np.concatenate(keys), np.concatenate(owner)
+        first, _, several = _settled_first(key, doc)
+        salt = np.where(first, 0, 1 + (_mix(doc.view(np.uint64) ^ key) >> np.uint64(48)).astype(np.int64)).astype(np.int32)
+        return _columns(["key", "salt", "doc_id", "known"], [pa.int64(), pa.int32(), pa.int64(), pa.bool_()], [key.view(np.int64), salt, doc, several])
+
+    def work(batches):
+        import numpy as np
+
         of = find()
-        for ids, texts in rows_of(batches, limit):
-            keys, owner = [], []
-            for doc, text in zip(ids, texts):
-                if doc is not None:
-                    k = np.unique(of(text))
+        keys, owner, held = [], [], 0
+        for ids, texts in rows_of(batches, 2 << 20):
+            for doc, all_keys in zip(ids, of(texts)):
+                if doc is not None and len(all_keys):
+                    k = np.unique(all_keys)
                     keys.append(k)
                     owner.append(np.full(len(k), doc, np.int64))
-            if not sum(map(len, keys)):
-                continue
-            key, doc = np.concatenate(keys), np.concatenate(owner)
-            first, _, several = _settled_first(key, doc)
-            salt = np.where(first, 0, 1 + (_mix(doc.view(np.uint64) ^ key) >> np.uint64(48)).astype(np.int64)).astype(np.int32)
-            yield _columns(["key", "salt", "doc_id", "known"], [pa.int64(), pa.int32(), pa.int64(), pa.bool_()], [key.view(np.int64), salt, doc, several])
+            held += sum(map(len, texts))
+            if held >= limit and keys:
+                yield settled(keys, owner)
+                keys, owner, held = [], [], 0
+        if keys:
+            yield settled(keys, owner)
 
     rows = docs.mapInArrow(work, "key long, salt int, doc_id long, known boolean")
     w = Window.partitionBy("key", "salt").orderBy("doc_id")
@@ -182,38 +237,43 @@ def _window_rows(size: int):
     def work(batches):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         known = WordHashes()
+        w1, w2, docs, at = [], [], [], []
+
+        def flush():
+            a, b, d, p = (np.concatenate(x) for x in (w1, w2, docs, at))
+            _, least, _ = _settled_first(a, d)
+            own = least == d  # a smaller document of the batch has the window: settled
+            salt = np.where(own, 0, 1 + (_mix(d.view(np.uint64) ^ a) >> np.uint64(48)).astype(np.int64)).astype(np.int32)
+            out = _columns(["w1", "w2", "salt", "doc_id", "at", "gone"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_()], [a.view(np.int64), b, salt, d, p, ~own])
+            for x in (w1, w2, docs, at):
+                x.clear()
+            return out
+
+        held = 0
         for batch in batches:
-            ids, texts, keys = (batch.column(c) for c in ("doc_id", "text", "keys"))
-            w1, w2, docs, at = [], [], [], []
-
-            def flush():
-                a, b, d, p = (np.concatenate(x) for x in (w1, w2, docs, at))
-                _, least, _ = _settled_first(a, d)
-                own = least == d  # a smaller document of the batch has the window: settled
-                salt = np.where(own, 0, 1 + (_mix(d.view(np.uint64) ^ a) >> np.uint64(48)).astype(np.int64)).astype(np.int32)
-                out = _columns(["w1", "w2", "salt", "doc_id", "at", "gone"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_()], [a.view(np.int64), b, salt, d, p, ~own])
-                for x in (w1, w2, docs, at):
-                    x.clear()
-                return out
-
-            held = 0
-            for i in range(batch.num_rows):
-                h = known.of(plain_words(texts[i].as_py().encode()))
-                found = np.flatnonzero(np.isin(anchors(h, size), keys[i].values.to_numpy(zero_copy_only=False).view(np.uint64)))
-                if not len(found):
-                    continue
-                w1.append(window_hashes(h, size, 8)[found])
-                w2.append((window_hashes(h, size, 9)[found] >> np.uint64(33)).astype(np.int32))
-                docs.append(np.full(len(found), ids[i].as_py(), np.int64))
-                at.append(found.astype(np.int32))
-                held += len(found)
+            for x, y in slices(pc.binary_length(batch.column("text")).to_pylist(), 2 << 20):
+                part = batch.slice(x, y - x)
+                ids, keys = part.column("doc_id").to_numpy(), part.column("keys")
+                hashes = [known.of(plain_words(t)) for t in part.column("text").cast(pa.binary()).to_pylist()]
+                row, places = joined(hashes, size)
+                every, first, second = anchors(row, size), window_hashes(row, size, 8), window_hashes(row, size, 9)
+                for i, (place, h) in enumerate(zip(places, hashes)):
+                    wanted = keys[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                    found = np.flatnonzero(np.isin(every[place : place + max(0, len(h) - size + 1)], wanted))
+                    if len(found):
+                        w1.append(first[place + found])
+                        w2.append((second[place + found] >> np.uint64(33)).astype(np.int32))
+                        docs.append(np.full(len(found), ids[i], np.int64))
+                        at.append(found.astype(np.int32))
+                        held += len(found)
                 if held > 500_000:
                     yield flush()
                     held = 0
-            if held:
-                yield flush()
+        if held:
+            yield flush()
 
     return work
 
@@ -228,15 +288,14 @@ def cover(positions, n: int, size: int):
     return np.cumsum(edge[:n]) > 0
 
 
-def repeats(df: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(df: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", counts: DataFrame | None = None) -> DataFrame:
     """doc_id, text, at: start words of the windows that a smaller document has, for documents with any; copies of a smaller document are left out."""
     docs = id_and_text(df, id_col, text_col)
 
     def find():
-        known = WordHashes()
-        return lambda text: anchors(known.of(plain_words(text)), size)
+        return _anchors_of(WordHashes(), size)
 
-    counts = word_counts(docs.where("doc_id is not null"))
+    counts = (word_counts(docs) if counts is None else counts).where("doc_id is not null")
     reps = counts.where(f"n_words >= {size}").groupBy("sha").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     keys = shared_anchors(docs, find).join(reps, "doc_id", "left_semi")
     rows = docs.join(keys, "doc_id").select("doc_id", "text", "keys").mapInArrow(_window_rows(size), "w1 long, w2 int, salt int, doc_id long, at int, gone boolean")
@@ -266,8 +325,8 @@ def strip(df: DataFrame, size: int = WINDOW, with_text: bool = False, id_col: st
             if out:
                 yield _columns(["doc_id", "n_removed", "kept_sha256", "kept"], [pa.int64(), pa.int64(), pa.string(), pa.string()], list(zip(*out)))
 
-    cut = repeats(df, size, id_col, text_col).mapInArrow(work, "doc_id long, n_removed long, kept_sha256 string, kept string")
-    counts = word_counts(docs)
+    counts = cut_lineage(word_counts(docs))
+    cut = repeats(df, size, id_col, text_col, counts).mapInArrow(work, "doc_id long, n_removed long, kept_sha256 string, kept string")
     least = counts.groupBy("sha").agg(F.min("doc_id").alias("least"))
     copy = (F.col("least") < F.col("doc_id")) & (F.col("n_words") >= size)
     out = counts.join(least, "sha").join(cut, "doc_id", "left")

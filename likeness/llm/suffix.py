@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, slices
 from .hyperminhash import _mix
 from .recompress import _columns, shared_anchors
 
@@ -26,6 +26,16 @@ LONGEST = 64  # windows in one piece
 SHIFT = bytes((i + 1) % 256 for i in range(256))  # UTF-8 has no byte 255, so zero is free to end a piece
 
 
+def anchors_of(texts: list[bytes]) -> list:
+    """The anchors of each text; they are found in one row of all texts, and windows over a text's end are left out."""
+    every = window_anchors(b"".join(texts) + b"\0" * WINDOW)
+    out, at = [], 0
+    for t in texts:
+        out.append(every[at : at + max(0, len(t) - WINDOW + 1)])
+        at += len(t)
+    return out
+
+
 def window_anchors(text: bytes, window: int = WINDOW, gram: int = GRAM):
     """The least hash of the 16-byte grams of each window."""
     import numpy as np
@@ -62,6 +72,7 @@ def _pieces(batches):
     """Rows of pieces from documents with their shared anchors."""
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     names = ["key", "salt", "doc_id", "at", "size", "piece"]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -80,14 +91,18 @@ def _pieces(batches):
     rows, held = [], 0
     for batch in batches:
         ids, texts, keys = (batch.column(c) for c in ("doc_id", "text", "keys"))
-        for i in range(batch.num_rows):
-            text, doc = texts[i].as_py().encode(), ids[i].as_py()
-            key = window_anchors(text)
-            wanted = np.isin(key, keys[i].values.to_numpy(zero_copy_only=False).view(np.uint64))
-            signed = key.view(np.int64)
-            for a, b in _runs(key, wanted):
-                rows.append((int(signed[a]), doc, a, text[a : b + WINDOW]))
-                held += b + WINDOW - a
+        sizes = pc.binary_length(texts).to_pylist()
+        for x, y in slices(sizes, 2 << 20):
+            raw = texts.slice(x, y - x).cast(pa.binary()).to_pylist()
+            for i, (text, key) in enumerate(zip(raw, anchors_of(raw)), x):
+                if not len(key):
+                    continue
+                doc = ids[i].as_py()
+                wanted = np.isin(key, keys[i].values.to_numpy(zero_copy_only=False).view(np.uint64))
+                signed = key.view(np.int64)
+                for a, b in _runs(key, wanted):
+                    rows.append((int(signed[a]), doc, a, text[a : b + WINDOW]))
+                    held += b + WINDOW - a
             if held > 16 << 20:
                 yield _columns(names, kinds, list(zip(*flush(rows))))
                 rows, held = [], 0
@@ -156,7 +171,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """doc_id, first, end: byte ranges (they may overlap) that a smaller document has too; whole copies of a smaller document are left out."""
     docs = id_and_text(df, id_col, text_col)
     reps = docs.where(f"doc_id is not null and octet_length(text) >= {WINDOW}").groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    keys = shared_anchors(docs, lambda: window_anchors).join(reps, "doc_id", "left_semi")
+    keys = shared_anchors(docs, lambda: anchors_of).join(reps, "doc_id", "left_semi")
     pieces = docs.join(keys, "doc_id").select("doc_id", "text", "keys").mapInArrow(_pieces, "key long, salt int, doc_id long, at long, size long, piece binary")
     return pieces.repartition("key", "salt").mapInArrow(_shard, "doc_id long, first long, end long")
 
