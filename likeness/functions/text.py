@@ -203,3 +203,11 @@ def finite(c: Column) -> Column:
 
 def clamp(c: Column, low: float, high: float) -> Column:
     return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(high)))
+
+
+YES_WORDS = frozenset({"1", "true", "yes", "y"})  # fixed values
+
+
+def yes_no(value) -> bool:
+    """A setting given as a boolean, a number or a word."""
+    return value.strip().lower() in YES_WORDS if isinstance(value, str) else bool(value)

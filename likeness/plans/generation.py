@@ -335,7 +335,7 @@ def knn_smooth_part(spark, d):
     return out.select("p_partkey", "p_size", F.round("p_retailprice", 4).alias("p_retailprice"))
 
 
-KNN_SQL = f"""WITH src AS (SELECT * FROM (SELECT p_size::DOUBLE AS a, p_retailprice AS b, {_rank('knn.source', 'p_partkey')} AS o FROM part) WHERE o <= 5000),
+KNN_SQL = f"""WITH src AS (SELECT p_size::DOUBLE AS a, p_retailprice AS b, {sql_bits(42, 'knn.source', 'p_partkey')} AS o FROM part),
 m AS (SELECT avg(a) AS ma, avg(b) AS mb, stddev_pop(a) AS sa, stddev_pop(b) AS sb FROM src),
 z AS (SELECT a, b, o, (a - ma) / sa AS za, (b - mb) / sb AS zb FROM src, m),
 q AS (SELECT p_partkey, p_size::DOUBLE AS a, p_retailprice AS b, (p_size - ma) / sa AS za, (p_retailprice - mb) / sb AS zb FROM part, m WHERE p_type <> 'SMALL'),
@@ -346,6 +346,23 @@ round(CASE WHEN p_type <> 'SMALL' THEN 0.6::DOUBLE * n.b + 0.4::DOUBLE * list_su
 FROM part p LEFT JOIN n USING (p_partkey)"""
 
 
+def knn_smooth_lines(spark, d):
+    """Suppliers pulled towards the nearest of all line items; many line items share a point."""
+    s = load(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % 50 + 0.5).alias("l_quantity"), (F.col("s_suppkey") % 11 / 100.0).alias("l_discount"))
+    li = load(spark, d, "lineitem")
+    out = P.knn_smooth(s, li, ["l_quantity", "l_discount"], ["l_orderkey", "l_linenumber"], seed=42, smoothing=0.5, neighbors=7)
+    return out.select("s_suppkey", F.round("l_quantity", 6).alias("l_quantity"), F.round("l_discount", 6).alias("l_discount"))
+
+
+KNN_LINES_SQL = f"""WITH p AS (SELECT l_quantity AS a, l_discount AS b, min({sql_bits(42, 'knn.source', ['l_orderkey', 'l_linenumber'])}) AS o, count(*) AS c FROM lineitem GROUP BY ALL),
+m AS (SELECT avg(l_quantity) AS ma, avg(l_discount) AS mb, stddev_pop(l_quantity) AS sa, stddev_pop(l_discount) AS sb FROM lineitem),
+q AS (SELECT s_suppkey, s_suppkey % 50 + 0.5::DOUBLE AS a, s_suppkey % 11 / 100.0::DOUBLE AS b FROM supplier),
+n AS (SELECT s_suppkey, q.a AS qa, q.b AS qb, p.a, p.b, c, sum(c) OVER (PARTITION BY s_suppkey ORDER BY round(power((p.a - ma) / sa - (q.a - ma) / sa, 2) + power((p.b - mb) / sb - (q.b - mb) / sb, 2), 9), o
+ ROWS UNBOUNDED PRECEDING) AS run FROM q, p, m)
+SELECT s_suppkey, round(0.5 * any_value(qa) + 0.5 * sum(a * least(c, greatest(0, 7 - (run - c)))) / 7, 6) AS l_quantity, round(0.5 * any_value(qb) + 0.5 * sum(b * least(c, greatest(0, 7 - (run - c)))) / 7, 6) AS l_discount
+FROM n GROUP BY s_suppkey"""
+
+
 def parameter_gate(spark, d):
     """Noise and then smoothing, as asked for by generation parameters."""
     part = load(spark, d, "part", "p_partkey")
@@ -396,12 +413,12 @@ QUERIES = {
     "gen_customers": gen_customers, "gen_orders_fk": gen_orders_fk, "gen_price": gen_price, "gen_stitched": gen_stitched, "gen_cycle": gen_cycle,
     "gen_text_kinds": gen_text_kinds, "gen_planned": gen_planned, "anonymize_customer": anonymize_customer, "anonymize_joinable": anonymize_joinable,
     "randomize_orders": randomize_orders, "randomize_typed": randomize_typed, "bounds_lineitem": bounds_lineitem, "inject_nulls_part": inject_nulls_part,
-    "parameter_gate": parameter_gate, "numeric_columns": numeric_columns, "noise_lineitem": noise_lineitem, "knn_smooth_part": knn_smooth_part, "resample_up": resample_up, "resample_down": resample_down, "row_index": row_index,
+    "parameter_gate": parameter_gate, "numeric_columns": numeric_columns, "noise_lineitem": noise_lineitem, "knn_smooth_part": knn_smooth_part, "knn_smooth_lines": knn_smooth_lines, "resample_up": resample_up, "resample_down": resample_down, "row_index": row_index,
 }
 
 ORACLES = {
     "gen_customers": GEN_CUSTOMERS_SQL, "gen_orders_fk": GEN_ORDERS_SQL, "gen_price": GEN_PRICE_SQL, "gen_stitched": GEN_STITCHED_SQL, "gen_cycle": GEN_CYCLE_SQL,
     "gen_text_kinds": _text_kinds_sql(), "gen_planned": GEN_PLANNED_SQL, "anonymize_customer": ANONYMIZE_SQL, "anonymize_joinable": JOINABLE_SQL,
     "randomize_orders": RANDOMIZE_SQL, "randomize_typed": TYPED_SQL, "bounds_lineitem": BOUNDS_SQL, "inject_nulls_part": NULLS_SQL,
-    "numeric_columns": """SELECT c AS "column", (SELECT count(*) FROM orders) AS n FROM (VALUES ('o_orderkey'), ('o_custkey'), ('o_totalprice'), ('as_text')) t(c)""", "noise_lineitem": NOISE_SQL, "knn_smooth_part": KNN_SQL, "resample_up": RESAMPLE_UP_SQL, "resample_down": RESAMPLE_DOWN_SQL, "row_index": ROW_INDEX_SQL,
+    "numeric_columns": """SELECT c AS "column", (SELECT count(*) FROM orders) AS n FROM (VALUES ('o_orderkey'), ('o_custkey'), ('o_totalprice'), ('as_text')) t(c)""", "noise_lineitem": NOISE_SQL, "knn_smooth_part": KNN_SQL, "knn_smooth_lines": KNN_LINES_SQL, "resample_up": RESAMPLE_UP_SQL, "resample_down": RESAMPLE_DOWN_SQL, "row_index": ROW_INDEX_SQL,
 }
