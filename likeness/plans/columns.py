@@ -397,9 +397,9 @@ raw AS (SELECT table_name AS from_table, column_name AS from_column, CASE draw W
   FROM (SELECT *, {sql_below(4, 'link', _LP, 6)} AS draw FROM cols WHERE position = 1))
 SELECT from_table, from_column, to_table, to_column, CASE WHEN card IN ('1:N', '1:1', 'N:1', 'N:N') THEN card ELSE '1:N' END AS cardinality,
  coalesce(opt, true) AS is_optional, least(greatest(coalesce(try_cast(conf AS DOUBLE), 0.6), 0.0), 1.0) AS confidence
-FROM raw WHERE to_table <> '' AND from_table <> to_table
- AND EXISTS (SELECT 1 FROM cols c WHERE c.table_name = from_table AND c.column_name = from_column)
- AND EXISTS (SELECT 1 FROM cols c WHERE c.table_name = to_table AND c.column_name = to_column)"""
+FROM raw SEMI JOIN (SELECT DISTINCT table_name, column_name FROM cols) a ON a.table_name = from_table AND a.column_name = from_column
+ SEMI JOIN (SELECT DISTINCT table_name, column_name FROM cols) b ON b.table_name = to_table AND b.column_name = to_column
+WHERE to_table <> '' AND from_table <> to_table"""
 
 
 def locked_columns(spark, d):

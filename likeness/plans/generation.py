@@ -185,6 +185,20 @@ def _text_kinds_sql() -> str:
     return f"SELECT {', '.join(out)} FROM {_rows('customer')}"
 
 
+def gen_lonely_keys(spark, d):
+    """Foreign keys to tables that are not generated: a drawn number, or a stable id where the type is text; one row per customer."""
+    cols = [ColumnSpec("visits", "shop_id", "bigint"), ColumnSpec("visits", "guide_id", "varchar")]
+    links = [Link("visits", "shop_id", "shops", "id"), Link("visits", "guide_id", "guides", "id")]
+    customers = load(spark, d, "customer").select("c_custkey")
+    gen = G.SchemaGenerator(spark, cols, links, rows=customers.count(), seed=17)
+    return gen.fill("visits", customers, F.col("c_custkey"))
+
+
+_LONELY_ID = "md5(concat_ws('|', '17', 'visits.guide_id', CAST(c_custkey AS VARCHAR)))"
+LONELY_SQL = f"""SELECT c_custkey, CAST(floor({sql_u(17, 'visits.shop_id.value', 'c_custkey')} * 1000000) AS BIGINT) AS shop_id,
+concat_ws('-', substr({_LONELY_ID}, 1, 8), substr({_LONELY_ID}, 9, 4), substr({_LONELY_ID}, 13, 4), substr({_LONELY_ID}, 17, 4), substr({_LONELY_ID}, 21, 12)) AS guide_id FROM customer"""
+
+
 def gen_planned(spark, d):
     """Table sizes from foreign-key layers, then counts of what is generated."""
     from ..operators.graph import plan_rows
@@ -413,12 +427,13 @@ QUERIES = {
     "gen_customers": gen_customers, "gen_orders_fk": gen_orders_fk, "gen_price": gen_price, "gen_stitched": gen_stitched, "gen_cycle": gen_cycle,
     "gen_text_kinds": gen_text_kinds, "gen_planned": gen_planned, "anonymize_customer": anonymize_customer, "anonymize_joinable": anonymize_joinable,
     "randomize_orders": randomize_orders, "randomize_typed": randomize_typed, "bounds_lineitem": bounds_lineitem, "inject_nulls_part": inject_nulls_part,
-    "parameter_gate": parameter_gate, "numeric_columns": numeric_columns, "noise_lineitem": noise_lineitem, "knn_smooth_part": knn_smooth_part, "knn_smooth_lines": knn_smooth_lines, "resample_up": resample_up, "resample_down": resample_down, "row_index": row_index,
+    "gen_lonely_keys": gen_lonely_keys, "parameter_gate": parameter_gate, "numeric_columns": numeric_columns, "noise_lineitem": noise_lineitem, "knn_smooth_part": knn_smooth_part, "knn_smooth_lines": knn_smooth_lines, "resample_up": resample_up, "resample_down": resample_down, "row_index": row_index,
 }
 
 ORACLES = {
     "gen_customers": GEN_CUSTOMERS_SQL, "gen_orders_fk": GEN_ORDERS_SQL, "gen_price": GEN_PRICE_SQL, "gen_stitched": GEN_STITCHED_SQL, "gen_cycle": GEN_CYCLE_SQL,
     "gen_text_kinds": _text_kinds_sql(), "gen_planned": GEN_PLANNED_SQL, "anonymize_customer": ANONYMIZE_SQL, "anonymize_joinable": JOINABLE_SQL,
     "randomize_orders": RANDOMIZE_SQL, "randomize_typed": TYPED_SQL, "bounds_lineitem": BOUNDS_SQL, "inject_nulls_part": NULLS_SQL,
+    "gen_lonely_keys": LONELY_SQL,
     "numeric_columns": """SELECT c AS "column", (SELECT count(*) FROM orders) AS n FROM (VALUES ('o_orderkey'), ('o_custkey'), ('o_totalprice'), ('as_text')) t(c)""", "noise_lineitem": NOISE_SQL, "knn_smooth_part": KNN_SQL, "knn_smooth_lines": KNN_LINES_SQL, "resample_up": RESAMPLE_UP_SQL, "resample_down": RESAMPLE_DOWN_SQL, "row_index": ROW_INDEX_SQL,
 }

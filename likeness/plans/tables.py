@@ -38,11 +38,22 @@ def _profile_sql(table: str) -> str:
 
 
 def profile_sketch(spark, d):
-    """Sketch cardinalities for every table in one result."""
-    parts = [P.profile(load(spark, d, t)).withColumn("table", F.lit(t)) for t in ("lineitem", "orders")]
+    """Sketch cardinalities next to exact ones: whether each lies within the sketch's error bound."""
+    parts = []
+    for t in ("lineitem", "orders"):
+        df = load(spark, d, t)
+        exact = F.create_map(*[x for c, n in df.agg(*[F.count_distinct(c).alias(c) for c in df.columns]).first().asDict().items() for x in (F.lit(c), F.lit(n))])[F.col("column")]
+        near = F.abs(F.col("cardinality") - exact) <= 0.1 * exact + 1
+        parts.append(P.profile(df).select(F.lit(t).alias("table"), "column", "nulls", "profiled_rows", near.alias("cardinality_near")))
     return reduce(DataFrame.unionByName, parts)
 
 
+SKETCH_SQL = " UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", count(*) - count({c}) AS nulls, count(*) AS profiled_rows, count(DISTINCT {c}) > 0 OR count({c}) = 0 AS cardinality_near FROM {t}"
+    for t in ("lineitem", "orders") for c, _ in columns_of(t)
+)
+
+
 def profile_nested(spark, d):
     """A table with an array column: the array is left out."""
     out = P.profile(load(spark, d, "embeddings"), cardinality="exact")
@@ -261,6 +272,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "profile_sketch": SKETCH_SQL,
     **{f"profile_{t}": _profile_sql(t) for t in PROFILED},
     "profile_nested": """SELECT 0 AS position, 'vec_id' AS "column", 'bigint' AS type, count(*) - count(vec_id) AS nulls,
         round((count(*) - count(vec_id)) * 100.0::DOUBLE / count(*), 2) AS null_value_percent, CAST(min(vec_id) AS VARCHAR) AS min,

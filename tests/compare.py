@@ -47,11 +47,17 @@ def table(columns, rows):
     return [columns[i] for i in order], sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
 
 
-def compare(spark, con, query, sql, sf_dir):
+#: Queries that SQL cannot repeat: file listings, a tagger hook, free samples whose keys and bounds other queries check.
+NO_SQL = {"pii_entities", "source_files", "parameter_gate", "single_synth", "text_synth", "multi_synth", "hier_synth"}
+
+
+def compare(spark, con, query, sql, sf_dir, name=None):
     """None when equal, else a short text."""
     df = query(spark, sf_dir)
     sc, sr = table(df.columns, [tuple(r) for r in df.collect()])
     if sql is None:
+        if name not in NO_SQL:
+            return "no oracle"
         return None if sr else "no rows"
     cur = con.execute(sql)
     dc, dr = table([c[0] for c in cur.description], cur.fetchall())
@@ -79,7 +85,7 @@ def main(argv):
             continue
         t = time.time()
         try:
-            msg = compare(spark, con, q, os_.get(name), sf_dir)
+            msg = compare(spark, con, q, os_.get(name), sf_dir, name)
         except Exception as e:  # report and go on
             msg = f"{type(e).__name__}: {str(e)[:1500]}"
         bad += msg is not None

@@ -16,7 +16,7 @@ def con():
 
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
-    assert compare(spark, con, QUERIES[name], ORACLES.get(name), SF) is None
+    assert compare(spark, con, QUERIES[name], ORACLES.get(name), SF, name) is None
 
 
 def test_oracles_belong_to_queries():
