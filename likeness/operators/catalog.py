@@ -312,6 +312,20 @@ def _reply_values(c: Column) -> Column:
     return F.coalesce(as_list, value_list(c, pipes=False))
 
 
+def clean_expansions(replies: DataFrame, max_values: int | None = None) -> DataFrame:
+    """Adds ``expanded_values`` to rows with ``allowed_values`` (seeds) and ``reply`` (an object with ``values``).
+
+    The seeds come first, then the reply's trimmed values; of spellings that differ in case only the
+    first stays. A reply that cannot be read leaves the seeds.
+    """
+    given = F.filter(F.transform(F.from_json(json_object("reply"), "values array<string>")["values"], strip), lambda x: x != "")
+    both = F.concat(value_array("allowed_values"), F.coalesce(given, F.array().cast("array<string>")))
+    rows = replies.withColumn("_v", both).withColumn("_l", F.transform("_v", F.lower))
+    first = F.filter("_v", lambda x, i: F.array_position(F.col("_l"), F.lower(x)) == i + 1)
+    kept = F.slice(first, 1, max_values) if max_values else first
+    return rows.withColumn("expanded_values", F.array_join(kept, ", ")).drop("_v", "_l")
+
+
 def clean_suggestions(replies: DataFrame, columns: DataFrame) -> DataFrame:
     """Replies (batch_id, reply) checked against the catalog (batch_id, column_id, table_name, column_name, ...).
 

@@ -346,6 +346,16 @@ def _reply_frames(spark, d):
     return replies, cols
 
 
+def expansion_clean(spark, d):
+    """Model replies that repeat the seeds in other spellings, bring new values and blanks, or cannot be read."""
+    docs = load(spark, d, "documents").where("lang IS NOT NULL AND source IS NOT NULL")
+    reply = F.expr("""CASE WHEN doc_id % 5 = 0 THEN 'no idea' ELSE concat('Sure: {"values": [" ', upper(lang), '", "x', doc_id % 7, '", " ", "', source, '"]} done') END""")
+    return C.clean_expansions(docs.select("doc_id", F.concat_ws(", ", "lang", "source").alias("allowed_values"), reply.alias("reply"))).select("doc_id", "expanded_values")
+
+
+EXPANSION_SQL = """SELECT doc_id, lang || ', ' || source || CASE WHEN doc_id % 5 = 0 THEN '' ELSE ', x' || (doc_id % 7) END AS expanded_values FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL"""
+
+
 def suggestion_clean(spark, d):
     return C.clean_suggestions(*_reply_frames(spark, d))
 
@@ -779,7 +789,7 @@ FROM (SELECT *, {TIGHT.format('column_name')} AS t FROM names)"""
 QUERIES = {
     "pii_names": pii_names, "semantic_types": semantic_types, "pk_pick": pk_pick, "fk_by_name": fk_by_name, "associations": associations,
     "category_expand": category_expand, "pii_token_hits": pii_token_hits, "pii_columns": pii_columns, "pii_entities": pii_entities,
-    "suggestion_clean": suggestion_clean, "link_validate": link_validate, "locked_columns": locked_columns, "dag_tiers": dag_tiers,
+    "expansion_clean": expansion_clean, "suggestion_clean": suggestion_clean, "link_validate": link_validate, "locked_columns": locked_columns, "dag_tiers": dag_tiers,
     "row_propagation": row_propagation, "graph_edges": graph_edges, "link_rows": link_rows, "schema_specs": schema_specs,
     "generation_settings": generation_settings, "config_upsert": config_upsert, "schema_with_stats": schema_with_stats,
     "catalog_document": catalog_document, "catalog_cascade_delete": catalog_cascade_delete, "project_delete": project_delete,
@@ -791,7 +801,7 @@ ORACLES = {
     "pii_names": PII_NAMES_SQL, "semantic_types": SEMANTIC_SQL,
     "pk_pick": f"WITH {LINKS_SQL}, {PKS_SQL} SELECT table_name, pk_column FROM pks",
     "fk_by_name": FK_BY_NAME_SQL, "associations": ASSOCIATIONS_SQL, "category_expand": CATEGORY_SQL, "pii_token_hits": PII_TOKENS_SQL,
-    "pii_columns": _pii_columns_sql(), "suggestion_clean": SUGGESTION_SQL, "link_validate": LINK_VALIDATE_SQL, "locked_columns": LOCKED_SQL,
+    "pii_columns": _pii_columns_sql(), "expansion_clean": EXPANSION_SQL, "suggestion_clean": SUGGESTION_SQL, "link_validate": LINK_VALIDATE_SQL, "locked_columns": LOCKED_SQL,
     "dag_tiers": f"WITH RECURSIVE {EDGES_SQL}, m AS (SELECT node, max(tier) AS tier FROM lv GROUP BY node) SELECT tier, split_part(node, ':', 1) AS \"table\", count(*) AS nodes FROM m GROUP BY ALL",
     "row_propagation": f"WITH RECURSIVE {EDGES_SQL} SELECT node, max(tier) AS tier, max(rows) AS rows FROM lv GROUP BY node",
     "graph_edges": GRAPH_SQL, "link_rows": LINK_ROWS_SQL, "schema_specs": SPECS_SQL, "generation_settings": SETTINGS_SQL, "config_upsert": UPSERT_SQL,
