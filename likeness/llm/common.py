@@ -56,6 +56,31 @@ def rows_of(batches, limit: int = 4 << 20, as_bytes: bool = True) -> Iterator[tu
             yield part.column("doc_id").to_pylist(), (text.cast(pa.binary()) if as_bytes else text).to_pylist()
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, packed): whole texts as deflated UTF-8, half the bytes of what a shuffle makes of plain text."""
+
+    def work(batches):
+        import zlib
+
+        import pyarrow as pa
+
+        for ids, texts in rows_of(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([zlib.compress(t, 3) for t in texts], pa.binary())], ["doc_id", "packed"])
+
+    return docs.mapInArrow(work, "doc_id long, packed binary")
+
+
+def unpacked(batch, limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts) of a batch with a column of ``packed``, about ``limit`` packed bytes at a time."""
+    import zlib
+
+    import pyarrow.compute as pc
+
+    column = batch.column("packed")
+    for a, b in slices(pc.binary_length(column).to_pylist(), limit):
+        yield a, [zlib.decompress(x) for x in column.slice(a, b - a).to_pylist()]
+
+
 def local_path(uri: str) -> str:
     """``file:`` URIs as the plain path that Arrow's file systems take; other stores unchanged."""
     return re.sub(r"^file:/+", "/", uri)
@@ -67,3 +92,14 @@ def file_system(uri: str):
 
     path = local_path(uri)
     return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
+
+
+def kept(key: tuple, make):
+    """An object that a Python worker keeps between tasks (a vocabulary and what it remembers); one per key."""
+    import sys
+    import types
+
+    store = sys.modules.setdefault("_likeness_kept", types.ModuleType("_likeness_kept")).__dict__.setdefault("objects", {})
+    if key not in store:
+        store[key] = make()
+    return store[key]

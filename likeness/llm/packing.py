@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators.rows import ordered_index
 from ..session import cut_lineage
-from .common import id_and_text, rows_of
+from .common import id_and_text, kept, rows_of
 from .tokens import BARE_WORDS, ChunkEncoder
 
 SIZE, DOC_END = 2048, 1
@@ -39,7 +39,7 @@ def pieces(df: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = DOC_EN
         import numpy as np
         import pyarrow as pa
 
-        enc = ChunkEncoder(tokenizer, BARE_WORDS)
+        enc = kept(("bare", tokenizer), lambda: ChunkEncoder(tokenizer, BARE_WORDS, folds=True))
         end = np.array([end_id], "<u4").tobytes()
         for docs, texts in rows_of(batches, as_bytes=False):
             out = []
