@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import shuffle_width
 from ..session import cut_lineage, work_folder
-from .common import file_system, id_and_text, rows_of
+from .common import file_system, id_and_text, kept, rows_of
 from .tokens import BYTE_LEVEL, ChunkEncoder
 
 MAGIC = b"S8BTOK01"
@@ -49,7 +49,8 @@ def _choices(bits, block: int):
     while width < 32:
         last = tops[width]
         wider = last.copy()
-        wider[: n - width] = np.maximum(last[: n - width], last[width:])
+        if n > width:
+            wider[: n - width] = np.maximum(last[: n - width], last[width:])
         tops[width * 2] = wider
         width *= 2
     sel = np.zeros(n, np.uint8)  # the escape where even one id does not fit
@@ -174,7 +175,7 @@ def write_files(
     folder = folder or work_folder(spark, "token-files")
     docs = id_and_text(df, id_col, text_col).where("doc_id is not null")
     placed = docs.repartitionByRange(files or shuffle_width(df), "doc_id").sortWithinPartitions("doc_id", "text")
-    make = encoder or (lambda: ChunkEncoder(tokenizer, BYTE_LEVEL))
+    make = encoder or (lambda: kept(("byte", tokenizer), lambda: ChunkEncoder(tokenizer, BYTE_LEVEL)))
 
     def write(batches):
         import numpy as np
