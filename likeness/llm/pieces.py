@@ -16,10 +16,11 @@ import hashlib
 import heapq
 import re
 import struct
+from array import array
 
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, rows_of
+from .common import id_and_text, kept, rows_of
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -85,7 +86,7 @@ class CharacterMap:
 class PieceModel:
     """A BPE model file: vocabulary, normaliser, encoder and decoder."""
 
-    def __init__(self, path: str, limit: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, limit: int = 700_000, longest: int = 64):
         self.pieces: list[str] = []
         self.kinds: list[int] = []
         self.scores: list[float] = []
@@ -125,7 +126,13 @@ class PieceModel:
         self.decimal = [str(i).encode() for i in range(len(self.pieces))]
         apart = re.compile(f"[^{SPACE}]{SPACE}")
         self.by_word = not blob and self.escape and not self.trim and not self.user and not self.unused and not any(apart.search(p) for p in self.pieces)
-        self.cut = re.compile(f"[ {SPACE}]+[^ {SPACE}]*|[^ {SPACE}]+")
+        # plain words stand apart from the signs after them, where no piece joins a letter and a sign
+        letters, signs = "A-Za-zÀ-ÖØ-öø-ÿ", r".,;:!?*%$&#|()"
+        joined = re.compile(f"[{letters}][{signs}]")
+        line = "" if any("\n" in p for p in self.pieces) else "\n"  # no piece reaches over a line's end either
+        word = "" if any(joined.search(p) for p in self.pieces) else f"[ {SPACE}]*[{letters}]+(?=[{signs}]+(?:[ {SPACE}{line}]|\\Z))|"
+        self.cut = re.compile(f"{word}[ {SPACE}]+[^ {SPACE}{line}]*|[^ {SPACE}{line}]+" + (f"|{line}+" if line else ""))
+        self.rank = {p: r[0] for p, r in self.merges.items()}
         self.limit, self.longest = limit, longest
         self.known: dict[str, tuple[bytes, bytes]] = {}
 
@@ -231,8 +238,28 @@ class PieceModel:
                 out.append((self.unk, a, b))
         return out
 
+    def _short(self, symbols: list[str]) -> list[str]:
+        """The merges of ``_merge`` for few symbols: the best neighbours are looked for in a list."""
+        get, none = self.rank.get, float("inf")
+        ranks = [get(a + b, none) for a, b in zip(symbols, symbols[1:])]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = get(symbols[i] + symbols[i + 1], none)
+            if i:
+                ranks[i - 1] = get(symbols[i - 1] + symbols[i], none)
+        return symbols
+
     def _word(self, chunk: str) -> tuple[bytes, bytes]:
         """Ids and source bytes of each piece of one independent chunk."""
+        if len(chunk) <= 48 and SPACE not in chunk:
+            found = self._short(list(chunk.replace(" ", SPACE)))
+            ids = [self.ids.get(p, 0) for p in found]
+            if all(self.kinds[i] == NORMAL for i in ids):
+                sizes = [len(p.encode()) - 2 * p.count(SPACE) for p in found]
+                return array("I", ids).tobytes(), array("I", sizes).tobytes()
         ends, at = [], 0
         for c in chunk:
             at += len(c.encode())
@@ -302,7 +329,7 @@ def encode_spans(df: DataFrame, model: str, id_col: str = "doc_id", text_col: st
     def work(batches):
         import pyarrow as pa
 
-        m = PieceModel(model)
+        m = kept(("pieces", model), lambda: PieceModel(model))
         for docs, texts in rows_of(batches, 1 << 20, as_bytes=False):
             rows = [m.encode(t) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), *[pa.array([r[k].tolist() for r in rows], pa.list_(pa.int64())) for k in range(3)]], ["doc_id", "ids", "begins", "ends"])
@@ -317,7 +344,7 @@ def digests(df: DataFrame, model: str, end_id: int | None = 2, id_col: str = "do
         import numpy as np
         import pyarrow as pa
 
-        m = PieceModel(model)
+        m = kept(("pieces", model), lambda: PieceModel(model))
         for docs, texts in rows_of(batches, as_bytes=False):
             out = []
             for doc, t in zip(docs, texts):
