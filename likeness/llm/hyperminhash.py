@@ -8,9 +8,10 @@ corrected for registers that agree by chance, must come near the bar; then the f
 
 Equal sets first become one node (smallest doc_id), so copies never pair up. In a band bucket a
 node is compared with the bucket's smallest node; later rounds look only at buckets whose nodes
-are still in several components, and compare every node outside the bucket's largest component
-with all members of other components. More such nodes take part in each round until all have, so
-no candidate link is left out, and a group of near copies costs a few comparisons per member.
+are still in several components. While that joins at least one in twenty of them, each node
+outside its buckets' largest components meets two members of those, others in each round, so a
+group of near copies costs a few comparisons per member. What then remains is compared with all
+members of other components in its buckets, until no candidate link is left out.
 
 A text with one to four words is one shingle. Null texts, texts without words and rows without a
 doc_id are linked with nothing and stay. Two texts at the bar share no band with probability
@@ -196,6 +197,27 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(work, "a long, b long")
 
 
+def _two_each(inside: DataFrame, outside: DataFrame, turn: int) -> DataFrame:
+    """For every node outside its buckets' largest components two members of those, others in every turn."""
+    by = lambda c: F.xxhash64(c, F.lit(turn))
+    hubs = inside.groupBy("key").agg(F.min_by("node", by("node")).alias("hub"))
+    picked = outside.join(hubs, "key").groupBy("node").agg(F.min_by("hub", by("hub")).alias("x"), F.max_by("hub", by("hub")).alias("y"))
+    pairs = picked.select("node", F.explode(F.array("x", "y")).alias("hub"))
+    return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+
+
+def _against_all(live: DataFrame, small: DataFrame, used: DataFrame | None, many: int) -> tuple[DataFrame, DataFrame]:
+    """Some nodes per bucket outside its largest component, each with all members of other components; and the (key, node) that had their turn.
+
+    The nodes are found by a combining aggregation instead of a sort of the bucket.
+    """
+    small = small if used is None else small.join(used, ["key", "node"], "left_anti")
+    slot = F.pmod(F.xxhash64("node", F.lit(many)), F.lit(many))
+    turn = cut_lineage(small.groupBy("key", slot.alias("slot")).agg(F.min("node").alias("node"), F.min_by("component", "node").alias("component")).drop("slot"))
+    across = live.select("key", F.col("node").alias("other"), F.col("component").alias("theirs")).join(turn, "key").where("component <> theirs")
+    return across.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")), turn.select("key", "node")
+
+
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_hubs: int = 16) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest linked doc_id, itself included), kept; one row per document."""
     docs = id_and_text(df, id_col, text_col)
@@ -210,28 +232,29 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_
     tested = cut_lineage(pairs)
     links = cut_lineage(_confirm(_close(tested, nodes), sets))
     labels = cut_lineage(nodes.select("node", F.col("node").alias("component")))
-    used, hubs_at_once = None, first_hubs
+    used, hubs_at_once, sampling, open_before, turn_no = None, first_hubs, True, None, 0
     while True:
-        labels = _merged(labels, links)
+        labels, turn_no = _merged(labels, links), turn_no + 1
         live = rows.select("key", "node").join(labels, "node")
         sizes = live.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
         largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
         live = cut_lineage(live.join(largest.select("key", "main"), "key"))
         small = live.where("component <> main")
-        small = small if used is None else small.join(used, ["key", "node"], "left_anti")
-        # a few nodes per bucket and round, found by a combining aggregation instead of a sort of the bucket
-        slot = F.pmod(F.xxhash64("node", F.lit(hubs_at_once)), F.lit(hubs_at_once))
-        turn = cut_lineage(small.groupBy("key", slot.alias("slot")).agg(F.min_by("node", F.struct("node")).alias("node"), F.min_by("component", F.struct("node")).alias("component")).drop("slot"))
-        if not turn.limit(1).count():
-            break
-        across = live.select("key", F.col("node").alias("other"), F.col("component").alias("theirs")).join(turn, "key").where("component <> theirs")
-        fresh = across.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        fresh = cut_lineage(fresh)
+        if sampling:
+            open_nodes = small.select("node").distinct().count()
+            sampling = open_nodes > 0 and (open_before is None or open_nodes <= 0.95 * open_before)
+            open_before = open_nodes
+        if sampling:
+            fresh = _two_each(live.where("component = main"), small, turn_no)
+        else:
+            fresh, done = _against_all(live, small, used, hubs_at_once)
+            if not done.limit(1).count():
+                break
+            used = done if used is None else cut_lineage(used.unionByName(done))
+            hubs_at_once *= 4
+        fresh = cut_lineage(fresh.distinct().join(tested, ["a", "b"], "left_anti"))
         tested = tested.unionByName(fresh)
         links = cut_lineage(_confirm(_close(fresh, nodes), sets))
-        done = turn.select("key", "node")
-        used = done if used is None else cut_lineage(used.unionByName(done))
-        hubs_at_once *= 4
     found = reps.join(labels, "node").select("digest", "component")
     out = every.select("doc_id", "n_shingles", "digest").join(found, "digest", "left")  # a hot digest is split by the adaptive skew join
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
