@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import id_and_text, plain_words, rows_of, slices
+from .common import id_and_text, packed, plain_words, rows_of, unpacked
 from .hyperminhash import WordHashes, _constants, _mix
 
 WINDOW = 13
@@ -237,7 +237,6 @@ def _window_rows(size: int):
     def work(batches):
         import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
 
         known = WordHashes()
         w1, w2, docs, at = [], [], [], []
@@ -254,10 +253,10 @@ def _window_rows(size: int):
 
         held = 0
         for batch in batches:
-            for x, y in slices(pc.binary_length(batch.column("text")).to_pylist(), 2 << 20):
-                part = batch.slice(x, y - x)
+            for x, texts in unpacked(batch):
+                part = batch.slice(x, len(texts))
                 ids, keys = part.column("doc_id").to_numpy(), part.column("keys")
-                hashes = [known.of(plain_words(t)) for t in part.column("text").cast(pa.binary()).to_pylist()]
+                hashes = [known.of(plain_words(t)) for t in texts]
                 row, places = joined(hashes, size)
                 every, first, second = anchors(row, size), window_hashes(row, size, 8), window_hashes(row, size, 9)
                 for i, (place, h) in enumerate(zip(places, hashes)):
@@ -289,8 +288,9 @@ def cover(positions, n: int, size: int):
 
 
 def repeats(df: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", counts: DataFrame | None = None) -> DataFrame:
-    """doc_id, text, at: start words of the windows that a smaller document has, for documents with any; copies of a smaller document are left out."""
+    """doc_id, packed (text), at: start words of the windows that a smaller document has, for documents with any; copies of a smaller document are left out."""
     docs = id_and_text(df, id_col, text_col)
+    texts = packed(docs)
 
     def find():
         return _anchors_of(WordHashes(), size)
@@ -298,11 +298,11 @@ def repeats(df: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col:
     counts = (word_counts(docs) if counts is None else counts).where("doc_id is not null")
     reps = counts.where(f"n_words >= {size}").groupBy("sha").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     keys = shared_anchors(docs, find).join(reps, "doc_id", "left_semi")
-    rows = docs.join(keys, "doc_id").select("doc_id", "text", "keys").mapInArrow(_window_rows(size), "w1 long, w2 int, salt int, doc_id long, at int, gone boolean")
+    rows = texts.join(keys, "doc_id").select("doc_id", "packed", "keys").mapInArrow(_window_rows(size), "w1 long, w2 int, salt int, doc_id long, at int, gone boolean")
     w = Window.partitionBy("w1", "w2", "salt").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     gone = rows.withColumn("source", F.first("doc_id").over(w)).where("gone or source < doc_id")
     places = gone.groupBy("doc_id").agg(F.collect_list("at").alias("at"))
-    return docs.join(places, "doc_id").select("doc_id", "text", "at")
+    return texts.join(places, "doc_id").select("doc_id", "packed", "at")
 
 
 def strip(df: DataFrame, size: int = WINDOW, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -316,13 +316,13 @@ def strip(df: DataFrame, size: int = WINDOW, with_text: bool = False, id_col: st
         import pyarrow as pa
 
         for batch in batches:
-            out = []
-            for doc, text, at in zip(batch.column("doc_id"), batch.column("text"), batch.column("at")):
-                words = plain_words(text.as_py().encode())
-                gone = cover(at.values.to_numpy(zero_copy_only=False), len(words), size)
-                kept = b" ".join([words[i] for i in np.flatnonzero(~gone)])
-                out.append((doc.as_py(), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
-            if out:
+            for x, texts in unpacked(batch):
+                out = []
+                for doc, text, at in zip(batch.column("doc_id").slice(x), texts, batch.column("at").slice(x)):
+                    words = plain_words(text)
+                    gone = cover(at.values.to_numpy(zero_copy_only=False), len(words), size)
+                    kept = b" ".join([words[i] for i in np.flatnonzero(~gone)])
+                    out.append((doc.as_py(), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
                 yield _columns(["doc_id", "n_removed", "kept_sha256", "kept"], [pa.int64(), pa.int64(), pa.string(), pa.string()], list(zip(*out)))
 
     counts = cut_lineage(word_counts(docs))

@@ -17,12 +17,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, slices
+from ..operators.joins import shuffle_width
+from .common import id_and_text, packed, unpacked
 from .hyperminhash import _mix
 from .recompress import _columns, shared_anchors
 
 WINDOW, GRAM = 50, 16
 LONGEST = 64  # windows in one piece
+SHARDS = 4  # per shuffle partition, so that a shard's queues rarely need their files
 SHIFT = bytes((i + 1) % 256 for i in range(256))  # UTF-8 has no byte 255, so zero is free to end a piece
 
 
@@ -72,7 +74,6 @@ def _pieces(batches):
     """Rows of pieces from documents with their shared anchors."""
     import numpy as np
     import pyarrow as pa
-    import pyarrow.compute as pc
 
     names = ["key", "salt", "doc_id", "at", "size", "piece"]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -90,10 +91,8 @@ def _pieces(batches):
 
     rows, held = [], 0
     for batch in batches:
-        ids, texts, keys = (batch.column(c) for c in ("doc_id", "text", "keys"))
-        sizes = pc.binary_length(texts).to_pylist()
-        for x, y in slices(sizes, 2 << 20):
-            raw = texts.slice(x, y - x).cast(pa.binary()).to_pylist()
+        ids, keys = batch.column("doc_id"), batch.column("keys")
+        for x, raw in unpacked(batch):
             for i, (text, key) in enumerate(zip(raw, anchors_of(raw)), x):
                 if not len(key):
                     continue
@@ -167,13 +166,14 @@ def _shard(batches):
                 yield _columns(names, kinds, [doc[piece[s]], first[s], (first + gone[tails] - gone[heads] + WINDOW)[s]])
 
 
-def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: DataFrame | None = None) -> DataFrame:
     """doc_id, first, end: byte ranges (they may overlap) that a smaller document has too; whole copies of a smaller document are left out."""
     docs = id_and_text(df, id_col, text_col)
     reps = docs.where(f"doc_id is not null and octet_length(text) >= {WINDOW}").groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     keys = shared_anchors(docs, lambda: anchors_of).join(reps, "doc_id", "left_semi")
-    pieces = docs.join(keys, "doc_id").select("doc_id", "text", "keys").mapInArrow(_pieces, "key long, salt int, doc_id long, at long, size long, piece binary")
-    return pieces.repartition("key", "salt").mapInArrow(_shard, "doc_id long, first long, end long")
+    texts = packed(docs) if texts is None else texts
+    pieces = texts.join(keys, "doc_id").select("doc_id", "packed", "keys").mapInArrow(_pieces, "key long, salt int, doc_id long, at long, size long, piece binary")
+    return pieces.repartition(SHARDS * shuffle_width(df), "key", "salt").mapInArrow(_shard, "doc_id long, first long, end long")
 
 
 def strip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,9 +187,10 @@ def strip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         import pyarrow as pa
 
         for batch in batches:
+            rows = zip(batch.column("doc_id"), (t for _, part in unpacked(batch) for t in part), batch.column("ranges"))
             out = []
-            for doc, text, ranges in zip(batch.column("doc_id"), batch.column("text"), batch.column("ranges")):
-                raw = np.frombuffer(text.as_py().encode(), np.uint8)
+            for doc, text, ranges in rows:
+                raw = np.frombuffer(text, np.uint8)
                 edge = np.zeros(len(raw) + 1, np.int64)
                 np.add.at(edge, ranges.values.field("first").to_numpy(), 1)
                 np.add.at(edge, ranges.values.field("end").to_numpy(), -1)
@@ -200,8 +201,9 @@ def strip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
             if out:
                 yield _columns(["doc_id", "n_removed", "kept", "spans"], [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))], list(zip(*out)))
 
-    ranges = repeats(df, id_col, text_col).groupBy("doc_id").agg(F.collect_list(F.struct("first", "end")).alias("ranges"))
-    cut = docs.join(ranges, "doc_id").select("doc_id", "text", "ranges").mapInArrow(work, "doc_id long, n_removed long, kept string, spans array<struct<first:long,end:long>>")
+    texts = packed(docs)
+    ranges = repeats(df, id_col, text_col, texts).groupBy("doc_id").agg(F.collect_list(F.struct("first", "end")).alias("ranges"))
+    cut = texts.join(ranges, "doc_id").select("doc_id", "packed", "ranges").mapInArrow(work, "doc_id long, n_removed long, kept string, spans array<struct<first:long,end:long>>")
     counts = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
     least = counts.groupBy("sha").agg(F.min("doc_id").alias("least"))
     copy = (F.col("least") < F.col("doc_id")) & (F.col("n_bytes") >= WINDOW)
