@@ -7,14 +7,14 @@ document, and hot digests shrink before any shuffle (partial aggregation).
 
 Null and empty texts are equal. A digest already in the index keeps its first ``keep_id``. Rows
 without a doc_id are reported; they stay only where no row of their group has one. Rows that
-repeat a doc_id share its fate. An empty table gives no rows.
+repeat a doc_id are judged by their own texts. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import shuffle_width
@@ -22,10 +22,14 @@ from ..session import cut_lineage, work_folder
 from .common import SPACES, id_and_text
 
 
+def _digest(text: Column) -> Column:
+    return F.sha2(F.regexp_replace(text, SPACES, " "), 256)
+
+
 def text_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the SHA-256 of the text with each run of white space as one space."""
     docs = id_and_text(df, id_col, text_col)
-    return docs.select("doc_id", F.sha2(F.regexp_replace("text", SPACES, " "), 256).alias("digest"))
+    return docs.select("doc_id", _digest(F.col("text")).alias("digest"))
 
 
 class DigestIndex:
@@ -67,4 +71,6 @@ class DigestIndex:
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with all their columns, judged against a new index."""
     seen = DigestIndex(df.sparkSession).add(df, id_col, text_col)
-    return df.join(seen.where("kept").select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_semi")
+    stay = seen.where("kept").select(F.col("doc_id").alias("_stay_id"), F.col("digest").alias("_stay_digest")).distinct()
+    same_id = F.col(id_col).cast("long").eqNullSafe(F.col("_stay_id"))  # rows without an id meet too
+    return df.join(stay, same_id & (_digest(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_stay_digest")), "left_semi")

@@ -67,6 +67,13 @@ def test_exact(spark, docs, odd, empty):
     assert exact.deduplicate(docs).columns == docs.columns
 
 
+def test_exact_keeps_rows_without_id(spark, odd):
+    got = exact.deduplicate(odd).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == [(0, ""), (1, "same text here"), (1, "same text here")]
+    mixed = spark.createDataFrame([(None, "alone"), (None, "with id"), (3, "with id"), (1, "other"), (3, "other"), (None, "twice"), (None, "twice")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in exact.deduplicate(mixed).collect()) == [(0, "alone"), (0, "twice"), (0, "twice"), (1, "other"), (3, "with id")]
+
+
 def test_exact_index_remembers(spark, docs):
     index = exact.DigestIndex(spark, buckets=3)
     first = index.add(docs.where("doc_id < 10"))
