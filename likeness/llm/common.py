@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 SPACES = r"[\x20\x09-\x0D]+"
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -21,6 +23,29 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def with_part(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Adds ``_part``: empty, or the text's SHA-256 where a doc_id is on several rows, so that (doc_id, _part) names one text."""
+    key = F.col(id_col).cast("long")
+    again = cut_lineage(df.select(key.alias("_again")).where("_again is not null").groupBy("_again").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_again"))
+    if not again.limit(1).count():
+        return df.withColumn("_part", F.lit(""))
+    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    return df.join(again, key == F.col("_again"), "left").withColumn("_part", F.when(F.col("_again").isNotNull(), sha).otherwise("")).drop("_again")
+
+
+def id_text_part(marked: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_and_text`` of a table ``with_part``, and ``part``."""
+    return marked.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col("_part").alias("part"))
+
+
+def one_text_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``id_text_part`` without those that repeat both doc_id and text."""
+    again = docs.where("part <> ''")
+    if not again.limit(1).count():
+        return docs
+    return docs.where("part = ''").unionByName(again.dropDuplicates(["doc_id", "part"]))
+
+
 def plain_words(text: bytes) -> list[bytes]:
     """Words of a text in UTF-8, unchanged."""
     return WORDS.findall(text)
@@ -43,8 +68,8 @@ def slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def rows_of(batches, limit: int = 4 << 20, as_bytes: bool = True) -> Iterator[tuple[list, list]]:
-    """(ids, texts) of Arrow batches with the columns of ``id_and_text``, a few MB of text at a time."""
+def rows_of(batches, limit: int = 4 << 20, as_bytes: bool = True, more: tuple = ()) -> Iterator[tuple[list, ...]]:
+    """(ids, texts) and the columns ``more`` of Arrow batches with the columns of ``id_and_text``, a few MB of text at a time."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -53,21 +78,22 @@ def rows_of(batches, limit: int = 4 << 20, as_bytes: bool = True) -> Iterator[tu
         for a, b in slices(sizes, limit):
             part = batch.slice(a, b - a)
             text = part.column("text")
-            yield part.column("doc_id").to_pylist(), (text.cast(pa.binary()) if as_bytes else text).to_pylist()
+            yield part.column("doc_id").to_pylist(), (text.cast(pa.binary()) if as_bytes else text).to_pylist(), *[part.column(c).to_pylist() for c in more]
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """(doc_id, packed): whole texts as deflated UTF-8, half the bytes of what a shuffle makes of plain text."""
+    """(doc_id, part, packed): whole texts as deflated UTF-8, half the bytes of what a shuffle makes of plain text."""
 
     def work(batches):
         import zlib
 
         import pyarrow as pa
 
-        for ids, texts in rows_of(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([zlib.compress(t, 3) for t in texts], pa.binary())], ["doc_id", "packed"])
+        for ids, texts, parts in rows_of(batches, more=("part",)):
+            columns = [pa.array(ids, pa.int64()), pa.array(parts, pa.string()), pa.array([zlib.compress(t, 3) for t in texts], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "packed"])
 
-    return docs.mapInArrow(work, "doc_id long, packed binary")
+    return docs.mapInArrow(work, "doc_id long, part string, packed binary")
 
 
 def unpacked(batch, limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:

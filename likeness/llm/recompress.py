@@ -13,7 +13,8 @@ compared by a hash of their 13 words.
 
 A word goes if a window over it also starts in a document with a smaller doc_id, judged on the
 input. Null texts have no words. Rows without a doc_id are left alone and no source. Rows that
-repeat a doc_id are no source for each other. Hot anchors and windows are settled inside each
+repeat a doc_id are no source for each other; each is cut by its own text, so places are kept by
+(doc_id, part). Hot anchors and windows are settled inside each
 batch first, so a batch sends at most one row of each to the shuffle.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import id_and_text, packed, plain_words, rows_of, unpacked
+from .common import id_text_part, one_text_each, packed, plain_words, rows_of, unpacked, with_part
 from .hyperminhash import WordHashes, _constants, _mix
 
 WINDOW = 13
@@ -217,18 +218,18 @@ def shared_anchors(docs: DataFrame, find, limit: int = 16 << 20) -> DataFrame:
 
 
 def word_counts(df: DataFrame) -> DataFrame:
-    """doc_id, n_words, sha: SHA-256 of the words joined by one space."""
+    """doc_id, part, n_words, sha: SHA-256 of the words joined by one space."""
 
     def work(batches):
         import hashlib
 
         import pyarrow as pa
 
-        for ids, texts in rows_of(batches):
+        for ids, texts, parts in rows_of(batches, more=("part",)):
             words = [plain_words(t) for t in texts]
-            yield _columns(["doc_id", "n_words", "sha"], [pa.int64(), pa.int64(), pa.string()], [ids, [len(w) for w in words], [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]])
+            yield _columns(["doc_id", "part", "n_words", "sha"], [pa.int64(), pa.string(), pa.int64(), pa.string()], [ids, parts, [len(w) for w in words], [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]])
 
-    return df.mapInArrow(work, "doc_id long, n_words long, sha string")
+    return df.mapInArrow(work, "doc_id long, part string, n_words long, sha string")
 
 
 def _window_rows(size: int):
@@ -239,15 +240,17 @@ def _window_rows(size: int):
         import pyarrow as pa
 
         known = WordHashes()
-        w1, w2, docs, at = [], [], [], []
+        w1, w2, docs, at, texts_of, parts = [], [], [], [], [], []
 
         def flush():
-            a, b, d, p = (np.concatenate(x) for x in (w1, w2, docs, at))
+            a, b, d, p, t = (np.concatenate(x) for x in (w1, w2, docs, at, texts_of))
             _, least, _ = _settled_first(a, d)
             own = least == d  # a smaller document of the batch has the window: settled
             salt = np.where(own, 0, 1 + (_mix(d.view(np.uint64) ^ a) >> np.uint64(48)).astype(np.int64)).astype(np.int32)
-            out = _columns(["w1", "w2", "salt", "doc_id", "at", "gone"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_()], [a.view(np.int64), b, salt, d, p, ~own])
-            for x in (w1, w2, docs, at):
+            part = pa.array(parts, pa.string()).take(pa.array(t))
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.bool_()]
+            out = _columns(["w1", "w2", "salt", "doc_id", "part", "at", "gone"], kinds, [a.view(np.int64), b, salt, d, part, p, ~own])
+            for x in (w1, w2, docs, at, texts_of, parts):
                 x.clear()
             return out
 
@@ -255,7 +258,7 @@ def _window_rows(size: int):
         for batch in batches:
             for x, texts in unpacked(batch):
                 part = batch.slice(x, len(texts))
-                ids, keys = part.column("doc_id").to_numpy(), part.column("keys")
+                ids, keys, marks = part.column("doc_id").to_numpy(), part.column("keys"), part.column("part")
                 hashes = [known.of(plain_words(t)) for t in texts]
                 row, places = joined(hashes, size)
                 every, first, second = anchors(row, size), window_hashes(row, size, 8), window_hashes(row, size, 9)
@@ -267,6 +270,8 @@ def _window_rows(size: int):
                         w2.append((second[place + found] >> np.uint64(33)).astype(np.int32))
                         docs.append(np.full(len(found), ids[i], np.int64))
                         at.append(found.astype(np.int32))
+                        texts_of.append(np.full(len(found), len(parts), np.int32))
+                        parts.append(marks[i].as_py())
                         held += len(found)
                 if held > 500_000:
                     yield flush()
@@ -287,27 +292,32 @@ def cover(positions, n: int, size: int):
     return np.cumsum(edge[:n]) > 0
 
 
-def repeats(df: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", counts: DataFrame | None = None) -> DataFrame:
-    """doc_id, packed (text), at: start words of the windows that a smaller document has, for documents with any; copies of a smaller document are left out."""
-    docs = id_and_text(df, id_col, text_col)
+def _repeats(docs: DataFrame, counts: DataFrame, size: int) -> DataFrame:
+    """doc_id, part, packed (text), at: start words of the windows that a smaller document has, for texts with any; copies of a smaller document are left out."""
+    docs = one_text_each(docs)
     texts = packed(docs)
 
     def find():
         return _anchors_of(WordHashes(), size)
 
-    counts = (word_counts(docs) if counts is None else counts).where("doc_id is not null")
+    counts = counts.where("doc_id is not null")
     reps = counts.where(f"n_words >= {size}").groupBy("sha").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     keys = shared_anchors(docs, find).join(reps, "doc_id", "left_semi")
-    rows = texts.join(keys, "doc_id").select("doc_id", "packed", "keys").mapInArrow(_window_rows(size), "w1 long, w2 int, salt int, doc_id long, at int, gone boolean")
+    kinds = "w1 long, w2 int, salt int, doc_id long, part string, at int, gone boolean"
+    rows = texts.join(keys, "doc_id").select("doc_id", "part", "packed", "keys").mapInArrow(_window_rows(size), kinds)
     w = Window.partitionBy("w1", "w2", "salt").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     gone = rows.withColumn("source", F.first("doc_id").over(w)).where("gone or source < doc_id")
-    places = gone.groupBy("doc_id").agg(F.collect_list("at").alias("at"))
-    return texts.join(places, "doc_id").select("doc_id", "packed", "at")
+    places = gone.groupBy("doc_id", "part").agg(F.collect_list("at").alias("at"))
+    return texts.join(places, ["doc_id", "part"]).select("doc_id", "part", "packed", "at")
 
 
-def strip(df: DataFrame, size: int = WINDOW, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and, if wanted, kept (words that stay, joined by one space): one row per document."""
-    docs = id_and_text(df, id_col, text_col)
+def strip(df: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256: one row per document."""
+    return _strip(id_text_part(with_part(df, id_col, text_col), id_col, text_col), size, False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def _strip(docs: DataFrame, size: int, with_text: bool) -> DataFrame:
+    """One row per document: doc_id, part, n_words, n_removed, kept_sha256, copy (of a smaller document) and, if wanted, kept (words that stay, joined by one space)."""
 
     def work(batches):
         import hashlib
@@ -318,28 +328,28 @@ def strip(df: DataFrame, size: int = WINDOW, with_text: bool = False, id_col: st
         for batch in batches:
             for x, texts in unpacked(batch):
                 out = []
-                for doc, text, at in zip(batch.column("doc_id").slice(x), texts, batch.column("at").slice(x)):
+                for doc, part, text, at in zip(batch.column("doc_id").slice(x), batch.column("part").slice(x), texts, batch.column("at").slice(x)):
                     words = plain_words(text)
                     gone = cover(at.values.to_numpy(zero_copy_only=False), len(words), size)
                     kept = b" ".join([words[i] for i in np.flatnonzero(~gone)])
-                    out.append((doc.as_py(), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
-                yield _columns(["doc_id", "n_removed", "kept_sha256", "kept"], [pa.int64(), pa.int64(), pa.string(), pa.string()], list(zip(*out)))
+                    out.append((doc.as_py(), part.as_py(), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
+                yield _columns(["doc_id", "part", "n_removed", "kept_sha256", "kept"], [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()], list(zip(*out)))
 
     counts = cut_lineage(word_counts(docs))
-    cut = repeats(df, size, id_col, text_col, counts).mapInArrow(work, "doc_id long, n_removed long, kept_sha256 string, kept string")
+    cut = _repeats(docs, counts, size).mapInArrow(work, "doc_id long, part string, n_removed long, kept_sha256 string, kept string")
     least = counts.groupBy("sha").agg(F.min("doc_id").alias("least"))
     copy = (F.col("least") < F.col("doc_id")) & (F.col("n_words") >= size)
-    out = counts.join(least, "sha").join(cut, "doc_id", "left")
-    out = out.select(
-        "doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"), copy.alias("copy"), F.col("n_removed").isNotNull().alias("cut"), "kept",
+    return counts.join(least, "sha").join(cut, ["doc_id", "part"], "left").select(
+        "doc_id", "part", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"), copy.alias("copy"), "kept",
     )
-    return out if with_text else out.drop("kept", "copy", "cut")
 
 
 def stripped(df: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with the repeated words taken out of the text; an untouched text keeps its bytes, a text without words left goes if it lost any."""
-    found = strip(df, size, True, id_col, text_col).where("n_removed > 0").select(F.col("doc_id").alias(id_col), F.coalesce(F.when(~F.col("copy"), F.col("kept")), F.lit("")).alias("_kept"))
-    out = df.join(found.dropDuplicates([id_col]), id_col, "left")
+    marked = with_part(df, id_col, text_col)
+    found = _strip(id_text_part(marked, id_col, text_col), size, True).where("n_removed > 0")
+    found = found.select(F.col("doc_id").alias(id_col), F.col("part").alias("_part"), F.coalesce(F.when(~F.col("copy"), F.col("kept")), F.lit("")).alias("_kept"))
+    out = marked.join(found.dropDuplicates([id_col, "_part"]), [id_col, "_part"], "left")
     out = out.where(F.col("_kept").isNull() | (F.col("_kept") != ""))
     return out.withColumn(text_col, F.coalesce("_kept", text_col)).select(*df.columns)

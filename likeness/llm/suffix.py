@@ -8,7 +8,7 @@ by external induction (``induced``), and windows whose common prefix reaches 50
 its smallest doc_id keeps it, all others lose those bytes.
 
 Null texts are empty. Rows without a doc_id keep their text and are no source; rows that repeat a
-doc_id are no source for each other. Strings never cross documents. Equal pieces of one batch
+doc_id are no source for each other, and each is cut by its own text. Strings never cross documents. Equal pieces of one batch
 send one row to the shard, so a passage that a third of the documents share stays small there.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import shuffle_width
-from .common import id_and_text, packed, unpacked
+from .common import id_text_part, one_text_each, packed, unpacked, with_part
 from .hyperminhash import _mix
 from .recompress import _columns, shared_anchors
 
@@ -75,32 +75,32 @@ def _pieces(batches):
     import numpy as np
     import pyarrow as pa
 
-    names = ["key", "salt", "doc_id", "at", "size", "piece"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["key", "salt", "doc_id", "part", "at", "size", "piece"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
 
     def flush(rows):
         least: dict[bytes, int] = {}
-        for _, doc, _, piece in rows:
+        for _, doc, _, _, piece in rows:
             if doc < least.get(piece, 1 << 63):
                 least[piece] = doc
         out = []
-        for key, doc, at, piece in rows:
+        for key, doc, part, at, piece in rows:
             own = least[piece] == doc
-            out.append((key, 0 if own else 1 + (doc * 31 + at) % 65_521, doc, at, len(piece), piece if own else None))
+            out.append((key, 0 if own else 1 + (doc * 31 + at) % 65_521, doc, part, at, len(piece), piece if own else None))
         return out
 
     rows, held = [], 0
     for batch in batches:
-        ids, keys = batch.column("doc_id"), batch.column("keys")
+        ids, parts, keys = batch.column("doc_id"), batch.column("part"), batch.column("keys")
         for x, raw in unpacked(batch):
             for i, (text, key) in enumerate(zip(raw, anchors_of(raw)), x):
                 if not len(key):
                     continue
-                doc = ids[i].as_py()
+                doc, part = ids[i].as_py(), parts[i].as_py()
                 wanted = np.isin(key, keys[i].values.to_numpy(zero_copy_only=False).view(np.uint64))
                 signed = key.view(np.int64)
                 for a, b in _runs(key, wanted):
-                    rows.append((int(signed[a]), doc, a, text[a : b + WINDOW]))
+                    rows.append((int(signed[a]), doc, part, a, text[a : b + WINDOW]))
                     held += b + WINDOW - a
             if held > 16 << 20:
                 yield _columns(names, kinds, list(zip(*flush(rows))))
@@ -110,7 +110,7 @@ def _pieces(batches):
 
 
 def _shard(batches):
-    """Sorts the pieces of one partition; gives the bytes to remove as (doc_id, first, end)."""
+    """Sorts the pieces of one partition; gives the bytes to remove as (doc_id, part, first, end)."""
     import os
     import tempfile
 
@@ -120,8 +120,8 @@ def _shard(batches):
 
     from .induced import sorted_suffixes
 
-    names, kinds = ["doc_id", "first", "end"], [pa.int64()] * 3
-    docs, ats, sizes = [], [], []
+    names, kinds = ["doc_id", "part", "first", "end"], [pa.int64(), pa.string(), pa.int64(), pa.int64()]
+    docs, parts, ats, sizes = [], [], [], []
     with tempfile.TemporaryDirectory(prefix="suffixes-") as folder:  # this task's spill, gone with the task
         path = os.path.join(folder, "text")
         with open(path, "wb") as f:
@@ -130,9 +130,10 @@ def _shard(batches):
                 known = batch.filter(pc.invert(own))
                 if known.num_rows:
                     first = known.column("at").to_numpy()
-                    yield _columns(names, kinds, [known.column("doc_id"), first, first + known.column("size").to_numpy()])
+                    yield _columns(names, kinds, [known.column("doc_id"), known.column("part"), first, first + known.column("size").to_numpy()])
                 mine = batch.filter(own)
                 docs.append(mine.column("doc_id").to_numpy())
+                parts.append(mine.column("part"))
                 ats.append(mine.column("at").to_numpy())
                 sizes.append(mine.column("size").to_numpy())
                 f.write(b"".join(p.translate(SHIFT) + b"\0" for p in mine.column("piece").to_pylist()))
@@ -140,6 +141,7 @@ def _shard(batches):
         if not docs or not sum(map(len, docs)):
             return
         doc, at, size = np.concatenate(docs), np.concatenate(ats), np.concatenate(sizes)
+        part = pa.chunked_array(parts, pa.string())
         begin = np.cumsum(size + 1) - (size + 1)
         text = np.memmap(path, np.uint8, "r")
         places, fresh = [], []
@@ -163,22 +165,21 @@ def _shard(batches):
             first = at[piece] + gone[heads] - begin[piece]
             for a in range(0, len(heads), 100_000):
                 s = slice(a, a + 100_000)
-                yield _columns(names, kinds, [doc[piece[s]], first[s], (first + gone[tails] - gone[heads] + WINDOW)[s]])
+                yield _columns(names, kinds, [doc[piece[s]], part.take(pa.array(piece[s])).combine_chunks(), first[s], (first + gone[tails] - gone[heads] + WINDOW)[s]])
 
 
-def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: DataFrame | None = None) -> DataFrame:
-    """doc_id, first, end: byte ranges (they may overlap) that a smaller document has too; whole copies of a smaller document are left out."""
-    docs = id_and_text(df, id_col, text_col)
+def _repeats(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """doc_id, part, first, end: byte ranges (they may overlap) that a smaller document has too; whole copies of a smaller document are left out."""
     reps = docs.where(f"doc_id is not null and octet_length(text) >= {WINDOW}").groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     keys = shared_anchors(docs, lambda: anchors_of).join(reps, "doc_id", "left_semi")
-    texts = packed(docs) if texts is None else texts
-    pieces = texts.join(keys, "doc_id").select("doc_id", "packed", "keys").mapInArrow(_pieces, "key long, salt int, doc_id long, at long, size long, piece binary")
-    return pieces.repartition(SHARDS * shuffle_width(df), "key", "salt").mapInArrow(_shard, "doc_id long, first long, end long")
+    kinds = "key long, salt int, doc_id long, part string, at long, size long, piece binary"
+    pieces = texts.join(keys, "doc_id").select("doc_id", "part", "packed", "keys").mapInArrow(_pieces, kinds)
+    return pieces.repartition(SHARDS * shuffle_width(docs), "key", "salt").mapInArrow(_shard, "doc_id long, part string, first long, end long")
 
 
 def strip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (maximal removed byte ranges): one row per document."""
-    docs = id_and_text(df, id_col, text_col)
+    docs = id_text_part(with_part(df, id_col, text_col), id_col, text_col)
 
     def work(batches):
         import hashlib
@@ -187,9 +188,9 @@ def strip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         import pyarrow as pa
 
         for batch in batches:
-            rows = zip(batch.column("doc_id"), (t for _, part in unpacked(batch) for t in part), batch.column("ranges"))
+            rows = zip(batch.column("doc_id"), batch.column("part"), (t for _, some in unpacked(batch) for t in some), batch.column("ranges"))
             out = []
-            for doc, text, ranges in rows:
+            for doc, part, text, ranges in rows:
                 raw = np.frombuffer(text, np.uint8)
                 edge = np.zeros(len(raw) + 1, np.int64)
                 np.add.at(edge, ranges.values.field("first").to_numpy(), 1)
@@ -197,18 +198,19 @@ def strip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
                 gone = np.cumsum(edge[:-1]) > 0
                 turns = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
                 spans = [{"first": int(a), "end": int(b)} for a, b in turns.reshape(-1, 2)]
-                out.append((doc.as_py(), int(gone.sum()), hashlib.sha256(raw[~gone].tobytes()).hexdigest(), spans))
+                out.append((doc.as_py(), part.as_py(), int(gone.sum()), hashlib.sha256(raw[~gone].tobytes()).hexdigest(), spans))
             if out:
-                yield _columns(["doc_id", "n_removed", "kept", "spans"], [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))], list(zip(*out)))
+                yield _columns(["doc_id", "part", "n_removed", "kept", "spans"], [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))], list(zip(*out)))
 
-    texts = packed(docs)
-    ranges = repeats(df, id_col, text_col, texts).groupBy("doc_id").agg(F.collect_list(F.struct("first", "end")).alias("ranges"))
-    cut = texts.join(ranges, "doc_id").select("doc_id", "packed", "ranges").mapInArrow(work, "doc_id long, n_removed long, kept string, spans array<struct<first:long,end:long>>")
-    counts = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
+    single = one_text_each(docs)
+    texts = packed(single)
+    ranges = _repeats(single, texts).groupBy("doc_id", "part").agg(F.collect_list(F.struct("first", "end")).alias("ranges"))
+    cut = texts.join(ranges, ["doc_id", "part"]).select("doc_id", "part", "packed", "ranges").mapInArrow(work, "doc_id long, part string, n_removed long, kept string, spans array<struct<first:long,end:long>>")
+    counts = docs.select("doc_id", "part", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
     least = counts.groupBy("sha").agg(F.min("doc_id").alias("least"))
     copy = (F.col("least") < F.col("doc_id")) & (F.col("n_bytes") >= WINDOW)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("n_bytes").alias("end")))
-    out = counts.join(least, "sha").join(cut, "doc_id", "left").withColumn("spans", F.when(copy, whole).otherwise(F.coalesce("spans", F.slice(whole, 1, 0))))
+    out = counts.join(least, "sha").join(cut, ["doc_id", "part"], "left").withColumn("spans", F.when(copy, whole).otherwise(F.coalesce("spans", F.slice(whole, 1, 0))))
     return out.select(
         "doc_id", "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
         F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"), "spans",

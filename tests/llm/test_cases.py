@@ -148,6 +148,34 @@ def test_recompression(spark, docs, odd, empty):
     assert left[3]["text"] is None and left[10]["text"] == TEXTS[10] and left[11]["text"] == "other words after it" and recompress.stripped(docs).columns == docs.columns
 
 
+def test_repeated_ids_are_cut_by_their_own_text(spark):
+    """Rows of one doc_id with different, longer and equal texts that share passages with a smaller document and with each other."""
+    other = " ".join(f"own{i}" for i in range(40))
+    data = [(1, "start " + PASSAGE), (2, PASSAGE + " " + other), (2, "x y z " * 30 + PASSAGE + " tail"), (2, PASSAGE + " " + other), (2, "short"), (3, other + " end"), (None, PASSAGE), (None, PASSAGE), (1, PASSAGE)]
+    df = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(data)], "doc_id long, text string, line int").repartition(3)
+
+    def wanted(cut):
+        """Each row against all rows of smaller ids, by the plain version."""
+        out = []
+        for d, t in data:
+            before = {i: x for i, (e, x) in enumerate(data) if d is not None and e is not None and e < d}
+            out.append((d or 0, *cut({**before, len(data): t})[len(data)]))
+        return sorted(out, key=str)
+
+    words = [(r["doc_id"] or 0, r["n_words"], r["n_removed"], r["kept_sha256"]) for r in recompress.strip(df).collect()]
+    assert sorted(words, key=str) == sorted([(d, n, k, brute.sha(x)) for d, n, k, x in wanted(brute.stripped_words)], key=str)
+    raw = [(r["doc_id"] or 0, r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.strip(df).collect()]
+    assert sorted(raw, key=str) == wanted(brute.stripped_bytes)
+    left = {r["line"]: r["text"] for r in recompress.stripped(df).collect()}
+    want = {}
+    for i, (d, t) in enumerate(data):
+        before = {j: x for j, (e, x) in enumerate(data) if d is not None and e is not None and e < d}
+        _, k, rest = brute.stripped_words({**before, len(data): t})[len(data)]
+        if rest or not k:
+            want[i] = rest.decode() if k else t
+    assert left == want and recompress.stripped(df).count() == len(want)
+
+
 def test_equal_windows_have_equal_anchors():
     rng = random.Random(3)
     for _ in range(60):
