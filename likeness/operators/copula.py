@@ -1,13 +1,15 @@
 """Look-alike tables: empirical marginals joined by a Gaussian copula.
 
-Fitting reads the source a few times with small aggregates; the driver only holds value
-tables of bounded size and a k x k matrix. Sampling is one projection of a row range.
+Every column keeps the exact counts of its values, however many there are, and all columns are in
+the model. The driver holds the tables of columns with few values and a k x k matrix; longer tables
+stay in Spark, where values are scored and drawn ranks are looked up by equi-joins. Where a table is
+kept does not change the result.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
-from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
@@ -18,15 +20,14 @@ from pyspark.sql import types as T
 
 from ..functions import random as R
 from ..functions.text import quote
-from ..session import together
-from .profile import _batches, _c, approx_distinct_counts
+from ..session import cut_lineage, together
+from .profile import _c, approx_distinct_counts
 from .relate import _PARTIAL, _co_moments, merge_co_moments
-from .joins import skew_join
+from .joins import shuffle_width, skew_join
 from .rows import hashed_index, ordered_index
 from .series import running_sum
 
-VALUE_LIMIT = 1000  # columns with at most so many values keep exact value tables
-GRID = 257  # quantile points of a continuous column
+VALUE_LIMIT = 1000  # value tables of at most so many rows are kept on the driver, longer ones in Spark
 CHUNK = 100_000  # rows one task may make from one input row
 
 _TIMES = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -35,14 +36,15 @@ _TIMES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 @dataclass
 class Marginal:
     name: str
-    kind: str  # discrete | continuous | drawn
+    kind: str  # discrete (values on the driver) | ranked (values in a Spark table)
     dtype: T.DataType
     null_share: float = 0.0
     values: list[str] = field(default_factory=list)  # discrete: texts in z order
     cuts: np.ndarray | None = None  # discrete: upper z of each value
     mids: np.ndarray | None = None  # discrete: z of the middle of each value
-    x: np.ndarray | None = None  # continuous: grid values
-    z: np.ndarray | None = None  # continuous: z of the grid values
+    table: DataFrame | None = None  # ranked: _value, _start (rows before it), _cnt, _z (of its middle)
+    filled: int = 0  # ranked: rows with a value
+    largest: int = 0  # ranked: rows of the most frequent value
 
 
 @dataclass
@@ -51,10 +53,6 @@ class Copula:
     corr: np.ndarray
     rows: int
 
-    @property
-    def modelled(self) -> list[Marginal]:
-        return [m for m in self.marginals if m.kind != "drawn"]
-
     @property
     def factor(self) -> np.ndarray:
         return positive_factor(self.corr)
@@ -103,19 +101,22 @@ def value_tables(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.explode(cells).alias("x")).select("x.*").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def quantile_grid(df: DataFrame, columns: list[str], points: int = GRID) -> dict[str, np.ndarray]:
-    """Approximate quantiles at even probabilities, from mergeable summaries."""
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    probs = F.array(*[F.lit(i / (points - 1)) for i in range(points)])
+def _is_ordered(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.NumericType, *_TIMES))
 
-    def batch(names: list[str]) -> DataFrame:
-        row = df.agg(*[F.percentile_approx(numeric_view(_c(c), kinds[c]), probs, 10_000).alias(f"q{i}") for i, c in enumerate(names)])
-        return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"q{i}").alias("grid")) for i, c in enumerate(names)])))
 
-    if not columns:
-        return {}
-    out = reduce(DataFrame.unionByName, [batch(b) for b in _batches(columns)])
-    return {r["column"]: np.asarray(r["grid"], dtype="float64") for r in out.collect()}
+def value_ranks(df: DataFrame, column: str, dtype: T.DataType, n: int) -> DataFrame:
+    """(_value, _start, _cnt, _z) of the ``n`` filled rows: numbers and times in their order, other values by falling count."""
+    counts = df.select(_c(column).alias("_value")).where("_value IS NOT NULL").groupBy("_value").agg(F.count(F.lit(1)).alias("_cnt"))
+    order = ["_value"] if _is_ordered(dtype) else ["_less", "_value"]
+    numbered = ordered_index(counts.withColumn("_less", -F.col("_cnt")), [], order, "_t")
+    placed = running_sum(numbered, [], "_cnt", "_end", "_t").withColumn("_end", F.col("_end").cast("bigint"))
+
+    @F.pandas_udf("double")
+    def score(middle: pd.Series) -> pd.Series:
+        return pd.Series([_ppf(x / n, n) for x in middle], dtype="float64")
+
+    return cut_lineage(placed.select("_value", (F.col("_end") - F.col("_cnt")).alias("_start"), "_cnt", score(F.col("_end") - F.col("_cnt") / 2).alias("_z")))
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], ids: list[str], points: int) -> DataFrame:
@@ -148,28 +149,23 @@ def fit(df: DataFrame, columns: list[str] | None = None, value_limit: int = VALU
     filled = {c: seen[c]["filled"] for c in columns}
     distinct = {c: seen[c]["cardinality"] for c in columns}
     discrete = [c for c in columns if distinct[c] <= value_limit]
-    rest = [c for c in columns if c not in discrete]
-    continuous = [c for c in rest if isinstance(kinds[c], (T.NumericType, *_TIMES))]
+    ranked = [c for c in columns if c not in discrete]
 
     tables: dict[str, list] = {c: [] for c in discrete}
-    counted, grids = together(
-        lambda: value_tables(df, discrete).where("value IS NOT NULL").collect() if discrete else [], lambda: quantile_grid(df, continuous)
+    counted, *ranks = together(
+        lambda: value_tables(df, discrete).where("value IS NOT NULL").collect() if discrete else [],
+        *[lambda c=c: value_ranks(df, c, kinds[c], filled[c]) for c in ranked],
     )
     for r in counted:
         tables[r["column"]].append((r["value"], r["n"]))
     marginals = []
     for c in columns:
-        m = Marginal(c, "drawn", kinds[c], 1 - filled[c] / n if n else 1.0)
-        if c in discrete:
-            m.kind = "discrete"
+        m = Marginal(c, "discrete", kinds[c], 1 - filled[c] / n if n else 1.0)
+        if c in tables:
             _set_values(m, tables[c], filled[c])
-        elif c in continuous:
-            m.kind = "continuous"
-            grid = grids[c]
-            z = np.array([_ppf(i / (len(grid) - 1), filled[c]) for i in range(len(grid))])
-            x, first = np.unique(grid, return_index=True)
-            last = np.append(first[1:], len(grid)) - 1
-            m.x, m.z = x, (z[first] + z[last]) / 2
+        else:
+            m.kind, m.table, m.filled = "ranked", ranks[ranked.index(c)], filled[c]
+            m.largest = m.table.agg(F.coalesce(F.max("_cnt"), F.lit(0))).first()[0]
         marginals.append(m)
     model = Copula(marginals, np.eye(0), n)
     model.corr = score_correlation(df, model)
@@ -189,29 +185,33 @@ def _set_values(m: Marginal, table: list[tuple[str, int]], n: int) -> None:
     m.mids = np.array([_ppf((c - k / 2) / n, n) for c, (_, k) in zip(cum, table)])
 
 
-def _scores(pdf: pd.DataFrame, marginals: list[Marginal]) -> pd.DataFrame:
-    out = {}
-    for i, m in enumerate(marginals):
-        s = pdf.iloc[:, i]
-        if m.kind == "discrete":
-            out[i] = s.map(dict(zip(m.values, m.mids))).astype("float64")
-        else:
-            x = s.to_numpy(dtype="float64", na_value=np.nan)
-            out[i] = np.where(np.isnan(x), np.nan, np.interp(x, m.x, m.z))
-    return pd.DataFrame(out)
+def _scores(pdf: pd.DataFrame, mids: list[dict | None]) -> pd.DataFrame:
+    """Normal scores of the columns in order: texts are looked up in ``mids``, others are scores already."""
+    return pd.DataFrame({i: (pdf.iloc[:, i] if m is None else pdf.iloc[:, i].map(m)).astype("float64") for i, m in enumerate(mids)})
+
+
+def _heavy_values(m: Marginal, rows: int) -> list:
+    """Values (also null) with so many rows that a join must deal them, from the counts at hand."""
+    limit = max(1_000_000, rows // (4 * shuffle_width(m.table)))
+    heavy = [(r[0],) for r in m.table.where(F.col("_cnt") > limit).select("_value").collect()] if m.largest > limit else []
+    return heavy + ([(None,)] if rows - m.filled > limit else [])
 
 
 def score_correlation(df: DataFrame, model: Copula) -> np.ndarray:
     """Correlation of the normal scores: each partition adds up one small matrix."""
-    some = model.modelled
+    some = model.marginals
     k = len(some)
     corr = np.eye(k)
     if k < 2:
         return corr
-    view = df.select(
-        *[(_c(m.name).cast("string") if m.kind == "discrete" else numeric_view(_c(m.name), m.dtype)).alias(f"x{i}") for i, m in enumerate(some)]
-    )
-    parts = view.mapInPandas(lambda it: _co_moments(_scores(p, some) for p in it), _PARTIAL)
+    view = df.select(*[(_c(m.name).cast("string") if m.kind == "discrete" else _c(m.name)).alias(f"x{i}") for i, m in enumerate(some)])
+    for i, m in enumerate(some):
+        if m.kind == "ranked":
+            scored = m.table.select(F.col("_value").alias(f"x{i}"), F.col("_z").alias(f"z{i}"))
+            view = skew_join(view, scored, [f"x{i}"], "left", heavy=_heavy_values(m, model.rows)).drop(f"x{i}")
+    view = view.select(*[f"x{i}" if m.kind == "discrete" else f"z{i}" for i, m in enumerate(some)])
+    mids = [dict(zip(m.values, m.mids)) if m.kind == "discrete" else None for m in some]
+    parts = view.mapInPandas(lambda it: _co_moments(_scores(p, mids) for p in it), _PARTIAL)
     for r in merge_co_moments(parts).collect():
         if r["cxx"] > 1e-12 and r["cyy"] > 1e-12:
             corr[r["i"], r["j"]] = corr[r["j"], r["i"]] = float(np.clip(r["cxy"] / np.sqrt(r["cxx"] * r["cyy"]), -1, 1))
@@ -228,21 +228,22 @@ def _fast_normal(seed: int, stream: str, ids) -> Column:
 
 def sample_on(base: DataFrame, ids: list[str], model: Copula, seed: int = 42, stream: str = "copula", portable: bool = False) -> DataFrame:
     """Adds synthetic columns to rows identified by ``ids``. ``portable`` uses the MD5 draws instead of the fast ones."""
-    some = model.modelled
+    some = model.marginals
     if some:
         normal = R.normal if portable else _fast_normal
         z = [normal(seed, f"{stream}.{m.name}", ids) for m in some]
-        shape = T.StructType([T.StructField(f"v{i}", T.StringType() if m.kind == "discrete" else T.DoubleType()) for i, m in enumerate(some)])
+        shape = T.StructType([T.StructField(f"v{i}", T.StringType() if m.kind == "discrete" else T.LongType()) for i, m in enumerate(some)])
         lower = model.factor
-        maps = [(m.kind, np.array(m.values, dtype=object), m.cuts, m.z, m.x) for m in some]
+        maps = [(m.kind, np.array(m.values, dtype=object), m.cuts, m.filled) for m in some]
 
         @F.pandas_udf(shape)
         def draw(*cols: pd.Series) -> pd.DataFrame:
             w = np.column_stack([c.to_numpy(dtype="float64") for c in cols]) @ lower.T
             out = {}
-            for i, (kind, values, cuts, zs, xs) in enumerate(maps):
-                if kind == "continuous":
-                    out[f"v{i}"] = np.interp(w[:, i], zs, xs)
+            for i, (kind, values, cuts, n) in enumerate(maps):
+                if kind == "ranked":  # the place of the value among the n filled rows
+                    share = np.array([0.5 * math.erfc(-x / math.sqrt(2)) for x in w[:, i].tolist()])
+                    out[f"v{i}"] = np.minimum(np.floor(share * n), n - 1).astype(np.int64)
                 elif len(values):
                     out[f"v{i}"] = values[np.minimum(np.searchsorted(cuts, w[:, i], side="right"), len(values) - 1)]
                 else:
@@ -250,17 +251,29 @@ def sample_on(base: DataFrame, ids: list[str], model: Copula, seed: int = 42, st
             return pd.DataFrame(out)
 
         base = base.withColumn("_v", draw(*z))
+        base = base.withColumns({f"_v{i}": F.col(f"_v.v{i}") for i in range(len(some))}).drop("_v")
+        for i, m in enumerate(some):
+            if m.kind == "ranked":
+                places = value_places(m.table, m.largest).select(F.col("_place").alias(f"_v{i}"), F.col("_value").alias(f"_w{i}"))
+                # places are drawn evenly: only where there are few of them can one be large
+                heavy = [(p,) for p in range(m.filled)] if m.filled <= 4 * shuffle_width(base) else []
+                base = skew_join(base, places, [f"_v{i}"], heavy=heavy)
         cols = {}
         for i, m in enumerate(some):
-            v = F.col(f"_v.v{i}")
-            v = v.cast(m.dtype) if m.kind == "discrete" else typed(v, m.dtype)
+            v = F.col(f"_v{i}").cast(m.dtype) if m.kind == "discrete" else F.col(f"_w{i}")
             if m.null_share > 0:
                 v = F.when(R.fast_u(seed, f"{stream}.{m.name}.null", ids) >= m.null_share, v)
             cols[m.name] = v
-        base = base.withColumns(cols).drop("_v")
+        base = base.withColumns(cols).drop(*[f"_{x}{i}" for i in range(len(some)) for x in "vw"])
     return base
 
 
+def value_places(table: DataFrame, largest: int) -> DataFrame:
+    """(_place, _value): each value at as many places, counted from ``_start``, as it has rows."""
+    places = explode_counts(table.select("_value", "_start", "_cnt"), ["_start"], "_cnt", "_i", largest)
+    return places.select((F.col("_start") + F.col("_i")).alias("_place"), "_value")
+
+
 def draw_column(base: DataFrame, ids: list[str], source: DataFrame, column: str, seed: int, stream: str) -> DataFrame:
     """Fill a column with many values by drawing from the source's own value frequencies.
 
@@ -274,8 +287,7 @@ def draw_column(base: DataFrame, ids: list[str], source: DataFrame, column: str,
     keyed = counts.withColumn("_key", F.coalesce(F.sha2(F.col("_value").cast("string"), 256), F.lit("")))
     numbered = hashed_index(keyed, ["_key"], seed, f"{stream}.values", "_t")
     placed = running_sum(numbered, [], "_cnt", "_end", "_t").withColumn("_end", F.col("_end").cast("bigint"))
-    places = explode_counts(placed.withColumn("_start", F.col("_end") - F.col("_cnt")).select("_value", "_start", "_cnt"), ["_start"], "_cnt", "_i", largest)
-    places = places.select((F.col("_start") + F.col("_i")).alias("_place"), F.col("_value").alias(column))
+    places = value_places(placed.withColumn("_start", F.col("_end") - F.col("_cnt")), largest).withColumnRenamed("_value", column)
     drawn = base.withColumn("_place", F.floor(R.fast_u(seed, f"{stream}.{column}", ids) * n).cast("bigint"))
     return skew_join(drawn, places, ["_place"]).drop("_place")  # a small source makes few, large places
 
@@ -304,9 +316,6 @@ def synthesize(
     model = model or fit(source, columns)
     base = source.sparkSession.range(0, max(1, int(rows))).withColumnRenamed("id", "_row")
     out = sample_on(base, ["_row"], model, seed, stream, portable)
-    for m in model.marginals:
-        if m.kind == "drawn":
-            out = draw_column(out, ["_row"], source, m.name, seed, stream)
     if key:
         out = out.withColumn(key, key_value(F.col("_row"), source.schema[key].dataType, seed, stream))
     order = [f.name for f in source.schema.fields if f.name in columns or f.name == key]

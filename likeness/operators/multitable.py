@@ -221,9 +221,6 @@ def synthesize_hierarchy(
             n = max(1, round(sizes[t] * scale))
             base = tables[t].sparkSession.range(0, n).withColumnRenamed("id", "_row")
         df = K.sample_on(base, ["_row"], models[t], seed + i, t)
-        for m in models[t].marginals:
-            if m.kind == "drawn":
-                df = K.draw_column(df, ["_row"], clean[t].select(m.name), m.name, seed + i, t)
         if t in first:
             df = _from_deviations(df, clean[t], numbers(t), t)
         if keys.get(t):

@@ -139,6 +139,26 @@ def test_copula_keeps_marginals_and_correlation(spark):
     assert abs(sides[0]["m"] - sides[1]["m"]) > 8
 
 
+def test_copula_does_not_depend_on_the_number_of_values(spark):
+    """2,000 codes and as many numbers, both tied to a side: no value that the source lacks, ties kept, and the same rows wherever the tables are kept."""
+    src = spark.range(8000).select(
+        F.when(F.col("id") % 7 != 0, (F.col("id") % 2000) * 1000 + 7).alias("code"), F.concat(F.when(F.col("id") % 2000 < 1000, F.lit("a")).otherwise("b"), F.col("id") % 2000).alias("name"),
+        F.when(F.col("id") % 2000 < 1000, F.lit("low")).otherwise("high").alias("side"), (F.lit("2024-01-01").cast("date") + (F.col("id") % 1500).cast("int")).alias("day"),
+    )
+    out = K.synthesize(src, 8000, seed=3).toPandas()
+    have = src.toPandas()
+    assert len(out) == 8000
+    for c in src.columns:
+        assert set(out[c].dropna()) <= set(have[c].dropna()), c
+        assert abs(out[c].isna().sum() - have[c].isna().sum()) < 200
+    halves = out.groupby("side")["code"].mean()
+    assert halves["high"] - halves["low"] > 700_000  # 1,000,000 in the source
+    rank = {v: i for i, v in enumerate(sorted(have["name"].unique()))}
+    assert abs(np.corrcoef(out["name"].map(rank), out["side"] == "low")[0, 1]) > 0.6  # 0.87 in the source
+    cut, whole = (K.synthesize(src, 8000, seed=3, model=K.fit(src, value_limit=v)).orderBy("_row").collect() for v in (0, 10**6))
+    assert cut == whole
+
+
 def test_drawn_values_follow_frequencies_with_a_hot_value(spark, monkeypatch):
     monkeypatch.setattr(K, "CHUNK", 100)
     src = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 3 == 1, F.lit(None)).otherwise(F.concat(F.lit("v"), "id")).alias("t"))
