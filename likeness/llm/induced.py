@@ -5,8 +5,8 @@ comparison. Suffixes smaller than their right neighbour are type S, the others L
 suffix after an L suffix. Substrings between seeds are named, the names form a text a third as long
 that is ordered by recursion, and the order of the seeds induces all others: suffix tuples
 (position, length of the common prefix with the one before) pass through one queue per first byte,
-first upwards for L, then downwards for S. The queues live on disk beyond a bound of memory, so
-only the tuples at hand and the byte file's pages are held. Common prefixes are carried along: that
+first upwards for L, then downwards for S. The queues live on disk beyond a bound of memory; types,
+names, seeds and distances to the ends are whole arrays in memory, as is the recursion. Common prefixes are carried along: that
 of two induced suffixes is one more than the least one between the two that induced them.
 """
 

@@ -3,13 +3,15 @@
 A string of 50 bytes that occurs in two documents has, of its 16-byte grams, the same one of
 smallest hash: its anchor. Anchors that only one document has rule their strings out. Of all other
 strings the texts (a run of windows with one anchor is one piece) go to the shard of their anchor,
-so equal strings meet whatever documents they come from. A shard sorts the suffixes of its pieces
-by external induction (``induced``), and windows whose common prefix reaches 50 bytes are one string:
+so equal strings meet whatever documents they come from. Windows of a *hot* anchor, which so many
+documents have that their pieces would fill a shard, go by the hash of their 50 bytes instead: equal
+windows still meet, different ones spread. A shard sorts the suffixes of its pieces by induction (``induced``), and windows whose common prefix reaches 50 bytes are one string:
 its smallest doc_id keeps it, all others lose those bytes.
 
 Null texts are empty. Rows without a doc_id keep their text and are no source; rows that repeat a
 doc_id are no source for each other, and each is cut by its own text. Strings never cross documents. Equal pieces of one batch
 send one row to the shard, so a passage that a third of the documents share stays small there.
+A shard's arrays (types, names, seeds, its output) are held in memory; only the queues go to files.
 """
 
 from __future__ import annotations
@@ -18,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import shuffle_width
+from ..session import cut_lineage
 from .common import id_text_part, one_text_each, packed, unpacked, with_part
 from .hyperminhash import _mix
 from .recompress import _columns, shared_anchors
 
 WINDOW, GRAM = 50, 16
 LONGEST = 64  # windows in one piece
+HOT = 1_000  # documents an anchor must exceed, besides a quarter of an even shard, to be hot
 SHARDS = 4  # per shuffle partition, so that a shard's queues rarely need their files
 SHIFT = bytes((i + 1) % 256 for i in range(256))  # UTF-8 has no byte 255, so zero is free to end a piece
 
@@ -70,8 +74,19 @@ def _runs(key, wanted):
     return out
 
 
-def _pieces(batches):
-    """Rows of pieces from documents with their shared anchors."""
+def window_keys(text: bytes, starts):
+    """64-bit hash of the windows that start at ``starts``."""
+    import numpy as np
+
+    words = np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))
+    out = np.full(len(starts), np.uint64(11))
+    for i in [*range(0, WINDOW - 8, 8), WINDOW - 8]:
+        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + words[starts + i])
+    return out
+
+
+def _pieces(batches, hot):
+    """Rows of pieces from documents with their shared anchors; windows of ``hot`` anchors are pieces of their own."""
     import numpy as np
     import pyarrow as pa
 
@@ -99,6 +114,12 @@ def _pieces(batches):
                 doc, part = ids[i].as_py(), parts[i].as_py()
                 wanted = np.isin(key, keys[i].values.to_numpy(zero_copy_only=False).view(np.uint64))
                 signed = key.view(np.int64)
+                if len(hot):
+                    often = np.flatnonzero(wanted & np.isin(key, hot))
+                    wanted[often] = False
+                    for a, k in zip(often.tolist(), window_keys(text, often).view(np.int64).tolist()):
+                        rows.append((k, doc, part, a, text[a : a + WINDOW]))
+                    held += len(often) * WINDOW
                 for a, b in _runs(key, wanted):
                     rows.append((int(signed[a]), doc, part, a, text[a : b + WINDOW]))
                     held += b + WINDOW - a
@@ -171,10 +192,28 @@ def _shard(batches):
 def _repeats(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """doc_id, part, first, end: byte ranges (they may overlap) that a smaller document has too; whole copies of a smaller document are left out."""
     reps = docs.where(f"doc_id is not null and octet_length(text) >= {WINDOW}").groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    keys = shared_anchors(docs, lambda: anchors_of).join(reps, "doc_id", "left_semi")
-    kinds = "key long, salt int, doc_id long, part string, at long, size long, piece binary"
-    pieces = texts.join(keys, "doc_id").select("doc_id", "part", "packed", "keys").mapInArrow(_pieces, kinds)
-    return pieces.repartition(SHARDS * shuffle_width(docs), "key", "salt").mapInArrow(_shard, "doc_id long, part string, first long, end long")
+    keys = cut_lineage(shared_anchors(docs, lambda: anchors_of).join(reps, "doc_id", "left_semi"))
+    return _piece_rows(texts, keys).repartition(SHARDS * shuffle_width(docs), "key", "salt").mapInArrow(_shard, "doc_id long, part string, first long, end long")
+
+
+def hot_anchors(keys: DataFrame) -> list[int]:
+    """Anchors that more documents have than ``HOT`` and than a quarter of an even shard: at most four per shard."""
+    total = keys.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    limit = max(HOT, total // (4 * SHARDS * shuffle_width(keys)))
+    counts = keys.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return [r["key"] for r in counts.where(F.col("n") > limit).select("key").collect()]
+
+
+def _piece_rows(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, salt, doc_id, part, at, size, piece (null: a smaller document of the batch has it)."""
+    hot = hot_anchors(keys)
+
+    def work(batches):
+        import numpy as np
+
+        return _pieces(batches, np.array(hot, np.int64).view(np.uint64))
+
+    return texts.join(keys, "doc_id").select("doc_id", "part", "packed", "keys").mapInArrow(work, "key long, salt int, doc_id long, part string, at long, size long, piece binary")
 
 
 def strip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

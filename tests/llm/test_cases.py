@@ -11,7 +11,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import brute  # noqa: E402
 
-from likeness.llm import components, crf, exact, gru, hyperminhash, induced, packing, pieces, quality, recompress, simple8b, suffix  # noqa: E402
+from likeness.llm import common, components, crf, exact, gru, hyperminhash, induced, packing, pieces, quality, recompress, simple8b, suffix  # noqa: E402
 
 TOK = "/opt/tokenizers"
 LONG = " ".join(f"w{i * i % 977}" for i in range(30_000))
@@ -195,6 +195,22 @@ def test_suffixes(spark, docs, odd, empty):
     assert suffix.strip(odd).where("n_removed = 0").count() == 4 and suffix.strip(empty).count() == 0
 
 
+def test_hot_anchors_are_spread(spark, monkeypatch):
+    """One line in every document between different words: no key gets a row of each document, and the result is whole."""
+    monkeypatch.setattr(suffix, "HOT", 20)
+    monkeypatch.setattr(suffix, "SHARDS", 64)
+    rng = random.Random(6)
+    line = " ".join(f"line{i}" for i in range(12))
+    texts = {d: " ".join([*(f"w{rng.randrange(10**6)}" for _ in range(5)), line, *(f"v{rng.randrange(10**6)}" for _ in range(5))]) for d in range(400)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    docs = common.id_text_part(common.with_part(df))
+    keys = suffix.shared_anchors(docs, lambda: suffix.anchors_of)
+    sent = suffix._piece_rows(common.packed(docs), keys).where("piece is not null").groupBy("key").count().agg({"count": "max"}).first()[0]
+    assert suffix.hot_anchors(keys) and sent < 100
+    got = rows(suffix.strip(df))
+    assert {d: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for d, r in got.items()} == brute.stripped_bytes(texts)
+
+
 @pytest.mark.parametrize("direct, held", [(0, 3), (10, 1000), (10**6, 10**6)])
 def test_induced_order(direct, held):
     rng = random.Random(4)
