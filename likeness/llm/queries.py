@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf, exact, gru, hyperminhash, packing, pieces, quality, recompress, simple8b, suffix
+from . import audit, crf, disclosure, exact, gru, hyperminhash, lookup, packing, pieces, quality, recompress, simple8b, suffix
 from .common import documents
 
 TOKENIZERS = "/opt/tokenizers"  # folder of the public tokenizer files
@@ -63,11 +63,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.judge(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+def op11_centroid_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.cluster(documents(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+def op12_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = disclosure.sanitise(documents(spark, sf_dir), with_text=False)
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_term", "base_sha256", "spans")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_gru_scoring": op1_gru_scoring, "op2_sentencepiece": op2_sentencepiece, "op3_simple8b": op3_simple8b, "op4_quality_rules": op4_quality_rules, "op5_hyperminhash": op5_hyperminhash,
     "op6_exact_dedup": op6_exact_dedup, "op7_suffix_array": op7_suffix_array, "op8_recompression": op8_recompression, "op9_packing": op9_packing, "op10_toxicity": op10_toxicity,
+    "op11_centroid_tables": op11_centroid_tables, "op12_pii_disclosure": op12_pii_disclosure, "op13_filter_audit": op13_filter_audit,
 }
-ORACLES = {"op6_exact_dedup": OP6_SQL}
+ORACLES = {"op6_exact_dedup": OP6_SQL, "op11_centroid_tables": lookup.oracle(), "op13_filter_audit": audit.oracle()}
 
 # --- stages of the corpus pipeline ------------------------------------------------------
 
