@@ -17,6 +17,7 @@ from ..functions.text import (
 )
 from ..functions import random as R
 from .joins import skew_join
+from .keys import links_with_evidence
 
 # Accepted type names and their synonyms.
 TYPE_OPTIONS = ["varchar", "text", "integer", "bigint", "smallint", "decimal", "double", "float", "boolean", "date", "timestamp"]
@@ -121,12 +122,15 @@ def pick_keys(columns: DataFrame) -> DataFrame:
     return columns.groupBy("table_name").agg(F.min_by("column_name", F.struct(rank, F.col("position"))).alias("pk_column"))
 
 
-def infer_links(columns: DataFrame, slices: int = 16, min_rows: int = 1_000_000) -> DataFrame:
+def infer_links(columns: DataFrame, slices: int = 16, min_rows: int = 1_000_000, tables: dict[str, DataFrame] | None = None, min_overlap: float = 0.95) -> DataFrame:
     """Foreign-key guesses: a ``*id`` column whose stem is the name of another table.
 
     Names meet by an equi-join on the stem; a stem used by very many columns is dealt over
-    several tasks.
+    several tasks. With the ``tables`` themselves the guesses are held against the data and carry
+    their overlap; links that only the data shows are added (``keys.links_with_evidence``).
     """
+    if tables is not None:
+        return links_with_evidence(infer_links(columns, slices, min_rows), tables, min_overlap)
     n = tight("column_name")
     child = columns.select(
         F.col("table_name").alias("from_table"), F.col("column_name").alias("from_column"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import quote
 from .joins import skew_join
+from .keys import key_kind, shared_keys, with_overlap
 from .profile import approx_distinct_counts, distinct_counts, numeric_columns, scalar_columns
 
 CONSTANT = 1e-28  # variance / mean^2 up to which a column is constant: below the resolution of a double
@@ -247,12 +248,17 @@ def key_overlap(child: DataFrame, child_col: str, parent: DataFrame, parent_col:
 
 
 def fk_overlaps(tables: dict[str, DataFrame], relations: list[tuple[str, str, str, str]]) -> DataFrame:
-    """``key_overlap`` for (child table, column, parent table, column) edges."""
-    parts = [
+    """``key_overlap`` of (child table, column, parent table, column) edges: those between columns of one kind read every table once."""
+    def kind(table: str, column: str) -> str | None:
+        return key_kind(tables[table].schema[column].dataType)
+
+    alike = [r for r in relations if kind(*r[:2]) and kind(*r[:2]) == kind(*r[2:])]
+    parts = [with_overlap(shared_keys(tables, alike)).drop("coverage")] if alike else []
+    parts += [
         key_overlap(tables[ct], cc, tables[pt], pc).select(
             F.lit(ct).alias("from_table"), F.lit(cc).alias("from_column"), F.lit(pt).alias("to_table"), F.lit(pc).alias("to_column"), "*"
         )
-        for ct, cc, pt, pc in relations
+        for ct, cc, pt, pc in relations if (ct, cc, pt, pc) not in alike
     ]
     return reduce(DataFrame.unionByName, parts)
 
