@@ -20,6 +20,7 @@ from .joins import match, shuffle_width, skew_join
 from .profile import _c
 from .relate import safe_corr
 from .rows import ordered_index
+from .stl import stl, with_margin
 
 BLOCK_ROWS = 1 << 16
 HEAVY_ROWS = 1_000_000
@@ -81,29 +82,35 @@ def running_sum(df: DataFrame, keys: list[str], column: str, out: str, t: str =
 def moving_average(df: DataFrame, keys: list[str], column: str, window: Column, n: Column, out: str = "ma", t: str = "t", rows: int = BLOCK_ROWS) -> DataFrame:
     """(keys, t, column, out): centred average with zeros beyond both ends; the divisor is always ``window``.
 
-    ``window`` and the series length ``n`` are columns, so every series can have its own.
-    The average is a difference of running sums: every row sends its sum to the two
-    positions that need it, positions near the end get the final sum, and one grouping by
-    position brings the parts and the row's own value together.
+    ``window`` and the series length ``n`` are columns, so every series can have its own. A block
+    of positions, at least as long as the window, brings along the rows of its margin, and all its
+    averages are made in one pass. Sums are taken over deviations from the block's mean, so values far
+    from zero keep their digits. (A season of steps of 100 days and more has under a million rows, as
+    timestamps end; other seasons have at most 1,440.)
     """
-    base = df.select(*keys, t, _c(column).alias("_x"), window.cast("bigint").alias("_w"), n.cast("bigint").alias("_n"))
-    s = running_sum(base, keys, "_x", "_sum", t, rows)
-    at, w, last = F.col(t), F.col("_w"), F.col("_n") - 1
-    ahead, behind = F.floor((w - 1) / 2).cast("bigint"), F.floor(w / 2).cast("bigint")
-    none = F.lit(None).cast("double")
-
-    def part(to: Column, sent: Column, own: Column) -> Column:
-        return F.struct(to.alias("to"), sent.alias("s"), own.alias("own"))
-
-    late_from = F.greatest(last - ahead + 1, F.lit(0))
-    late = F.when((at == last) & (late_from <= last), F.sequence(late_from, last)).otherwise(F.array().cast("array<bigint>"))
-    share = F.col("_sum") / w
-    parts = F.concat(
-        F.array(part(at, F.lit(0.0), F.col("_x")), part(at - ahead, share, none), part(at + behind + 1, -share, none)),
-        F.transform(late, lambda p: part(p, share, none)),
-    )
-    sent = s.select(*keys, "_n", F.explode(parts).alias("p")).where("p.to >= 0 AND p.to < _n")
-    return sent.groupBy(*keys, F.col("p.to").alias(t)).agg(F.max("p.own").alias(column), F.sum("p.s").alias(out))
+    base = df.select(*keys, t, _c(column).cast("double").alias("_x"), window.cast("bigint").alias("_w"), n.cast("bigint").alias("_n"))
+    w = F.col("_w")
+    base = base.withColumn("_rows", F.greatest(F.lit(rows), w))
+    spread = with_margin(base, F.floor(w / 2), F.floor((w - 1) / 2), F.col("_rows"), F.col("_n") - 1, t)
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(t)
+        w, n, size, b = (int(pdf[c].iloc[0]) for c in ("_w", "_n", "_rows", "_b"))
+        at, x = pdf[t].to_numpy(), pdf["_x"].to_numpy(float)
+        middle = float(np.mean(x))
+        middle = middle if np.isfinite(middle) else 0.0
+        sums = np.concatenate([[0.0], np.cumsum(x - middle)])
+        core = (at >= b * size) & (at < (b + 1) * size)
+        here = at[core]
+        low, high = np.maximum(here - w // 2, 0), np.minimum(here + (w - 1) // 2, n - 1)
+        made = pdf.loc[core, [*keys, t]].copy()
+        made[column] = x[core]
+        made[out] = (sums[high + 1 - at[0]] - sums[low - at[0]] + middle * (high - low + 1)) / w
+        return made
+
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    fields = [*[T.StructField(c, kinds[c]) for c in keys], T.StructField(t, kinds[t]), T.StructField(column, T.DoubleType()), T.StructField(out, T.DoubleType())]
+    return spread.groupBy(*keys, "_b").applyInPandas(block, T.StructType(fields))
 
 
 # --- frequency and season ------------------------------------------------------------
@@ -324,10 +331,23 @@ def _rounded(c: Column, default: float) -> Column:
     return F.when(r.isNull() | (r == 0), F.lit(default)).otherwise(r)
 
 
-def analyze(df: DataFrame, keys: list[str], ts: str, values: list[str], tie: list[str] = (), rows: int = BLOCK_ROWS, min_rows: int = 4) -> tuple[DataFrame, DataFrame]:
+def stl_parts(long: DataFrame, keys: list[str], info: DataFrame, rows: int = BLOCK_ROWS, **options) -> tuple[DataFrame, DataFrame]:
+    """As ``decompose``, but what is left over the trend line is split by loess (``stl``)."""
+    heavy, _ = _heavy_series(long, info, keys)
+    x = skew_join(long, info.select(*keys, "slope", "intercept"), keys, "inner", heavy=heavy)
+    x = x.withColumn("flat", F.col("value") - (F.col("slope") * F.col("t") + F.col("intercept")))
+    parts = stl(x.select(*keys, "t", "flat"), keys, info, "flat", rows=rows, **options).withColumnRenamed("trend", "moving_trend")
+    phased = skew_join(parts, info.select(*keys, "period"), keys, "inner", heavy=heavy).withColumn("phase", F.col("t") % F.col("period"))
+    return parts, phased.groupBy(*keys, "phase").agg(F.avg("seasonal").alias("seasonal"))
+
+
+def analyze(
+    df: DataFrame, keys: list[str], ts: str, values: list[str], tie: list[str] = (), rows: int = BLOCK_ROWS, min_rows: int = 4, method: str = "average"
+) -> tuple[DataFrame, DataFrame]:
     """Pattern models: one row per (keys, column), and residual correlations (keys, col_a, col_b, corr).
 
     Series with fewer than ``min_rows`` rows are left out; rows with a null key belong to no series.
+    ``method``: ``average`` (moving average and phase means) or ``stl`` (loess, robust).
     """
     placed = ordered_index(df.select(*keys, ts, *tie, *values), keys, [ts, *tie])
     keys_known = reduce(lambda a, b: a & b, [_c(k).isNotNull() for k in keys], F.lit(True))
@@ -340,7 +360,7 @@ def analyze(df: DataFrame, keys: list[str], ts: str, values: list[str], tie: lis
     long = cut_lineage(long_form(fill_gaps(placed, keys, values, rows=rows), keys, values))
     lines = trends(long, cols).join(info, keys).withColumn("period", season_period(F.col("season"), F.col("n")))
     lines = cut_lineage(lines)
-    parts, means = decompose(long, cols, lines, rows)
+    parts, means = (stl_parts if method == "stl" else decompose)(long, cols, lines, rows)
     lagged = with_lag(parts, cols, ["residual"], rows=rows)
     r = F.col("residual")
     rest = lagged.groupBy(*cols).agg(F.avg(r).alias("_m"), F.stddev_pop(r).alias("_s"), safe_corr(r, F.col("prev_residual")).alias("_a"))

@@ -10,6 +10,7 @@ from ..functions.dates import FREQUENCIES, calendar_step, next_point, roll_forwa
 from ..operators import series as S
 from ..operators import seriesgen as SG
 from ..operators.rows import ordered_index
+from ..operators.stl import stl
 from .common import load, sql_below, sql_normal, sql_pick, sql_u
 
 BLOCK = 512  # small blocks, so that series cross block edges at test size
@@ -94,6 +95,17 @@ TS_MA_SQL = f"""WITH {_ev()}, x AS (SELECT *, least(length(event_type) * 30, n)
 SELECT event_type, t, value, round(sum(value) OVER (PARTITION BY event_type ORDER BY t ROWS BETWEEN (w // 2) PRECEDING AND ((w - 1) // 2) FOLLOWING) / w, 6) AS ma FROM x"""
 
 
+def ts_stl(spark, d):
+    """Robust decomposition of the values of every event type by loess, a season of twelve events."""
+    e = indexed(spark, d).select("event_type", "t", "value")
+    info = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).withColumn("period", F.lit(12)).where("n >= 2 * period")
+    out = stl(e, ["event_type"], info, outer=STL_ROUNDS, rows=BLOCK)
+    return out.withColumns({c: F.round(c, 6) for c in ("trend", "seasonal", "residual", "weight")})
+
+
+STL_ROUNDS = 3
+
+
 def ts_trend(spark, d):
     long = S.long_form(indexed(spark, d), ["event_type"], ["value", "user_id"])
     g = S.trends(long, ["event_type", "column"])
@@ -296,6 +308,7 @@ round(greatest(least(m.slope * t + m.icept + {scale}::DOUBLE * {wave} + ar.r, m.
 _GEN_EVENTS = _generate_sql(_RAW, "n", 7, 0.5, True, "CASE freq WHEN 'min' THEN to_minutes(t + 1) WHEN 'h' THEN to_hours(t + 1) ELSE to_days(CAST(t + 1 AS INTEGER)) END")
 
 QUERIES = {
+    "ts_stl": ts_stl,
     "ts_steps": ts_steps, "ts_median_step": ts_median_step, "ts_frequency": ts_frequency, "ts_frequency_classes": ts_frequency_classes, "season_lengths": season_lengths,
     "ts_fill": ts_fill, "ts_moving_average": ts_moving_average, "ts_trend": ts_trend, "ts_autocorr": ts_autocorr, "ts_detect": ts_detect, "ts_decompose": ts_decompose,
     "ts_model": ts_model, "ts_model_daily": ts_model_daily, "ts_residual_corr": ts_residual_corr, "ts_summary": ts_summary, "calendar": calendar,

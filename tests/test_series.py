@@ -22,6 +22,18 @@ def test_moving_average_equals_convolution(spark, w):
     assert np.allclose(got, np.convolve(x, np.ones(w) / w, mode="same"))
 
 
+@pytest.mark.parametrize("w", [3, 40, 400])
+def test_moving_average_far_from_zero(spark, w):
+    x = 1e9 + np.random.default_rng(w).normal(0, 1e-3, 900)
+    df = frame(spark, x).withColumnRenamed("i", "t").withColumns({"w": F.lit(w), "n": F.lit(900)})
+    made = S.moving_average(df, ["s"], "v", F.col("w"), F.col("n"), rows=32)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    got = np.array([r["ma"] for r in made.orderBy("t").collect()])
+    inside = slice(w // 2, 900 - (w - 1) // 2)
+    want = np.array([np.mean(x[max(0, t - w // 2) : t + (w - 1) // 2 + 1] - 1e9) for t in range(900)])
+    assert np.abs(got[inside] - 1e9 - want[inside]).max() < 5e-7  # the resolution of a double at 1e9 is 1.2e-7
+
+
 def test_fill_and_lag_across_blocks(spark):
     x = [None, None, 3, None, None, None, None, 8, None, 10, None, None]
     df = frame(spark, x).withColumnRenamed("i", "t")
