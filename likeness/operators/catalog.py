@@ -189,7 +189,6 @@ def locked_columns(relations: DataFrame) -> DataFrame:
 
 # --- associations by name ------------------------------------------------------------
 
-ASSOCIATION_LIMIT = 12
 # Fixed values: (first token choices, second token choices, kind, confidence), in order.
 ASSOCIATION_RULES = [
     (["city"], ["state"], "geography", 0.80),
@@ -202,11 +201,11 @@ ASSOCIATION_RULES = [
 ID_PAIR_CONFIDENCE = 0.68
 
 
-def associations(columns: DataFrame) -> DataFrame:
-    """Likely related column pairs per table by name, at most 12 each, in rule order.
+def associations(columns: DataFrame, limit: int | None = None) -> DataFrame:
+    """Likely related column pairs per table by name, in rule order: pairs of ``*_id`` columns, then pairs of known words.
 
-    Only the first 13 ``*_id`` columns can take part in the first 12 id pairs, so a table of
-    any width is reduced to a handful of names before rows of a table come together.
+    ``limit`` keeps the first pairs of each table: only its first ``limit`` + 1 ``*_id`` columns can take part in those,
+    so a table of any width is reduced to a handful of names before rows of a table come together. Without it all pairs are given.
     """
     named = columns.where(strip("column_name") != "").select("table_name", "position", strip("column_name").alias("name"))
     low = F.lower("name")
@@ -219,36 +218,57 @@ def associations(columns: DataFrame) -> DataFrame:
     wanted = wanted.select("table_name", "x.*").where("position IS NOT NULL")
     found = wanted.join(named, ["table_name", "position"]).groupBy("table_name").agg(*[F.max(F.when(F.col("token") == t, F.col("name"))).alias(f"t_{t}") for t in tokens])
     w = Window.partitionBy("table_name").orderBy("position")
-    ids = named.where(low.endswith("_id")).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= ASSOCIATION_LIMIT + 1)
+    ids = named.where(low.endswith("_id")).withColumn("_r", F.row_number().over(w))
+    if limit is None:
+        return _all_associations(ids, found)
+    ids = ids.where(F.col("_r") <= limit + 1)
     ids = ids.groupBy("table_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "name"))), lambda s: s["name"]).alias("ids"))
 
-    def pair(a: Column, b: Column, kind: str, confidence: float) -> Column:
-        return F.struct(a.alias("col_a"), b.alias("col_b"), F.lit(kind).alias("association"), F.lit(confidence).alias("confidence"))
-
     id_list = F.coalesce("ids", F.array().cast("array<string>"))
     id_pairs = F.flatten(
-        F.transform(id_list, lambda a, i: F.transform(F.slice(id_list, i + 2, ASSOCIATION_LIMIT), lambda b: pair(a, b, "identifier", ID_PAIR_CONFIDENCE)))
+        F.transform(id_list, lambda a, i: F.transform(F.slice(id_list, i + 2, limit), lambda b: _pair(a, b, "identifier", ID_PAIR_CONFIDENCE)))
     )
-    rules = []
-    for left, right, kind, confidence in ASSOCIATION_RULES:
-        a = F.coalesce(*[F.col(f"t_{t}") for t in left])
-        b = F.coalesce(*[F.col(f"t_{t}") for t in right])
-        rules.append(F.when(a.isNotNull() & b.isNotNull(), pair(a, b, kind, confidence)))
-    by_rule = F.filter(F.array(*rules), lambda x: x.isNotNull())
+    by_rule = _pairs_by_rule()
 
     def key(p: Column) -> Column:
         return F.struct(F.least(p["col_a"], p["col_b"]), F.greatest(p["col_a"], p["col_b"]))
 
-    rows = found.join(ids, "table_name", "full").select("table_name", F.concat(F.slice(id_pairs, 1, ASSOCIATION_LIMIT), by_rule).alias("p"))
+    rows = found.join(ids, "table_name", "full").select("table_name", F.concat(F.slice(id_pairs, 1, limit), by_rule).alias("p"))
     seen = F.aggregate(
         "p", F.array().cast("array<struct<col_a:string,col_b:string,association:string,confidence:double>>"),
         lambda acc, x: F.when(F.exists(acc, lambda o: key(o) == key(x)), acc).otherwise(F.array_append(acc, x)),
     )
-    return rows.select("table_name", F.posexplode(F.slice(seen, 1, ASSOCIATION_LIMIT)).alias("rank", "a")).select(
+    return rows.select("table_name", F.posexplode(F.slice(seen, 1, limit)).alias("rank", "a")).select(
         "table_name", (F.col("rank") + 1).alias("rank"), "a.*"
     )
 
 
+def _pair(a: Column, b: Column, kind: str, confidence: float) -> Column:
+    return F.struct(a.alias("col_a"), b.alias("col_b"), F.lit(kind).alias("association"), F.lit(confidence).alias("confidence"))
+
+
+def _pairs_by_rule() -> Column:
+    """Pairs of the first columns with known words, in rule order."""
+    rules = []
+    for left, right, kind, confidence in ASSOCIATION_RULES:
+        a = F.coalesce(*[F.col(f"t_{t}") for t in left])
+        b = F.coalesce(*[F.col(f"t_{t}") for t in right])
+        rules.append(F.when(a.isNotNull() & b.isNotNull(), _pair(a, b, kind, confidence)))
+    return F.filter(F.array(*rules), lambda x: x.isNotNull())
+
+
+def _all_associations(ids: DataFrame, found: DataFrame) -> DataFrame:
+    """Every pair of ``*_id`` columns (``_r``: their place in the table) and every rule's pair, ranked without building a table's pairs in one row."""
+    a, b = (ids.select("table_name", F.col("_r").alias(r), F.col("name").alias(c)) for r, c in (("_i", "col_a"), ("_j", "col_b")))
+    # the table's own columns only, as many rows as it has pairs
+    id_pairs = a.join(b, "table_name").where("_i < _j").select("table_name", F.lit(0).alias("_part"), "_i", "_j", "col_a", "col_b", F.lit("identifier").alias("association"), F.lit(ID_PAIR_CONFIDENCE).alias("confidence"))
+    ruled = found.select("table_name", F.posexplode(_pairs_by_rule()).alias("_i", "p")).select("table_name", F.lit(1).alias("_part"), "_i", F.lit(0).alias("_j"), "p.*")
+    pair = [F.least("col_a", "col_b").alias("_low"), F.greatest("col_a", "col_b").alias("_high")]
+    first = id_pairs.unionByName(ruled).groupBy("table_name", *pair).agg(F.min(F.struct("_part", "_i", "_j", "col_a", "col_b", "association", "confidence")).alias("s"))
+    w = Window.partitionBy("table_name").orderBy("_part", "_i", "_j")
+    return first.select("table_name", "s.*").withColumn("rank", F.row_number().over(w)).select("table_name", "rank", "col_a", "col_b", "association", "confidence")
+
+
 # --- category expansion --------------------------------------------------------------
 
 # Name, column hints, values, aliases.

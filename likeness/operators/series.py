@@ -268,26 +268,53 @@ def decompose(long: DataFrame, keys: list[str], info: DataFrame, rows: int = BLO
 _HARMONICS = T.StructType(
     [T.StructField("amplitudes", T.ArrayType(T.DoubleType())), T.StructField("phases", T.ArrayType(T.DoubleType())), T.StructField("freqs", T.ArrayType(T.DoubleType()))]
 )
-FFT_LIMIT = 1 << 22
-
-
-def _spectrum(profile: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bins and DFT values of the season repeated to length n."""
-    p = len(profile)
-    if n <= FFT_LIMIT:
+FLOOR = 1e-6  # amplitudes up to here are no waves
+
+
+def _dft(p: np.ndarray, n: int, bins: np.ndarray, at_once: int = 1 << 18) -> np.ndarray:
+    """DFT at some bins of a season repeated to length n: the season's own sum times a geometric sum, and the rest."""
+    size = len(p)
+    reps, rest = divmod(n, size)
+    j = np.arange(size)
+    out = np.empty(len(bins), complex)
+    step = max(1, at_once // size)
+    turn = lambda x: np.exp(-2j * np.pi * (x % n) / n)
+    for a in range(0, len(bins), step):
+        k = bins[a : a + step]
+        wave = turn(k[:, None] * j[None, :])
+        whole = (k * size) % n == 0
+        many = np.where(whole, reps, (1 - turn(k * size * reps)) / np.where(whole, 1, 1 - turn(k * size)))
+        out[a : a + step] = many * (wave @ p) + turn(k * size * reps) * (wave[:, :rest] @ p[:rest])
+    return out
+
+
+def _spectrum(profile: np.ndarray, n: int, best: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Bins and DFT values of the season repeated to length n; the ``best`` largest beyond bin 0 are among them.
+
+    A repeated season has its energy next to the multiples of n / P. A bin at least d bins away from all
+    of them has at most |p|_1 / sin(pi d P / n) plus the rest's |p|_1; bins are looked at in growing distance until the
+    ``best`` found are above that bound, or the bound is below any wave. A season of an eighth of the
+    series and more is transformed whole: that takes an array of eight seasons at most.
+    """
+    size = len(profile)
+    if 8 * size >= n:
         return np.arange(n // 2 + 1), np.fft.rfft(np.resize(profile, n))
-    # a repeated profile has its energy next to the multiples of n / p; geometric sums give the bins there
-    near = np.arange(p // 2 + 1)[:, None] * (n / p) + np.arange(-1, 3)[None, :]
-    bins = np.unique(np.clip(np.floor(near), 0, n // 2).astype("int64"))
-    reps, rest = divmod(n, p)
-    out = np.empty(len(bins), dtype=complex)
-    j = np.arange(p)
-    for i, k in enumerate(bins):
-        step = np.exp(-2j * np.pi * ((k * p) % n) / n)
-        total = reps if abs(step - 1) < 1e-15 else (1 - np.exp(-2j * np.pi * ((k * p * reps) % n) / n)) / (1 - step)
-        wave = np.exp(-2j * np.pi * ((k * j) % n) / n)
-        out[i] = total * (profile @ wave) + np.exp(-2j * np.pi * ((k * p * reps) % n) / n) * (profile[:rest] @ wave[:rest])
-    return bins, out
+    reps, rest = divmod(n, size)
+    p = profile - (profile.sum() * reps + profile[:rest].sum()) / n  # changes bin 0 only
+    every = n // 2
+    middle = np.arange(size // 2 + 2) * n // size
+    reach = 0 if rest == 0 else 1  # in whole seasons all other bins are zero
+    while True:
+        near = (middle[:, None] + np.arange(-reach, reach + 2 if rest else 1)[None, :]).reshape(-1)
+        bins = np.unique(near[(near > 0) & (near <= every)])
+        found = _dft(p, n, bins)
+        if rest == 0 or len(bins) == every:
+            return bins, found
+        low = np.sort(np.abs(found))[-best] if len(found) >= best else 0.0
+        bound = np.abs(p).sum() / np.sin(np.pi * min(reach * size / n, 0.5)) + np.abs(p[:rest]).sum()
+        if low >= bound or bound * 2 / n <= FLOOR:
+            return bins, found
+        reach *= 4
 
 
 @F.pandas_udf(_HARMONICS)
@@ -305,7 +332,7 @@ def _harmonics(profile: pd.Series, n: pd.Series, season: pd.Series) -> pd.DataFr
             bins, spec = bins[live], spec[live]
             amp = np.abs(spec) * 2 / size
             for i in np.argsort(amp, kind="stable")[::-1][:2]:
-                if amp[i] > 1e-6:
+                if amp[i] > FLOOR:
                     amps.append(round(float(amp[i]), 6))
                     phs.append(round(float(np.angle(spec[i])), 6))
                     frq.append(float(bins[i]) / size)

@@ -176,7 +176,7 @@ CASE WHEN regexp_matches(upper(data_type), 'DATE|TIME') THEN 'datetime' WHEN con
 
 
 def associations(spark, d):
-    return C.associations(doc_columns(spark, d))
+    return C.associations(doc_columns(spark, d), 12)
 
 
 def _first_sql(tokens: list[str]) -> str:

@@ -104,6 +104,27 @@ def ts_stl(spark, d):
 
 
 STL_ROUNDS = 3
+LONG, SEASON = 5_000_011, 8
+
+
+def ts_long_spectrum(spark, d):
+    """Strongest waves of series of over five million positions that repeat a season of eight: the mean value per event type and position in eight."""
+    means = indexed(spark, d).groupBy("event_type", (F.col("t") % SEASON).alias("phase")).agg(F.avg("value").alias("seasonal"))
+    info = means.select("event_type").distinct().withColumns({"n": F.lit(LONG).cast("bigint"), "season": F.lit(SEASON).cast("bigint")})
+    out = S.harmonics(means, ["event_type"], info)
+    return out.select("event_type", F.transform("amplitudes", lambda x: F.round(x, 4)).alias("amplitudes"), F.transform("freqs", lambda x: F.round(x, 9)).alias("freqs"))
+
+
+_TURN = "2 * pi() * ((k * {0}) % {1}) / {1}"
+TS_SPECTRUM_SQL = f"""WITH {_ev()}, p AS (SELECT event_type, t % {SEASON} AS j, avg(value) AS x FROM ev GROUP BY ALL),
+k AS (SELECT range AS k FROM range(1, {LONG // 2 + 1})),
+sums AS (SELECT event_type, k, sum(x * cos({_TURN.format('j', LONG)})) AS a, -sum(x * sin({_TURN.format('j', LONG)})) AS b,
+  coalesce(sum(x * cos({_TURN.format('j', LONG)})) FILTER (WHERE j < {LONG % SEASON}), 0) AS c, -coalesce(sum(x * sin({_TURN.format('j', LONG)})) FILTER (WHERE j < {LONG % SEASON}), 0) AS e FROM p, k GROUP BY event_type, k),
+g AS (SELECT *, sin(pi() * ((k * {LONG - LONG % SEASON}) % {2 * LONG}) / {LONG}) / sin(pi() * ((k * {SEASON}) % {2 * LONG}) / {LONG}) AS m, -pi() * ((k * {LONG - LONG % SEASON - SEASON}) % {2 * LONG}) / {LONG} AS f,
+  -2 * pi() * ((k * {LONG - LONG % SEASON}) % {LONG}) / {LONG} AS h FROM sums),
+x AS (SELECT event_type, k, m * (a * cos(f) - b * sin(f)) + c * cos(h) - e * sin(h) AS re, m * (a * sin(f) + b * cos(f)) + c * sin(h) + e * cos(h) AS im FROM g),
+r AS (SELECT *, sqrt(re * re + im * im) * 2 / {LONG} AS amp, row_number() OVER (PARTITION BY event_type ORDER BY re * re + im * im DESC, k DESC) AS rank FROM x)
+SELECT event_type, list(round(amp, 4) ORDER BY rank) AS amplitudes, list(round(k / {LONG}::DOUBLE, 9) ORDER BY rank) AS freqs FROM r WHERE rank <= 2 GROUP BY event_type"""
 
 
 def ts_trend(spark, d):
@@ -308,7 +329,7 @@ round(greatest(least(m.slope * t + m.icept + {scale}::DOUBLE * {wave} + ar.r, m.
 _GEN_EVENTS = _generate_sql(_RAW, "n", 7, 0.5, True, "CASE freq WHEN 'min' THEN to_minutes(t + 1) WHEN 'h' THEN to_hours(t + 1) ELSE to_days(CAST(t + 1 AS INTEGER)) END")
 
 QUERIES = {
-    "ts_stl": ts_stl,
+    "ts_stl": ts_stl, "ts_long_spectrum": ts_long_spectrum,
     "ts_steps": ts_steps, "ts_median_step": ts_median_step, "ts_frequency": ts_frequency, "ts_frequency_classes": ts_frequency_classes, "season_lengths": season_lengths,
     "ts_fill": ts_fill, "ts_moving_average": ts_moving_average, "ts_trend": ts_trend, "ts_autocorr": ts_autocorr, "ts_detect": ts_detect, "ts_decompose": ts_decompose,
     "ts_model": ts_model, "ts_model_daily": ts_model_daily, "ts_residual_corr": ts_residual_corr, "ts_summary": ts_summary, "calendar": calendar,
@@ -316,6 +337,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "ts_long_spectrum": TS_SPECTRUM_SQL,
     "ts_steps": f"WITH {_steps_sql('event_type')} SELECT event_type, count(*) AS steps, round(sum(step), 3) AS seconds, max(step) AS longest FROM st GROUP BY 1",
     "ts_median_step": f"WITH {_steps_sql('event_type')} SELECT event_type, median(step) AS median_step FROM st GROUP BY 1",
     "ts_frequency": f"WITH {_steps_sql('user_id')} SELECT user_id, {_FREQ} AS frequency, c AS steps FROM (SELECT user_id, median(step) AS m, count(*) AS c FROM st GROUP BY 1)",

@@ -132,19 +132,20 @@ def _cramers_sql(table: str) -> str:
     FROM s WHERE least(ra, cb) > 1 ORDER BY score DESC, i, j LIMIT 30"""
 
 
-WIDE = 70
+SIGNS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,;:!?-("  # one column each
 
 
 def cramers_wide(spark, d):
-    """Association of seventy columns: the length classes of the first words of each document."""
-    docs = load(spark, d, "documents")
-    words = F.split("text", " ")
-    wide = docs.select(*[F.concat(F.lit("k"), F.length(F.get(words, F.lit(i))) % (3 + i % 5)).alias(f"w{i}") for i in range(WIDE)])
+    """Association of seventy columns: how often each of seventy signs stands in a whole text, in classes."""
+    text = F.col("text")
+    often = [(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))) % (3 + i % 5) for i, c in enumerate(SIGNS)]
+    wide = load(spark, d, "documents", "doc_id").select(*[F.concat(F.lit("k"), n).alias(f"w{i}") for i, n in enumerate(often)])
     return L.cramers_v(wide).withColumn("score", F.round("score", 6))
 
 
-WIDE_SQL = f"""WITH w AS (SELECT doc_id, unnest(range({WIDE})) AS i, string_split(text, ' ') AS s FROM documents WHERE text IS NOT NULL),
-v AS (SELECT doc_id, i, length(s[i + 1]) % (3 + i % 5) AS x FROM w WHERE i < len(s)),
+_OFTEN = ", ".join(f"(length(text) - length(replace(text, '{c}', ''))) % {3 + i % 5}" for i, c in enumerate(SIGNS))
+WIDE_SQL = f"""WITH w AS (SELECT doc_id, [{_OFTEN}] AS s FROM documents WHERE text IS NOT NULL),
+v AS (SELECT doc_id, unnest(range({len(SIGNS)})) AS i, unnest(s) AS x FROM w),
 cells AS (SELECT a.i, b.i AS j, a.x AS a, b.x AS b, count(*)::DOUBLE AS o FROM v a JOIN v b ON a.doc_id = b.doc_id AND a.i < b.i GROUP BY ALL),
 m AS (SELECT *, sum(o) OVER (PARTITION BY i, j, a) AS r, sum(o) OVER (PARTITION BY i, j, b) AS c FROM cells),
 s AS (SELECT i, j, sum(o * o / (r * c)) AS s, count(DISTINCT a) AS ra, count(DISTINCT b) AS cb FROM m GROUP BY ALL)

@@ -112,18 +112,30 @@ def test_short_and_constant_series(spark):
     assert m[0]["trend_slope"] == 0 and m[0]["residual_std"] == 0.001 and m[0]["autocorr_lag1"] == 0 and m[0]["value_max"] == 4
 
 
-def test_harmonics_of_very_long_series_use_the_phase_means(monkeypatch):
+def test_harmonics_of_very_long_series_use_the_phase_means():
     p = np.sin(2 * np.pi * np.arange(24) / 24) + 0.4 * np.cos(4 * np.pi * np.arange(24) / 24)
     for n in (24 * 50, 24 * 50 + 7):
         full = np.fft.rfft(np.resize(p, n))
-        monkeypatch.setattr(S, "FFT_LIMIT", 10)
         bins, spec = S._spectrum(p, n)
-        monkeypatch.undo()
         assert np.allclose(spec, full[bins], atol=1e-6)
         best = np.argsort(np.abs(full[1:]))[::-1][:2] + 1
         assert set(best) <= set(bins.tolist())
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_the_strongest_waves_are_found_without_the_whole_series(seed):
+    rng = np.random.default_rng(seed)
+    size = [2, 5, 24, 24, 97, 365][seed]
+    p = [np.array([1.0, -1.0]), rng.normal(size=5), np.sin(2 * np.pi * np.arange(24) / 24), rng.exponential(size=24) ** 4, rng.normal(size=97), np.ones(365) + 1e-3 * rng.normal(size=365)][seed]
+    for n in (size * 9 + 1, size * 40, size * 200 + size // 2, 5_000_011 if size < 50 else 60_013):
+        full = np.abs(np.fft.rfft(np.resize(p, n)))[1:]
+        bins, spec = S._spectrum(p, n)
+        best = np.sort(full)[::-1][:2]
+        got = np.sort(np.abs(spec[bins > 0]))[::-1][:2]
+        live = best * 2 / n > 10 * S.FLOOR
+        assert np.allclose(got[: live.sum()], best[live], rtol=1e-6)
+
+
 def test_time_columns(spark):
     df = spark.createDataFrame([("2024-01-01", 5, "a", "2024-02-02", None)], "products string, year int, x string, y string, day string")
     got = [r["column"] for r in S.detect_time_columns(df).orderBy("rank").collect()]
