@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,9 +16,10 @@ from ..functions.text import clamp, quote
 from ..session import cut_lineage, together
 from . import copula as K
 from .generate import Link
-from .joins import heavy_keys, skew_join
+from .joins import heavy_keys, shuffle_width, skew_join
 from .profile import _c, key_candidates
-from .relate import drop_orphans, key_overlap
+from .relate import _PARTIAL, _co_moments, drop_orphans, key_overlap, merge_co_moments
+from .rows import ordered_index
 from .series import running_sum
 
 
@@ -165,7 +168,10 @@ def synthesize_hierarchy(
     A parent row is modelled together with the number of its children and the mean and
     spread of their numbers. Sampled parents bring their sampled counts, each child row
     starts from its parent's mean and spread. Tables are scaled by num_rows / largest table.
-    A table with several parents hangs on the first one; its other foreign keys are drawn.
+    A table with several parents hangs on the first one. For each further parent a child row is modelled with
+    that parent's score, a sum of the parent's numbers that goes with the child's numbers most closely;
+    sampled children take the places of sampled parents in the order of both scores, as
+    many places per parent as its sampled number of children.
     """
     keys = keys or {t: primary_key(df) for t, df in tables.items()}
     given = usable_links(tables, links, self_links=True)
@@ -195,6 +201,10 @@ def synthesize_hierarchy(
         return [f.name for f in tables[t].schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in foreign[t] and f.name != keys.get(t)]
 
     kids = {t: [_Child(k, numbers(k.from_table)) for k in first.values() if k.to_table == t] for t in tables}
+    further = [k for k in links if k is not first[k.from_table]]
+    for k in further:
+        kids[k.to_table].append(_Child(k, []))
+    scores = {k: fit_score(clean[k.from_table], clean[k.to_table], k, numbers(k.from_table), numbers(k.to_table)) for k in further}
     models, sizes = {}, {}
     for t in order:
         df = clean[t]
@@ -202,10 +212,15 @@ def synthesize_hierarchy(
         plain = [f.name for f in df.schema.fields if f.name not in skip and not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
         extra = []
         for kid in kids[t]:
+            # every link has its own count; the first one also the children's numbers
             agg = child_aggregates(clean[kid.link.from_table], kid.link, kid.numbers)
             count = _stat(kid.link.from_table, kid.link.from_column, "count")
             df = df.join(agg, _c(kid.link.to_column) == F.col("_pk"), "left").drop("_pk").withColumn(count, F.coalesce(count, F.lit(0.0)))
             extra += [c for c in agg.columns if c != "_pk"]
+        for k in further:
+            if k.from_table == t:
+                df = _with_parent_score(df, k, clean[k.to_table], child_aggregates(clean[t], k, []), scores[k])
+                extra.append(_score_name(k))
         if t in first:  # numbers are modelled as deviations from the parent's mean, in units of its spread
             df = _deviations(df, first[t], numbers(t), clean[t])
         df = cut_lineage(df.select(*plain, *extra)) if extra or t in first else df.select(*plain)
@@ -225,18 +240,97 @@ def synthesize_hierarchy(
             df = _from_deviations(df, clean[t], numbers(t), t)
         if keys.get(t):
             df = df.withColumn(keys[t], K.key_value(F.col("_row"), tables[t].schema[keys[t]].dataType, seed, t))
-        for k in links:
-            if k.from_table == t and k is not first[t]:
-                n = made[k.to_table].count()
-                row = R.below(seed, f"{t}.{k.from_column}.parent", "_row", n)
-                df = _drawn_key(df, k, row, tables, clean, seed)
         made[t] = cut_lineage(df)
+        for k in further:
+            if k.from_table == t:
+                made[t] = cut_lineage(_matched_keys(made[t], k, made[k.to_table], scores[k], clean[t].schema[k.from_column].dataType))
     for k in late:
         row = R.below(seed, f"{k.from_table}.{k.from_column}.parent", "_row", made[k.to_table].count())
         made[k.from_table] = _drawn_key(made[k.from_table], k, row, tables, clean, seed)
     return {t: made[t].select(*[_c(c) for c in tables[t].columns if c in made[t].columns]) for t in tables}
 
 
+@dataclass
+class Score:
+    """A weighted sum of a parent's standardized numbers and of its number of children."""
+
+    columns: list[str]
+    means: list[float]
+    scales: list[float]
+    weights: list[float]
+
+    def of(self) -> Column:
+        parts = [F.coalesce((_c(c).cast("double") - m) / s, F.lit(0.0)) * w for c, m, s, w in zip(self.columns, self.means, self.scales, self.weights)]
+        return reduce(lambda a, b: a + b, parts, F.lit(0.0))
+
+
+def _score_name(link: Link) -> str:
+    return f"__score__{link.from_column}"
+
+
+def _counted_parents(parent: DataFrame, link: Link, counts: DataFrame) -> DataFrame:
+    """Parents with the number of their children by the link."""
+    count = _stat(link.from_table, link.from_column, "count")
+    return parent.join(counts, _c(link.to_column) == F.col("_pk"), "left").drop("_pk").withColumn(count, F.coalesce(count, F.lit(0.0)))
+
+
+def fit_score(child: DataFrame, parent: DataFrame, link: Link, child_numbers: list[str], parent_numbers: list[str]) -> Score:
+    """The score of a parent that is correlated most with a sum of the child's numbers (first canonical direction)."""
+    count = _stat(link.from_table, link.from_column, "count")
+    names = [*parent_numbers, count]
+    parents = _counted_parents(parent.select(_c(link.to_column), *[_c(c) for c in parent_numbers]), link, child_aggregates(child, link, []))
+    parents = parents.select(_c(link.to_column).alias("_pk"), *[_c(c).cast("double").alias(f"y{i}") for i, c in enumerate(names)])
+    rows = child.where(_c(link.from_column).isNotNull()).select(_c(link.from_column).alias("_pk"), *[_c(c).cast("double").alias(f"x{i}") for i, c in enumerate(child_numbers)])
+    both = skew_join(rows, parents, ["_pk"], "inner").drop("_pk")
+    k, left = len(child_numbers) + len(names), len(child_numbers)
+    own = both.agg(*[f(c).alias(f"{w}{i}") for i, c in enumerate(both.columns) for w, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    means = [own[f"m{i}"] or 0.0 for i in range(k)]
+    spread = [own[f"s{i}"] or 0.0 for i in range(k)]
+    corr = np.eye(k)
+    if k > 1:
+        for r in merge_co_moments(both.mapInPandas(_co_moments, _PARTIAL)).collect():  # one row per pair of numbers
+            if r["cxx"] > 0 and r["cyy"] > 0:
+                corr[r["i"], r["j"]] = corr[r["j"], r["i"]] = r["cxy"] / math.sqrt(r["cxx"] * r["cyy"])
+    live_x = [i for i in range(left) if spread[i] > 0]
+    live_y = [i for i in range(left, k) if spread[i] > 0]
+    weights = np.zeros(len(names))
+    if live_x and live_y:
+        ridge = lambda idx: corr[np.ix_(idx, idx)] + 1e-6 * np.eye(len(idx))
+        cross = corr[np.ix_(live_y, live_x)]
+        found, directions = np.linalg.eig(np.linalg.solve(ridge(live_y), cross @ np.linalg.solve(ridge(live_x), cross.T)))
+        best = np.real(directions[:, int(np.argmax(np.real(found)))])
+        weights[[i - left for i in live_y]] = best * (1 if best[int(np.argmax(np.abs(best)))] > 0 else -1)
+    elif live_y:
+        weights[live_y[0] - left] = 1.0
+    return Score(names, means[left:], [s or 1.0 for s in spread[left:]], weights.tolist())
+
+
+def _with_parent_score(df: DataFrame, link: Link, parent: DataFrame, counts: DataFrame, score: Score) -> DataFrame:
+    """Child rows with the score of their parent by the link, null without one."""
+    scored = _counted_parents(parent, link, counts).select(_c(link.to_column).alias("_sk"), score.of().alias(_score_name(link)))
+    return skew_join(df.withColumn("_sk", _c(link.from_column)), scored, ["_sk"], "left").drop("_sk")
+
+
+def _matched_keys(children: DataFrame, link: Link, parents: DataFrame, score: Score, dtype: T.DataType) -> DataFrame:
+    """Children take their parents' places in the order of the scores; a child without a score has no parent."""
+    name, count = _score_name(link), _stat(link.from_table, link.from_column, "count")
+    ranked = ordered_index(children.where(_c(name).isNotNull()).withColumn("_s", _c(name)), [], ["_s", "_row"], "_rank")
+    p = parents.select(_c(link.to_column).alias("_key"), F.col("_row").alias("_parent_row"), score.of().alias("_s"), F.greatest(F.round(_c(count)), F.lit(0)).cast("bigint").alias("_cnt")).where("_cnt > 0")
+    total, largest = p.agg(F.coalesce(F.sum("_cnt"), F.lit(0)), F.coalesce(F.max("_cnt"), F.lit(0))).first()
+    if not total:  # no sampled parent has children: each has one place
+        p = parents.select(_c(link.to_column).alias("_key"), F.col("_row").alias("_parent_row"), score.of().alias("_s"), F.lit(1).cast("bigint").alias("_cnt"))
+        total, largest = p.count(), 1
+    n = ranked.count()
+    slots = running_sum(ordered_index(p, [], ["_s", "_parent_row"], "_place_rank"), [], "_cnt", "_end", "_place_rank")
+    places = K.explode_counts(slots.select("_key", "_place_rank", "_cnt", (F.col("_end") - F.col("_cnt")).cast("bigint").alias("_start")), ["_place_rank"], "_cnt", "_i", largest)
+    places = places.select((F.col("_start") + F.col("_i")).alias("_place"), F.col("_key").cast(dtype).alias(link.from_column))
+    placed = ranked.withColumn("_place", F.floor((F.col("_rank") + F.lit(0.5)) * total / max(n, 1)).cast("bigint")).drop("_rank", "_s", link.from_column)
+    heavy = [(i,) for i in range(total)] if total <= 4 * shuffle_width(children) else []  # few places can be large
+    met = skew_join(placed, places, ["_place"], heavy=heavy).drop("_place", name)
+    free = children.where(_c(name).isNull()).drop(name).withColumn(link.from_column, F.lit(None).cast(dtype))
+    return met.unionByName(free)
+
+
 def _drawn_key(df: DataFrame, link: Link, row: Column, tables: dict[str, DataFrame], clean: dict[str, DataFrame], seed: int) -> DataFrame:
     """A foreign key drawn over the made parents, null as often as in the source."""
     source = clean[link.from_table]

@@ -252,6 +252,60 @@ UNION ALL SELECT 'without a person', count(*) FROM v WHERE person_id IS NULL
 UNION ALL SELECT 'without an earlier one, near the source', CAST(count(*) > 0 AS BIGINT) FROM v"""
 
 
+# --- several parents -----------------------------------------------------------------------
+
+_SALE = {
+    "supplier": "SELECT s_suppkey AS id, s_acctbal AS balance FROM supplier",
+    "part": "SELECT p_partkey AS id, p_retailprice AS price, p_size AS size FROM part",
+    "sale": "SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS supplier_id, CASE WHEN l_quantity > 3 THEN l_partkey END AS part_id, p_retailprice + 2 * l_quantity AS cost, l_quantity AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey",
+}
+_SALE_LINKS = [Link("sale", "supplier_id", "supplier", "id"), Link("sale", "part_id", "part", "id")]
+
+
+def hier_two_parents(spark, d):
+    """Sales with a supplier and a part: per link the fan-out and, for the part, how a sale's cost goes with its price; the source's figures and whether the look-alike's are near."""
+    given = {n: load(spark, d, n) for n in ("supplier", "part", "lineitem")}
+    tables = {}
+    for t, sql in _SALE.items():
+        used = {n: df for n, df in given.items() if f" {n} " in sql.split(" FROM")[1] + " "}
+        head, tail = sql.split(" FROM ")
+        tables[t] = spark.sql(f"{head} FROM " + " ".join(f"{{{w}}} AS {w}" if w in used else w for w in tail.split()), **used)
+    made = M.synthesize_hierarchy(tables, _SALE_LINKS, tables["sale"].count(), seed=3, keys={t: "id" for t in tables})
+
+    def facts(t: dict[str, DataFrame]) -> DataFrame:
+        sale, parts = t["sale"], []
+        for k in _SALE_LINKS:
+            per = sale.where(F.col(k.from_column).isNotNull()).groupBy(F.col(k.from_column).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+            every = t[k.to_table].select("id").join(per, "id", "left").select(F.coalesce("n", F.lit(0)).alias("n"))
+            parts.append(every.agg(F.lit(f"children per {k.to_table}").alias("check"), F.avg("n").alias("value")))
+            parts.append(every.agg(F.lit(f"spread of children per {k.to_table}").alias("check"), F.stddev_pop("n").alias("value")))
+            lost = sale.where(F.col(k.from_column).isNotNull()).join(t[k.to_table].select(F.col("id").alias(k.from_column)), k.from_column, "left_anti")
+            parts.append(lost.agg(F.lit(f"sales without their {k.to_table}").alias("check"), F.count(F.lit(1)).cast("double").alias("value")))
+        met = sale.join(t["part"].select(F.col("id").alias("part_id"), "price", "size"), "part_id")
+        parts.append(met.agg(F.lit("cost and price").alias("check"), F.corr("cost", "price").alias("value")))
+        parts.append(sale.agg(F.lit("share without a part").alias("check"), F.avg(F.col("part_id").isNull().cast("double")).alias("value")))
+        return reduce(DataFrame.unionByName, parts)
+
+    a, b = facts(tables), facts(made).withColumnRenamed("value", "made")
+    near = F.abs(F.col("made") - F.col("value")) <= F.when(F.col("check").startswith("spread"), 0.3 * F.col("value")).when(F.col("check").startswith("children"), 0.05 * F.col("value")).otherwise(0.1)
+    return a.join(b, "check").select("check", F.round("value", 6).alias("source"), near.alias("near"))
+
+
+_SALE_CTE = "WITH " + ", ".join(f's_{t} AS ({sql})' for t, sql in _SALE.items())
+TWO_PARENTS_SQL = _SALE_CTE + " " + " UNION ALL ".join(
+    [
+        f"""SELECT 'children per {k.to_table}' AS "check", round(avg(n), 6) AS source, true AS near FROM (SELECT p.id, count(c.id) AS n FROM s_{k.to_table} p LEFT JOIN s_sale c ON c.{k.from_column} = p.id GROUP BY p.id)
+        UNION ALL SELECT 'spread of children per {k.to_table}', round(stddev_pop(n), 6), true FROM (SELECT p.id, count(c.id) AS n FROM s_{k.to_table} p LEFT JOIN s_sale c ON c.{k.from_column} = p.id GROUP BY p.id)
+        UNION ALL SELECT 'sales without their {k.to_table}', count(*)::DOUBLE, true FROM s_sale WHERE {k.from_column} NOT IN (SELECT id FROM s_{k.to_table})"""
+        for k in _SALE_LINKS
+    ]
+    + [
+        "SELECT 'cost and price', round(corr(cost, price), 6), true FROM s_sale s JOIN s_part p ON s.part_id = p.id",
+        "SELECT 'share without a part', round(avg((part_id IS NULL)::INT), 6), true FROM s_sale",
+    ]
+)
+
+
 # --- streams -------------------------------------------------------------------------
 
 
@@ -293,14 +347,14 @@ STREAM_PROFILE_SQL = " UNION ALL ".join(
 )
 
 QUERIES = {
-    "key_shapes": key_shapes, "hier_free_children": hier_free_children,
+    "key_shapes": key_shapes, "hier_free_children": hier_free_children, "hier_two_parents": hier_two_parents,
     "stream_rollup": stream_rollup, "stream_rollup_batch": stream_rollup_batch, "stream_profile": stream_profile,
     "copula_marginals": copula_marginals, "copula_corr": copula_corr, "copula_sample": copula_sample, "single_synth": single_synth, "text_synth": text_synth,
     "multi_synth": multi_synth, "multi_synth_checks": multi_synth_checks, "hier_synth": hier_synth, "hier_synth_checks": hier_synth_checks,
 }
 
 ORACLES = {
-    "key_shapes": SHAPES_SQL, "hier_free_children": FREE_SQL,
+    "key_shapes": SHAPES_SQL, "hier_free_children": FREE_SQL, "hier_two_parents": TWO_PARENTS_SQL,
     "stream_rollup": STREAM_ROLLUP_SQL, "stream_rollup_batch": STREAM_ROLLUP_SQL, "stream_profile": STREAM_PROFILE_SQL,
     "copula_marginals": MARGINALS_SQL, "copula_corr": COPULA_CORR_SQL, "copula_sample": COPULA_SAMPLE_SQL, "multi_synth_checks": MULTI_CHECKS_SQL, "hier_synth_checks": HIER_CHECKS_SQL,
 }
