@@ -6,15 +6,19 @@ the first one: 16 bits instead of 64. Every bucket has its own permutation of al
 short texts leave none empty. Bands of registers find candidates; the share of equal registers,
 corrected for registers that agree by chance, must come near the bar; then the full sets decide.
 
-Equal sets first become one node (smallest doc_id), so copies never pair up. In a band bucket a
+Equal sets first become one node (known by the first of their rows, so rows that repeat a doc_id
+with other texts are nodes of their own), and copies never pair up. In a band bucket a
 node is compared with the bucket's smallest node; later rounds look only at buckets whose nodes
 are still in several components. While that joins at least one in twenty of them, each node
 outside its buckets' largest components meets two members of those, others in each round, so a
-group of near copies costs a few comparisons per member. What then remains is compared with all
-members of other components in its buckets, until no candidate link is left out.
+group of near copies costs a few comparisons per member. What then remains is joined exactly by its
+rarest shingles: of two sets at the bar, each with its shingles in order of their number among
+the open sets, the first quarter of one and of the other have a shingle in common. Sets that share a
+template but not enough of it differ in just those, so they do not meet.
 
 A text with one to four words is one shingle. Null texts, texts without words and rows without a
-doc_id are linked with nothing and stay. Two texts at the bar share no band with probability
+doc_id are linked with nothing and stay. A component is named after its smallest doc_id, also where
+rows of several texts have that id. Two texts at the bar share no band with probability
 (1 - 0.75**6)**56 < 2e-5; texts more alike, less.
 """
 
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import folded_words, id_and_text, rows_of
+from .common import folded_words, id_and_text, id_text_part, rows_of, with_part
 from .components import components
 
 WORDS_PER_SHINGLE, PERCENT = 5, 75
@@ -107,27 +111,32 @@ def estimate(a, b, n_a: int, n_b: int) -> float:
     return (same - chance) / (1 - chance)
 
 
-def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if empty), sketch: one row per document."""
+def _digest(hashed) -> bytes:
+    """What equal sets have in common."""
+    import hashlib
 
-    def work(batches):
-        import hashlib
+    return hashlib.blake2b(hashed.tobytes(), digest_size=16).digest()
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, part, n_shingles, digest of the set (null if empty), sketch: one row per row of (doc_id, text, part)."""
 
+    def work(batches):
         import numpy as np
         import pyarrow as pa
 
         known, mult, plus = WordHashes(), _constants(BANDS * ROWS, 1), _constants(BANDS * ROWS, 2)
-        for docs, texts in rows_of(batches):
+        for docs, texts, parts in rows_of(batches, more=("part",)):
             out = []
-            for doc, text in zip(docs, texts):
+            for doc, text, part in zip(docs, texts, parts):
                 s = shingles(folded_words(text), known)
                 if len(s) and doc is not None:
-                    out.append((doc, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), registers(s, mult, plus).astype("<u2").tobytes()))
+                    out.append((doc, part, len(s), _digest(s), registers(s, mult, plus).astype("<u2").tobytes()))
                 else:
-                    out.append((doc, len(s), None, None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["doc_id", "n_shingles", "digest", "sketch"])
+                    out.append((doc, part, len(s), None, None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary()))], ["doc_id", "part", "n_shingles", "digest", "sketch"])
 
-    return id_and_text(df, id_col, text_col).mapInArrow(work, "doc_id long, n_shingles long, digest binary, sketch binary")
+    return docs.mapInArrow(work, "doc_id long, part string, n_shingles long, digest binary, sketch binary")
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
@@ -165,18 +174,20 @@ def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.where(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)").mapInArrow(work, "a long, b long")
 
 
-def _sets(df: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, hashes): the full sets of ``nodes``, read from the texts again."""
+def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, hashes): the full sets of ``nodes`` (node, doc_id of one of its rows, digest), read from the texts again."""
 
     def work(batches):
         import pyarrow as pa
 
         known = WordHashes()
-        for docs, texts in rows_of(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([shingles(folded_words(t), known).tobytes() for t in texts], pa.binary())], ["node", "hashes"])
+        for _, texts in rows_of(batches):
+            found = [shingles(folded_words(t), known) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["digest", "hashes"])
 
+    near = docs.select("doc_id", "text").join(nodes.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(work, "digest binary, hashes binary")
     # rows that repeat a doc_id may differ: the digest tells the one that is meant
-    return id_and_text(df).join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(work, "node long, hashes binary")
+    return near.join(nodes.select("digest", "node"), "digest").groupBy("node").agg(F.first("hashes").alias("hashes"))
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -206,58 +217,81 @@ def _two_each(inside: DataFrame, outside: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
 
 
-def _against_all(live: DataFrame, small: DataFrame, used: DataFrame | None, many: int) -> tuple[DataFrame, DataFrame]:
-    """Some nodes per bucket outside its largest component, each with all members of other components; and the (key, node) that had their turn.
+def _by_rare_shingles(live: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of open nodes in different components that may reach the bar: their sets have a shingle in common among each one's rarest quarter.
 
-    The nodes are found by a combining aggregation instead of a sort of the bucket.
+    With s shingles in a fixed order, two sets at the bar share one of the first s - ceil(0.75 s) + 1 of either.
+    Shingles that one open set has are counted but never sent; sizes and places bound what can still be shared.
     """
-    small = small if used is None else small.join(used, ["key", "node"], "left_anti")
-    slot = F.pmod(F.xxhash64("node", F.lit(many)), F.lit(many))
-    turn = cut_lineage(small.groupBy("key", slot.alias("slot")).agg(F.min("node").alias("node"), F.min_by("component", "node").alias("component")).drop("slot"))
-    across = live.select("key", F.col("node").alias("other"), F.col("component").alias("theirs")).join(turn, "key").where("component <> theirs")
-    return across.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")), turn.select("key", "node")
+    open_sets = sets.join(live.select("node", "component").distinct(), "node")
 
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
 
-def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_hubs: int = 16) -> DataFrame:
+        for batch in batches:
+            for i, raw in enumerate(batch.column("hashes")):
+                h = np.frombuffer(raw.as_buffer(), np.int64)
+                same = lambda c, i=i, n=len(h): pa.array(np.full(n, batch.column(c)[i].as_py(), np.int64))  # noqa: B023,E731
+                yield pa.RecordBatch.from_arrays([pa.array(h), same("node"), same("component"), pa.array(np.full(len(h), len(h), np.int64))], ["h", "node", "component", "size"])
+
+    tokens = cut_lineage(open_sets.mapInArrow(work, "h long, node long, component long, size long"))
+    often = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = tokens.join(often, "h").groupBy("node", "component", "size").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("t"))
+    alone = F.col("size") - F.size("t")
+    first = F.col("size") - F.ceil(F.col("size") * PERCENT / 100) + 1  # length of the prefix
+    heads = shared.withColumn("alone", alone).select("node", "component", "size", "alone", F.posexplode(F.slice("t", 1, F.greatest(first - alone, F.lit(0)).cast("int"))).alias("i", "x"))
+    heads = cut_lineage(heads.select(F.col("x.h").alias("h"), "node", "component", "size", (F.col("size") - F.col("alone") - F.col("i")).alias("rest")))
+    a, b = (heads.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "size", "rest")]) for x in "ab")
+    small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
+    both = a.join(b, "h").where("node_a < node_b and component_a <> component_b").where(100 * small >= PERCENT * large)
+    both = both.where((100 + PERCENT) * F.least("rest_a", "rest_b") >= PERCENT * (F.col("size_a") + F.col("size_b")))
+    return both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest linked doc_id, itself included), kept; one row per document."""
-    docs = id_and_text(df, id_col, text_col)
-    every = cut_lineage(sketches(docs))
-    reps = every.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    nodes = cut_lineage(every.join(reps, "digest").where("doc_id = node").select("node", "n_shingles", "sketch").dropDuplicates(["node"]))
+    return _groups(id_and_text(df, id_col, text_col).withColumn("part", F.lit(""))).drop("part")
+
+
+def _groups(docs: DataFrame) -> DataFrame:
+    """As ``groups`` for rows of (doc_id, text, part), with part."""
+    every = cut_lineage(sketches(docs).withColumn("row", F.monotonically_increasing_id()))
+    reps = cut_lineage(every.where("digest is not null").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id")))
+    nodes = cut_lineage(every.select("row", "n_shingles", "sketch").join(reps.select(F.col("node").alias("row")), "row").withColumnRenamed("row", "node"))
     rows = cut_lineage(_bands(nodes))
     hubs = rows.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("key", "hub")
     rows = cut_lineage(rows.join(hubs, "key"))  # buckets of two and more
-    sets = cut_lineage(_sets(docs, rows.select("node").distinct()).groupBy("node").agg(F.first("hashes").alias("hashes")))
+    sets = cut_lineage(_sets(docs, reps.join(rows.select("node").distinct(), "node")))
     pairs = rows.where("hub < node").groupBy(F.col("node").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
     tested = cut_lineage(pairs)
     links = cut_lineage(_confirm(_close(tested, nodes), sets))
     labels = cut_lineage(nodes.select("node", F.col("node").alias("component")))
-    used, hubs_at_once, sampling, open_before, turn_no = None, first_hubs, True, None, 0
+    open_before, turn = None, 0
     while True:
-        labels, turn_no = _merged(labels, links), turn_no + 1
+        labels, turn = _merged(labels, links), turn + 1
         live = rows.select("key", "node").join(labels, "node")
         sizes = live.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
         largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
         live = cut_lineage(live.join(largest.select("key", "main"), "key"))
         small = live.where("component <> main")
-        if sampling:
-            open_nodes = small.select("node").distinct().count()
-            sampling = open_nodes > 0 and (open_before is None or open_nodes <= 0.95 * open_before)
-            open_before = open_nodes
-        if sampling:
-            fresh = _two_each(live.where("component = main"), small, turn_no)
-        else:
-            fresh, done = _against_all(live, small, used, hubs_at_once)
-            if not done.limit(1).count():
-                break
-            used = done if used is None else cut_lineage(used.unionByName(done))
-            hubs_at_once *= 4
+        open_nodes = small.select("node").distinct().count()
+        if not open_nodes:
+            break
+        last = open_before is not None and open_nodes > 0.95 * open_before
+        open_before = open_nodes
+        fresh = _by_rare_shingles(live, sets) if last else _two_each(live.where("component = main"), small, turn)
         fresh = cut_lineage(fresh.distinct().join(tested, ["a", "b"], "left_anti"))
-        tested = tested.unionByName(fresh)
         links = cut_lineage(_confirm(_close(fresh, nodes), sets))
-    found = reps.join(labels, "node").select("digest", "component")
-    out = every.select("doc_id", "n_shingles", "digest").join(found, "digest", "left")  # a hot digest is split by the adaptive skew join
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        if last:  # every pair at the bar has been looked at
+            labels = _merged(labels, links)
+            break
+        tested = tested.unionByName(fresh)
+    placed = reps.join(labels, "node")
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    found = placed.join(least, "component").select("digest", "component_id")
+    out = every.select("doc_id", "part", "n_shingles", "digest").join(found, "digest", "left")  # a hot digest is split by the adaptive skew join
+    out = out.select("doc_id", "part", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -273,6 +307,8 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay: one document of each group, with all columns."""
-    kept = groups(df, id_col, text_col).where("kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return df.join(kept, id_col, "left_semi").unionByName(df.where(F.col(id_col).isNull()))
+    """The rows of ``df`` that stay: one document of each group, with all columns; rows that repeat a doc_id are judged by their own texts."""
+    marked = with_part(df, id_col, text_col)
+    kept = _groups(id_text_part(marked, id_col, text_col)).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id"), F.col("part").alias("_kept_part")).distinct()
+    same = (F.col(id_col).cast("long") == F.col("_kept_id")) & (F.col("_part") == F.col("_kept_part"))
+    return marked.join(kept, same, "left_semi").unionByName(marked.where(F.col(id_col).isNull())).drop("_part")

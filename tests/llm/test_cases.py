@@ -122,10 +122,50 @@ def test_groups_that_straddle_the_bar(spark):
             w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
         texts[d] = " ".join(w)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in hyperminhash.groups(df, first_hubs=2).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in hyperminhash.groups(df).collect()}
     assert got == brute.groups(texts)
 
 
+def test_repeated_ids_keep_the_links_of_each_text(spark):
+    """Two texts under one doc_id, with a near copy of each under other ids."""
+    one, two = [f"a{i}" for i in range(200)], [f"b{i}" for i in range(200)]
+    near = lambda w: " ".join([*w[:100], "changed", *w[101:]])
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, near(one)), (3, near(two)), (4, " ".join(two)), (0, " ".join(f"c{i}" for i in range(50)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in hyperminhash.groups(df).collect())
+    assert got == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False)]
+    kept = hyperminhash.deduplicate(df).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([rows[0], rows[1], rows[5]])
+    lower = spark.createDataFrame([*rows, (-1, near(two))], "doc_id long, text string")  # now one of the texts of 1 goes, the other stays
+    assert sorted((r["doc_id"], r["text"]) for r in hyperminhash.deduplicate(lower).collect()) == sorted([(-1, near(two)), rows[0], rows[5]])
+
+
+def test_a_template_below_the_bar_costs_few_pairs(spark, monkeypatch):
+    """600 texts that share a template at a similarity of about 0.72, with some pairs above the bar hidden among them."""
+    rng = random.Random(9)
+    base = [f"t{i}" for i in range(400)]
+    texts = {}
+    for d in range(600):
+        w = list(base)
+        for i in rng.sample(range(5, 395), 14):
+            w[i] = f"x{d}_{i}"
+        texts[d] = " ".join(w)
+    for d in (600, 601, 602):
+        texts[d] = texts[d - 500].replace(f" t{d - 590}", " other", 1)
+    made, counted = hyperminhash._by_rare_shingles, []
+
+    def counting(*args):
+        out = made(*args)
+        counted.append(out.count())
+        return out
+
+    monkeypatch.setattr(hyperminhash, "_by_rare_shingles", counting)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in hyperminhash.groups(df).collect()}
+    assert got == brute.groups(texts)
+    assert len(counted) == 1 and counted[0] < 20 * len(texts)
+
+
 def test_estimate_corrects_for_chance():
     m, p = hyperminhash._constants(4096, 1), hyperminhash._constants(4096, 2)
     h = hyperminhash._mix(np.arange(1, 3001, dtype=np.uint64))
