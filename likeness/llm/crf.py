@@ -10,7 +10,7 @@ sum and the maximum of its marginals, and runs of tokens over one half are its s
 Training takes a sample of at most about ``max_labelled`` labelled rows, chosen by a hash of the
 doc_id. Scoring takes every row and whole texts. Null texts have no tokens and get the score of
 no evidence. Null labels teach nothing, of repeated labels the highest counts; without labels
-of both kinds every score is the share of label 1 (0 without labels).
+of both kinds nothing can be learned: every score is 0 and no text is rejected.
 """
 
 from __future__ import annotations
@@ -239,7 +239,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, field_
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(training_rows())
     n, rate = marks.agg(F.count(F.lit(1)), F.coalesce(F.avg("toxic"), F.lit(0.0))).first()
     if not n or rate in (0.0, 1.0):
-        return Field({}, np.zeros((KINDS, BINS)), np.zeros((2, 2)), constant=float(rate))
+        return Field({}, np.zeros((KINDS, BINS)), np.zeros((2, 2)), constant=0.0)
     draw = F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 20))
     chosen = marks.where(draw < int((1 << 20) * min(1.0, max_labelled / n)) + 1)
     sample = cut_lineage(id_and_text(docs).join(F.broadcast(chosen), "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(3))))

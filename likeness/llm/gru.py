@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .common import folded_words, rows_of
-from .hyperminhash import WordHashes
+from .hyperminhash import REMEMBERED, WordHashes
 
 SHAPES = 16
 END = 1 << 4  # the end's "hash"; words' hashes are kept away from it
@@ -43,7 +43,7 @@ class ShapedHashes(WordHashes):
         kind = 0 if 97 <= last <= 122 else 1 if last in b".,;:" else 2 if last < 128 else 3
         shape = kind * 4 + 2 * (not word.isascii()) + (len(word) > 7)
         h = max(xxhash.xxh3_64_intdigest(word) & ~15, 32) | shape
-        if len(self) < 1_000_000:
+        if len(self) < REMEMBERED:
             self[word] = h
         return h
 
@@ -310,7 +310,7 @@ def _hashed(batches, limit: int):
         yield ids, rows
 
 
-GROUP = 24 << 20  # bytes of text whose documents share lanes
+GROUP = 8 << 20  # bytes of text whose documents share lanes
 
 
 def counts(docs: DataFrame) -> DataFrame:

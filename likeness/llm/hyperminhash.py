@@ -58,6 +58,9 @@ def _mix(x):
     return x ^ (x >> np.uint64(31))
 
 
+REMEMBERED = 250_000  # words a task keeps the hash of
+
+
 class WordHashes(dict):
     """Word -> 64-bit hash, remembered up to a bound."""
 
@@ -65,7 +68,7 @@ class WordHashes(dict):
         import xxhash
 
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 1_000_000:
+        if len(self) < REMEMBERED:
             self[word] = h
         return h
 

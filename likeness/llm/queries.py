@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from . import audit, crf, disclosure, exact, gru, hyperminhash, lookup, packing, pieces, quality, recompress, simple8b, suffix
 from .common import documents
 
-TOKENIZERS = "/opt/tokenizers"  # folder of the public tokenizer files
 
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file lies."""
+    import public_tokenizers
 
-def _file(name: str) -> str:
-    return f"{TOKENIZERS}/{name}"
+    return str(public_tokenizers.path(name))
 
 
 def op1_gru_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,11 +21,11 @@ def op1_gru_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.digests(documents(spark, sf_dir), _file("piece_bpe_32k.model"))
+    return pieces.digests(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
 
 
 def op3_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simple8b.query(spark, documents(spark, sf_dir), _file("byte_bpe_50k.json"))
+    return simple8b.query(spark, documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +57,7 @@ def op8_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), _file("word_bpe_49k.json"), with_ids=False)
+    return packing.pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), with_ids=False)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +109,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of power-of-two length in sequences."""
-    return packing.pack(docs, _file("word_bpe_49k.json"), with_ids=False)
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), with_ids=False)
 
 
 STAGES = [("toxicity", toxicity_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("substring_dedup", substring_stage), ("packing", packing_stage)]

@@ -177,7 +177,7 @@ def _columns(names, kinds, arrays):
     return pa.RecordBatch.from_arrays([pa.array(a, k) for a, k in zip(arrays, kinds)], names)
 
 
-def shared_anchors(docs: DataFrame, find, limit: int = 16 << 20) -> DataFrame:
+def shared_anchors(docs: DataFrame, find, limit: int = 8 << 20) -> DataFrame:
     """(doc_id, keys): the anchors of each document that another document has too.
 
     ``find()`` returns a function from texts to the anchors of each. A batch sends one row per anchor to
@@ -245,11 +245,20 @@ def _window_rows(size: int):
         def flush():
             a, b, d, p, t = (np.concatenate(x) for x in (w1, w2, docs, at, texts_of))
             _, least, _ = _settled_first(a, d)
-            own = least == d  # a smaller document of the batch has the window: settled
+            own = least == d
+            n = np.ones(len(a), np.int32)
+            # windows that a smaller document of the batch has are settled: neighbours become one row
+            gone = np.flatnonzero(~own)
+            new = np.concatenate([[True], (t[gone[1:]] != t[gone[:-1]]) | (p[gone[1:]] != p[gone[:-1]] + 1)]) if len(gone) else np.zeros(0, bool)
+            heads = gone[new]
+            n[heads] = np.diff(np.append(np.flatnonzero(new), len(gone)))
+            stay = own.copy()
+            stay[heads] = True
+            a, b, d, p, t, n, own = (x[stay] for x in (a, b, d, p, t, n, own))
             salt = np.where(own, 0, 1 + (_mix(d.view(np.uint64) ^ a) >> np.uint64(48)).astype(np.int64)).astype(np.int32)
             part = pa.array(parts, pa.string()).take(pa.array(t))
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.bool_()]
-            out = _columns(["w1", "w2", "salt", "doc_id", "part", "at", "gone"], kinds, [a.view(np.int64), b, salt, d, part, p, ~own])
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int32()]
+            out = _columns(["w1", "w2", "salt", "doc_id", "part", "at", "n"], kinds, [a.view(np.int64), b, salt, d, part, p, n])
             for x in (w1, w2, docs, at, texts_of, parts):
                 x.clear()
             return out
@@ -273,7 +282,7 @@ def _window_rows(size: int):
                         texts_of.append(np.full(len(found), len(parts), np.int32))
                         parts.append(marks[i].as_py())
                         held += len(found)
-                if held > 500_000:
+                if held > 300_000:
                     yield flush()
                     held = 0
         if held:
@@ -282,18 +291,18 @@ def _window_rows(size: int):
     return work
 
 
-def cover(positions, n: int, size: int):
-    """Which of ``n`` places lie in a window of ``size`` that starts at one of ``positions``."""
+def cover(positions, n: int, size: int, times=1):
+    """Which of ``n`` places lie in a window of ``size`` that starts at one of ``positions``, or at one of the next ``times`` - 1 places."""
     import numpy as np
 
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, positions, 1)
-    np.add.at(edge, np.minimum(positions + size, n), -1)
+    np.add.at(edge, np.minimum(positions + times - 1 + size, n), -1)
     return np.cumsum(edge[:n]) > 0
 
 
 def _repeats(docs: DataFrame, counts: DataFrame, size: int) -> DataFrame:
-    """doc_id, part, packed (text), at: start words of the windows that a smaller document has, for texts with any; copies of a smaller document are left out."""
+    """doc_id, part, packed (text), at: start words (and how many in a row) of the windows that a smaller document has, for texts with any; copies of a smaller document are left out."""
     docs = one_text_each(docs)
     texts = packed(docs)
 
@@ -303,11 +312,11 @@ def _repeats(docs: DataFrame, counts: DataFrame, size: int) -> DataFrame:
     counts = counts.where("doc_id is not null")
     reps = counts.where(f"n_words >= {size}").groupBy("sha").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     keys = shared_anchors(docs, find).join(reps, "doc_id", "left_semi")
-    kinds = "w1 long, w2 int, salt int, doc_id long, part string, at int, gone boolean"
+    kinds = "w1 long, w2 int, salt int, doc_id long, part string, at int, n int"
     rows = texts.join(keys, "doc_id").select("doc_id", "part", "packed", "keys").mapInArrow(_window_rows(size), kinds)
     w = Window.partitionBy("w1", "w2", "salt").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    gone = rows.withColumn("source", F.first("doc_id").over(w)).where("gone or source < doc_id")
-    places = gone.groupBy("doc_id", "part").agg(F.collect_list("at").alias("at"))
+    gone = rows.withColumn("source", F.first("doc_id").over(w)).where("salt > 0 or source < doc_id")
+    places = gone.groupBy("doc_id", "part").agg(F.collect_list(F.struct("at", "n")).alias("at"))
     return texts.join(places, ["doc_id", "part"]).select("doc_id", "part", "packed", "at")
 
 
@@ -330,7 +339,8 @@ def _strip(docs: DataFrame, size: int, with_text: bool) -> DataFrame:
                 out = []
                 for doc, part, text, at in zip(batch.column("doc_id").slice(x), batch.column("part").slice(x), texts, batch.column("at").slice(x)):
                     words = plain_words(text)
-                    gone = cover(at.values.to_numpy(zero_copy_only=False), len(words), size)
+                    starts, times = (at.values.field(c).to_numpy(zero_copy_only=False) for c in ("at", "n"))
+                    gone = cover(starts, len(words), size, times)
                     kept = b" ".join([words[i] for i in np.flatnonzero(~gone)])
                     out.append((doc.as_py(), part.as_py(), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
                 yield _columns(["doc_id", "part", "n_removed", "kept_sha256", "kept"], [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()], list(zip(*out)))

@@ -5,12 +5,13 @@ smallest hash: its anchor. Anchors that only one document has rule their strings
 strings the texts (a run of windows with one anchor is one piece) go to the shard of their anchor,
 so equal strings meet whatever documents they come from. Windows of a *hot* anchor, which so many
 documents have that their pieces would fill a shard, go by the hash of their 50 bytes instead: equal
-windows still meet, different ones spread. A shard sorts the suffixes of its pieces by induction (``induced``), and windows whose common prefix reaches 50 bytes are one string:
+windows still meet, different ones spread. A piece that a smaller document has as a whole is settled by looking it up; a shard sorts the suffixes of
+all other pieces by induction (``induced``), and windows whose common prefix reaches 50 bytes are one string:
 its smallest doc_id keeps it, all others lose those bytes.
 
 Null texts are empty. Rows without a doc_id keep their text and are no source; rows that repeat a
 doc_id are no source for each other, and each is cut by its own text. Strings never cross documents. Equal pieces of one batch
-send one row to the shard, so a passage that a third of the documents share stays small there.
+send one row to the shard and the others leave it as merged ranges, so a passage that a third of the documents share stays small there.
 A shard's arrays (types, names, seeds, its output) are held in memory; only the queues go to files.
 """
 
@@ -23,6 +24,7 @@ from ..operators.joins import shuffle_width
 from ..session import cut_lineage
 from .common import id_text_part, one_text_each, packed, unpacked, with_part
 from .hyperminhash import _mix
+from .induced import sorted_suffixes
 from .recompress import _columns, shared_anchors
 
 WINDOW, GRAM = 50, 16
@@ -85,6 +87,17 @@ def window_keys(text: bytes, starts):
     return out
 
 
+def merged(ranges):
+    """Ranges (first, end) in order, those that touch made one."""
+    out = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
 def _pieces(batches, hot):
     """Rows of pieces from documents with their shared anchors; windows of ``hot`` anchors are pieces of their own."""
     import numpy as np
@@ -98,10 +111,14 @@ def _pieces(batches, hot):
         for _, doc, _, _, piece in rows:
             if doc < least.get(piece, 1 << 63):
                 least[piece] = doc
-        out = []
+        out, settled = [], {}
         for key, doc, part, at, piece in rows:
-            own = least[piece] == doc
-            out.append((key, 0 if own else 1 + (doc * 31 + at) % 65_521, doc, part, at, len(piece), piece if own else None))
+            if least[piece] == doc:
+                out.append((key, 0, doc, part, at, len(piece), piece))
+            else:
+                settled.setdefault((doc, part), []).append((at, at + len(piece)))
+        # what a smaller document of the batch has is told as ranges, dealt by document
+        out += [((doc * 31 + a) % 65_521, 1, doc, part, a, b - a, None) for (doc, part), some in settled.items() for a, b in merged(some)]
         return out
 
     rows, held = [], 0
@@ -139,26 +156,34 @@ def _shard(batches):
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    from .induced import sorted_suffixes
-
     names, kinds = ["doc_id", "part", "first", "end"], [pa.int64(), pa.string(), pa.int64(), pa.int64()]
     docs, parts, ats, sizes = [], [], [], []
     with tempfile.TemporaryDirectory(prefix="suffixes-") as folder:  # this task's spill, gone with the task
         path = os.path.join(folder, "text")
+        least: dict[bytes, int] = {}  # smallest document per piece so far
         with open(path, "wb") as f:
             for batch in batches:
                 own = batch.column("piece").is_valid()
                 known = batch.filter(pc.invert(own))
-                if known.num_rows:
-                    first = known.column("at").to_numpy()
-                    yield _columns(names, kinds, [known.column("doc_id"), known.column("part"), first, first + known.column("size").to_numpy()])
                 mine = batch.filter(own)
+                # a piece that a smaller document has as a whole is settled without being sorted
+                texts, doc = mine.column("piece").to_pylist(), mine.column("doc_id").to_pylist()
+                for t, d in zip(texts, doc):
+                    if d < least.get(t, 1 << 63):
+                        least[t] = d
+                fresh = pa.array([least[t] == d for t, d in zip(texts, doc)], pa.bool_())
+                for some in (known, mine.filter(pc.invert(fresh))):
+                    if some.num_rows:
+                        first = some.column("at").to_numpy()
+                        yield _columns(names, kinds, [some.column("doc_id"), some.column("part"), first, first + some.column("size").to_numpy()])
+                mine = mine.filter(fresh)
                 docs.append(mine.column("doc_id").to_numpy())
                 parts.append(mine.column("part"))
                 ats.append(mine.column("at").to_numpy())
                 sizes.append(mine.column("size").to_numpy())
                 f.write(b"".join(p.translate(SHIFT) + b"\0" for p in mine.column("piece").to_pylist()))
             f.write(b"\0" * 8)
+        del least
         if not docs or not sum(map(len, docs)):
             return
         doc, at, size = np.concatenate(docs), np.concatenate(ats), np.concatenate(sizes)

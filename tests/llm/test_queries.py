@@ -45,7 +45,7 @@ def test_gru_scoring(run, docs):
 def test_sentencepiece(run, docs):
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=f"{Q.TOKENIZERS}/piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=Q.tokenizer_file("piece_bpe_32k.model"))
     rows = run("op2_sentencepiece")
     assert len(rows) == len(docs)
     for r in rows:
@@ -58,7 +58,7 @@ def test_sentencepiece(run, docs):
 def test_simple8b(run, docs):
     from tokenizers import Tokenizer
 
-    tok, at = Tokenizer.from_file(f"{Q.TOKENIZERS}/byte_bpe_50k.json"), 0
+    tok, at = Tokenizer.from_file(Q.tokenizer_file("byte_bpe_50k.json")), 0
     rows = {r["doc_id"]: r for r in run("op3_simple8b")}
     for d in sorted(docs):
         ids = ids_by(tok, docs[d], 2)
@@ -95,7 +95,7 @@ def test_recompression(run, docs):
 def test_packing(run, docs):
     from tokenizers import Tokenizer
 
-    tok, by = Tokenizer.from_file(f"{Q.TOKENIZERS}/word_bpe_49k.json"), {}
+    tok, by = Tokenizer.from_file(Q.tokenizer_file("word_bpe_49k.json")), {}
     rows = run("op9_packing")
     assert sorted(r["sequence_id"] for r in rows) == list(range(len(rows)))
     for r in rows:
