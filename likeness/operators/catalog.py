@@ -201,11 +201,11 @@ ASSOCIATION_RULES = [
 ID_PAIR_CONFIDENCE = 0.68
 
 
-def associations(columns: DataFrame, limit: int | None = None) -> DataFrame:
+def associations(columns: DataFrame, limit: int | None = 12) -> DataFrame:
     """Likely related column pairs per table by name, in rule order: pairs of ``*_id`` columns, then pairs of known words.
 
     ``limit`` keeps the first pairs of each table: only its first ``limit`` + 1 ``*_id`` columns can take part in those,
-    so a table of any width is reduced to a handful of names before rows of a table come together. Without it all pairs are given.
+    so a table of any width is reduced to a handful of names before rows of a table come together. With None all pairs are given.
     """
     named = columns.where(strip("column_name") != "").select("table_name", "position", strip("column_name").alias("name"))
     low = F.lower("name")

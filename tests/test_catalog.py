@@ -103,3 +103,15 @@ def test_document_pages(spark):
     tables = spark.createDataFrame([(1, "big"), (2, "none")], "table_id int, table_name string")
     got = sorted((r["table_id"], r["page"], len(r["columns"] or [])) for r in C.project_documents(tables, cols).collect())
     assert got == [(1, 0, 1000), (1, 1, 1000), (1, 2, 500), (2, 0, 0)]
+
+
+def test_all_associations_and_the_first_few(spark):
+    names = ["a_id", "city", "b_id", "state", "c_id", "price", "unit_cost", "d_id"]
+    df = spark.createDataFrame([("t", i, n) for i, n in enumerate(names)] + [("u", 0, "city"), ("u", 1, "country"), ("v", 0, "x")], "table_name string, position int, column_name string")
+    ids = [n for n in names if n.endswith("_id")]
+    want = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :]] + [("city", "state"), ("price", "unit_cost")]
+    got = [(r["col_a"], r["col_b"]) for r in C.associations(df, None).where("table_name = 't'").orderBy("rank").collect()]
+    assert got == want
+    few = [(r["col_a"], r["col_b"]) for r in C.associations(df, 3).where("table_name = 't'").orderBy("rank").collect()]
+    assert few == want[:3]
+    assert [(r["col_a"], r["col_b"]) for r in C.associations(df, None).where("table_name = 'u'").collect()] == [("city", "country")]
