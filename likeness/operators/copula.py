@@ -4,10 +4,14 @@ Every column keeps the exact counts of its values, however many there are, and a
 the model. The driver holds the tables of columns with few values and a k x k matrix; longer tables
 stay in Spark, where values are scored and drawn ranks are looked up by equi-joins. Where a table is
 kept does not change the result.
+
+Long texts are modelled and drawn by their 128-bit names (MD5); the texts themselves are shuffled once,
+when the drawn names are turned back into texts.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass, field
 from statistics import NormalDist
@@ -29,6 +33,8 @@ from .series import running_sum
 
 VALUE_LIMIT = 1000  # value tables of at most so many rows are kept on the driver, longer ones in Spark
 CHUNK = 100_000  # rows one task may make from one input row
+NAMED_FROM = 48  # mean bytes from which texts travel by name; this changes the plan only
+HEAD = 32  # texts of one count are ordered by so many first characters, then by name
 
 _TIMES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -45,6 +51,7 @@ class Marginal:
     table: DataFrame | None = None  # ranked: _value, _start (rows before it), _cnt, _z (of its middle)
     filled: int = 0  # ranked: rows with a value
     largest: int = 0  # ranked: rows of the most frequent value
+    texts: DataFrame | None = None  # ranked by name: _value (name), _text
 
 
 @dataclass
@@ -105,11 +112,31 @@ def _is_ordered(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.NumericType, *_TIMES))
 
 
-def value_ranks(df: DataFrame, column: str, dtype: T.DataType, n: int) -> DataFrame:
-    """(_value, _start, _cnt, _z) of the ``n`` filled rows: numbers and times in their order, other values by falling count."""
-    counts = df.select(_c(column).alias("_value")).where("_value IS NOT NULL").groupBy("_value").agg(F.count(F.lit(1)).alias("_cnt"))
-    order = ["_value"] if _is_ordered(dtype) else ["_less", "_value"]
-    numbered = ordered_index(counts.withColumn("_less", -F.col("_cnt")), [], order, "_t")
+def value_name(c: Column) -> Column:
+    """16 bytes that stand for a text; two of n texts share a name with probability below n^2 / 2^128."""
+    return F.unhex(F.md5(c.cast("string")))
+
+
+def long_texts(df: DataFrame, columns: list[str]) -> list[str]:
+    """The columns whose values have ``NAMED_FROM`` bytes or more on average; one aggregation."""
+    if not columns:
+        return []
+    mean = df.agg(*[F.avg(F.octet_length(_c(c))).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    return [c for c, m in zip(columns, mean) if m is not None and m >= NAMED_FROM]
+
+
+def value_ranks(df: DataFrame, column: str, dtype: T.DataType, n: int, named: bool = False) -> DataFrame:
+    """(_value, _start, _cnt, _z) of the ``n`` filled rows: numbers and times in their order, texts by falling count, first characters and name.
+
+    ``named`` puts the name of a text in its place.
+    """
+    c, text = _c(column), not _is_ordered(dtype)
+    value = value_name(c) if named else c
+    head = [F.substring(c.cast("string"), 1, HEAD).alias("_head")] if text else []
+    counts = df.where(c.isNotNull()).groupBy(value.alias("_value"), *head).agg(F.count(F.lit(1)).alias("_cnt"))
+    if text:
+        counts = counts.withColumns({"_less": -F.col("_cnt"), "_name": F.col("_value") if named else value_name(F.col("_value"))})
+    numbered = ordered_index(counts, [], ["_less", "_head", "_name"] if text else ["_value"], "_t")
     placed = running_sum(numbered, [], "_cnt", "_end", "_t").withColumn("_end", F.col("_end").cast("bigint"))
 
     @F.pandas_udf("double")
@@ -151,10 +178,11 @@ def fit(df: DataFrame, columns: list[str] | None = None, value_limit: int = VALU
     discrete = [c for c in columns if distinct[c] <= value_limit]
     ranked = [c for c in columns if c not in discrete]
 
+    named = long_texts(df, [c for c in ranked if isinstance(kinds[c], T.StringType)])
     tables: dict[str, list] = {c: [] for c in discrete}
     counted, *ranks = together(
         lambda: value_tables(df, discrete).where("value IS NOT NULL").collect() if discrete else [],
-        *[lambda c=c: value_ranks(df, c, kinds[c], filled[c]) for c in ranked],
+        *[lambda c=c: value_ranks(df, c, kinds[c], filled[c], c in named) for c in ranked],
     )
     for r in counted:
         tables[r["column"]].append((r["value"], r["n"]))
@@ -166,6 +194,9 @@ def fit(df: DataFrame, columns: list[str] | None = None, value_limit: int = VALU
         else:
             m.kind, m.table, m.filled = "ranked", ranks[ranked.index(c)], filled[c]
             m.largest = m.table.agg(F.coalesce(F.max("_cnt"), F.lit(0))).first()[0]
+            if c in named:
+                texts = df.select(value_name(_c(c)).alias("_value"), _c(c).alias("_text")).where("_value IS NOT NULL")
+                m.texts = texts.dropDuplicates(["_value"])
         marginals.append(m)
     model = Copula(marginals, np.eye(0), n)
     model.corr = score_correlation(df, model)
@@ -178,7 +209,7 @@ def _set_values(m: Marginal, table: list[tuple[str, int]], n: int) -> None:
     elif isinstance(m.dtype, _TIMES):
         table = sorted(table)
     else:
-        table = sorted(table, key=lambda v: (-v[1], v[0]))
+        table = sorted(table, key=lambda v: (-v[1], v[0][:HEAD], hashlib.md5(v[0].encode()).digest()))
     cum = np.cumsum([k for _, k in table]) if table else np.array([])
     m.values = [v for v, _ in table]
     m.cuts = np.array([np.inf if c >= n else _ppf(c / n, n) for c in cum])
@@ -197,6 +228,12 @@ def _heavy_values(m: Marginal, rows: int) -> list:
     return heavy + ([(None,)] if rows - m.filled > limit else [])
 
 
+def _often_drawn(m: Marginal) -> list:
+    """Names that take a quarter of an even shuffle partition or more of the rows drawn; at most four per partition."""
+    limit = max(64, m.filled // (4 * shuffle_width(m.table)))  # of the source's rows, whose shares the draws have
+    return [(r[0],) for r in m.table.where(F.col("_cnt") > limit).select("_value").collect()] if m.largest > limit else []
+
+
 def score_correlation(df: DataFrame, model: Copula) -> np.ndarray:
     """Correlation of the normal scores: each partition adds up one small matrix."""
     some = model.marginals
@@ -204,7 +241,12 @@ def score_correlation(df: DataFrame, model: Copula) -> np.ndarray:
     corr = np.eye(k)
     if k < 2:
         return corr
-    view = df.select(*[(_c(m.name).cast("string") if m.kind == "discrete" else _c(m.name)).alias(f"x{i}") for i, m in enumerate(some)])
+    def place(m: Marginal) -> Column:
+        if m.texts is not None:
+            return value_name(_c(m.name))
+        return _c(m.name).cast("string") if m.kind == "discrete" else _c(m.name)
+
+    view = df.select(*[place(m).alias(f"x{i}") for i, m in enumerate(some)])
     for i, m in enumerate(some):
         if m.kind == "ranked":
             scored = m.table.select(F.col("_value").alias(f"x{i}"), F.col("_z").alias(f"z{i}"))
@@ -258,6 +300,10 @@ def sample_on(base: DataFrame, ids: list[str], model: Copula, seed: int = 42, st
                 # places are drawn evenly: only where there are few of them can one be large
                 heavy = [(p,) for p in range(m.filled)] if m.filled <= 4 * shuffle_width(base) else []
                 base = skew_join(base, places, [f"_v{i}"], heavy=heavy)
+        for i, m in enumerate(some):
+            if m.texts is not None:  # last, so that no text goes through the joins above
+                texts = m.texts.select(F.col("_value").alias(f"_w{i}"), F.col("_text").alias(f"_x{i}"))
+                base = skew_join(base, texts, [f"_w{i}"], heavy=_often_drawn(m)).drop(f"_w{i}").withColumnRenamed(f"_x{i}", f"_w{i}")
         cols = {}
         for i, m in enumerate(some):
             v = F.col(f"_v{i}").cast(m.dtype) if m.kind == "discrete" else F.col(f"_w{i}")

@@ -110,6 +110,26 @@ def text_synth(spark, d):
     return out.select("doc_id", "lang", "source", "n_chars", F.length("text").alias("length"))
 
 
+def text_synth_checks(spark, d):
+    """Every text, language and source of the documents with its rows, and whether a table of twice the size drew it about twice as often.
+
+    A drawn count is near when it lies within 8 standard errors (and 4 rows) of twice the rows of the source. Texts stand by their MD5;
+    a drawn value that the source has not would be a row of its own.
+    """
+    src = load(spark, d, "documents")
+    out = K.synthesize(src, 2 * src.count(), seed=1, key="doc_id", stream="documents")
+
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), v.alias("value")) for c, v in (("text", F.md5("text")), ("lang", F.col("lang")), ("source", F.col("source")))])
+        return df.select(F.explode(cells).alias("x")).select("x.*").where("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias(name))
+
+    both = counted(src, "n").join(counted(out, "drawn"), ["column", "value"], "full").na.fill(0, ["n", "drawn"])
+    return both.select("column", "value", "n", (F.abs(F.col("drawn") - 2 * F.col("n")) <= 4 + 8 * F.sqrt(2.0 * F.col("n"))).alias("near"))
+
+
+TEXT_CHECKS_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", {v} AS value, count(*) AS n, true AS near FROM documents WHERE {c} IS NOT NULL GROUP BY 2" for c, v in (("text", "md5(text)"), ("lang", "lang"), ("source", "source"))
+)
 LINKS = [Link(*k) for k in STAR_KEYS if k[0] != "labels"]
 
 
@@ -349,12 +369,12 @@ STREAM_PROFILE_SQL = " UNION ALL ".join(
 QUERIES = {
     "key_shapes": key_shapes, "hier_free_children": hier_free_children, "hier_two_parents": hier_two_parents,
     "stream_rollup": stream_rollup, "stream_rollup_batch": stream_rollup_batch, "stream_profile": stream_profile,
-    "copula_marginals": copula_marginals, "copula_corr": copula_corr, "copula_sample": copula_sample, "single_synth": single_synth, "text_synth": text_synth,
+    "copula_marginals": copula_marginals, "copula_corr": copula_corr, "copula_sample": copula_sample, "single_synth": single_synth, "text_synth": text_synth, "text_synth_checks": text_synth_checks,
     "multi_synth": multi_synth, "multi_synth_checks": multi_synth_checks, "hier_synth": hier_synth, "hier_synth_checks": hier_synth_checks,
 }
 
 ORACLES = {
     "key_shapes": SHAPES_SQL, "hier_free_children": FREE_SQL, "hier_two_parents": TWO_PARENTS_SQL,
     "stream_rollup": STREAM_ROLLUP_SQL, "stream_rollup_batch": STREAM_ROLLUP_SQL, "stream_profile": STREAM_PROFILE_SQL,
-    "copula_marginals": MARGINALS_SQL, "copula_corr": COPULA_CORR_SQL, "copula_sample": COPULA_SAMPLE_SQL, "multi_synth_checks": MULTI_CHECKS_SQL, "hier_synth_checks": HIER_CHECKS_SQL,
+    "copula_marginals": MARGINALS_SQL, "copula_corr": COPULA_CORR_SQL, "copula_sample": COPULA_SAMPLE_SQL, "text_synth_checks": TEXT_CHECKS_SQL, "multi_synth_checks": MULTI_CHECKS_SQL, "hier_synth_checks": HIER_CHECKS_SQL,
 }

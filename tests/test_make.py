@@ -159,6 +159,20 @@ def test_copula_does_not_depend_on_the_number_of_values(spark):
     assert cut == whole
 
 
+def test_long_texts_are_drawn_by_name(spark):
+    """Long texts, a third of the rows one text, nulls and equal heads: the same rows as with all values on the driver, and no text in the model."""
+    text = F.concat(F.repeat(F.lit("the same beginning "), 4), (F.col("id") % 900).cast("string"), F.lit(" Ünd \U0001f600"))
+    src = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.concat(F.lit("hot "), F.repeat(F.lit("x"), 200))).when(F.col("id") % 11 != 0, text).alias("long"), (F.col("id") % 3).alias("k"))
+    model = K.fit(src, value_limit=0)
+    named = model.marginals[0]
+    assert dict(named.table.dtypes)["_value"] == "binary" and named.texts.count() == src.select("long").where("long IS NOT NULL").distinct().count()
+    assert K._often_drawn(named) and len(K._often_drawn(named)) == 1
+    cut, whole = (K.synthesize(src, 5000, seed=4, model=m).orderBy("_row").collect() for m in (model, K.fit(src, value_limit=10**6)))
+    assert cut == whole and len(cut) == 5000
+    hot, none = sum((r["long"] or "").startswith("hot") for r in cut), sum(r["long"] is None for r in cut)
+    assert abs(hot - 5000 / 3) < 150 and abs(none - 5000 * 182 / 3000) < 100
+
+
 def test_drawn_values_follow_frequencies_with_a_hot_value(spark, monkeypatch):
     monkeypatch.setattr(K, "CHUNK", 100)
     src = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 3 == 1, F.lit(None)).otherwise(F.concat(F.lit("v"), "id")).alias("t"))
