@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["tables", "columns", "records", "generation", "series", "synthesis", "links"]
+FAMILIES = ["tables", "columns", "records", "generation", "series", "synthesis", "links", "documents"]
 
 
 def _merged(attr: str) -> dict:
