@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,7 +39,15 @@ def snake(c: Column | str) -> Column:
 
 def tokens_name(c: Column | str) -> Column:
     """As ``snake`` but underscores collapse as well."""
-    return F.btrim(F.regexp_replace(F.lower(strip(c)), "[^a-z0-9]+", "_"), F.lit("_"))
+    return F.btrim(F.regexp_replace(F.lower(strip(c)), NAME_RUNS, "_"), F.lit("_"))
+
+
+NAME_RUNS = "[^a-z0-9]+"
+
+
+def plain_name(text) -> str:
+    """``tokens_name`` of one name held by the driver."""
+    return "_".join(filter(None, re.split(NAME_RUNS, str(text).lower())))
 
 
 def tight(c: Column | str) -> Column:
@@ -107,8 +117,6 @@ def weighted_values(c: Column | str) -> Column:
 
 def parse_weighted(text) -> list[tuple[str, float]]:
     """The same rule for one setting held by the driver."""
-    import re
-
     entries: dict[str, float] = {}
     for part in (p.strip() for p in re.split(LIST_SPLIT, str(text or ""))):
         value, sep, weight = part.rpartition("|")

@@ -6,6 +6,7 @@ Usual columns: project_id, table_name, column_name, position, data_type, is_pk,
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -57,13 +58,19 @@ def normal_type(c: Column | str) -> Column:
     return F.coalesce(F.try_element_at(known, base), F.lit("varchar"))
 
 
+# Patterns of declared types and the generator kind that fits, in this order; others are categorical.
+TYPE_KINDS = [("DATE|TIME", "datetime"), ("INT", "integer"), ("NUM|DEC|DOUBLE|FLOAT|REAL", "numerical")]
+
+
 def type_generator(c: Column | str) -> Column:
     """Generator kind that fits a declared type."""
     t = F.upper(F.coalesce(_col(c), F.lit("")))
-    return _case(
-        [(t.rlike("DATE|TIME"), F.lit("datetime")), (t.rlike("INT"), F.lit("integer")), (t.rlike("NUM|DEC|DOUBLE|FLOAT|REAL"), F.lit("numerical"))],
-        F.lit("categorical"),
-    )
+    return _case([(t.rlike(pattern), F.lit(kind)) for pattern, kind in TYPE_KINDS], F.lit("categorical"))
+
+
+def kind_of_type(declared: str | None) -> str:
+    """The same rule for one type held by the driver."""
+    return next((kind for pattern, kind in TYPE_KINDS if re.search(pattern, (declared or "").upper())), "categorical")
 
 
 def safe_generator(generator: Column | str, dtype: Column | str) -> Column:
@@ -540,6 +547,10 @@ def dedupe_tables(tables: DataFrame, columns: DataFrame) -> DataFrame:
     )
 
 
+# Fixed value: how a summary ends.
+SUMMARY_END = ". Typical relational synthetic-data project."
+
+
 def project_summaries(projects: DataFrame, tables: DataFrame, columns: DataFrame, relations: DataFrame) -> DataFrame:
     """One sentence per project: table, column and relation counts, first four table names, source."""
     w = Window.partitionBy("project_id").orderBy("position")
@@ -553,7 +564,7 @@ def project_summaries(projects: DataFrame, tables: DataFrame, columns: DataFrame
     text = F.concat(
         F.col("nt").cast("string"), F.lit(" tables ("), listed, F.lit("), "), F.col("nc").cast("string"), F.lit(" columns, "),
         F.col("nr").cast("string"), F.lit(" relations; source="), F.coalesce(F.nullif("source_type", F.lit("")), F.lit("unknown")),
-        F.lit(". Typical relational synthetic-data project."),
+        F.lit(SUMMARY_END),
     )
     return j.select("project_id", F.col("nt").alias("table_count"), F.col("nc").alias("column_count"), F.col("nr").alias("relation_count"), text.alias("summary"))
 

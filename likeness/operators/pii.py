@@ -161,29 +161,25 @@ def detect(
 # --- masking -------------------------------------------------------------------------
 
 
+# Parts of a column name, and what stands before and after a number from ``low`` up to, without, ``high``.
+MASKS = [
+    (["email"], "user", 100000, 999999, "@example.com"),
+    (["phone", "mobile", "contact"], "+1", 2000000000, 9999999999, ""),
+    (["name"], "Person_", 10000, 99999, ""),
+    (["address", "street"], "Address_", 10000, 99999, ""),
+    ([""], "masked_", 100000, 999999, ""),
+]
+
+
 def mask(name: str, value: Column, ids, seed: int, consistent: bool = False) -> Column:
-    """A stand-in for a value, shaped by the column name; null stays null.
+    """A stand-in for a value, shaped by the first entry of ``MASKS`` that the column name fits; null stays null.
 
     ``consistent`` draws from the value itself, so equal values stay equal across tables.
     """
-    low = name.lower()
-    keys = [value] if consistent else ids
-    stream = "mask" if consistent else f"{low}.mask"
-
-    def number(lo: int, hi: int) -> Column:
-        return (R.below(seed, stream, keys, hi - lo) + F.lit(lo)).cast("string")
-
-    if "email" in low:
-        text = F.concat(F.lit("user"), number(100000, 999999), F.lit("@example.com"))
-    elif any(k in low for k in ("phone", "mobile", "contact")):
-        text = F.concat(F.lit("+1"), number(2000000000, 9999999999))
-    elif "name" in low:
-        text = F.concat(F.lit("Person_"), number(10000, 99999))
-    elif any(k in low for k in ("address", "street")):
-        text = F.concat(F.lit("Address_"), number(10000, 99999))
-    else:
-        text = F.concat(F.lit("masked_"), number(100000, 999999))
-    return F.when(value.isNotNull(), text)
+    column = name.lower()
+    before, low, high, after = next(shape for parts, *shape in MASKS if any(p in column for p in parts))
+    draw = R.below(seed, "mask", [value], high - low) if consistent else R.below(seed, f"{column}.mask", ids, high - low)
+    return F.when(value.isNotNull(), F.concat(F.lit(before), (draw + low).cast("string"), F.lit(after)))
 
 
 def anonymize(df: DataFrame, columns: list[str], ids: list[str], seed: int = 42, consistent: bool = False) -> DataFrame:
