@@ -11,7 +11,7 @@ from ..operators import copula as K
 from ..operators import multitable as M
 from ..operators.generate import Link
 from ..session import work_folder
-from ..streaming import activity, running_profile
+from ..streaming import activity, drift, running_profile
 from .common import STAR_KEYS, load, sql_normal
 
 LI_IDS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
@@ -358,6 +358,22 @@ def stream_profile(spark, d):
     return out.withColumn("sd", F.round("sd", 4)).withColumn("cardinality_near", near).drop("cardinality")
 
 
+def stream_drift(spark, d):
+    """Every day of the events against all days, from sketches kept by a stream over files in mixed order; moved: distance above 0.3."""
+    events = load(spark, d, "events").drop("props", "event_type")
+    out = drift.by_period(drift.run(spark, _mixed_files(spark, d), "*.parquet", events.schema, F.to_date("ts")))
+    return out.select("column", F.col("period").alias("day"), "base_n", "n", "filled", (F.col("ks") > 0.3).alias("moved"))
+
+
+# the largest difference of the two distribution functions, taken at every value
+STREAM_DRIFT_SQL = " UNION ALL ".join(
+    f"""SELECT * FROM (WITH e AS (SELECT ts::DATE AS day, {x} AS x FROM events), v AS (SELECT x, count(*) AS k FROM e WHERE x IS NOT NULL GROUP BY 1),
+ a AS (SELECT x, sum(k) OVER (ORDER BY x) / sum(k) OVER () AS f FROM v), c AS (SELECT day, x, count(*) AS k FROM e WHERE x IS NOT NULL GROUP BY ALL),
+ b AS (SELECT day, x, sum(k) OVER (PARTITION BY day ORDER BY x) / sum(k) OVER (PARTITION BY day) AS f, sum(k) OVER (PARTITION BY day ORDER BY x) - k AS before, sum(k) OVER (PARTITION BY day) AS total, k FROM c),
+ g AS (SELECT day, max(greatest(abs(b.f - a.f), abs(b.before / b.total - (a.f - v.k / (SELECT sum(k) FROM v))), CASE WHEN b.before + b.k = b.total THEN 1 - a.f ELSE 0 END)) AS ks FROM b JOIN a USING (x) JOIN v USING (x) GROUP BY day)
+ SELECT '{c}' AS "column", day, (SELECT count(*) FROM e) AS base_n, (SELECT count(*) FROM e e2 WHERE e2.day = g.day) AS n, (SELECT count(x) FROM e e2 WHERE e2.day = g.day) AS filled, ks > 0.3 AS moved FROM g)"""
+    for c, x in (("event_id", "event_id"), ("ts", "ts"), ("user_id", "user_id"), ("value", "value"))
+)
 _EVENT_NUMBERS = ("event_id", "user_id", "value")
 STREAM_PROFILE_SQL = " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", count(*) AS n, count(*) - count({c}) AS nulls, CAST(min({c}) AS VARCHAR) AS min, CAST(max({c}) AS VARCHAR) AS max, "
@@ -368,13 +384,13 @@ STREAM_PROFILE_SQL = " UNION ALL ".join(
 
 QUERIES = {
     "key_shapes": key_shapes, "hier_free_children": hier_free_children, "hier_two_parents": hier_two_parents,
-    "stream_rollup": stream_rollup, "stream_rollup_batch": stream_rollup_batch, "stream_profile": stream_profile,
+    "stream_rollup": stream_rollup, "stream_rollup_batch": stream_rollup_batch, "stream_profile": stream_profile, "stream_drift": stream_drift,
     "copula_marginals": copula_marginals, "copula_corr": copula_corr, "copula_sample": copula_sample, "single_synth": single_synth, "text_synth": text_synth, "text_synth_checks": text_synth_checks,
     "multi_synth": multi_synth, "multi_synth_checks": multi_synth_checks, "hier_synth": hier_synth, "hier_synth_checks": hier_synth_checks,
 }
 
 ORACLES = {
     "key_shapes": SHAPES_SQL, "hier_free_children": FREE_SQL, "hier_two_parents": TWO_PARENTS_SQL,
-    "stream_rollup": STREAM_ROLLUP_SQL, "stream_rollup_batch": STREAM_ROLLUP_SQL, "stream_profile": STREAM_PROFILE_SQL,
+    "stream_rollup": STREAM_ROLLUP_SQL, "stream_rollup_batch": STREAM_ROLLUP_SQL, "stream_profile": STREAM_PROFILE_SQL, "stream_drift": STREAM_DRIFT_SQL,
     "copula_marginals": MARGINALS_SQL, "copula_corr": COPULA_CORR_SQL, "copula_sample": COPULA_SAMPLE_SQL, "text_synth_checks": TEXT_CHECKS_SQL, "multi_synth_checks": MULTI_CHECKS_SQL, "hier_synth_checks": HIER_CHECKS_SQL,
 }
