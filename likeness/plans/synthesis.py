@@ -344,6 +344,25 @@ def stream_rollup(spark, d):
 STREAM_ROLLUP_SQL = """SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type AS action, count(*) AS events, CAST(sum(json_extract_string(props, '$.k')::BIGINT) AS BIGINT) AS tokens FROM events GROUP BY ALL"""
 
 
+def stream_hours(spark, d):
+    """The hours of a stream over files in order of days, the last one with events of all days: late events, closed hours, compacted sums."""
+    out, work = work_folder(spark, "days"), work_folder(spark, "hours")
+    events = load(spark, d, "events")
+    stray = F.pmod(F.col("event_id"), F.lit(50)) == 0
+    for i, part in enumerate((~stray & (F.dayofmonth("ts") <= 10), ~stray & (F.dayofmonth("ts") > 10), stray)):
+        events.where(part).coalesce(1).write.parquet(f"{out}/f={i}")
+        source = spark.readStream.schema(activity._SCHEMA).parquet(f"{out}/f=*")
+        activity.start(spark, source, f"{work}/out", f"{work}/state", "6 hours", 2).awaitTermination()
+    return activity.hours(spark, f"{work}/out", "6 hours")
+
+
+STREAM_HOURS_SQL = """WITH e AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type AS action, ts, json_extract_string(props, '$.k')::BIGINT AS k,
+ CASE WHEN event_id % 50 = 0 THEN 2 WHEN day(ts) > 10 THEN 1 ELSE 0 END AS part FROM events),
+m AS (SELECT max(ts) FILTER (WHERE part = 0) - INTERVAL 6 HOUR AS m0, max(ts) FILTER (WHERE part < 2) - INTERVAL 6 HOUR AS m1, max(ts) - INTERVAL 6 HOUR AS m2 FROM e)
+SELECT hour, action, count(*) AS events, CAST(sum(k) AS BIGINT) AS tokens, count_if((part = 1 AND hour + INTERVAL 1 HOUR <= m0) OR (part = 2 AND hour + INTERVAL 1 HOUR <= m1)) AS late,
+ hour + INTERVAL 1 HOUR <= max(m2) AS closed FROM e, m GROUP BY hour, action"""
+
+
 def stream_rollup_batch(spark, d):
     """The same rollup as one batch."""
     return activity.rollup(activity.prepare(load(spark, d, "events")))
@@ -384,13 +403,13 @@ STREAM_PROFILE_SQL = " UNION ALL ".join(
 
 QUERIES = {
     "key_shapes": key_shapes, "hier_free_children": hier_free_children, "hier_two_parents": hier_two_parents,
-    "stream_rollup": stream_rollup, "stream_rollup_batch": stream_rollup_batch, "stream_profile": stream_profile, "stream_drift": stream_drift,
+    "stream_rollup": stream_rollup, "stream_rollup_batch": stream_rollup_batch, "stream_profile": stream_profile, "stream_hours": stream_hours, "stream_drift": stream_drift,
     "copula_marginals": copula_marginals, "copula_corr": copula_corr, "copula_sample": copula_sample, "single_synth": single_synth, "text_synth": text_synth, "text_synth_checks": text_synth_checks,
     "multi_synth": multi_synth, "multi_synth_checks": multi_synth_checks, "hier_synth": hier_synth, "hier_synth_checks": hier_synth_checks,
 }
 
 ORACLES = {
     "key_shapes": SHAPES_SQL, "hier_free_children": FREE_SQL, "hier_two_parents": TWO_PARENTS_SQL,
-    "stream_rollup": STREAM_ROLLUP_SQL, "stream_rollup_batch": STREAM_ROLLUP_SQL, "stream_profile": STREAM_PROFILE_SQL, "stream_drift": STREAM_DRIFT_SQL,
+    "stream_rollup": STREAM_ROLLUP_SQL, "stream_rollup_batch": STREAM_ROLLUP_SQL, "stream_profile": STREAM_PROFILE_SQL, "stream_hours": STREAM_HOURS_SQL, "stream_drift": STREAM_DRIFT_SQL,
     "copula_marginals": MARGINALS_SQL, "copula_corr": COPULA_CORR_SQL, "copula_sample": COPULA_SAMPLE_SQL, "text_synth_checks": TEXT_CHECKS_SQL, "multi_synth_checks": MULTI_CHECKS_SQL, "hier_synth_checks": HIER_CHECKS_SQL,
 }

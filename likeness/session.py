@@ -57,8 +57,26 @@ def work_folder(spark: SparkSession, name: str) -> str:
 
 def drop_work_folders(spark: SparkSession) -> None:
     """Remove what this session wrote; DataFrames made from it can no longer be used."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove_folder(spark, _session_folder(spark))
+
+
+def _hadoop_path(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    files, path = _hadoop_path(spark, folder)
+    files.delete(path, True)
+
+
+def written_folders(spark: SparkSession, folder: str, prefix: str) -> list[int]:
+    """The numbers n of the completely written tables ``prefix=n`` in a folder, in order."""
+    files, path = _hadoop_path(spark, folder)
+    if not files.exists(path):
+        return []
+    names = [s.getPath() for s in files.listStatus(path) if s.getPath().getName().startswith(f"{prefix}=")]
+    return sorted(int(p.getName().split("=")[1]) for p in names if files.exists(p.suffix("/_SUCCESS")))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

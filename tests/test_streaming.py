@@ -37,3 +37,26 @@ def test_running_profile_equals_one_profile(spark, tmp_path):
         assert (g["nulls"], g["min"], g["max"], g["n"]) == (w["nulls"], w["min"], w["max"], w["total_rows"])
         assert abs(g["cardinality"] - w["cardinality"]) <= 0.05 * w["cardinality"] and (g["sd"] is None) == (w["sd"] is None)
         assert w["sd"] is None or np.isclose(g["sd"], w["sd"])
+
+
+def test_compacted_sums_late_files_and_an_ended_run(spark, tmp_path):
+    """Many files in mixed order, compaction every second batch: few folders, the batch answer; an ended run's leftovers change nothing."""
+    from likeness.session import written_folders
+
+    e, out = spark.read.parquet("/root/testdata/sf0.001/events.parquet"), str(tmp_path / "out")
+    want = activity.rollup(activity.prepare(e)).orderBy("hour", "action").collect()
+    for i in range(5):
+        e.where(F.pmod(F.col("event_id"), F.lit(5)) == i).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={i}"))
+        source = spark.readStream.schema(activity._SCHEMA).parquet(str(tmp_path / "in" / "*"))
+        activity.start(spark, source, out, str(tmp_path / "state"), "30 days", 2).awaitTermination()
+        assert len(written_folders(spark, out, "batch")) < 2 and len(written_folders(spark, out, "upto")) <= 1
+    assert activity.result(spark, out).orderBy("hour", "action").collect() == want
+    assert activity.hours(spark, out, "30 days").agg(F.sum("late")).first()[0] == 0
+    # a run that ended between writing the compacted table and removing its parts, and one that wrote half a table
+    activity.compact(spark, out)
+    (last,) = written_folders(spark, out, "upto")
+    spark.read.parquet(f"{out}/upto={last}").write.parquet(f"{out}/batch={last}")
+    spark.read.parquet(f"{out}/upto={last}").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{out}/upto={last + 1}")
+    assert activity.result(spark, out).orderBy("hour", "action").collect() == want
+    activity.compact(spark, out)
+    assert written_folders(spark, out, "batch") == [] and activity.result(spark, out).orderBy("hour", "action").collect() == want
