@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..session import cut_lineage
 
@@ -82,18 +83,37 @@ def rows_of(batches, limit: int = 4 << 20, as_bytes: bool = True, more: tuple =
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """(doc_id, part, packed): whole texts as deflated UTF-8, half the bytes of what a shuffle makes of plain text."""
+    """``docs`` with ``packed`` in place of ``text``: whole texts as deflated UTF-8, half the bytes of what a shuffle makes of plain text."""
+    others = [c for c in docs.columns if c != "text"]
 
     def work(batches):
         import zlib
 
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        for ids, texts, parts in rows_of(batches, more=("part",)):
-            columns = [pa.array(ids, pa.int64()), pa.array(parts, pa.string()), pa.array([zlib.compress(t, 3) for t in texts], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "packed"])
+        for batch in batches:
+            for a, b in slices(pc.binary_length(batch.column("text")).to_pylist(), 4 << 20):
+                part = batch.slice(a, b - a)
+                texts = part.column("text").cast(pa.binary()).to_pylist()
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array([zlib.compress(t, 3) for t in texts], pa.binary())], [*others, "packed"])
 
-    return docs.mapInArrow(work, "doc_id long, part string, packed binary")
+    return docs.mapInArrow(work, StructType([*docs.select(others).schema.fields, StructField("packed", BinaryType())]))
+
+
+def with_lists(texts: DataFrame, lists: DataFrame, by_part: bool) -> DataFrame:
+    """All rows of ``texts`` and the list of each (null: none), dealt by doc_id alone, with nothing filtered or left out
+    on the way: all joins of the same ``texts`` then read one shuffle of them. ``by_part``: lists are per (doc_id, part)."""
+    there = lists.withColumnRenamed("doc_id", "_doc")
+    match = F.col("doc_id") == F.col("_doc")
+    if by_part:  # bounds instead of an equation, which would deal by part too
+        there = there.withColumnRenamed("part", "_its")
+        match = match & (F.col("part") >= F.col("_its")) & (F.col("part") <= F.col("_its"))
+    return texts.join(there, match, "left").drop("_doc", "_its")
+
+
+#: Anchors are told by their low 40 bits: they only choose what is compared, so two that meet by chance cost time and no result.
+ANCHOR = (1 << 40) - 1
 
 
 def unpacked(batch, limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:

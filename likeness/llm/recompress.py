@@ -22,9 +22,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..session import cut_lineage
-from .common import id_text_part, one_text_each, packed, plain_words, rows_of, unpacked, with_part
+from .common import ANCHOR, id_text_part, one_text_each, packed, plain_words, rows_of, unpacked, with_lists, with_part
 from .hyperminhash import WordHashes, _constants, _mix
 
 WINDOW = 13
@@ -100,7 +101,7 @@ def _least_inside(key, low, high, n: int, size: int, best) -> None:
 
 
 def anchors(h, size: int = WINDOW, rounds: int = ROUNDS):
-    """The anchor (unsigned 64-bit) of each window of ``size`` words; ``h`` are the words' hashes."""
+    """The anchor (40 bits) of each window of ``size`` words; ``h`` are the words' hashes."""
     import numpy as np
 
     u = np.uint64
@@ -122,7 +123,7 @@ def anchors(h, size: int = WINDOW, rounds: int = ROUNDS):
     alone = best == NONE
     if alone.any():
         best[alone] = window_hashes(h, size, 7)[alone] >> u(1) | u(1 << 63)
-    return best
+    return best & u(ANCHOR)
 
 
 def joined(hashes: list, size: int):
@@ -265,6 +266,7 @@ def _window_rows(size: int):
 
         held = 0
         for batch in batches:
+            batch = batch.filter(batch.column("keys").is_valid())
             for x, texts in unpacked(batch):
                 part = batch.slice(x, len(texts))
                 ids, keys, marks = part.column("doc_id").to_numpy(), part.column("keys"), part.column("part")
@@ -301,10 +303,17 @@ def cover(positions, n: int, size: int, times=1):
     return np.cumsum(edge[:n]) > 0
 
 
-def _repeats(docs: DataFrame, counts: DataFrame, size: int) -> DataFrame:
-    """doc_id, part, packed (text), at: start words (and how many in a row) of the windows that a smaller document has, for texts with any; copies of a smaller document are left out."""
-    docs = one_text_each(docs)
-    texts = packed(docs)
+def _copies(counts: DataFrame, size: int) -> DataFrame:
+    """``counts`` and ``copy``: whether a smaller document has the same words, at least a window of them."""
+    least = counts.groupBy("sha").agg(F.min("doc_id").alias("least"))
+    copy = (F.col("least") < F.col("doc_id")) & (F.col("n_words") >= size)
+    return counts.join(least, "sha").withColumn("copy", F.coalesce(copy, F.lit(False)))
+
+
+def _gone(docs: DataFrame, texts: DataFrame, counts: DataFrame, size: int) -> DataFrame:
+    """doc_id, part, at, n: start words (and how many in a row) of the windows that a smaller document has; copies of a smaller document are left out.
+
+    ``texts`` is ``packed(docs)``, with more columns if wanted."""
 
     def find():
         return _anchors_of(WordHashes(), size)
@@ -313,53 +322,82 @@ def _repeats(docs: DataFrame, counts: DataFrame, size: int) -> DataFrame:
     reps = counts.where(f"n_words >= {size}").groupBy("sha").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     keys = shared_anchors(docs, find).join(reps, "doc_id", "left_semi")
     kinds = "w1 long, w2 int, salt int, doc_id long, part string, at int, n int"
-    rows = texts.join(keys, "doc_id").select("doc_id", "part", "packed", "keys").mapInArrow(_window_rows(size), kinds)
+    rows = with_lists(texts, keys, False).mapInArrow(_window_rows(size), kinds)
     w = Window.partitionBy("w1", "w2", "salt").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    gone = rows.withColumn("source", F.first("doc_id").over(w)).where("salt > 0 or source < doc_id")
-    places = gone.groupBy("doc_id", "part").agg(F.collect_list(F.struct("at", "n")).alias("at"))
-    return texts.join(places, ["doc_id", "part"]).select("doc_id", "part", "packed", "at")
+    return rows.withColumn("source", F.first("doc_id").over(w)).where("salt > 0 or source < doc_id").select("doc_id", "part", "at", "n")
 
 
-def strip(df: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256: one row per document."""
-    return _strip(id_text_part(with_part(df, id_col, text_col), id_col, text_col), size, False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+def _with_places(texts: DataFrame, gone: DataFrame) -> DataFrame:
+    """``texts`` and ``at``: the list of each text's rows of ``gone`` (null: none)."""
+    return with_lists(texts, gone.repartition("doc_id").groupBy("doc_id", "part").agg(F.collect_list(F.struct("at", "n")).alias("at")), True)
 
 
-def _strip(docs: DataFrame, size: int, with_text: bool) -> DataFrame:
-    """One row per document: doc_id, part, n_words, n_removed, kept_sha256, copy (of a smaller document) and, if wanted, kept (words that stay, joined by one space)."""
+def _left(text: bytes, at, size: int) -> tuple[int, bytes]:
+    """Number of words that go by the list ``at``, and the others joined by one space."""
+    import numpy as np
+
+    words = plain_words(text)
+    starts, times = (at.values.field(c).to_numpy(zero_copy_only=False) for c in ("at", "n"))
+    gone = cover(starts, len(words), size, times)
+    return int(gone.sum()), b" ".join([words[i] for i in np.flatnonzero(~gone)])
+
+
+def strip(df: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256: one row per document."""
 
     def work(batches):
         import hashlib
 
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
+            batch = batch.filter(batch.column("at").is_valid())
             for x, texts in unpacked(batch):
                 out = []
                 for doc, part, text, at in zip(batch.column("doc_id").slice(x), batch.column("part").slice(x), texts, batch.column("at").slice(x)):
-                    words = plain_words(text)
-                    starts, times = (at.values.field(c).to_numpy(zero_copy_only=False) for c in ("at", "n"))
-                    gone = cover(starts, len(words), size, times)
-                    kept = b" ".join([words[i] for i in np.flatnonzero(~gone)])
-                    out.append((doc.as_py(), part.as_py(), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
-                yield _columns(["doc_id", "part", "n_removed", "kept_sha256", "kept"], [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()], list(zip(*out)))
+                    n, kept = _left(text, at, size)
+                    out.append((doc.as_py(), part.as_py(), n, hashlib.sha256(kept).hexdigest()))
+                yield _columns(["doc_id", "part", "n_removed", "kept_sha256"], [pa.int64(), pa.string(), pa.int64(), pa.string()], list(zip(*out)))
 
+    docs = id_text_part(with_part(df, id_col, text_col), id_col, text_col)
     counts = cut_lineage(word_counts(docs))
-    cut = _repeats(docs, counts, size).mapInArrow(work, "doc_id long, part string, n_removed long, kept_sha256 string, kept string")
-    least = counts.groupBy("sha").agg(F.min("doc_id").alias("least"))
-    copy = (F.col("least") < F.col("doc_id")) & (F.col("n_words") >= size)
-    return counts.join(least, "sha").join(cut, ["doc_id", "part"], "left").select(
-        "doc_id", "part", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"), copy.alias("copy"), "kept",
+    single = one_text_each(docs)
+    texts = packed(single)
+    cut = _with_places(texts, _gone(single, texts, counts, size)).mapInArrow(work, "doc_id long, part string, n_removed long, kept_sha256 string")
+    return _copies(counts, size).join(cut, ["doc_id", "part"], "left").select(
+        "doc_id", "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+        F.when(F.col("copy"), F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     )
 
 
 def stripped(df: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with the repeated words taken out of the text; an untouched text keeps its bytes, a text without words left goes if it lost any."""
+    """``df`` with the repeated words taken out of the text; an untouched text keeps its bytes, a text without words left goes if it lost any.
+
+    The rows travel once, deflated: what goes is told to each row by (doc_id, part), and copies of a smaller document lose all their windows."""
+    others = [c for c in df.columns if c != text_col]
+
+    def work(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for x, texts in unpacked(batch):
+                some = batch.slice(x, len(texts))
+                ats, nulls, out, stay = some.column("at"), some.column("missing").to_pylist(), [], []
+                for text, at, null in zip(texts, ats, nulls):
+                    removed, kept = _left(text, at, size) if at.is_valid else (0, text)
+                    stay.append(not removed or bool(kept))
+                    out.append(None if null and not removed else kept)
+                rest = some.column("rest")
+                done = pa.RecordBatch.from_arrays([rest, pa.array(out, pa.binary()).cast(pa.string())], ["rest", "text"])
+                yield done.filter(pa.array(stay, pa.bool_()))
+
     marked = with_part(df, id_col, text_col)
-    found = _strip(id_text_part(marked, id_col, text_col), size, True).where("n_removed > 0")
-    found = found.select(F.col("doc_id").alias(id_col), F.col("part").alias("_part"), F.coalesce(F.when(~F.col("copy"), F.col("kept")), F.lit("")).alias("_kept"))
-    out = marked.join(found.dropDuplicates([id_col, "_part"]), [id_col, "_part"], "left")
-    out = out.where(F.col("_kept").isNull() | (F.col("_kept") != ""))
-    return out.withColumn(text_col, F.coalesce("_kept", text_col)).select(*df.columns)
+    docs = id_text_part(marked, id_col, text_col)
+    # names of its own, so that columns cannot clash
+    rest = F.struct(F.lit(0).cast("byte").alias("c"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)]).alias("rest")
+    texts = packed(marked.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col("_part").alias("part"), F.col(text_col).isNull().alias("missing"), rest))
+    counts = cut_lineage(word_counts(docs))
+    copies = _copies(counts, size).where("copy").select("doc_id", "part", F.lit(0).alias("at"), (F.col("n_words") - (size - 1)).cast("int").alias("n")).distinct()
+    found = _with_places(texts, _gone(one_text_each(docs), texts, counts, size).unionByName(copies))
+    kept = found.mapInArrow(work, StructType([found.schema["rest"], StructField("text", StringType())]))
+    return kept.select(*[F.col("text").alias(c) if c == text_col else F.col(f"rest.c{others.index(c)}").alias(c) for c in df.columns])

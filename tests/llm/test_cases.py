@@ -489,3 +489,24 @@ def test_gradients():
             down = loss()
             w[spot] = old
             assert g[spot] == pytest.approx((up - down) / (2 * step), abs=2e-2, rel=5e-2)
+
+
+@pytest.mark.parametrize("operator", [recompress.strip, recompress.stripped])
+def test_texts_are_shuffled_once(spark, operator):
+    """Both joins of the packed texts read one shuffle of them, and rows travel deflated."""
+    rng = random.Random(8)
+    texts = {d: " ".join([*(f"w{rng.randrange(10**6)}" for _ in range(30)), PASSAGE, f"v{d}"]) for d in range(40)}
+    df = spark.createDataFrame([(d, t, d * 1.5, "x") for d, t in texts.items()], "doc_id int, text string, rest double, part string").repartition(4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = operator(df)
+        plan = out._jdf.queryExecution().executedPlan().toString().split("\n")
+        below = [b for a, b in zip(plan, plan[1:]) if "Exchange hashpartitioning(doc_id" in a and "ReusedExchange" not in a]
+        assert sum("packed" in x for x in below) == 1 and any("ReusedExchange" in x and "packed" in x for x in plan)
+        if operator is recompress.stripped:
+            want = {d: kept.decode() for d, (_, _, kept) in brute.stripped_words(texts).items()}
+            assert {r["doc_id"]: (r["text"], r["rest"], r["part"]) for r in out.collect()} == {d: (t, d * 1.5, "x") for d, t in want.items()} and out.schema == df.schema
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
