@@ -5,8 +5,9 @@ smallest hash: its anchor. Anchors that only one document has rule their strings
 strings the texts (a run of windows with one anchor is one piece) go to the shard of their anchor,
 so equal strings meet whatever documents they come from. Windows of a *hot* anchor, which so many
 documents have that their pieces would fill a shard, go by the hash of their 50 bytes instead: equal
-windows still meet, different ones spread. A piece that a smaller document has as a whole is settled by looking it up; a shard sorts the suffixes of
-all other pieces by induction (``induced``), and windows whose common prefix reaches 50 bytes are one string:
+windows still meet, different ones spread. A piece that a smaller document has as a whole is settled by looking it up. Of the others a shard keeps the windows whose
+second anchor, the gram of greatest hash, two documents share as well; it sorts the suffixes of
+these by induction (``induced``), and windows whose common prefix reaches 50 bytes are one string:
 its smallest doc_id keeps it, all others lose those bytes.
 
 Null texts are empty. Rows without a doc_id keep their text and are no source; rows that repeat a
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import shuffle_width
 from ..session import cut_lineage
-from .common import id_text_part, one_text_each, packed, unpacked, with_part
+from .common import ANCHOR, id_text_part, one_text_each, packed, slices, unpacked, with_lists, with_part
 from .hyperminhash import _mix
 from .induced import sorted_suffixes
 from .recompress import _columns, shared_anchors
@@ -44,10 +45,11 @@ def anchors_of(texts: list[bytes]) -> list:
     return out
 
 
-def window_anchors(text: bytes, window: int = WINDOW, gram: int = GRAM):
-    """The least hash of the 16-byte grams of each window."""
+def window_anchors(text: bytes, window: int = WINDOW, gram: int = GRAM, greatest: bool = False):
+    """The least (or greatest) hash, its low 40 bits, of the 16-byte grams of each window."""
     import numpy as np
 
+    pick = np.maximum if greatest else np.minimum
     n = len(text)
     if n < window:
         return np.zeros(0, np.uint64)
@@ -56,10 +58,10 @@ def window_anchors(text: bytes, window: int = WINDOW, gram: int = GRAM):
     low = _mix(words[:m] * np.uint64(0x9E3779B97F4A7C15) + _mix(words[8 : 8 + m]))
     reach, wide = 1, window - gram + 1
     while reach * 2 <= wide:
-        low = np.minimum(low[:-reach], low[reach:])
+        low = pick(low[:-reach], low[reach:])
         reach *= 2
     rest = wide - reach
-    return np.minimum(low[:-rest], low[rest:]) if rest else low
+    return (pick(low[:-rest], low[rest:]) if rest else low) & np.uint64(ANCHOR)
 
 
 def _runs(key, wanted):
@@ -123,6 +125,7 @@ def _pieces(batches, hot):
 
     rows, held = [], 0
     for batch in batches:
+        batch = batch.filter(batch.column("keys").is_valid())
         ids, parts, keys = batch.column("doc_id"), batch.column("part"), batch.column("keys")
         for x, raw in unpacked(batch):
             for i, (text, key) in enumerate(zip(raw, anchors_of(raw)), x):
@@ -147,6 +150,50 @@ def _pieces(batches, hot):
         yield _columns(names, kinds, list(zip(*flush(rows))))
 
 
+def contested(texts: list[bytes], key, doc):
+    """(piece, first window, bytes) of the ranges of windows whose two anchors, the piece's ``key`` and the gram of
+    greatest hash, two documents share. Equal windows share both, so a window outside of these has no equal."""
+    import numpy as np
+
+    sizes = np.array([len(t) for t in texts], np.int64)
+    owner, first, stop, pair = [], [], [], []
+    for x, y in slices(sizes.tolist(), 1 << 20):
+        count = sizes[x:y] - (WINDOW - 1)
+        begin, before = np.cumsum(sizes[x:y]) - sizes[x:y], np.cumsum(count) - count
+        every = window_anchors(b"".join(texts[x:y]), greatest=True)
+        mine = np.repeat(np.arange(y - x), count)
+        at = np.arange(len(mine)) - before[mine]
+        second = every[begin[mine] + at]
+        head = np.flatnonzero(np.concatenate([[True], (second[1:] != second[:-1]) | (mine[1:] != mine[:-1])]))
+        own = mine[head]
+        owner.append(own + x)
+        first.append(at[head])
+        stop.append(at[np.append(head[1:], len(mine)) - 1] + 1)
+        pair.append(_mix(key[x:y][own].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + second[head]))
+    owner, first, stop, pair = map(np.concatenate, (owner, first, stop, pair))
+    order = np.argsort(pair)
+    d, heads = doc[owner[order]], np.flatnonzero(np.concatenate([[True], np.diff(pair[order]) != 0]))
+    shared = np.empty(len(pair), bool)
+    shared[order] = np.repeat(np.minimum.reduceat(d, heads) != np.maximum.reduceat(d, heads), np.diff(np.append(heads, len(d))))
+    owner, first, stop = owner[shared], first[shared], stop[shared]
+    if not len(owner):
+        return owner, first, stop
+    heads = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (first[1:] != stop[:-1])]))  # neighbours are one range
+    last = np.append(heads[1:], len(owner)) - 1
+    return owner[heads], first[heads], stop[last] - first[heads] + WINDOW - 1
+
+
+def _alone(texts: list[bytes], doc):
+    """Whether no smaller document has the same piece."""
+    import numpy as np
+
+    least: dict[bytes, int] = {}
+    for t, d in zip(texts, doc.tolist()):
+        if d < least.get(t, 1 << 63):
+            least[t] = d
+    return np.fromiter((least[t] == d for t, d in zip(texts, doc.tolist())), bool, len(texts))
+
+
 def _shard(batches):
     """Sorts the pieces of one partition; gives the bytes to remove as (doc_id, part, first, end)."""
     import os
@@ -157,38 +204,62 @@ def _shard(batches):
     import pyarrow.compute as pc
 
     names, kinds = ["doc_id", "part", "first", "end"], [pa.int64(), pa.string(), pa.int64(), pa.int64()]
-    docs, parts, ats, sizes = [], [], [], []
+    texts, keys, docs, parts, ats = [], [], [], [], []
+
+    def told(own, first, end):
+        """Rows of ranges of the pieces ``own``."""
+        for a in range(0, len(own), 100_000):
+            s = slice(a, a + 100_000)
+            yield _columns(names, kinds, [doc[own[s]], part.take(pa.array(own[s])).combine_chunks(), first[s], end[s]])
+
+    # a piece that a smaller document has as a whole is settled without being sorted
+    least: dict[bytes, int] = {}  # smallest document per piece so far
+    for batch in batches:
+        own = batch.column("piece").is_valid()
+        known = batch.filter(pc.invert(own))
+        mine = batch.filter(own)
+        some, ids = mine.column("piece").to_pylist(), mine.column("doc_id").to_pylist()
+        for t, d in zip(some, ids):
+            if d < least.get(t, 1 << 63):
+                least[t] = d
+        fresh = pa.array([least[t] == d for t, d in zip(some, ids)], pa.bool_())
+        for x in (known, mine.filter(pc.invert(fresh))):
+            if x.num_rows:
+                first = x.column("at").to_numpy()
+                yield _columns(names, kinds, [x.column("doc_id"), x.column("part"), first, first + x.column("size").to_numpy()])
+        texts += [t for t, stays in zip(some, fresh.to_pylist()) if stays]
+        mine = mine.filter(fresh)
+        keys.append(mine.column("key").to_numpy())
+        docs.append(mine.column("doc_id").to_numpy())
+        parts.append(mine.column("part"))
+        ats.append(mine.column("at").to_numpy())
+    del least
+    if not texts:
+        return
+    key, doc, at = np.concatenate(keys), np.concatenate(docs), np.concatenate(ats)
+    part = pa.chunked_array(parts, pa.string())
+    left = np.flatnonzero(_alone(texts, doc))
+    settled = np.setdiff1d(np.arange(len(doc)), left)
+    yield from told(settled, at[settled], at[settled] + np.array([len(texts[i]) for i in settled.tolist()], np.int64))
+    texts = [texts[i] for i in left.tolist()]
+    # only what may be in two documents is sorted
+    piece, offset, size = contested(texts, key[left], doc[left])
+    texts = [texts[i][a : a + n] for i, a, n in zip(piece.tolist(), offset.tolist(), size.tolist())]
+    own, first = left[piece], at[left[piece]] + offset
+    stays = _alone(texts, doc[own])
+    yield from told(own[~stays], first[~stays], (first + size)[~stays])
+    texts = [t for t, s in zip(texts, stays.tolist()) if s]
+    own, first, size = own[stays], first[stays], size[stays]
+    if not texts:
+        return
+    begin = np.cumsum(size + 1) - (size + 1)
     with tempfile.TemporaryDirectory(prefix="suffixes-") as folder:  # this task's spill, gone with the task
         path = os.path.join(folder, "text")
-        least: dict[bytes, int] = {}  # smallest document per piece so far
         with open(path, "wb") as f:
-            for batch in batches:
-                own = batch.column("piece").is_valid()
-                known = batch.filter(pc.invert(own))
-                mine = batch.filter(own)
-                # a piece that a smaller document has as a whole is settled without being sorted
-                texts, doc = mine.column("piece").to_pylist(), mine.column("doc_id").to_pylist()
-                for t, d in zip(texts, doc):
-                    if d < least.get(t, 1 << 63):
-                        least[t] = d
-                fresh = pa.array([least[t] == d for t, d in zip(texts, doc)], pa.bool_())
-                for some in (known, mine.filter(pc.invert(fresh))):
-                    if some.num_rows:
-                        first = some.column("at").to_numpy()
-                        yield _columns(names, kinds, [some.column("doc_id"), some.column("part"), first, first + some.column("size").to_numpy()])
-                mine = mine.filter(fresh)
-                docs.append(mine.column("doc_id").to_numpy())
-                parts.append(mine.column("part"))
-                ats.append(mine.column("at").to_numpy())
-                sizes.append(mine.column("size").to_numpy())
-                f.write(b"".join(p.translate(SHIFT) + b"\0" for p in mine.column("piece").to_pylist()))
+            for a in range(0, len(texts), 10_000):
+                f.write(b"".join(t.translate(SHIFT) + b"\0" for t in texts[a : a + 10_000]))
             f.write(b"\0" * 8)
-        del least
-        if not docs or not sum(map(len, docs)):
-            return
-        doc, at, size = np.concatenate(docs), np.concatenate(ats), np.concatenate(sizes)
-        part = pa.chunked_array(parts, pa.string())
-        begin = np.cumsum(size + 1) - (size + 1)
+        del texts
         text = np.memmap(path, np.uint8, "r")
         places, fresh = [], []
         for pos, lcp in sorted_suffixes(text, folder, WINDOW):
@@ -196,22 +267,18 @@ def _shard(batches):
             whole = begin[piece] + size[piece] - pos >= WINDOW
             places.append(pos[whole])
             fresh.append(lcp[whole] < WINDOW)
-        place, new = np.concatenate(places), np.concatenate(fresh)
-        if not len(place):
-            return
-        new[0] = True
-        owner_doc = doc[np.searchsorted(begin, place, "right") - 1]
-        groups = np.flatnonzero(new)
-        least = np.minimum.reduceat(owner_doc, groups)
-        gone = np.sort(place[np.repeat(least, np.diff(np.append(groups, len(place)))) < owner_doc])
-        if len(gone):
-            heads = np.flatnonzero(np.concatenate([[True], np.diff(gone) > 1]))
-            tails = np.append(heads[1:], len(gone)) - 1
-            piece = np.searchsorted(begin, gone[heads], "right") - 1
-            first = at[piece] + gone[heads] - begin[piece]
-            for a in range(0, len(heads), 100_000):
-                s = slice(a, a + 100_000)
-                yield _columns(names, kinds, [doc[piece[s]], part.take(pa.array(piece[s])).combine_chunks(), first[s], (first + gone[tails] - gone[heads] + WINDOW)[s]])
+    place, new = np.concatenate(places), np.concatenate(fresh)
+    new[0] = True
+    owner_doc = doc[own[np.searchsorted(begin, place, "right") - 1]]
+    groups = np.flatnonzero(new)
+    least_doc = np.minimum.reduceat(owner_doc, groups)
+    gone = np.sort(place[np.repeat(least_doc, np.diff(np.append(groups, len(place)))) < owner_doc])
+    if len(gone):
+        heads = np.flatnonzero(np.concatenate([[True], np.diff(gone) > 1]))
+        tails = np.append(heads[1:], len(gone)) - 1
+        piece = np.searchsorted(begin, gone[heads], "right") - 1
+        start = first[piece] + gone[heads] - begin[piece]
+        yield from told(own[piece], start, start + gone[tails] - gone[heads] + WINDOW)
 
 
 def _repeats(docs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -238,7 +305,7 @@ def _piece_rows(texts: DataFrame, keys: DataFrame) -> DataFrame:
 
         return _pieces(batches, np.array(hot, np.int64).view(np.uint64))
 
-    return texts.join(keys, "doc_id").select("doc_id", "part", "packed", "keys").mapInArrow(work, "key long, salt int, doc_id long, part string, at long, size long, piece binary")
+    return with_lists(texts, keys, False).mapInArrow(work, "key long, salt int, doc_id long, part string, at long, size long, piece binary")
 
 
 def strip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,6 +319,7 @@ def strip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         import pyarrow as pa
 
         for batch in batches:
+            batch = batch.filter(batch.column("ranges").is_valid())
             rows = zip(batch.column("doc_id"), batch.column("part"), (t for _, some in unpacked(batch) for t in some), batch.column("ranges"))
             out = []
             for doc, part, text, ranges in rows:
@@ -268,8 +336,8 @@ def strip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
     single = one_text_each(docs)
     texts = packed(single)
-    ranges = _repeats(single, texts).groupBy("doc_id", "part").agg(F.collect_list(F.struct("first", "end")).alias("ranges"))
-    cut = texts.join(ranges, ["doc_id", "part"]).select("doc_id", "part", "packed", "ranges").mapInArrow(work, "doc_id long, part string, n_removed long, kept string, spans array<struct<first:long,end:long>>")
+    ranges = _repeats(single, texts).repartition("doc_id").groupBy("doc_id", "part").agg(F.collect_list(F.struct("first", "end")).alias("ranges"))
+    cut = with_lists(texts, ranges, True).mapInArrow(work, "doc_id long, part string, n_removed long, kept string, spans array<struct<first:long,end:long>>")
     counts = docs.select("doc_id", "part", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
     least = counts.groupBy("sha").agg(F.min("doc_id").alias("least"))
     copy = (F.col("least") < F.col("doc_id")) & (F.col("n_bytes") >= WINDOW)
