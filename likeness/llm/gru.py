@@ -77,7 +77,7 @@ class Vocabulary:
         import numpy as np
 
         at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == h, self.order[at], len(self.hashes) + (h & np.uint64(15)).astype(np.int64))
+        return np.where(self.sorted[at] == h, self.order[at], len(self.hashes) + (h & np.uint64(15)).astype(np.int64)).astype(np.int32)
 
 
 class Network:
@@ -224,17 +224,27 @@ def windows(tokens: list, net: Network, width: int, steps: int):
 
     sizes = np.array([len(t) for t in tokens])
     lane, place, length = lanes(sizes, width)
-    target = np.concatenate(tokens)
     first = np.cumsum(sizes) - sizes
-    ids = np.empty(len(target), np.int64)
-    ids[1:] = target[:-1]
-    ids[first] = net.start
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    at = np.repeat(place - first, sizes) + np.arange(len(target))
-    row = np.repeat(lane, sizes)
-    order = np.lexsort((row, at))  # by step, then lane
-    at, row, ids, target, doc = at[order], row[order], ids[order], target[order], doc[order]
+    # lanes stand in falling order of length and have no gaps, so a token's place by (step, lane) is known without a sort
+    lives = len(length) - np.cumsum(np.bincount(length))[:-1]  # lanes that have a token at each step
+    before = np.concatenate([[0], np.cumsum(lives)])
+    order = before[np.repeat((place - first).astype(np.int32), sizes) + np.arange(sizes.sum(), dtype=np.int32)]
+    order += np.repeat(lane.astype(np.int32), sizes)
+
+    def dealt(values):
+        out = np.empty(len(order), np.int32)
+        out[order] = values
+        return out
+
+    flat = np.concatenate(tokens, dtype=np.int32)
+    target, doc = dealt(flat), dealt(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes))
+    flat[1:] = flat[:-1].copy()
+    flat[first] = net.start
+    ids = dealt(flat)
+    del order, flat
     fresh = ids == net.start
+    at = np.repeat(np.arange(len(lives), dtype=np.int32), lives)
+    row = np.arange(len(at), dtype=np.int32) - np.repeat(before[:-1].astype(np.int32), lives)
     cuts = np.searchsorted(at, np.arange(0, int(length[0]) + steps, steps))
     for k in range(len(cuts) - 1):
         a, b = cuts[k], cuts[k + 1]
