@@ -27,12 +27,16 @@ MAGIC = b"S8BTOK01"
 #: (ids in a word, bits of each), by selector; selector 0 is the escape.
 PACKS = [(1, 60), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 DOC_END = 2
+#: Bits of the ids that two bytes hold.
+SHORT = bytes(max(1, i.bit_length()) for i in range(1 << 16))
 
 
 def _bits(ids):
     """Bits that each id needs, at least 1."""
     import numpy as np
 
+    if ids.max(initial=0) < len(SHORT):
+        return np.frombuffer(SHORT, np.uint8)[ids.astype(np.intp)]
     high = (ids >> np.uint64(32)).astype(np.float64)  # halves convert to floats without rounding
     out = np.frexp(np.where(high > 0, high, ids & np.uint64(0xFFFFFFFF)))[1]
     return np.maximum(out + 32 * (high > 0), 1).astype(np.uint8)
@@ -43,8 +47,9 @@ def _choices(bits, block: int):
     import numpy as np
 
     n = len(bits)
-    left = block - np.arange(n) % block
-    left = np.minimum(left, n - np.arange(n))
+    left = np.resize(np.minimum(np.arange(block, 0, -1), 255).astype(np.uint8), n)  # 60 ids at most are asked for
+    tail = min(n, block)
+    left[n - tail :] = np.minimum(left[n - tail :], np.minimum(np.arange(tail, 0, -1), 255).astype(np.uint8))
     tops, width = {1: bits}, 1
     while width < 32:
         last = tops[width]

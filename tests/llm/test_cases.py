@@ -567,3 +567,18 @@ def test_windows_of_a_group_are_small():
                     assert f == (not seen[d]) and i == (net.start if f else seen[d][-1])
                     seen[d].append(t)
     assert all(seen[d] == t.tolist() for d, t in enumerate(tokens))
+
+
+def test_choosing_words_is_small():
+    """Ids of two bytes are packed with one or two bytes of notes each where there were long integers and floats."""
+    import tracemalloc
+
+    ids = np.random.default_rng(2).integers(0, 50_000, 300_001).astype(np.uint64)
+    tracemalloc.start()
+    sel = simple8b._choices(simple8b._bits(ids), 4096)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * len(ids) and len(sel) == len(ids)
+    for n, block in ((0, 4096), (1, 4096), (5000, 4096), (4096, 64), (300_001, 4096), (130, 7)):
+        words, literals, index = simple8b.encode(ids[:n], block)
+        assert (simple8b.decode(words, literals) == ids[:n]).all() and int(index[:, 2].sum()) == n
