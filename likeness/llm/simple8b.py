@@ -188,7 +188,7 @@ def write_files(
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        writer, tokens, count, enc = None, 0, 0, None
+        writer, tokens, count, enc, end = None, 0, 0, None, end_id.to_bytes(4, "little")
         fs, top = file_system(folder)
         for ids, texts in rows_of(batches, as_bytes=False):
             if writer is None:
@@ -198,7 +198,7 @@ def write_files(
                 out = fs.open_output_stream(trial)
                 writer = _Writer(out, block)
             for doc, coded in zip(ids, enc.encode(texts)):
-                row = np.append(np.frombuffer(coded, "<u4"), np.uint32(end_id))
+                row = np.frombuffer(coded + end, "<u4")
                 writer.add(doc, row)
                 tokens, count = tokens + len(row), count + 1
         if writer is not None:
