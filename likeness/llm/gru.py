@@ -26,26 +26,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import folded_words, rows_of
-from .hyperminhash import REMEMBERED, WordHashes
+from .common import place_hashes, rows_of, word_places
 
 SHAPES = 16
 END = 1 << 4  # the end's "hash"; words' hashes are kept away from it
 
 
-class ShapedHashes(WordHashes):
-    """Word -> 60-bit hash with the word's shape in the lowest 4 bits."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+def shaped_hashes(texts: list[bytes]) -> list:
+    """Per text (A-Z in lower case) 60-bit hashes of its words with each word's shape in the lowest 4 bits, and the end."""
+    import numpy as np
 
-        last = word[-1]
-        kind = 0 if 97 <= last <= 122 else 1 if last in b".,;:" else 2 if last < 128 else 3
-        shape = kind * 4 + 2 * (not word.isascii()) + (len(word) > 7)
-        h = max(xxhash.xxh3_64_intdigest(word) & ~15, 32) | shape
-        if len(self) < REMEMBERED:
-            self[word] = h
-        return h
+    row, first, end, cuts = word_places(texts)
+    raw = np.frombuffer(row, np.uint8)
+    last = raw[end - 1]
+    kind = np.where((last >= 97) & (last <= 122), 0, np.where(np.isin(last, np.frombuffer(b".,;:", np.uint8)), 1, np.where(last < 128, 2, 3)))
+    foreign = np.zeros(len(first), np.int64)
+    foreign[np.searchsorted(first, np.flatnonzero(raw >= 128), "right") - 1] = 2
+    shape = (kind * 4 + foreign + (end - first > 7)).astype(np.uint64)
+    n = len(texts)
+    every = np.full(len(first) + n, np.uint64(END))
+    mark = np.zeros(len(every), bool)
+    mark[cuts[1:] + np.arange(n)] = True
+    every[~mark] = np.maximum(place_hashes(row, first, end) & ~np.uint64(15), np.uint64(32)) | shape
+    at = (cuts + np.arange(n + 1)).tolist()
+    return [every[a:b] for a, b in zip(at, at[1:])]
 
 
 def training_rows() -> Column:
@@ -305,14 +309,11 @@ def log_likelihoods(net: Network, tokens: list, width: int = 256, steps: int = 3
 
 def _hashed(batches, limit: int):
     """(ids, one hash array per document, the end included), about ``limit`` bytes of text at a time."""
-    import numpy as np
-
-    known, ids, rows, held = ShapedHashes(), [], [], 0
+    ids, rows, held = [], [], 0
     for docs, texts in rows_of(batches):
-        for doc, text in zip(docs, texts):
-            ids.append(doc)
-            rows.append(np.append(known.of(folded_words(text)), np.uint64(END)))
-            held += len(text)
+        ids += docs
+        rows += shaped_hashes([t.lower() for t in texts])
+        held += sum(map(len, texts))
         if held >= limit:
             yield ids, rows
             ids, rows, held = [], [], 0

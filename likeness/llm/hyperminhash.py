@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import folded_words, id_and_text, id_text_part, rows_of, with_part
+from .common import _mix, id_and_text, id_text_part, rows_of, with_part, word_hashes
 from .components import components
 
 WORDS_PER_SHINGLE, PERCENT = 5, 75
@@ -50,41 +50,12 @@ def _constants(n: int, seed: int):
     return np.array(out, np.uint64)
 
 
-def _mix(x):
+def shingles(h, size: int = WORDS_PER_SHINGLE):
+    """Sorted distinct 64-bit hashes of the runs of ``size`` words with the hashes ``h``; of all words where there are fewer."""
     import numpy as np
 
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-REMEMBERED = 250_000  # words a task keeps the hash of
-
-
-class WordHashes(dict):
-    """Word -> 64-bit hash, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < REMEMBERED:
-            self[word] = h
-        return h
-
-    def of(self, words: list[bytes]):
-        import numpy as np
-
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-def shingles(words: list[bytes], hashes: WordHashes, size: int = WORDS_PER_SHINGLE):
-    """Sorted distinct 64-bit hashes of the runs of ``size`` words; of all words where there are fewer."""
-    import numpy as np
-
-    if not words:
+    if not len(h):
         return np.zeros(0, np.uint64)
-    h = hashes.of(words)
     k = min(size, len(h))
     n = len(h) - k + 1
     out = np.full(n, np.uint64(k))
@@ -128,11 +99,11 @@ def sketches(docs: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        known, mult, plus = WordHashes(), _constants(BANDS * ROWS, 1), _constants(BANDS * ROWS, 2)
+        mult, plus = _constants(BANDS * ROWS, 1), _constants(BANDS * ROWS, 2)
         for docs, texts, parts in rows_of(batches, more=("part",)):
             out = []
-            for doc, text, part in zip(docs, texts, parts):
-                s = shingles(folded_words(text), known)
+            for doc, h, part in zip(docs, word_hashes([t.lower() for t in texts]), parts):
+                s = shingles(h)
                 if len(s) and doc is not None:
                     out.append((doc, part, len(s), _digest(s), registers(s, mult, plus).astype("<u2").tobytes()))
                 else:
@@ -183,9 +154,8 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     def work(batches):
         import pyarrow as pa
 
-        known = WordHashes()
         for _, texts in rows_of(batches):
-            found = [shingles(folded_words(t), known) for t in texts]
+            found = [shingles(h) for h in word_hashes([t.lower() for t in texts])]
             yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["digest", "hashes"])
 
     near = docs.select("doc_id", "text").join(nodes.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(work, "digest binary, hashes binary")

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..session import cut_lineage
-from .common import ANCHOR, id_text_part, one_text_each, packed, plain_words, rows_of, unpacked, with_lists, with_part
-from .hyperminhash import WordHashes, _constants, _mix
+from .common import ANCHOR, _mix, id_text_part, one_text_each, packed, plain_words, rows_of, unpacked, with_lists, with_part, word_hashes
+from .hyperminhash import _constants
 
 WINDOW = 13
 ROUNDS = 2
@@ -144,11 +144,11 @@ def joined(hashes: list, size: int):
     return out, ends - 1 - lengths
 
 
-def _anchors_of(known: WordHashes, size: int):
+def _anchors_of(size: int):
     """Function from texts to the anchors of each."""
 
     def of(texts: list[bytes]) -> list:
-        h = [known.of(plain_words(t)) for t in texts]
+        h = word_hashes(texts)
         row, places = joined(h, size)
         every = anchors(row, size)
         return [every[p : p + max(0, len(x) - size + 1)] for p, x in zip(places, h)]
@@ -240,7 +240,6 @@ def _window_rows(size: int):
         import numpy as np
         import pyarrow as pa
 
-        known = WordHashes()
         w1, w2, docs, at, texts_of, parts = [], [], [], [], [], []
 
         def flush():
@@ -270,7 +269,7 @@ def _window_rows(size: int):
             for x, texts in unpacked(batch):
                 part = batch.slice(x, len(texts))
                 ids, keys, marks = part.column("doc_id").to_numpy(), part.column("keys"), part.column("part")
-                hashes = [known.of(plain_words(t)) for t in texts]
+                hashes = word_hashes(texts)
                 row, places = joined(hashes, size)
                 every, first, second = anchors(row, size), window_hashes(row, size, 8), window_hashes(row, size, 9)
                 for i, (place, h) in enumerate(zip(places, hashes)):
@@ -316,7 +315,7 @@ def _gone(docs: DataFrame, texts: DataFrame, counts: DataFrame, size: int) -> Da
     ``texts`` is ``packed(docs)``, with more columns if wanted."""
 
     def find():
-        return _anchors_of(WordHashes(), size)
+        return _anchors_of(size)
 
     counts = counts.where("doc_id is not null")
     reps = counts.where(f"n_words >= {size}").groupBy("sha").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()

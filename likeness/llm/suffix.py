@@ -23,8 +23,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import shuffle_width
 from ..session import cut_lineage
-from .common import ANCHOR, id_text_part, one_text_each, packed, slices, unpacked, with_lists, with_part
-from .hyperminhash import _mix
+from .common import ANCHOR, _mix, id_text_part, one_text_each, packed, slices, unpacked, with_lists, with_part
 from .induced import sorted_suffixes
 from .recompress import _columns, shared_anchors
 

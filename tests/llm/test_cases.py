@@ -582,3 +582,19 @@ def test_choosing_words_is_small():
     for n, block in ((0, 4096), (1, 4096), (5000, 4096), (4096, 64), (300_001, 4096), (130, 7)):
         words, literals, index = simple8b.encode(ids[:n], block)
         assert (simple8b.decode(words, literals) == ids[:n]).all() and int(index[:, 2].sum()) == n
+
+
+def test_hashed_words_are_the_words():
+    """All words of many texts are hashed in one go: equal words alike, others apart, in the order of the texts."""
+    rng = random.Random(6)
+    texts = [b"", b" \t\n\x0b\x0c\r", b"x" * 200 + b" y", "é ü \u0085 \x1c a\x1fb".encode(), *(b"q" * k + b"\n" + b"q" * (k + 1) for k in range(70))]
+    texts += [bytes(rng.choice(b"ab .\n\xc3") for _ in range(rng.randrange(60))) for _ in range(200)]
+    names: dict[bytes, int] = {}
+    for some in (texts, texts[::-1], [], [b""]):
+        got = common.word_hashes(some)
+        assert len(got) == len(some)
+        for text, hashes in zip(some, got):
+            words = common.WORDS.findall(text)
+            assert words == common.plain_words(text) and len(words) == len(hashes)
+            assert all(names.setdefault(w, h) == h for w, h in zip(words, hashes.tolist()))
+    assert len(set(names.values())) == len(names)
