@@ -148,6 +148,7 @@ def packed(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        release()
         for batch in batches:
             for a, b in slices(pc.binary_length(batch.column("text")).to_pylist(), 4 << 20):
                 part = batch.slice(a, b - a)
@@ -196,12 +197,30 @@ def file_system(uri: str):
     return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
 
 
-def kept(key: tuple, make):
-    """An object that a Python worker keeps between tasks (a vocabulary and what it remembers); one per key."""
+def _store() -> dict:
     import sys
     import types
 
-    store = sys.modules.setdefault("_likeness_kept", types.ModuleType("_likeness_kept")).__dict__.setdefault("objects", {})
+    return sys.modules.setdefault("_likeness_kept", types.ModuleType("_likeness_kept")).__dict__.setdefault("objects", {})
+
+
+def release(but: tuple | None = None) -> None:
+    """At the start of a task: drops what earlier operators keep in this Python worker, and gives what they have freed
+    back to the system. Workers live on from stage to stage, so an executor would hold the sum of all stages."""
+    import ctypes
+
+    store = _store()
+    for key in [k for k in store if k != but]:
+        del store[key]
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def kept(key: tuple, make):
+    """An object that a Python worker keeps between tasks (a vocabulary and what it remembers) until another operator's task begins."""
+    release(key)
+    store = _store()
     if key not in store:
         store[key] = make()
     return store[key]

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import WORDS, id_and_text, plain_words, rows_of, slices
+from .common import WORDS, id_and_text, plain_words, release, rows_of, slices
 
 TRIM = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum())
 BOUNDS = [-1.0, 0.0, 0.5, 1.0, 1.5, 2.0, 3.0, 4.0]  # of association; one more bin is "not seen"
@@ -201,6 +201,7 @@ def scores(df: DataFrame, model: Field, id_col: str = "doc_id", text_col: str =
     def work(batches):
         import pyarrow as pa
 
+        release()
         tagger = Tagger(model)
         for docs, texts in rows_of(batches, 2 << 20):
             out = []
@@ -248,6 +249,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, field_
     def count(batches):
         import pyarrow as pa
 
+        release()
         for batch in batches:
             got: dict[bytes, list[int]] = {}
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
@@ -337,14 +339,16 @@ def clean(df: DataFrame, labels: DataFrame, bar: float = 0.3, id_col: str = "doc
 
     def work(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
+        release()
         tagger = Tagger(model)
         for batch in batches:
             where = batch.schema.names.index(text_col)
-            sizes = [len(x) if x is not None else 0 for x in batch.column(where).to_pylist()]
+            sizes = pc.fill_null(pc.binary_length(batch.column(where)), 0).to_pylist()
             for a, b in slices(sizes, 2 << 20):
                 part = batch.slice(a, b - a)
-                words = [plain_words((t or "").encode()) for t in part.column(where).to_pylist()]
+                words = [plain_words(t or b"") for t in part.column(where).cast(pa.binary()).to_pylist()]
                 yield part.filter(pa.array([_calibrated(model.calibration, evidence(p)) < bar for p in tagger.marginals(words)], pa.bool_()))
 
     return df.mapInArrow(work, df.schema)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import _mix, id_and_text, id_text_part, rows_of, with_part, word_hashes
+from .common import _mix, id_and_text, id_text_part, release, rows_of, with_part, word_hashes
 from .components import components
 
 WORDS_PER_SHINGLE, PERCENT = 5, 75
@@ -99,6 +99,7 @@ def sketches(docs: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        release()
         mult, plus = _constants(BANDS * ROWS, 1), _constants(BANDS * ROWS, 2)
         for docs, texts, parts in rows_of(batches, more=("part",)):
             out = []
@@ -154,6 +155,7 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     def work(batches):
         import pyarrow as pa
 
+        release()
         for _, texts in rows_of(batches):
             found = [shingles(h) for h in word_hashes([t.lower() for t in texts])]
             yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["digest", "hashes"])

@@ -41,7 +41,7 @@ def pieces(df: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = DOC_EN
 
         enc = kept(("bare", tokenizer), lambda: ChunkEncoder(tokenizer, BARE_WORDS, folds=True))
         end = np.array([end_id], "<u4").tobytes()
-        for docs, texts in rows_of(batches, as_bytes=False):
+        for docs, texts in rows_of(batches, 1 << 20, as_bytes=False):  # a text's chunks take ten times its bytes
             out = []
             for doc, coded in zip(docs, enc.encode(texts)):
                 coded += end

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..session import cut_lineage
-from .common import ANCHOR, _mix, id_text_part, one_text_each, packed, plain_words, rows_of, unpacked, with_lists, with_part, word_hashes
+from .common import ANCHOR, _mix, id_text_part, one_text_each, packed, plain_words, release, rows_of, unpacked, with_lists, with_part, word_hashes
 from .hyperminhash import _constants
 
 WINDOW = 13
@@ -197,6 +197,7 @@ def shared_anchors(docs: DataFrame, find, limit: int = 8 << 20) -> DataFrame:
     def work(batches):
         import numpy as np
 
+        release()
         of = find()
         keys, owner, held = [], [], 0
         for ids, texts in rows_of(batches, 2 << 20):
@@ -226,7 +227,8 @@ def word_counts(df: DataFrame) -> DataFrame:
 
         import pyarrow as pa
 
-        for ids, texts, parts in rows_of(batches, more=("part",)):
+        release()
+        for ids, texts, parts in rows_of(batches, 1 << 20, more=("part",)):
             words = [plain_words(t) for t in texts]
             yield _columns(["doc_id", "part", "n_words", "sha"], [pa.int64(), pa.string(), pa.int64(), pa.string()], [ids, parts, [len(w) for w in words], [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]])
 
@@ -240,6 +242,7 @@ def _window_rows(size: int):
         import numpy as np
         import pyarrow as pa
 
+        release()
         w1, w2, docs, at, texts_of, parts = [], [], [], [], [], []
 
         def flush():

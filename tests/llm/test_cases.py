@@ -598,3 +598,21 @@ def test_hashed_words_are_the_words():
             assert words == common.plain_words(text) and len(words) == len(hashes)
             assert all(names.setdefault(w, h) == h for w, h in zip(words, hashes.tolist()))
     assert len(set(names.values())) == len(names)
+
+
+def test_workers_drop_what_other_operators_keep():
+    """A worker lives on from stage to stage: the next operator's task drops a vocabulary that the last one kept."""
+    import gc
+    import weakref
+
+    class Thing:
+        pass
+
+    first = weakref.ref(common.kept(("a",), Thing))
+    assert common.kept(("a",), Thing) is first()
+    second = weakref.ref(common.kept(("b",), Thing))
+    gc.collect()
+    assert first() is None and second() is not None
+    common.release()
+    gc.collect()
+    assert second() is None
