@@ -11,7 +11,7 @@ backpropagation (numpy) over their part of the round's documents, and the weight
 tokens in Spark. Documents stand in lanes one after the other; the state runs on from window to
 window and begins anew with each document, in training as in scoring, so a document's score covers
 all its tokens whatever its length. Counts cover all training documents and are joined to the rare
-words of each document by a 60-bit hash; listed words never reach that join, so it has no hot keys.
+words of each document by a 60-bit hash; listed words and the ``COMMON`` next ones never reach that join, so it has no hot keys.
 
 Null texts are a document of the end alone. Without training documents the weights stay as they
 start. Rows that repeat a doc_id or have none are scored for themselves (ids need not be unique).
@@ -112,25 +112,56 @@ class Network:
             self.w[i] = self.np.ascontiguousarray(flat[at : at + x.size].reshape(x.shape), self.np.float32)
             at += x.size
 
-    def states(self, ids, fresh, h, keep: bool):
-        """States after each step of a window; ids and fresh are [steps, lanes], h is [lanes, size]."""
+    def gates(self):
+        """(3, size, size): what a state adds to the two gates, whose tanh takes half of it, and to the candidate."""
+        n = self.size
+        out = self.np.ascontiguousarray(self.w[2].reshape(n, 3, n).transpose(1, 0, 2))
+        out[:2] *= 0.5
+        return out
+
+    def inputs_of(self, ids):
+        """(3, len(ids), size): what the tokens ``ids`` (None: one of each) add to gates and candidate."""
         np, n = self.np, self.size
-        emb, wx, wh, b = self.w[:4]
-        x = emb[ids] @ wx + b
-        out = np.empty((len(ids), ids.shape[1], n), np.float32)
-        tape = []
-        for t in range(len(ids)):
-            hp = np.where(fresh[t][:, None], np.float32(0), h)
-            g = hp @ wh
-            zr = x[t, :, : 2 * n] + g[:, : 2 * n]
-            zr = 0.5 * np.tanh(0.5 * zr) + 0.5
-            z, r = zr[:, :n], zr[:, n:]
-            m = np.tanh(x[t, :, 2 * n :] + r * g[:, 2 * n :])
-            h = m + z * (hp - m)
-            out[t] = h
+        emb, wx, _, b = self.w[:4]
+        out = np.matmul(emb if ids is None else emb[ids], wx.reshape(n, 3, n).transpose(1, 0, 2))
+        out += b.reshape(3, 1, n)
+        out[:2] *= 0.5
+        return out
+
+    def states(self, ids, fresh, h, keep: bool, known=None):
+        """States after each step of a window; ids and fresh are [steps, lanes], h is [lanes, size]. ``known``: gates() and inputs_of(None), if at hand."""
+        np, n = self.np, self.size
+        steps, width = ids.shape
+        wh, table = known or (self.gates(), self.inputs_of(None) if ids.size > len(self.w[0]) else None)
+        x = np.take(table, ids, axis=1) if table is not None else self.inputs_of(ids.reshape(-1)).reshape(3, steps, width, n)
+        out = np.empty((steps, width, n), x.dtype)
+        g, begins = np.empty((3, width, n), x.dtype), fresh.any(1).tolist()
+        old = np.empty_like(x[0]) if keep else None
+        before = h = h.astype(x.dtype, copy=False)
+        for t in range(steps):
+            if begins[t]:
+                h = np.where(fresh[t][:, None], x.dtype.type(0), h)
+            np.matmul(h, wh, out=g)
+            zr, m = x[:2, t], x[2, t]  # gates and candidate take their inputs' place
+            zr += g[:2]
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
             if keep:
-                tape.append((hp, z, r, m, g[:, 2 * n :]))
-        return out, h, tape
+                old[t] = g[2]
+            g[2] *= zr[1]
+            m += g[2]
+            np.tanh(m, out=m)
+            now = out[t]
+            np.subtract(h, m, out=now)
+            now *= zr[0]
+            now += m
+            h = now
+        if not keep:
+            return out, h, None
+        hp = np.concatenate([before[None], out[:-1]])
+        hp[fresh] = 0
+        return out, h, (hp, *x, old)
 
     def losses(self, s, target, grads: list | None = None):
         """Natural log-probability of each target's class and, where listed, of the token inside it; fills the gradients."""
@@ -138,66 +169,82 @@ class Network:
         wc, bc, wo, bo = self.w[4:]
         n = len(self.v.hashes)
         kinds = np.where(target < n, target // self.v.width, self.v.classes + target - n)
-        y = s @ wc + bc
-        y -= y.max(1, keepdims=True)
-        e = np.exp(y)
-        total = e.sum(1)
-        rows = np.arange(len(s))
-        out = y[rows, kinds] - np.log(total)
+        order = np.argsort(kinds.astype(np.int16), kind="stable")  # 16 bits: sorted by digits
+        kinds, inside, s = kinds[order], target[order], s[order]
+        at = np.arange(len(s))
+
+        def part(w, b, x, k):
+            """Log-probability of the choices ``k``, and the gradient of their scores; one row per choice, so that sums run along the tokens."""
+            y = w @ x.T
+            y += b[:, None]
+            y -= y.max(0)
+            won = y[k, at[: len(k)]]
+            np.exp(y, out=y)
+            total = y.sum(0)
+            if grads is not None:
+                y /= total
+                y[k, at[: len(k)]] -= 1
+            return won - np.log(total), y
+
+        got, p = part(wc.T, bc, s, kinds)
         if grads is not None:
-            p = e / total[:, None]
-            p[rows, kinds] -= 1
-            ds = p @ wc.T
-            grads[4] += s.T @ p
-            grads[5] += p.sum(0)
-        order = np.argsort(kinds, kind="stable")
-        cuts = np.searchsorted(kinds[order], np.arange(self.v.classes + 1))
+            ds = p.T @ wc.T
+            grads[4] += (p @ s).T
+            grads[5] += p.sum(1)
+        cuts = np.searchsorted(kinds, np.arange(self.v.classes + 1)).tolist()
         for c in range(self.v.classes):
-            mine = order[cuts[c] : cuts[c + 1]]
-            if not len(mine):
+            mine = slice(cuts[c], cuts[c + 1])
+            if cuts[c] == cuts[c + 1]:
                 continue
             a, b = c * self.v.width, min((c + 1) * self.v.width, n)
-            sm = s[mine]
-            y = sm @ wo[a:b].T + bo[a:b]
-            y -= y.max(1, keepdims=True)
-            e = np.exp(y)
-            total = e.sum(1)
-            k = target[mine] - a
-            r = np.arange(len(mine))
-            out[mine] += y[r, k] - np.log(total)
+            more, p = part(wo[a:b], bo[a:b], s[mine], inside[mine] - a)
+            got[mine] += more
             if grads is not None:
-                p = e / total[:, None]
-                p[r, k] -= 1
-                ds[mine] += p @ wo[a:b]
-                grads[6][a:b] += p.T @ sm
-                grads[7][a:b] += p.sum(0)
-        return (out, ds) if grads is not None else (out, None)
+                ds[mine] += p.T @ wo[a:b]
+                grads[6][a:b] += p @ s[mine]
+                grads[7][a:b] += p.sum(1)
+        out = np.empty_like(got)
+        out[order] = got
+        if grads is None:
+            return out, None
+        back = np.empty_like(ds)
+        back[order] = ds
+        return out, back
 
     def back(self, ids, fresh, tape, ds, grads: list) -> None:
         """Gradients of one window; what reaches its first state is cut off."""
         np, n = self.np, self.size
         emb, wx, wh, _ = self.w[:4]
-        dx = np.empty((*ids.shape, 3 * n), np.float32)
-        dh = np.zeros((ids.shape[1], n), np.float32)
+        hp, z, r, m, old = tape
+        by_m, by_z, by_r = (1 - z) * (1 - m * m), (hp - m) * z * (1 - z), old * r * (1 - r)
+        dm, dg = np.empty_like(z), np.empty((3, *z.shape), z.dtype)
+        out_of = np.ascontiguousarray(wh.reshape(n, 3, n).transpose(1, 2, 0))
+        dh, through, begins = np.zeros(z.shape[1:], z.dtype), np.empty((3, *z.shape[1:]), z.dtype), fresh.any(1).tolist()
         for t in range(len(ids) - 1, -1, -1):
-            hp, z, r, m, gm = tape[t]
-            d = dh + ds[t]
-            dm = d * (1 - z) * (1 - m * m)
-            dz = d * (hp - m) * z * (1 - z)
-            dr = dm * gm * r * (1 - r)
-            dx[t, :, :n], dx[t, :, n : 2 * n], dx[t, :, 2 * n :] = dz, dr, dm
-            dg = np.concatenate([dz, dr, dm * r], 1)
-            grads[2] += hp.T @ dg
-            dh = np.where(fresh[t][:, None], np.float32(0), d * z + dg @ wh.T)
-        flat = dx.reshape(-1, 3 * n)
-        grads[3] += flat.sum(0)
-        e = emb[ids.reshape(-1)]
-        grads[1] += e.T @ flat
-        de = flat @ wx.T
-        order = np.argsort(ids.reshape(-1), kind="stable")
-        sorted_ids = ids.reshape(-1)[order]
-        heads = np.flatnonzero(np.concatenate([[True], sorted_ids[1:] != sorted_ids[:-1]]))
-        grads[0][sorted_ids[heads]] += np.add.reduceat(de[order], heads)
+            dh += ds[t]
+            np.multiply(dh, by_m[t], out=dm[t])
+            np.multiply(dh, by_z[t], out=dg[0, t])
+            np.multiply(dm[t], by_r[t], out=dg[1, t])
+            np.multiply(dm[t], r[t], out=dg[2, t])
+            np.matmul(dg[:, t], out_of, out=through)
+            dh *= z[t]
+            dh += through[0]
+            dh += through[1]
+            dh += through[2]
+            if begins[t]:
+                dh[fresh[t]] = 0
+        hp, flat = hp.reshape(-1, n), ids.reshape(-1)
+        order = np.argsort(flat.astype(np.int32), kind="stable")
+        ranked = flat[order]
+        heads = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        tokens = ranked[heads]
+        for k, g in enumerate((dg[0], dg[1], dm)):
+            some = slice(k * n, (k + 1) * n)
+            grads[2][:, some] += hp.T @ dg[k].reshape(-1, n)
+            by_token = np.add.reduceat(g.reshape(-1, n)[order], heads)  # a token's inputs are the same at all its places
+            grads[3][some] += by_token.sum(0)
+            grads[1][:, some] += emb[tokens].T @ by_token
+            grads[0][tokens] += by_token @ wx[:, some].T
 
 
 def lanes(sizes, width: int):
@@ -269,12 +316,16 @@ def train(net: Network, tokens: list, rate: float, width: int = 192, steps: int
     """One pass of truncated backpropagation (Adam) over documents; the number of tokens."""
     import numpy as np
 
-    m, s = [np.zeros_like(x) for x in net.w], [np.zeros_like(x) for x in net.w]
+    w = net.flat()
+    g, m, s, step_by = np.zeros_like(w), np.zeros_like(w), np.zeros_like(w), np.empty_like(w)
+    cuts = np.cumsum([x.size for x in net.w])[:-1]
+    grads = [x.reshape(y.shape) for x, y in zip(np.split(g, cuts), net.w)]
+    net.w = [x.reshape(y.shape) for x, y in zip(np.split(w, cuts), net.w)]
     h, seen, step = np.zeros((width, net.size), np.float32), 0, 0
     for ids, fresh, target, doc, live in windows(tokens, net, width, steps):
         step += 1
         states, last, tape = net.states(ids, fresh, h[:live], True)
-        grads = [np.zeros_like(x) for x in net.w]
+        g.fill(0)
         real = np.flatnonzero(doc.reshape(-1) >= 0)
         flat = states.reshape(-1, net.size)
         _, ds = net.losses(flat[real], target.reshape(-1)[real], grads)
@@ -283,11 +334,20 @@ def train(net: Network, tokens: list, rate: float, width: int = 192, steps: int
         net.back(ids, fresh, tape, full.reshape(states.shape), grads)
         h[:live] = last
         seen += len(real)
-        for i, g in enumerate(grads):
-            g /= max(1, len(real))
-            m[i] += 0.1 * (g - m[i])
-            s[i] += 0.01 * (g * g - s[i])
-            net.w[i] -= np.float32(rate / (1 - 0.9**step)) * m[i] / (np.sqrt(s[i] / np.float32(1 - 0.99**step)) + np.float32(1e-5))
+        g /= np.float32(max(1, len(real)))
+        np.subtract(g, m, out=step_by)
+        step_by *= np.float32(0.1)
+        m += step_by
+        g *= g
+        g -= s
+        g *= np.float32(0.01)
+        s += g
+        np.multiply(s, np.float32(1 / (1 - 0.99**step)), out=step_by)
+        np.sqrt(step_by, out=step_by)
+        step_by += np.float32(1e-5)
+        np.divide(m, step_by, out=step_by)
+        step_by *= np.float32(rate / (1 - 0.9**step))
+        w -= step_by
     return seen
 
 
@@ -296,9 +356,9 @@ def log_likelihoods(net: Network, tokens: list, width: int = 256, steps: int = 3
     import numpy as np
 
     out = np.zeros(len(tokens))
-    h = np.zeros((width, net.size), np.float32)
+    h, known = np.zeros((width, net.size), np.float32), (net.gates(), net.inputs_of(None))
     for ids, fresh, target, doc, live in windows(tokens, net, width, steps):
-        states, last, _ = net.states(ids, fresh, h[:live], False)
+        states, last, _ = net.states(ids, fresh, h[:live], False, known)
         h[:live] = last
         doc = doc.reshape(-1)
         real = np.flatnonzero(doc >= 0)
@@ -321,7 +381,8 @@ def _hashed(batches, limit: int):
         yield ids, rows
 
 
-GROUP = 8 << 20  # bytes of text whose documents share lanes
+GROUP = 16 << 20  # bytes of text whose documents share lanes
+COMMON = 1 << 17  # most frequent unlisted words whose counts every task holds (16 bytes each); all others are joined
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -398,6 +459,8 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", listed:
     log_counts = np.log10(v.counts + 1)
     known_listed = v.counts > 0
     n_listed = len(v.hashes)
+    often = table.where(F.col("h") != END).orderBy(F.desc("c"), "h").limit(COMMON).toPandas().sort_values("h")
+    common, common_log = often["h"].to_numpy(np.int64), np.log10(often["c"].to_numpy(np.float64) + 1)
 
     def by_document(batches):
         import pyarrow as pa
@@ -415,10 +478,16 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", listed:
             listed_base = np.bincount(ld, log_counts[lf], len(tokens))
             listed_known = np.bincount(ld, known_listed[lf], len(tokens))
             rest = np.bincount(doc[~is_listed], log_totals[flat[~is_listed] - n_listed], len(tokens))
-            # rare words of the group: (document, hash, times)
-            h = np.concatenate(rows)[~is_listed]
-            order = np.lexsort((h, doc[~is_listed]))
-            h, d = h[order], doc[~is_listed][order]
+            # words of the group that are not listed: the common ones are looked up, the rare ones sent as (document, hash, times)
+            h, d = np.concatenate(rows)[~is_listed].view(np.int64), doc[~is_listed]
+            if len(common):
+                at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                found = common[at] == h
+                listed_base += np.bincount(d[found], common_log[at[found]], len(tokens))
+                listed_known = listed_known + np.bincount(d[found], minlength=len(tokens))
+                h, d = h[~found], d[~found]
+            order = np.lexsort((h, d))
+            h, d = h[order], d[order]
             head = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])) if len(h) else np.zeros(0, np.int64)
             times = np.diff(np.append(head, len(h)))
             n = len(tokens)
@@ -431,7 +500,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", listed:
                 part = slice(a, a + 200_000)
                 m = len(head[part])
                 blank = [pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                yield pa.RecordBatch.from_arrays([pa.array(row[d[head[part]]]), *blank, pa.array(h[head[part]].view(np.int64)), pa.array(times[part].astype(np.int32))], NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(row[d[head[part]]]), *blank, pa.array(h[head[part]]), pa.array(times[part].astype(np.int32))], NAMES)
 
     both = docs.mapInArrow(by_document, "row long, doc_id long, n_tokens long, n_listed long, listed_base double, listed_score double, h long, times int")
     both = cut_lineage(both)  # documents and their rare words from one pass over the texts
