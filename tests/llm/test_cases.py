@@ -616,3 +616,13 @@ def test_workers_drop_what_other_operators_keep():
     common.release()
     gc.collect()
     assert second() is None
+
+
+@pytest.mark.parametrize("common_words", [0, 3])
+def test_common_words_need_no_join(spark, docs, monkeypatch, common_words):
+    """Whether a word's count is looked up in the task or joined changes no document's figures."""
+    monkeypatch.setattr(gru, "COMMON", common_words)
+    want = brute.base_scores(PLAIN)
+    for d, r in rows(gru.score(docs, listed=8, classes=2, size=4)).items():
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == want[d][:4]
+        assert r["base_score"] == pytest.approx(want[d][4], rel=1e-9)
