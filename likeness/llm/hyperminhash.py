@@ -7,14 +7,16 @@ short texts leave none empty. Bands of registers find candidates; the share of e
 corrected for registers that agree by chance, must come near the bar; then the full sets decide.
 
 Equal sets first become one node (known by the first of their rows, so rows that repeat a doc_id
-with other texts are nodes of their own), and copies never pair up. In a band bucket a
-node is compared with the bucket's smallest node; later rounds look only at buckets whose nodes
-are still in several components. While that joins at least one in twenty of them, each node
-outside its buckets' largest components meets two members of those, others in each round, so a
-group of near copies costs a few comparisons per member. What then remains is joined exactly by its
-rarest shingles: of two sets at the bar, each with its shingles in order of their number among
-the open sets, the first quarter of one and of the other have a shingle in common. Sets that share a
-template but not enough of it differ in just those, so they do not meet.
+with other texts are nodes of their own), and copies never pair up. A node is first compared with
+the most central node of its band buckets, the one that shares buckets with the most others: in a group
+of near copies that is the least changed one, to which all link that are near to the group's middle. Later
+rounds look only at buckets whose nodes are still in several components. While that joins at least
+one in twenty of them, each node outside its buckets' largest components meets two members of those,
+others in each round, so a group of near copies costs a few comparisons per member. What then remains is
+joined exactly by its rarest shingles: of two sets at the bar, each with its shingles in order of their number
+among the open sets, the first quarter of one and of the other have a shingle in common. Sets that share a
+template but not enough of it mostly differ in just those. Where they do not, parities of the shingles in 512
+classes, which differ at most as often as the sets do, tell such pairs apart before anything of them is sent.
 
 A text with one to four words is one shingle. Null texts, texts without words and rows without a
 doc_id are linked with nothing and stay. A component is named after its smallest doc_id, also where
@@ -24,6 +26,9 @@ rows of several texts have that id. Two texts at the bar share no band with prob
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -192,11 +197,43 @@ def _two_each(inside: DataFrame, outside: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
 
 
+def _with_central(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of every node of ``rows`` (key, node, n nodes of the bucket) and the most central other node of its buckets."""
+    weights = rows.groupBy("node").agg(F.sum("n").alias("weight"))
+    hubs = rows.join(weights, "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("back"))).alias("top"))
+    best = rows.join(hubs, "key").where(F.col("node") != -F.col("top.back")).groupBy("node").agg(F.max("top").alias("top"))
+    hub = -F.col("top.back")
+    return best.select(F.least("node", hub).alias("a"), F.greatest("node", hub).alias("b")).distinct()
+
+
+PARITIES = 8  # longs
+
+
+def _parities(sets: DataFrame) -> DataFrame:
+    """(node, p0, p1, ...): whether the number of a set's shingles in each of 512 classes is odd; two sets differ in at least as many shingles as bits."""
+    names = ["node", *[f"p{i}" for i in range(PARITIES)]]
+
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        bits = PARITIES * 64
+        for batch in batches:
+            odd = np.zeros((batch.num_rows, bits), np.uint8)
+            for i, raw in enumerate(batch.column("hashes")):
+                odd[i] = np.bincount((np.frombuffer(raw.as_buffer(), np.uint64) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+            words = np.packbits(odd, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *[pa.array(words[:, i]) for i in range(PARITIES)]], names)
+
+    return sets.select("node", "hashes").mapInArrow(work, ", ".join(f"{c} long" for c in names))
+
+
 def _by_rare_shingles(live: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of open nodes in different components that may reach the bar: their sets have a shingle in common among each one's rarest quarter.
 
     With s shingles in a fixed order, two sets at the bar share one of the first s - ceil(0.75 s) + 1 of either.
-    Shingles that one open set has are counted but never sent; sizes and places bound what can still be shared.
+    Shingles that one open set has are counted but never sent; sizes and places bound what can still be shared,
+    parities in how many shingles the sets differ.
     """
     open_sets = sets.join(live.select("node", "component").distinct(), "node")
 
@@ -216,11 +253,15 @@ def _by_rare_shingles(live: DataFrame, sets: DataFrame) -> DataFrame:
     alone = F.col("size") - F.size("t")
     first = F.col("size") - F.ceil(F.col("size") * PERCENT / 100) + 1  # length of the prefix
     heads = shared.withColumn("alone", alone).select("node", "component", "size", "alone", F.posexplode(F.slice("t", 1, F.greatest(first - alone, F.lit(0)).cast("int"))).alias("i", "x"))
-    heads = cut_lineage(heads.select(F.col("x.h").alias("h"), "node", "component", "size", (F.col("size") - F.col("alone") - F.col("i")).alias("rest")))
-    a, b = (heads.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "size", "rest")]) for x in "ab")
+    heads = heads.select(F.col("x.h").alias("h"), "node", "component", "size", (F.col("size") - F.col("alone") - F.col("i")).alias("rest"))
+    heads = cut_lineage(heads.join(_parities(open_sets), "node"))
+    marks = [f"p{i}" for i in range(PARITIES)]
+    a, b = (heads.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "size", "rest", *marks)]) for x in "ab")
     small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
     both = a.join(b, "h").where("node_a < node_b and component_a <> component_b").where(100 * small >= PERCENT * large)
     both = both.where((100 + PERCENT) * F.least("rest_a", "rest_b") >= PERCENT * (F.col("size_a") + F.col("size_b")))
+    apart = reduce(add, [F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in marks])
+    both = both.where((100 + PERCENT) * apart <= (100 - PERCENT) * (F.col("size_a") + F.col("size_b")))
     return both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
@@ -235,11 +276,10 @@ def _groups(docs: DataFrame) -> DataFrame:
     reps = cut_lineage(every.where("digest is not null").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id")))
     nodes = cut_lineage(every.select("row", "n_shingles", "sketch").join(reps.select(F.col("node").alias("row")), "row").withColumnRenamed("row", "node"))
     rows = cut_lineage(_bands(nodes))
-    hubs = rows.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("key", "hub")
-    rows = cut_lineage(rows.join(hubs, "key"))  # buckets of two and more
+    crowds = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = cut_lineage(rows.join(crowds, "key"))  # buckets of two and more
     sets = cut_lineage(_sets(docs, reps.join(rows.select("node").distinct(), "node")))
-    pairs = rows.where("hub < node").groupBy(F.col("node").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
-    tested = cut_lineage(pairs)
+    tested = cut_lineage(_with_central(rows))
     links = cut_lineage(_confirm(_close(tested, nodes), sets))
     labels = cut_lineage(nodes.select("node", F.col("node").alias("component")))
     open_before, turn = None, 0

@@ -166,6 +166,45 @@ def test_a_template_below_the_bar_costs_few_pairs(spark, monkeypatch):
     assert len(counted) == 1 and counted[0] < 20 * len(texts)
 
 
+@pytest.mark.parametrize("edits", [(1, 2, 3, 4, 5, 6), (4,)])
+def test_copies_of_one_text_cost_few_pairs(spark, monkeypatch, edits):
+    """400 copies of a text with some words changed: with few changes they link to the least changed ones; with four each, all lie below the bar."""
+    rng = random.Random(11)
+    base = [f"t{i}" for i in range(150)]
+    texts = {}
+    for d in range(400):
+        w = list(base)
+        for i in rng.sample(range(5, 145), rng.choice(edits)):
+            w[i] = f"x{d}_{i}"
+        texts[d] = " ".join(w)
+    made, counted = hyperminhash._by_rare_shingles, []
+
+    def counting(*args):
+        out = made(*args)
+        counted.append(out.count())
+        return out
+
+    monkeypatch.setattr(hyperminhash, "_by_rare_shingles", counting)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in hyperminhash.groups(df).collect()}
+    assert got == brute.groups(texts)
+    assert sum(counted) < 5 * len(texts)
+
+
+def test_parities_bound_how_sets_differ(spark):
+    """Never more bits than shingles differ, and about as many where few do."""
+    rng = np.random.default_rng(3)
+    sets = {0: np.sort(rng.integers(0, 1 << 63, 150))}
+    for n in range(1, 40):
+        sets[n] = np.sort(np.concatenate([sets[0][n:], rng.integers(0, 1 << 63, rng.integers(0, 400) if n % 4 else n)]))
+    df = spark.createDataFrame([(n, s.astype(np.uint64).tobytes()) for n, s in sets.items()], "node long, hashes binary").repartition(3)
+    got = {r["node"]: [v % (1 << 64) for v in r[1:]] for r in hyperminhash._parities(df).collect()}
+    assert set(got) == set(sets)
+    for n, s in sets.items():
+        bits, differ = sum((x ^ y).bit_count() for x, y in zip(got[0], got[n])), len(np.setxor1d(sets[0], s))
+        assert bits <= differ and (bits - differ) % 2 == 0 and (differ > 10 or bits >= differ - 4)
+
+
 def test_estimate_corrects_for_chance():
     m, p = hyperminhash._constants(4096, 1), hyperminhash._constants(4096, 2)
     h = hyperminhash._mix(np.arange(1, 3001, dtype=np.uint64))
