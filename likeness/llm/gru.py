@@ -29,6 +29,8 @@ from ..session import cut_lineage
 from .common import place_hashes, rows_of, word_places
 
 SHAPES = 16
+FEW = 1 << 14  # scores of classes that are computed together
+BLOCK = 1 << 13  # weights that are stepped together
 END = 1 << 4  # the end's "hash"; words' hashes are kept away from it
 
 
@@ -172,37 +174,50 @@ class Network:
         order = np.argsort(kinds.astype(np.int16), kind="stable")  # 16 bits: sorted by digits
         kinds, inside, s = kinds[order], target[order], s[order]
         at = np.arange(len(s))
+        # states lie between -1 and 1, so the weights bound the scores: inside the float's range no largest score has to be taken off
+        tame = max(np.abs(wc).sum(0).max() + np.abs(bc).max(), np.abs(wo).sum(1).max() + np.abs(bo).max()) < 80
 
-        def part(w, b, x, k):
-            """Log-probability of the choices ``k``, and the gradient of their scores; one row per choice, so that sums run along the tokens."""
+        def part(w, b, x, k, own=None):
+            """Log-probability of the choices ``k``, and the gradient of their scores over the choices' weights; one row per choice, so that
+            sums run along the tokens. Constants weigh the sums. ``own``: the class of each token, where ``w`` has the tokens of several."""
             y = w @ x.T
-            y += b[:, None]
-            y -= y.max(0)
-            won = y[k, at[: len(k)]]
+            if tame:
+                won, weight = y[k, at[: len(k)]] + b[k], np.exp(b)
+            else:
+                y += b[:, None]
+                y -= y.max(0)
+                won, weight = y[k, at[: len(k)]], np.ones_like(b)
             np.exp(y, out=y)
-            total = y.sum(0)
+            if own is not None:
+                y *= at_class[: len(w), None] == own
+            total = weight @ y
             if grads is not None:
-                y /= total
-                y[k, at[: len(k)]] -= 1
-            return won - np.log(total), y
+                y *= 1 / total
+                y[k, at[: len(k)]] -= 1 / weight[k]
+            return won - np.log(total), y, weight[:, None]
 
-        got, p = part(wc.T, bc, s, kinds)
+        got, p, weight = part(wc.T, bc, s, kinds)
         if grads is not None:
-            ds = p.T @ wc.T
-            grads[4] += (p @ s).T
-            grads[5] += p.sum(1)
+            ds = p.T @ (weight * wc.T)
+            grads[4] += (weight * (p @ s)).T
+            grads[5] += weight[:, 0] * p.sum(1)
         cuts = np.searchsorted(kinds, np.arange(self.v.classes + 1)).tolist()
-        for c in range(self.v.classes):
-            mine = slice(cuts[c], cuts[c + 1])
-            if cuts[c] == cuts[c + 1]:
+        at_class = np.arange(n) // self.v.width
+        c = 0
+        while c < self.v.classes:
+            d = c + 1  # classes of few tokens are taken together
+            while tame and d < self.v.classes and (d + 1 - c) * self.v.width * (cuts[d + 1] - cuts[c]) <= FEW:
+                d += 1
+            mine, first, c = slice(cuts[c], cuts[d]), c, d
+            if mine.start == mine.stop:
                 continue
-            a, b = c * self.v.width, min((c + 1) * self.v.width, n)
-            more, p = part(wo[a:b], bo[a:b], s[mine], inside[mine] - a)
+            a, b = first * self.v.width, min(d * self.v.width, n)
+            more, p, weight = part(wo[a:b], bo[a:b], s[mine], inside[mine] - a, kinds[mine] - first if d > first + 1 else None)
             got[mine] += more
             if grads is not None:
-                ds[mine] += p.T @ wo[a:b]
-                grads[6][a:b] += p @ s[mine]
-                grads[7][a:b] += p.sum(1)
+                ds[mine] += p.T @ (weight * wo[a:b])
+                grads[6][a:b] += weight * (p @ s[mine])
+                grads[7][a:b] += weight[:, 0] * p.sum(1)
         out = np.empty_like(got)
         out[order] = got
         if grads is None:
@@ -216,7 +231,13 @@ class Network:
         np, n = self.np, self.size
         emb, wx, wh, _ = self.w[:4]
         hp, z, r, m, old = tape
-        by_m, by_z, by_r = (1 - z) * (1 - m * m), (hp - m) * z * (1 - z), old * r * (1 - r)
+        by_z, by_r, by_m = 1 - z, 1 - r, m * m
+        np.subtract(1, by_m, out=by_m)
+        by_m *= by_z
+        by_z *= z
+        by_z *= hp - m
+        by_r *= r
+        by_r *= old
         dm, dg = np.empty_like(z), np.empty((3, *z.shape), z.dtype)
         out_of = np.ascontiguousarray(wh.reshape(n, 3, n).transpose(1, 2, 0))
         dh, through, begins = np.zeros(z.shape[1:], z.dtype), np.empty((3, *z.shape[1:]), z.dtype), fresh.any(1).tolist()
@@ -325,7 +346,6 @@ def train(net: Network, tokens: list, rate: float, width: int = 192, steps: int
     for ids, fresh, target, doc, live in windows(tokens, net, width, steps):
         step += 1
         states, last, tape = net.states(ids, fresh, h[:live], True)
-        g.fill(0)
         real = np.flatnonzero(doc.reshape(-1) >= 0)
         flat = states.reshape(-1, net.size)
         _, ds = net.losses(flat[real], target.reshape(-1)[real], grads)
@@ -334,20 +354,23 @@ def train(net: Network, tokens: list, rate: float, width: int = 192, steps: int
         net.back(ids, fresh, tape, full.reshape(states.shape), grads)
         h[:live] = last
         seen += len(real)
-        g /= np.float32(max(1, len(real)))
-        np.subtract(g, m, out=step_by)
-        step_by *= np.float32(0.1)
-        m += step_by
-        g *= g
-        g -= s
-        g *= np.float32(0.01)
-        s += g
-        np.multiply(s, np.float32(1 / (1 - 0.99**step)), out=step_by)
-        np.sqrt(step_by, out=step_by)
-        step_by += np.float32(1e-5)
-        np.divide(m, step_by, out=step_by)
-        step_by *= np.float32(rate / (1 - 0.9**step))
-        w -= step_by
+        for a in range(0, len(w), BLOCK):  # a block at a time stays in the processor's cache
+            gb, mb, sb, by = (x[a : a + BLOCK] for x in (g, m, s, step_by))
+            gb /= np.float32(max(1, len(real)))
+            np.subtract(gb, mb, out=by)
+            by *= np.float32(0.1)
+            mb += by
+            gb *= gb
+            gb -= sb
+            gb *= np.float32(0.01)
+            sb += gb
+            np.multiply(sb, np.float32(1 / (1 - 0.99**step)), out=by)
+            np.sqrt(by, out=by)
+            by += np.float32(1e-5)
+            np.divide(mb, by, out=by)
+            by *= np.float32(rate / (1 - 0.9**step))
+            w[a : a + BLOCK] -= by
+            gb.fill(0)
     return seen
 
 

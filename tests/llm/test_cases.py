@@ -502,6 +502,45 @@ def test_probabilities_sum_to_one():
     assert total == pytest.approx(1, abs=1e-5)
 
 
+@pytest.mark.parametrize("few", [0, 1 << 20])
+@pytest.mark.parametrize("size_of_weights", [1, 60])
+def test_classes_taken_together(monkeypatch, few, size_of_weights):
+    """Shares and gradients are those of the plain formula, classes alone or together, scores inside the float's range or beyond."""
+    monkeypatch.setattr(gru, "FEW", few)
+    rng = np.random.default_rng(12)
+    v = gru.Vocabulary(np.array([gru.END, *range(100, 123)], np.uint64), np.arange(24.0, 0, -1), 6, np.full(gru.SHAPES, 2.0), 300, 90)
+    net = gru.Network(v, 5, seed=4)
+    net.w = [(x + rng.normal(0, 0.3, x.shape)) * size_of_weights for x in net.w]
+    s, target = rng.uniform(-1, 1, (200, 5)), rng.integers(0, 24 + gru.SHAPES, 200)
+    wc, bc, wo, bo = net.w[4:]
+    grads = [np.zeros_like(x) for x in net.w]
+    got, ds = net.losses(s, target, grads)
+    want, by = np.zeros(200), [np.zeros((200, 5)), *[np.zeros_like(x) for x in (wc, bc, wo, bo)]]
+
+    def plain(i, w, b, k):
+        y = w @ s[i] + b
+        p = np.exp(y - y.max())
+        p /= p.sum()
+        want[i] += np.log(p[k]) if p[k] else y[k] - y.max() - np.log(np.exp(y - y.max()).sum())
+        p[k] -= 1
+        return p
+
+    for i, t in enumerate(target):
+        p = plain(i, wc.T, bc, t // v.width if t < 24 else v.classes + t - 24)
+        by[0][i] += p @ wc.T
+        by[1] += np.outer(s[i], p)
+        by[2] += p
+        if t < 24:
+            a = t // v.width * v.width
+            p = plain(i, wo[a : a + v.width], bo[a : a + v.width], t - a)
+            by[0][i] += p @ wo[a : a + v.width]
+            by[3][a : a + v.width] += np.outer(p, s[i])
+            by[4][a : a + v.width] += p
+    assert np.allclose(got, want) and np.allclose(net.losses(s, target)[0], want)
+    for x, y in zip([ds, *grads[4:]], by):
+        assert np.allclose(x, y)
+
+
 def test_gradients():
     net, rng = _small_network(), np.random.default_rng(10)
     net.w = [x.astype(np.float64) for x in net.w]
