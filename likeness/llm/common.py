@@ -79,8 +79,9 @@ def word_places(texts: list[bytes]):
     return row, first, turns[1::2], np.concatenate([[0], np.searchsorted(first, ends)])
 
 
-def place_hashes(row: bytes, first, end):
-    """64-bit hash of each word of ``word_places``, 8 bytes of all words at a time."""
+def place_hashes(row: bytes, first, end, foreign=None):
+    """64-bit hash of each word of ``word_places``, 8 bytes of all words at a time; in ``foreign``, one per word, the highest
+    bit of any byte that is set where a word is more than ASCII."""
     import numpy as np
     import xxhash
 
@@ -90,6 +91,11 @@ def place_hashes(row: bytes, first, end):
     out = _mix(left.astype(np.uint64))
     for _ in range(0, LONG_WORD, 8):
         chunk = eight[at] & masks[np.minimum(left, 8)]
+        if foreign is not None:
+            if which is None:
+                foreign |= chunk
+            else:
+                foreign[which] |= chunk
         mine = out if which is None else out[which]
         mine = _mix(mine * np.uint64(0x9E3779B97F4A7C15) + chunk)
         if which is None:
@@ -102,7 +108,10 @@ def place_hashes(row: bytes, first, end):
         at, left = at[more] + 8, left[more] - 8
         which = more if which is None else which[more]
     for i in which.tolist():
-        out[i] = xxhash.xxh3_64_intdigest(row[first[i] : end[i]])
+        word = row[first[i] : end[i]]
+        out[i] = xxhash.xxh3_64_intdigest(word)
+        if foreign is not None and not word.isascii():
+            foreign[i] |= np.uint64(128)
     return out
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import place_hashes, rows_of, word_places
+from .common import place_hashes, release, rows_of, word_places
 
 SHAPES = 16
 FEW = 1 << 14  # scores of classes that are computed together
@@ -34,24 +34,70 @@ BLOCK = 1 << 13  # weights that are stepped together
 END = 1 << 4  # the end's "hash"; words' hashes are kept away from it
 
 
-def shaped_hashes(texts: list[bytes]) -> list:
-    """Per text (A-Z in lower case) 60-bit hashes of its words with each word's shape in the lowest 4 bits, and the end."""
+#: What a word's last byte adds to its shape: a letter, a sign of a sentence, other ASCII, the rest.
+KINDS = bytes(0 if 97 <= c <= 122 else 4 if c in b".,;:" else 8 if c < 128 else 12 for c in range(256))
+
+
+def shaped_hashes(texts: list[bytes]):
+    """(hashes, cuts): 60-bit hashes of the words of all texts (A-Z in lower case) with each word's shape in the lowest 4 bits, an end after each text; each text's range of them."""
     import numpy as np
 
     row, first, end, cuts = word_places(texts)
     raw = np.frombuffer(row, np.uint8)
-    last = raw[end - 1]
-    kind = np.where((last >= 97) & (last <= 122), 0, np.where(np.isin(last, np.frombuffer(b".,;:", np.uint8)), 1, np.where(last < 128, 2, 3)))
-    foreign = np.zeros(len(first), np.int64)
-    foreign[np.searchsorted(first, np.flatnonzero(raw >= 128), "right") - 1] = 2
-    shape = (kind * 4 + foreign + (end - first > 7)).astype(np.uint64)
+    foreign = np.zeros(len(first), np.uint64)
+    hashes = place_hashes(row, first, end, foreign)
+    shape = np.frombuffer(KINDS, np.uint8).take(raw.take(end - 1))
+    shape |= end - first > 7
+    shape |= ((foreign & np.uint64(0x8080808080808080)) != 0).view(np.uint8) << np.uint8(1)
     n = len(texts)
     every = np.full(len(first) + n, np.uint64(END))
-    mark = np.zeros(len(every), bool)
-    mark[cuts[1:] + np.arange(n)] = True
-    every[~mark] = np.maximum(place_hashes(row, first, end) & ~np.uint64(15), np.uint64(32)) | shape
-    at = (cuts + np.arange(n + 1)).tolist()
-    return [every[a:b] for a, b in zip(at, at[1:])]
+    word = np.ones(len(every), bool)
+    word[cuts[1:] + np.arange(n)] = False
+    hashes &= ~np.uint64(15)
+    np.maximum(hashes, np.uint64(32), out=hashes)
+    hashes |= shape
+    every[word] = hashes
+    return every, cuts + np.arange(n + 1)
+
+
+class Places:
+    """Where each of some distinct 64-bit hashes stands, by tables of slots: what finds its slot taken goes to the next table."""
+
+    def __init__(self, hashes):
+        import numpy as np
+
+        self.hashes, self.tables = hashes, []
+        left = np.arange(len(hashes), dtype=np.int32)
+        while len(left):
+            bits = max(4, (8 * len(left) - 1).bit_length())
+            factor = np.uint64((0x9E3779B97F4A7C15 + 0xD1342543DE82EF96 * len(self.tables)) % (1 << 64))
+            slot = (hashes[left] * factor) >> np.uint64(64 - bits)
+            table = np.zeros(1 << bits, np.int32)
+            table[slot] = left
+            more = table[slot] != left
+            crowded = np.unique(slot[more])
+            table[crowded] = ~table[crowded]  # below zero: the next table has more of this slot
+            self.tables.append((factor, np.uint64(64 - bits), table))
+            left = left[more]
+
+    def find(self, h):
+        """The place of each hash, or -1."""
+        import numpy as np
+
+        out, which = np.full(len(h), -1, np.int32), None
+        for factor, shift, table in self.tables:
+            told = table.take(((h * factor) >> shift).view(np.int64), mode="clip")
+            at = told ^ (told >> 31)  # turned back
+            found = self.hashes.take(at, mode="clip") == h
+            if which is None:
+                np.copyto(out, at, where=found)
+            else:
+                out[which[found]] = at[found]
+            more = np.flatnonzero((told < 0) & ~found)
+            if not len(more):
+                break
+            h, which = h[more], more if which is None else which[more]
+        return out
 
 
 def training_rows() -> Column:
@@ -72,8 +118,7 @@ class Vocabulary:
     def __post_init__(self):
         import numpy as np
 
-        self.order = np.argsort(self.hashes)
-        self.sorted = self.hashes[self.order]
+        self.places = Places(self.hashes)
         n = len(self.hashes)
         self.width = -(-n // self.classes)
         self.class_of = np.arange(n) // self.width
@@ -82,8 +127,10 @@ class Vocabulary:
         """List position of each token, or list length + shape."""
         import numpy as np
 
-        at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == h, self.order[at], len(self.hashes) + (h & np.uint64(15)).astype(np.int64)).astype(np.int32)
+        at = self.places.find(h)
+        rare = np.flatnonzero(at < 0)
+        at[rare] = len(self.hashes) + (h[rare] & np.uint64(15)).astype(np.int32)
+        return at
 
 
 class Network:
@@ -255,7 +302,7 @@ class Network:
             if begins[t]:
                 dh[fresh[t]] = 0
         hp, flat = hp.reshape(-1, n), ids.reshape(-1)
-        order = np.argsort(flat.astype(np.int32), kind="stable")
+        order = np.argsort(flat.astype(np.uint16 if self.start < 1 << 16 else np.int32), kind="stable")  # 16 bits: sorted by digits
         ranked = flat[order]
         heads = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
         tokens = ranked[heads]
@@ -296,41 +343,25 @@ def windows(tokens: list, net: Network, width: int, steps: int):
 
     sizes = np.array([len(t) for t in tokens])
     lane, place, length = lanes(sizes, width)
-    first = np.cumsum(sizes) - sizes
-    # lanes stand in falling order of length and have no gaps, so a token's place by (step, lane) is known without a sort
-    lives = len(length) - np.cumsum(np.bincount(length))[:-1]  # lanes that have a token at each step
-    before = np.concatenate([[0], np.cumsum(lives)])
-    order = before[np.repeat((place - first).astype(np.int32), sizes) + np.arange(sizes.sum(), dtype=np.int32)]
-    order += np.repeat(lane.astype(np.int32), sizes)
-
-    def dealt(values):
-        out = np.empty(len(order), np.int32)
-        out[order] = values
-        return out
-
-    flat = np.concatenate(tokens, dtype=np.int32)
-    target, doc = dealt(flat), dealt(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes))
-    flat[1:] = flat[:-1].copy()
-    flat[first] = net.start
-    ids = dealt(flat)
-    del order, flat
-    fresh = ids == net.start
-    at = np.repeat(np.arange(len(lives), dtype=np.int32), lives)
-    row = np.arange(len(at), dtype=np.int32) - np.repeat(before[:-1].astype(np.int32), lives)
-    cuts = np.searchsorted(at, np.arange(0, int(length[0]) + steps, steps))
-    for k in range(len(cuts) - 1):
-        a, b = cuts[k], cuts[k + 1]
-        if a == b:
-            continue
-        live = int((length > k * steps).sum())
-        high = int(min(steps, length[0] - k * steps))
-        spot = (at[a:b] - k * steps) * live + row[a:b]
-        out = []
-        for values, empty in ((ids, 0), (fresh, False), (target, 0), (doc, -1)):
-            m = np.full(high * live, empty, values.dtype)
-            m[spot] = values[a:b]
-            out.append(m.reshape(high, live))
-        yield (*out, live)
+    # the lanes one after the other in one row, from which a window is read
+    begin = np.cumsum(length) - length
+    first = begin[lane] + place
+    order = np.argsort(first)
+    flat = np.concatenate([tokens[d] for d in order.tolist()], dtype=np.int32)
+    owner = np.repeat(order.astype(np.int32), sizes[order])
+    head = np.zeros(len(flat), bool)
+    head[first] = True
+    for at in range(0, int(length[0]), steps):
+        live = int((length > at).sum())
+        step = np.arange(min(steps, int(length[0]) - at))[:, None]
+        over = step >= length[:live] - at
+        spot = begin[:live] + at + step
+        spot[over] = 0
+        ids, fresh, target, doc = flat[spot - 1], head[spot], flat[spot], owner[spot]
+        ids[fresh] = net.start
+        for m, empty in ((ids, 0), (fresh, False), (target, 0), (doc, -1)):
+            m[over] = empty
+        yield ids, fresh, target, doc, live
 
 
 def train(net: Network, tokens: list, rate: float, width: int = 192, steps: int = 24) -> int:
@@ -390,20 +421,20 @@ def log_likelihoods(net: Network, tokens: list, width: int = 256, steps: int = 3
     return out
 
 
-def _hashed(batches, limit: int):
-    """(ids, one hash array per document, the end included), about ``limit`` bytes of text at a time."""
-    ids, rows, held = [], [], 0
-    for docs, texts in rows_of(batches):
-        ids += docs
-        rows += shaped_hashes([t.lower() for t in texts])
-        held += sum(map(len, texts))
-        if held >= limit:
-            yield ids, rows
-            ids, rows, held = [], [], 0
-    if ids:
-        yield ids, rows
+def _hashed(batches):
+    """(ids, hashes, cuts, bytes of text) of about ``PART`` bytes of text at a time."""
+    release()  # what earlier stages have freed
+    for docs, texts in rows_of(batches, PART):
+        yield docs, *shaped_hashes([t.lower() for t in texts]), sum(map(len, texts))
+
+
+def _tokens(v: Vocabulary, hashes, cuts) -> list:
+    """What the network reads of each document: four bytes a token."""
+    every, at = v.inputs(hashes), cuts.tolist()
+    return [every[a:b] for a, b in zip(at, at[1:])]
 
 
+PART = 1 << 20  # bytes of text that are hashed at once
 GROUP = 16 << 20  # bytes of text whose documents share lanes
 COMMON = 1 << 17  # most frequent unlisted words whose counts every task holds (16 bytes each); all others are joined
 
@@ -415,9 +446,19 @@ def counts(docs: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for _, rows in _hashed(batches, GROUP):
-            h, c = np.unique(np.concatenate(rows), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "c"])
+        def told(parts):
+            h, c = np.unique(np.concatenate(parts), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "c"])
+
+        parts, held = [], 0
+        for _, hashes, _, size in _hashed(batches):
+            parts.append(hashes)
+            held += size
+            if held >= GROUP:
+                yield told(parts)
+                parts, held = [], 0
+        if parts:
+            yield told(parts)
 
     return cut_lineage(docs.mapInArrow(work, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
 
@@ -449,13 +490,23 @@ def fit(docs: DataFrame, v: Vocabulary, size: int = 24, rates: tuple[float, ...]
         def work(batches, now=now, rate=rate):
             import pyarrow as pa
 
-            total, sums = 0, None
-            for _, rows in _hashed(batches, GROUP):
+            total, sums, tokens, held = 0, None, [], 0
+
+            def learn():
                 mine = Network(v, size)
                 mine.load(now if sums is None else sums / total)
-                n = train(mine, [v.inputs(r) for r in rows], rate)
+                n = train(mine, tokens, rate)
                 part = mine.flat().astype(np.float64) * n
-                total, sums = total + n, part if sums is None else sums + part
+                return total + n, part if sums is None else sums + part
+
+            for _, hashes, cuts, some in _hashed(batches):
+                tokens += _tokens(v, hashes, cuts)
+                held += some
+                if held >= GROUP:
+                    total, sums = learn()
+                    tokens, held = [], 0
+            if tokens:
+                total, sums = learn()
             if total:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums), pa.array(np.full(len(sums), total))], ["i", "x", "n"])
 
@@ -482,48 +533,58 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", listed:
     log_counts = np.log10(v.counts + 1)
     known_listed = v.counts > 0
     n_listed = len(v.hashes)
-    often = table.where(F.col("h") != END).orderBy(F.desc("c"), "h").limit(COMMON).toPandas().sort_values("h")
-    common, common_log = often["h"].to_numpy(np.int64), np.log10(often["c"].to_numpy(np.float64) + 1)
+    often = table.where(F.col("h") != END).orderBy(F.desc("c"), "h").limit(COMMON).toPandas()
+    common, common_log = often["h"].to_numpy(np.int64).view(np.uint64), np.log10(often["c"].to_numpy(np.float64) + 1)
 
     def by_document(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        net = Network(v, size, weights=weights)
+        net, lookup = Network(v, size, weights=weights), Places(common)
         serial = TaskContext.get().partitionId() << 33
-        for ids, rows in _hashed(batches, GROUP):
-            tokens = [v.inputs(r) for r in rows]
-            got = log_likelihoods(net, tokens) / math.log(10)
-            sizes = np.array([len(t) for t in tokens])
-            flat, doc = np.concatenate(tokens), np.repeat(np.arange(len(tokens)), sizes)
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int32()]
+
+        def rows(n, **known):
+            return pa.RecordBatch.from_arrays([pa.array(known[c]).cast(t) if c in known else pa.nulls(n, t) for c, t in zip(NAMES, kinds)], NAMES)
+
+        def documents():
+            """Rows of the documents whose ``tokens`` wait, ``waits`` has what is known of them but the network's score."""
+            ids, *others = zip(*waits)
+            ids, (sizes, known, base, rest) = pa.concat_arrays(ids), map(np.concatenate, others)
+            got = log_likelihoods(net, tokens) / math.log(10) - rest
+            return rows(len(ids), row=serial - len(ids) + np.arange(len(ids)), doc_id=ids, n_tokens=sizes, n_listed=known, listed_base=base, listed_score=got)
+
+        tokens, waits, held = [], [], 0
+        for ids, hashes, cuts, some in _hashed(batches):
+            mine, sizes, n = _tokens(v, hashes, cuts), np.diff(cuts), len(ids)
+            flat, doc = np.concatenate(mine), np.repeat(np.arange(n), sizes)
             is_listed = flat < n_listed
             lf, ld = flat[is_listed], doc[is_listed]
-            listed_base = np.bincount(ld, log_counts[lf], len(tokens))
-            listed_known = np.bincount(ld, known_listed[lf], len(tokens))
-            rest = np.bincount(doc[~is_listed], log_totals[flat[~is_listed] - n_listed], len(tokens))
-            # words of the group that are not listed: the common ones are looked up, the rare ones sent as (document, hash, times)
-            h, d = np.concatenate(rows)[~is_listed].view(np.int64), doc[~is_listed]
-            if len(common):
-                at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-                found = common[at] == h
-                listed_base += np.bincount(d[found], common_log[at[found]], len(tokens))
-                listed_known = listed_known + np.bincount(d[found], minlength=len(tokens))
-                h, d = h[~found], d[~found]
+            base, known = np.bincount(ld, log_counts[lf], n), np.bincount(ld, known_listed[lf], n)
+            # words of the part that are not listed: the common ones are looked up, the rare ones sent as (document, hash, times)
+            f, h, d = flat[~is_listed], hashes[~is_listed], doc[~is_listed]
+            rest = np.bincount(d, log_totals[f - n_listed], n)
+            at = lookup.find(h)
+            found = at >= 0
+            base += np.bincount(d[found], common_log[at[found]], n)
+            known += np.bincount(d[found], minlength=n)
+            h, d = h[~found].view(np.int64), d[~found]
             order = np.lexsort((h, d))
             h, d = h[order], d[order]
             head = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])) if len(h) else np.zeros(0, np.int64)
             times = np.diff(np.append(head, len(h)))
-            n = len(tokens)
-            row = serial + np.arange(n)
-            serial += n
-            heads = [pa.array(row), pa.array(ids, pa.int64()), pa.array(sizes), pa.array(listed_known.astype(np.int64)), pa.array(listed_base), pa.array(got - rest)]
-            nothing = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())]
-            yield pa.RecordBatch.from_arrays([*heads, *nothing], NAMES)
             for a in range(0, len(head), 200_000):
-                part = slice(a, a + 200_000)
-                m = len(head[part])
-                blank = [pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                yield pa.RecordBatch.from_arrays([pa.array(row[d[head[part]]]), *blank, pa.array(h[head[part]]), pa.array(times[part].astype(np.int32))], NAMES)
+                spot = head[a : a + 200_000]
+                yield rows(len(spot), row=serial + d[spot], h=h[spot], times=times[a : a + 200_000])
+            waits.append((pa.array(ids, pa.int64()), sizes, known.astype(np.int64), base, rest))
+            tokens += mine
+            serial += n
+            held += some
+            if held >= GROUP:
+                yield documents()
+                tokens, waits, held = [], [], 0
+        if tokens:
+            yield documents()
 
     both = docs.mapInArrow(by_document, "row long, doc_id long, n_tokens long, n_listed long, listed_base double, listed_score double, h long, times int")
     both = cut_lineage(both)  # documents and their rare words from one pass over the texts

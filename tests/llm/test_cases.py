@@ -704,3 +704,39 @@ def test_common_words_need_no_join(spark, docs, monkeypatch, common_words):
     for d, r in rows(gru.score(docs, listed=8, classes=2, size=4)).items():
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == want[d][:4]
         assert r["base_score"] == pytest.approx(want[d][4], rel=1e-9)
+
+
+def test_scoring_a_group_takes_few_bytes_a_token():
+    """The lanes of a group are one row of four-byte tokens: less than 16 bytes a token (they took more than 30)."""
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    tokens = [rng.integers(0, 2000, n).astype(np.int32) for n in rng.integers(1, 900, 1500)]
+    net = type("Net", (), {"start": 2064})()
+    tracemalloc.start()
+    seen = sum(int((doc >= 0).sum()) for *_, doc, _ in gru.windows(tokens, net, 192, 24))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == sum(map(len, tokens)) and peak < 16 * seen
+
+
+def test_shaped_hashes_and_their_places():
+    """Words' shapes follow their last byte, length and bytes beyond ASCII wherever they stand; tables find exactly what they hold."""
+    rng = random.Random(15)
+    pieces = [b"a", b"z.", b"9", b"\xc3\xa9", b"abcdefg", b"abcdefgh", b"x" * 40, b"y" * 63, "é".encode() + b"q" * 70, b"q" * 70 + "ü".encode() + b";", b"w" * 90, "日本".encode()]
+    texts = [b"", b" \n ", *(b" ".join(rng.choice(pieces) + rng.choice(pieces) for _ in range(rng.randrange(30))) for _ in range(60))]
+    every, cuts = gru.shaped_hashes(texts)
+    names: dict[bytes, int] = {}
+    for text, a, b in zip(texts, cuts.tolist(), cuts[1:].tolist()):
+        words = text.split()
+        assert b - a == len(words) + 1 and every[b - 1] == gru.END
+        for w, h in zip(words, every[a : b - 1].tolist()):
+            kind = 0 if w[-1:].islower() else 1 if w[-1:] in b".,;:" else 2 if w[-1] < 128 else 3
+            assert h & 15 == kind * 4 + 2 * (not w.isascii()) + (len(w) > 7) and h > 31
+            assert names.setdefault(w, h) == h
+    assert len(set(names.values())) == len(names)
+    some = np.random.default_rng(3).integers(0, 1 << 63, 5000).astype(np.uint64)
+    for keys in (some, some[:1], some[:0], np.arange(300, dtype=np.uint64) << np.uint64(50), np.arange(300, dtype=np.uint64)):
+        asked = np.concatenate([keys[::2], keys[::-3], keys[:50] + np.uint64(1 << 40), some[:9] ^ np.uint64(5)])
+        at = {int(k): i for i, k in enumerate(keys)}
+        assert gru.Places(keys).find(asked).tolist() == [at.get(int(k), -1) for k in asked]
