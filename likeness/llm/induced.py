@@ -101,13 +101,13 @@ def doubled(t):
         reach = np.flatnonzero(left > step)
         second[reach] = rank[reach + step]
         key = rank * (int(rank.max()) + 1) + second
-        at = np.argsort(key, kind="stable")
+        at = np.argsort(key)
         key = key[at]
         rank[at] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
         if int(rank.max()) == n - len(ends):  # all but the zeros differ
             break
         step *= 2
-    return np.argsort(rank, kind="stable")
+    return np.sort(rank * n + np.arange(n)) % n  # equal ones in place order; both factors are small
 
 
 def order(t, direct: int = 4_000_000):
@@ -218,22 +218,20 @@ class _Least:
         import numpy as np
 
         n = len(prefixes)
-        levels = [prefixes]
-        while 2 ** len(levels) <= n:
-            last, half = levels[-1], 2 ** (len(levels) - 1)
-            levels.append(np.minimum(last[:-half], last[half:]) if len(last) > half else last)
+        table = np.empty((n.bit_length(), n), np.uint8)  # row k: the least of 2**k prefixes
+        table[0] = prefixes
+        for k in range(1, len(table)):
+            half, size = 1 << (k - 1), n + 1 - (1 << k)
+            np.minimum(table[k - 1, :size], table[k - 1, half : half + size], out=table[k, :size])
+        table = table.reshape(-1)
 
         def least(a, b):  # inclusive
             k = np.frexp((b - a + 1).astype(np.float64))[1] - 1
-            out = np.empty(len(a), np.uint8)
-            for level in range(len(levels)):
-                m = np.flatnonzero(k == level)
-                if len(m):
-                    out[m] = np.minimum(levels[level][a[m]], levels[level][b[m] - 2**level + 1])
-            return out
+            row = k * np.int64(n)
+            return np.minimum(table[row + a], table[row + b + 1 - (np.int64(1) << k)])
 
         who = np.flatnonzero(pushing)
-        who = who[np.argsort(target[who], kind="stable")]
+        who = who[np.argsort(target[who].astype(np.uint16), kind="stable")]  # 16 bits: sorted by digits
         c = target[who]
         new = np.zeros(len(who), np.uint8)
         if len(who):

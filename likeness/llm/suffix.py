@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import shuffle_width
 from ..session import cut_lineage
-from .common import ANCHOR, _mix, id_text_part, one_text_each, packed, slices, unpacked, with_lists, with_part
+from .common import ANCHOR, _mix, id_text_part, one_text_each, packed, release, slices, unpacked, with_lists, with_part
 from .induced import sorted_suffixes
 from .recompress import _columns, shared_anchors
 
 WINDOW, GRAM = 50, 16
 LONGEST = 64  # windows in one piece
+BLOCK = 1 << 15  # grams that are hashed at once
 HOT = 1_000  # documents an anchor must exceed, besides a quarter of an even shard, to be hot
 SHARDS = 4  # per shuffle partition, so that a shard's queues rarely need their files
 SHIFT = bytes((i + 1) % 256 for i in range(256))  # UTF-8 has no byte 255, so zero is free to end a piece
@@ -53,28 +54,57 @@ def window_anchors(text: bytes, window: int = WINDOW, gram: int = GRAM, greatest
     if n < window:
         return np.zeros(0, np.uint64)
     words = np.ndarray((n - 7,), "<u8", text, strides=(1,))
-    m = n - gram + 1
-    low = _mix(words[:m] * np.uint64(0x9E3779B97F4A7C15) + _mix(words[8 : 8 + m]))
-    reach, wide = 1, window - gram + 1
-    while reach * 2 <= wide:
-        low = pick(low[:-reach], low[reach:])
-        reach *= 2
-    rest = wide - reach
-    return (pick(low[:-rest], low[rest:]) if rest else low) & np.uint64(ANCHOR)
-
-
-def _runs(key, wanted):
-    """(first, last) windows of runs of one wanted key, cut after ``LONGEST``."""
+    out = np.empty(n - window + 1, np.uint64)
+    wide = window - gram + 1
+    for a in range(0, len(out), BLOCK):  # a block at a time stays in the processor's cache
+        b = min(a + BLOCK, len(out))
+        m = b - a + wide - 1
+        low = words[a : a + m] * np.uint64(0x9E3779B97F4A7C15)
+        low += _mixed(words[a + 8 : a + 8 + m].copy())
+        low = _mixed(low)
+        reach = 1
+        while reach * 2 <= wide:
+            low = pick(low[:-reach], low[reach:])
+            reach *= 2
+        rest = wide - reach
+        np.bitwise_and(pick(low[:-rest], low[rest:]) if rest else low, np.uint64(ANCHOR), out=out[a:b])
+    return out
+
+
+def _mixed(x):
+    """``_mix`` in place."""
     import numpy as np
 
-    head = np.concatenate([[True], key[1:] != key[:-1]])
-    starts = np.flatnonzero(head)
-    ends = np.concatenate([starts[1:], [len(key)]])
-    keep = wanted[starts]
-    out = []
-    for a, b in zip(starts[keep].tolist(), ends[keep].tolist()):
-        out += [(x, min(x + LONGEST, b) - 1) for x in range(a, b, LONGEST)]
-    return out
+    some = np.empty_like(x)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, None)):
+        np.right_shift(x, np.uint64(shift), out=some)
+        x ^= some
+        if factor:
+            x *= np.uint64(factor)
+    return x
+
+
+def _runs(texts: list[bytes], shared):
+    """(row, begin, owner, key, first, last) of the runs of windows with one anchor that ``shared`` names for their text: the texts in one row,
+    where each begins, and each run's text, anchor and windows (``last`` is the one after it). ``shared`` has sorted numbers of text and anchor."""
+    import numpy as np
+
+    row = b"".join(texts) + b"\0" * WINDOW
+    every = window_anchors(row)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    stop = begin + np.maximum(sizes - (WINDOW - 1), 0)
+    turn = np.ones(len(every), bool)
+    np.not_equal(every[1:], every[:-1], out=turn[1:])
+    turn[begin] = True
+    turn[stop] = True  # windows over a text's end
+    first = np.flatnonzero(turn)
+    owner = np.searchsorted(begin, first, "right") - 1
+    last, key = np.append(first[1:], len(every)), every[first]
+    named = (owner << ANCHOR.bit_length()) | key.view(np.int64)
+    at = np.minimum(np.searchsorted(shared, named), len(shared) - 1)
+    mine = np.flatnonzero((shared[at] == named) & (first < stop[owner]))
+    return row, begin, owner[mine], key[mine], first[mine], last[mine]
 
 
 def window_keys(text: bytes, starts):
@@ -88,17 +118,6 @@ def window_keys(text: bytes, starts):
     return out
 
 
-def merged(ranges):
-    """Ranges (first, end) in order, those that touch made one."""
-    out = []
-    for a, b in sorted(ranges):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return out
-
-
 def _pieces(batches, hot):
     """Rows of pieces from documents with their shared anchors; windows of ``hot`` anchors are pieces of their own."""
     import numpy as np
@@ -107,46 +126,51 @@ def _pieces(batches, hot):
     names = ["key", "salt", "doc_id", "part", "at", "size", "piece"]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
 
-    def flush(rows):
-        least: dict[bytes, int] = {}
-        for _, doc, _, _, piece in rows:
-            if doc < least.get(piece, 1 << 63):
-                least[piece] = doc
-        out, settled = [], {}
-        for key, doc, part, at, piece in rows:
-            if least[piece] == doc:
-                out.append((key, 0, doc, part, at, len(piece), piece))
-            else:
-                settled.setdefault((doc, part), []).append((at, at + len(piece)))
-        # what a smaller document of the batch has is told as ranges, dealt by document
-        out += [((doc * 31 + a) % 65_521, 1, doc, part, a, b - a, None) for (doc, part), some in settled.items() for a, b in merged(some)]
-        return out
-
-    rows, held = [], 0
+    def flush():
+        key, row, at, size, number = (np.concatenate(x) for x in zip(*found))
+        doc, part = np.array(docs, np.int64), pa.array(parts, pa.string())
+        stays = _alone(number, doc[row])
+        own, gone = np.flatnonzero(stays), np.flatnonzero(~stays)
+        pieces = pa.array(places, pa.binary()).take(pa.array(number[own]))
+        yield _columns(names, kinds, [key[own], np.zeros(len(own), np.int32), doc[row[own]], part.take(pa.array(row[own])), at[own], size[own], pieces])
+        if len(gone):
+            # what a smaller document of the batch has is told as ranges, dealt by document; pieces stand in order of their places
+            row, at, end = row[gone], at[gone], at[gone] + size[gone]
+            heads = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] > end[:-1])]))
+            row, at, size = row[heads], at[heads], end[np.append(heads[1:], len(end)) - 1] - at[heads]
+            yield _columns(names, kinds, [(doc[row] * 31 + at) % 65_521, np.ones(len(row), np.int32), doc[row], part.take(pa.array(row)), at, size, pa.nulls(len(row), pa.binary())])
+
+    release()
+    found, docs, parts, places, held = [], [], [], {}, 0
     for batch in batches:
         batch = batch.filter(batch.column("keys").is_valid())
-        ids, parts, keys = batch.column("doc_id"), batch.column("part"), batch.column("keys")
-        for x, raw in unpacked(batch):
-            for i, (text, key) in enumerate(zip(raw, anchors_of(raw)), x):
-                if not len(key):
-                    continue
-                doc, part = ids[i].as_py(), parts[i].as_py()
-                wanted = np.isin(key, keys[i].values.to_numpy(zero_copy_only=False).view(np.uint64))
-                signed = key.view(np.int64)
-                if len(hot):
-                    often = np.flatnonzero(wanted & np.isin(key, hot))
-                    wanted[often] = False
-                    for a, k in zip(often.tolist(), window_keys(text, often).view(np.int64).tolist()):
-                        rows.append((k, doc, part, a, text[a : a + WINDOW]))
-                    held += len(often) * WINDOW
-                for a, b in _runs(key, wanted):
-                    rows.append((int(signed[a]), doc, part, a, text[a : b + WINDOW]))
-                    held += b + WINDOW - a
+        ids, its, keys = batch.column("doc_id").to_pylist(), batch.column("part").to_pylist(), batch.column("keys")
+        for x, raw in unpacked(batch, 1 << 18):
+            mine = keys.slice(x, len(raw))
+            count = np.diff(mine.offsets.to_numpy())
+            shared = np.sort((np.repeat(np.arange(len(raw)), count) << ANCHOR.bit_length()) | mine.flatten().to_numpy(zero_copy_only=False))
+            if not len(shared):
+                continue
+            text, begin, owner, key, first, last = _runs(raw, shared)
+            often = np.isin(key, hot) if len(hot) else np.zeros(len(key), bool)
+            wide = np.where(often, 1, LONGEST)  # windows of hot anchors are pieces of their own
+            count = -(-(last - first) // wide)
+            which = np.repeat(np.arange(len(key)), count)
+            step = np.arange(len(which)) - (np.cumsum(count) - count)[which]
+            a = first[which] + step * wide[which]
+            size = np.minimum(a + wide[which], last[which]) - a + WINDOW - 1
+            key, owner, alone = key[which].view(np.int64), owner[which], np.flatnonzero(often[which])
+            key[alone] = window_keys(text, a[alone]).view(np.int64)
+            number = _numbered(places, [text[i:j] for i, j in zip(a.tolist(), (a + size).tolist())])
+            found.append((key, owner + len(docs), a - begin[owner], size, number))
+            docs += ids[x : x + len(raw)]
+            parts += its[x : x + len(raw)]
+            held += int(size.sum())
             if held > 16 << 20:
-                yield _columns(names, kinds, list(zip(*flush(rows))))
-                rows, held = [], 0
-    if rows:
-        yield _columns(names, kinds, list(zip(*flush(rows))))
+                yield from flush()
+                found, docs, parts, places, held = [], [], [], {}, 0
+    if found:
+        yield from flush()
 
 
 def contested(texts: list[bytes], key, doc):
@@ -182,15 +206,20 @@ def contested(texts: list[bytes], key, doc):
     return owner[heads], first[heads], stop[last] - first[heads] + WINDOW - 1
 
 
-def _alone(texts: list[bytes], doc):
-    """Whether no smaller document has the same piece."""
+def _numbered(places: dict[bytes, int], texts: list[bytes]):
+    """The number of each text: equal texts have one; ``places`` has those given so far."""
+    import numpy as np
+
+    return np.fromiter((places.setdefault(t, len(places)) for t in texts), np.int64, len(texts))
+
+
+def _alone(number, doc):
+    """Whether no smaller document has a piece of the same number."""
     import numpy as np
 
-    least: dict[bytes, int] = {}
-    for t, d in zip(texts, doc.tolist()):
-        if d < least.get(t, 1 << 63):
-            least[t] = d
-    return np.fromiter((least[t] == d for t, d in zip(texts, doc.tolist())), bool, len(texts))
+    least = np.full(int(number.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, number, doc)
+    return least[number] == doc
 
 
 def _shard(batches):
@@ -203,7 +232,8 @@ def _shard(batches):
     import pyarrow.compute as pc
 
     names, kinds = ["doc_id", "part", "first", "end"], [pa.int64(), pa.string(), pa.int64(), pa.int64()]
-    texts, keys, docs, parts, ats = [], [], [], [], []
+    release()
+    which, keys, docs, parts, ats = [], [], [], [], []
 
     def told(own, first, end):
         """Rows of ranges of the pieces ``own``."""
@@ -212,40 +242,34 @@ def _shard(batches):
             yield _columns(names, kinds, [doc[own[s]], part.take(pa.array(own[s])).combine_chunks(), first[s], end[s]])
 
     # a piece that a smaller document has as a whole is settled without being sorted
-    least: dict[bytes, int] = {}  # smallest document per piece so far
+    places: dict[bytes, int] = {}  # each different piece is held once
     for batch in batches:
         own = batch.column("piece").is_valid()
         known = batch.filter(pc.invert(own))
+        if known.num_rows:
+            first = known.column("at").to_numpy()
+            yield _columns(names, kinds, [known.column("doc_id"), known.column("part"), first, first + known.column("size").to_numpy()])
         mine = batch.filter(own)
-        some, ids = mine.column("piece").to_pylist(), mine.column("doc_id").to_pylist()
-        for t, d in zip(some, ids):
-            if d < least.get(t, 1 << 63):
-                least[t] = d
-        fresh = pa.array([least[t] == d for t, d in zip(some, ids)], pa.bool_())
-        for x in (known, mine.filter(pc.invert(fresh))):
-            if x.num_rows:
-                first = x.column("at").to_numpy()
-                yield _columns(names, kinds, [x.column("doc_id"), x.column("part"), first, first + x.column("size").to_numpy()])
-        texts += [t for t, stays in zip(some, fresh.to_pylist()) if stays]
-        mine = mine.filter(fresh)
+        which.append(_numbered(places, mine.column("piece").to_pylist()))
         keys.append(mine.column("key").to_numpy())
         docs.append(mine.column("doc_id").to_numpy())
         parts.append(mine.column("part"))
         ats.append(mine.column("at").to_numpy())
-    del least
-    if not texts:
+    if not places:
         return
-    key, doc, at = np.concatenate(keys), np.concatenate(docs), np.concatenate(ats)
+    key, doc, at, number = np.concatenate(keys), np.concatenate(docs), np.concatenate(ats), np.concatenate(which)
     part = pa.chunked_array(parts, pa.string())
-    left = np.flatnonzero(_alone(texts, doc))
-    settled = np.setdiff1d(np.arange(len(doc)), left)
-    yield from told(settled, at[settled], at[settled] + np.array([len(texts[i]) for i in settled.tolist()], np.int64))
-    texts = [texts[i] for i in left.tolist()]
+    texts = list(places)
+    del places
+    alone = _alone(number, doc)
+    left, settled = np.flatnonzero(alone), np.flatnonzero(~alone)
+    yield from told(settled, at[settled], at[settled] + np.fromiter(map(len, texts), np.int64, len(texts))[number[settled]])
+    texts = [texts[i] for i in number[left].tolist()]
     # only what may be in two documents is sorted
     piece, offset, size = contested(texts, key[left], doc[left])
     texts = [texts[i][a : a + n] for i, a, n in zip(piece.tolist(), offset.tolist(), size.tolist())]
     own, first = left[piece], at[left[piece]] + offset
-    stays = _alone(texts, doc[own])
+    stays = _alone(_numbered({}, texts), doc[own])
     yield from told(own[~stays], first[~stays], (first + size)[~stays])
     texts = [t for t, s in zip(texts, stays.tolist()) if s]
     own, first, size = own[stays], first[stays], size[stays]
@@ -260,15 +284,17 @@ def _shard(batches):
             f.write(b"\0" * 8)
         del texts
         text = np.memmap(path, np.uint8, "r")
+        whole = np.ones(len(text), bool)  # where a window begins
+        for k in range(WINDOW):
+            whole[begin + size - k] = False
         places, fresh = [], []
         for pos, lcp in sorted_suffixes(text, folder, WINDOW):
-            piece = np.searchsorted(begin, pos, "right") - 1
-            whole = begin[piece] + size[piece] - pos >= WINDOW
-            places.append(pos[whole])
-            fresh.append(lcp[whole] < WINDOW)
+            mine = whole[pos]
+            places.append(pos[mine])
+            fresh.append(lcp[mine] < WINDOW)
     place, new = np.concatenate(places), np.concatenate(fresh)
     new[0] = True
-    owner_doc = doc[own[np.searchsorted(begin, place, "right") - 1]]
+    owner_doc = doc[own][np.repeat(np.arange(len(own), dtype=np.int32), size + 1)[place]]
     groups = np.flatnonzero(new)
     least_doc = np.minimum.reduceat(owner_doc, groups)
     gone = np.sort(place[np.repeat(least_doc, np.diff(np.append(groups, len(place)))) < owner_doc])

@@ -740,3 +740,75 @@ def test_shaped_hashes_and_their_places():
         asked = np.concatenate([keys[::2], keys[::-3], keys[:50] + np.uint64(1 << 40), some[:9] ^ np.uint64(5)])
         at = {int(k): i for i, k in enumerate(keys)}
         assert gru.Places(keys).find(asked).tolist() == [at.get(int(k), -1) for k in asked]
+
+
+def test_pieces_are_made_for_all_texts_at_once():
+    """Pieces are the runs of shared anchors, cut after 64 windows, windows of hot anchors alone; few Python calls make one (more than six did)."""
+    import zlib
+
+    import pyarrow as pa
+
+    rng = random.Random(21)
+    words = [rng.randbytes(rng.randrange(2, 9)).hex() for _ in range(300)]
+    passages = [" ".join(rng.choices(words, k=60)) for _ in range(30)]
+    texts = ["", "x" * 49, "x" * 50, "ab" * 400, *(" ".join(rng.choice([*passages, rng.choice(words)]) for _ in range(rng.randrange(12))) for _ in range(300)), passages[0], "é" * 60]
+    texts += texts[5:40]
+    keys = [None if i % 9 == 8 else sorted(set(a.tolist())) for i, a in enumerate(suffix.anchors_of([t.encode() for t in texts]))]
+    keys = [k if k is None or i % 3 else k[::2] for i, k in enumerate(keys)]
+    hot = np.array(sorted({k for some in keys if some for k in some})[::40], np.uint64)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(100, 100 + len(texts)), pa.int64()), pa.array([""] * len(texts)), pa.array([zlib.compress(t.encode()) for t in texts]), pa.array(keys, pa.list_(pa.int64()))],
+        ["doc_id", "part", "packed", "keys"],
+    )
+    want, gone = set(), {}  # plain: run by run
+    least: dict[bytes, int] = {}
+    every = []
+    for d, (text, some) in enumerate(zip(texts, keys), 100):
+        raw, (anchors,) = text.encode(), suffix.anchors_of([text.encode()])
+        a = 0
+        while some and a < len(anchors):
+            b = a + 1
+            if anchors[a] not in hot:
+                while b < len(anchors) and anchors[b] == anchors[a] and b - a < 64:
+                    b += 1
+            if anchors[a] in some:
+                every.append((d, a, raw[a : b + 49], int(suffix.window_keys(raw, np.array([a]))[0].view(np.int64)) if anchors[a] in hot else int(anchors[a])))
+            a = b
+    for d, _, piece, _ in every:
+        least[piece] = min(d, least.get(piece, d))
+    for d, a, piece, key in every:
+        if least[piece] == d:
+            want.add((key, 0, d, "", a, len(piece), piece))
+        else:
+            gone.setdefault(d, set()).update(range(a, a + len(piece)))
+    calls = 0
+    list(suffix._pieces(iter([batch]), hot))  # what is imported on first use does not count
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        out = list(suffix._pieces(iter([batch.slice(0, 50), batch.slice(50)]), hot))
+    finally:
+        sys.setprofile(None)
+    got = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    assert len(every) > 3000 and len(hot) > 5
+    assert {r for r in got if r[6] is not None} == want and sum(r[6] is not None for r in got) == len(want)
+    told = {}
+    for _, salt, d, _, at, size, piece in got:
+        if piece is None:
+            assert salt == 1 and not told.setdefault(d, set()) & set(range(at, at + size))
+            told[d].update(range(at, at + size))
+    assert told == gone and calls < 5 * len(every)
+
+
+def test_equal_pieces_are_one_number():
+    """Whether no smaller document has a piece; each different piece is held once."""
+    rng, places = random.Random(4), {}
+    texts, docs = [rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(40)], np.array([rng.randrange(-3, 9) for _ in range(40)])
+    number = np.concatenate([suffix._numbered(places, texts[:25]), suffix._numbered(places, texts[25:])])
+    assert [list(places)[i] for i in number] == texts and len(places) == len(set(texts))
+    assert suffix._alone(number, docs).tolist() == [d == min(e for u, e in zip(texts, docs) if u == t) for t, d in zip(texts, docs)]
+    assert not len(suffix._alone(suffix._numbered({}, []), docs[:0]))
