@@ -479,6 +479,15 @@ def vocabulary(table: DataFrame, listed: int, classes: int) -> Vocabulary:
     return Vocabulary(h, c, min(classes, len(rows)), totals, int(tokens), int(distinct))
 
 
+def frequent(table: DataFrame, limit: int):
+    """(h, c) of words that occur more often than all others, at most ``limit``, as pandas: words that tie at the bar stay
+    out together. Only they and the distinct counts (at most the root of twice the tokens) come to the driver, whatever the partitions."""
+    words = table.where(F.col("h") != END)
+    sizes = words.groupBy("c").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("c", ascending=False)
+    over = sizes["c"][sizes["n"].cumsum() > limit]
+    return words.where(F.col("c") > (int(over.iloc[0]) if len(over) else 0)).select("h", "c").toPandas()
+
+
 def fit(docs: DataFrame, v: Vocabulary, size: int = 24, rates: tuple[float, ...] = (0.02, 0.012, 0.008, 0.004)) -> list:
     """Weights after one round per learning rate; each document of ``docs`` is trained on once."""
     import numpy as np
@@ -533,7 +542,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", listed:
     log_counts = np.log10(v.counts + 1)
     known_listed = v.counts > 0
     n_listed = len(v.hashes)
-    often = table.where(F.col("h") != END).orderBy(F.desc("c"), "h").limit(COMMON).toPandas()
+    often = frequent(table, COMMON)
     common, common_log = often["h"].to_numpy(np.int64).view(np.uint64), np.log10(often["c"].to_numpy(np.float64) + 1)
 
     def by_document(batches):

@@ -812,3 +812,11 @@ def test_equal_pieces_are_one_number():
     assert [list(places)[i] for i in number] == texts and len(places) == len(set(texts))
     assert suffix._alone(number, docs).tolist() == [d == min(e for u, e in zip(texts, docs) if u == t) for t, d in zip(texts, docs)]
     assert not len(suffix._alone(suffix._numbered({}, []), docs[:0]))
+
+
+def test_frequent_words_come_alone(spark):
+    """No partition sends its own most frequent words to the driver: the words above the bar are picked by their counts."""
+    table = spark.createDataFrame([(100 + i, c) for i, c in enumerate([9, 9, 7, 5, 5, 5, 2, 1])] + [(gru.END, 50)], "h long, c long").repartition(4)
+    got = {n: sorted(gru.frequent(table, n)["c"].tolist()) for n in (0, 1, 2, 3, 5, 6, 8, 100)}
+    assert got == {0: [], 1: [], 2: [9, 9], 3: [7, 9, 9], 5: [7, 9, 9], 6: [5, 5, 5, 7, 9, 9], 8: [1, 2, 5, 5, 5, 7, 9, 9], 100: [1, 2, 5, 5, 5, 7, 9, 9]}
+    assert not len(gru.frequent(table.limit(0), 5))
