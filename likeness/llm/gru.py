@@ -575,7 +575,9 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", listed:
             rest = np.bincount(d, log_totals[f - n_listed], n)
             at = lookup.find(h)
             found = at >= 0
-            base += np.bincount(d[found], common_log[at[found]], n)
+            looked_up = np.bincount(d[found], common_log[at[found]], n)
+            base += looked_up
+            rest -= looked_up  # a word's share of its class, as the join adds it for the rare ones
             known += np.bincount(d[found], minlength=n)
             h, d = h[~found].view(np.int64), d[~found]
             order = np.lexsort((h, d))

@@ -820,3 +820,13 @@ def test_frequent_words_come_alone(spark):
     got = {n: sorted(gru.frequent(table, n)["c"].tolist()) for n in (0, 1, 2, 3, 5, 6, 8, 100)}
     assert got == {0: [], 1: [], 2: [9, 9], 3: [7, 9, 9], 5: [7, 9, 9], 6: [5, 5, 5, 7, 9, 9], 8: [1, 2, 5, 5, 5, 7, 9, 9], 100: [1, 2, 5, 5, 5, 7, 9, 9]}
     assert not len(gru.frequent(table.limit(0), 5))
+
+
+def test_scores_do_not_depend_on_the_look_up(spark, docs, monkeypatch):
+    """A word's share of its shape class is part of the score whether its count is looked up or joined."""
+    got = []
+    for common_words in (0, 3, 1 << 17):
+        monkeypatch.setattr(gru, "COMMON", common_words)
+        got.append({d: r["score"] for d, r in rows(gru.score(docs, listed=8, classes=2, size=4)).items()})
+    for other in got[1:]:
+        assert other == pytest.approx(got[0], rel=1e-6)
