@@ -299,7 +299,7 @@ def sample_on(base: DataFrame, ids: list[str], model: Copula, seed: int = 42, st
                 places = value_places(m.table, m.largest).select(F.col("_place").alias(f"_v{i}"), F.col("_value").alias(f"_w{i}"))
                 # places are drawn evenly: only where there are few of them can one be large
                 heavy = [(p,) for p in range(m.filled)] if m.filled <= 4 * shuffle_width(base) else []
-                base = skew_join(base, places, [f"_v{i}"], heavy=heavy)
+                base = skew_join(base, places, [f"_v{i}"], heavy=heavy, grown=True)
         for i, m in enumerate(some):
             if m.texts is not None:  # last, so that no text goes through the joins above
                 texts = m.texts.select(F.col("_value").alias(f"_w{i}"), F.col("_text").alias(f"_x{i}"))
@@ -335,7 +335,7 @@ def draw_column(base: DataFrame, ids: list[str], source: DataFrame, column: str,
     placed = running_sum(numbered, [], "_cnt", "_end", "_t").withColumn("_end", F.col("_end").cast("bigint"))
     places = value_places(placed.withColumn("_start", F.col("_end") - F.col("_cnt")), largest).withColumnRenamed("_value", column)
     drawn = base.withColumn("_place", F.floor(R.fast_u(seed, f"{stream}.{column}", ids) * n).cast("bigint"))
-    return skew_join(drawn, places, ["_place"]).drop("_place")  # a small source makes few, large places
+    return skew_join(drawn, places, ["_place"], grown=True).drop("_place")  # a small source makes few, large places
 
 
 def explode_counts(df: DataFrame, keys: list[str], count: str, name: str, largest: int) -> DataFrame:

@@ -186,9 +186,11 @@ def synthesize_hierarchy(
     late = [k for k in given if (k.from_table, k.from_column) not in done and keys.get(k.to_table) == k.to_column and k.from_column != keys.get(k.from_table)]
     clean = dict(tables)
     for t in order:
-        for k in links:
-            if k.from_table == t:
-                clean[t] = drop_orphans(clean[t], k.from_column, clean[k.to_table], k.to_column)
+        up = [k for k in links if k.from_table == t]
+        for k in up:
+            clean[t] = drop_orphans(clean[t], k.from_column, clean[k.to_table], k.to_column)
+        if up:  # read by many plans, each of which would hold all joins with the parents and theirs
+            clean[t] = cut_lineage(clean[t])
 
     first = {}
     for k in links:
@@ -326,7 +328,7 @@ def _matched_keys(children: DataFrame, link: Link, parents: DataFrame, score: Sc
     places = places.select((F.col("_start") + F.col("_i")).alias("_place"), F.col("_key").cast(dtype).alias(link.from_column))
     placed = ranked.withColumn("_place", F.floor((F.col("_rank") + F.lit(0.5)) * total / max(n, 1)).cast("bigint")).drop("_rank", "_s", link.from_column)
     heavy = [(i,) for i in range(total)] if total <= 4 * shuffle_width(children) else []  # few places can be large
-    met = skew_join(placed, places, ["_place"], heavy=heavy).drop("_place", name)
+    met = skew_join(placed, places, ["_place"], heavy=heavy, grown=True).drop("_place", name)
     free = children.where(_c(name).isNull()).drop(name).withColumn(link.from_column, F.lit(None).cast(dtype))
     return met.unionByName(free)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import copula as K
 from ..operators import multitable as M
 from ..operators.generate import Link
-from ..session import work_folder
+from ..session import cut_lineage, work_folder
 from ..streaming import activity, drift, running_profile
 from .common import STAR_KEYS, load, sql_normal
 
@@ -297,8 +297,8 @@ def hier_two_parents(spark, d):
         for k in _SALE_LINKS:
             per = sale.where(F.col(k.from_column).isNotNull()).groupBy(F.col(k.from_column).alias("id")).agg(F.count(F.lit(1)).alias("n"))
             every = t[k.to_table].select("id").join(per, "id", "left").select(F.coalesce("n", F.lit(0)).alias("n"))
-            parts.append(every.agg(F.lit(f"children per {k.to_table}").alias("check"), F.avg("n").alias("value")))
-            parts.append(every.agg(F.lit(f"spread of children per {k.to_table}").alias("check"), F.stddev_pop("n").alias("value")))
+            both = F.array(*[F.struct(F.lit(name).alias("check"), F.col(c).alias("value")) for name, c in ((f"children per {k.to_table}", "_mean"), (f"spread of children per {k.to_table}", "_sd"))])
+            parts.append(every.agg(F.avg("n").alias("_mean"), F.stddev_pop("n").alias("_sd")).select(F.explode(both).alias("x")).select("x.*"))
             lost = sale.where(F.col(k.from_column).isNotNull()).join(t[k.to_table].select(F.col("id").alias(k.from_column)), k.from_column, "left_anti")
             parts.append(lost.agg(F.lit(f"sales without their {k.to_table}").alias("check"), F.count(F.lit(1)).cast("double").alias("value")))
         met = sale.join(t["part"].select(F.col("id").alias("part_id"), "price", "size"), "part_id")
@@ -306,7 +306,7 @@ def hier_two_parents(spark, d):
         parts.append(sale.agg(F.lit("share without a part").alias("check"), F.avg(F.col("part_id").isNull().cast("double")).alias("value")))
         return reduce(DataFrame.unionByName, parts)
 
-    a, b = facts(tables), facts(made).withColumnRenamed("value", "made")
+    a, b = cut_lineage(facts(tables)), cut_lineage(facts(made)).withColumnRenamed("value", "made")  # one set of plans after the other
     near = F.abs(F.col("made") - F.col("value")) <= F.when(F.col("check").startswith("spread"), 0.3 * F.col("value")).when(F.col("check").startswith("children"), 0.05 * F.col("value")).otherwise(0.1)
     return a.join(b, "check").select("check", F.round("value", 6).alias("source"), near.alias("near"))
 

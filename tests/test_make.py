@@ -188,6 +188,15 @@ def test_expanding_in_chunks_is_complete(spark, monkeypatch):
     assert {r["k"]: (r["c"], r["d"], r["m"]) for r in got} == {2: (1, 1, 0), 3: (7, 7, 6), 4: (8, 8, 7), 5: (50, 50, 49)}
 
 
+def test_repeated_rows_are_never_broadcast(spark):
+    """A short value table stands for any number of rows; its places must not go through the driver."""
+    src = spark.range(6000).select((F.col("id") % 30).alias("x"), F.concat(F.lit("v"), F.col("id") % 40).alias("t"))
+    model = K.fit(src, value_limit=0)
+    for df, keys in ((K.sample_on(spark.range(50), ["id"], model), ["_v0", "_v1"]), (K.draw_column(spark.range(50), ["id"], src, "t", 1, "s"), ["_place"])):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert all(f"SortMergeJoin [{k}#" in plan for k in keys) and df.count() == 50
+
+
 def test_factor_repairs_bad_matrices():
     bad = np.array([[1, 0.9, -0.9], [0.9, 1, 0.9], [-0.9, 0.9, 1.0]])
     f = K.positive_factor(bad)
@@ -215,6 +224,16 @@ def test_hierarchy_follows_parents(spark):
     assert within < whole / 5 and made["c"].select("cid").distinct().count() == made["c"].count()
 
 
+def test_children_without_orphans_are_written_once(spark, monkeypatch):
+    """Plans that read cleaned children hold none of the joins that cleaned them."""
+    plans = []
+    monkeypatch.setattr(M, "child_aggregates", lambda child, *a, made=M.child_aggregates: (plans.append(child._jdf.queryExecution().analyzed().toString()), made(child, *a))[1])
+    parent = spark.range(20).select(F.col("id").alias("pid"), (F.col("id") * 2.0).alias("size"))
+    child = spark.range(200).select(F.col("id").alias("cid"), (F.col("id") % 25).alias("pid"), (F.col("id") % 7).alias("v"))
+    made = M.synthesize_hierarchy({"p": parent, "c": child}, [Link("c", "pid", "p", "pid")], 160, keys={"p": "pid", "c": "cid"})
+    assert made["c"].join(made["p"], "pid", "left_anti").count() == 0 and plans and not any("Join" in p for p in plans)
+
+
 def test_bundles(spark, tmp_path):
     df = spark.createDataFrame([(1, "a,\"b\"\nc", None)], "id int, t string, d timestamp_ntz").withColumn("d", F.lit("2024-05-06 07:08:09").cast("timestamp_ntz"))
     cfg = {"x": [{"column_name": "d", "data_type": "TIMESTAMP", "output_format": "%d/%m/%Y %H:%M"}]}
