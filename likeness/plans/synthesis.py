@@ -150,11 +150,14 @@ def multi_synth(spark, d):
 
 
 def _checks(tables: dict[str, DataFrame], made: dict[str, DataFrame], links: list[Link], rows: bool) -> DataFrame:
-    """Per link: rows without a parent; per table: rows, and whether every number lies within the source's bounds."""
-    parts = []
+    """Per link: rows without a parent; per table: rows, and whether every number lies within the source's bounds.
+
+    One small plan after the other; a single one would hold the driver's plans and exchanges of all links at once.
+    """
+    found = []
     for k in links:
         lost = made[k.from_table].where(F.col(k.from_column).isNotNull()).join(made[k.to_table].select(F.col(k.to_column).alias("_p")), F.col(k.from_column) == F.col("_p"), "left_anti")
-        parts.append(lost.agg(F.lit(f"{k.from_table}.{k.from_column}").alias("check"), F.count(F.lit(1)).alias("n")))
+        found.append((f"{k.from_table}.{k.from_column}", lost.count()))
     for t, df in made.items():
         nums = [c for c, kind in df.dtypes if kind == "double"]
         src = tables[t].agg(*[f(c).alias(f"{w}_{c}") for c in nums for w, f in (("lo", F.min), ("hi", F.max))]) if nums else None
@@ -163,14 +166,14 @@ def _checks(tables: dict[str, DataFrame], made: dict[str, DataFrame], links: lis
             b = src.first()
             for c in nums:
                 out = out | (F.col(c) < b[f"lo_{c}"]) | (F.col(c) > b[f"hi_{c}"])
-        parts.append(df.agg(F.lit(f"{t} out of bounds").alias("check"), F.count_if(out).alias("n")))
-        if rows:
-            parts.append(df.agg(F.lit(f"{t} rows").alias("check"), F.count(F.lit(1)).alias("n")))
-    return reduce(DataFrame.unionByName, parts)
+        beyond, n = df.agg(F.count_if(out), F.count(F.lit(1))).first()
+        found += [(f"{t} out of bounds", beyond), *([(f"{t} rows", n)] if rows else [])]
+    return next(iter(made.values())).sparkSession.createDataFrame(found, "check string, n bigint")
 
 
 def multi_synth_checks(spark, d):
-    return _checks(*_multi(spark, d), LINKS, rows=True)
+    tables, made = _multi(spark, d)
+    return _checks(tables, {t: cut_lineage(df) for t, df in made.items()}, LINKS, rows=True)  # each is made once and read by several checks
 
 
 _T = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]

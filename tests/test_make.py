@@ -11,6 +11,7 @@ from likeness.operators import generate as G
 from likeness.operators import multitable as M
 from likeness.operators import postprocess as P
 from likeness.operators.generate import ColumnSpec, Link
+from likeness.plans import synthesis
 from likeness.sources import bundle as B
 
 
@@ -234,6 +235,16 @@ def test_children_without_orphans_are_written_once(spark, monkeypatch):
     assert made["c"].join(made["p"], "pid", "left_anti").count() == 0 and plans and not any("Join" in p for p in plans)
 
 
+def test_checks_of_tables_run_one_after_the_other(spark):
+    """Rows, lost keys and bounds of made tables come as figures, not as one plan over all of them."""
+    src = {"p": spark.createDataFrame([(1, 0.0), (2, 5.0)], "k int, x double"), "c": spark.createDataFrame([(1, 1), (2, 2)], "id int, k int")}
+    made = {"p": spark.createDataFrame([(1, 0.0), (2, 9.0)], "k int, x double"), "c": spark.createDataFrame([(1, 1), (2, 7), (3, None)], "id int, k int")}
+    out = synthesis._checks(src, made, [Link("c", "k", "p", "k")], rows=True)
+    assert {r["check"]: r["n"] for r in out.collect()} == {"c.k": 1, "p out of bounds": 1, "p rows": 2, "c out of bounds": 0, "c rows": 3}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Union" not in plan
+
+
 def test_bundles(spark, tmp_path):
     df = spark.createDataFrame([(1, "a,\"b\"\nc", None)], "id int, t string, d timestamp_ntz").withColumn("d", F.lit("2024-05-06 07:08:09").cast("timestamp_ntz"))
     cfg = {"x": [{"column_name": "d", "data_type": "TIMESTAMP", "output_format": "%d/%m/%Y %H:%M"}]}
