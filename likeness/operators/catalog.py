@@ -477,8 +477,8 @@ def table_columns(tables: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def columns_with_stats(columns: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Every column with its profile, if there is one."""
-    return columns.join(profiles, "column_id", "left")
+    """Every column with its profile, if there is one. Profiles that name their table are looked up inside it."""
+    return columns.join(profiles, ["table_id", "column_id"] if "table_id" in profiles.columns else "column_id", "left")
 
 
 def project_documents(tables: DataFrame, columns: DataFrame, page: int = 1000) -> DataFrame:

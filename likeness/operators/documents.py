@@ -1,8 +1,9 @@
 """Nested documents of whole projects: pages of bounded size, and a short digest.
 
 A page holds so many tables, each with its first columns, and so many links; ``next_page`` names the page to read next.
-Columns beyond a table's first page come as rows of their own. Rows are numbered by a range shuffle, so a project with most of
-all tables, or a table with most of all columns, is never in one task; no array is longer than its page.
+Columns beyond a table's first page come as rows of their own. Tables, links and the columns of very wide tables are numbered by a
+range shuffle, so a project with most of all tables, or a table with most of all columns, is never in one task; no array is longer
+than its page. The columns of all other tables are numbered where they lie, if that is by table.
 
 Rows without a project or table id belong to no document and are left out. Columns and links of unknown tables or projects
 are left out as well. Projects without tables, and tables without columns, have empty lists and counts of 0. Rows repeated
@@ -18,17 +19,17 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clip, quote
 from ..session import cut_lineage
-from .joins import skew_join
+from .joins import heavy_keys, skew_join
 from .rows import ordered_index
 
 LINK_FIELDS = ["from_table", "from_column", "to_table", "to_column"]
 
 
-def _entries(df: DataFrame, keys: list[str], number: str, fields: list[str], name: str) -> DataFrame:
-    """One list per key, in the order of ``number``; the caller bounds how many rows a key has."""
+def _entries(df: DataFrame, keys: list[str], number: str, fields: list[str], name: str, same: list[str] = ()) -> DataFrame:
+    """One list per key, in the order of ``number``; the caller bounds how many rows a key has. ``same`` columns have one value per key."""
     entry = F.struct(F.col(number).alias("_n"), *[F.col(quote(f)) for f in fields])
     ordered = F.array_sort(F.collect_list(entry))
-    return df.groupBy(*keys).agg(F.transform(ordered, lambda e: F.struct(*[e[f].alias(f) for f in fields])).alias(name))
+    return df.groupBy(*keys).agg(F.transform(ordered, lambda e: F.struct(*[e[f].alias(f) for f in fields])).alias(name), *[F.max(c).alias(c) for c in same])
 
 
 def _column_fields(columns: DataFrame) -> list[str]:
@@ -43,30 +44,48 @@ def _paged(df: DataFrame, key: str, order: list[str], size: int, page: str) -> D
 
 def column_pages(columns: DataFrame, size: int = 200) -> DataFrame:
     """(table_id, page, next_page, column_count, columns): all columns of all tables by position, ``size`` to a page."""
+    return _column_lists(columns, size).drop("pii_count")
+
+
+def _column_lists(columns: DataFrame, size: int, counted: DataFrame | None = None) -> DataFrame:
+    """``column_pages`` with the pii_count of the table.
+
+    Tables are numbered inside one task each, next to their counts, so that rows that lie by table are not shuffled again;
+    only the few tables with so many columns that a task could not hold them are numbered by a range shuffle.
+    """
     known = columns.where("table_id IS NOT NULL")
-    rows = _paged(known, "table_id", ["position", "column_id"], size, "page")
-    lists = _entries(rows, ["table_id", "page"], "_i", _column_fields(columns), "columns")
-    total = known.groupBy("table_id").agg(F.count(F.lit(1)).alias("column_count"))
+    flags = F.count_if("is_pii") if "is_pii" in columns.columns else F.count_if(F.lit(False))
+    counts = {"column_count": F.count(F.lit(1)), "pii_count": flags}
+    wide = [r["table_id"] for r in heavy_keys(known if counted is None else counted.where("table_id IS NOT NULL"), ["table_id"])]
+    whole = Window.partitionBy("table_id")
+    place = F.row_number().over(whole.orderBy("position", "column_id")) - 1
+    rows = known.where(~F.col("table_id").isin(wide)) if wide else known
+    rows = rows.withColumn("_i", place.cast("bigint")).withColumns({n: c.over(whole) for n, c in counts.items()})
+    if wide:
+        many = known.where(F.col("table_id").isin(wide))
+        total = many.groupBy("table_id").agg(*[c.alias(n) for n, c in counts.items()])
+        rows = rows.unionByName(ordered_index(many, ["table_id"], ["position", "column_id"], "_i").join(F.broadcast(total), "table_id"))
+    rows = rows.withColumn("page", F.floor(F.col("_i") / size).cast("bigint"))
+    lists = _entries(rows, ["table_id", "page"], "_i", _column_fields(columns), "columns", list(counts))
     more = (F.col("page") + 1) * size < F.col("column_count")
-    return skew_join(lists, total, ["table_id"]).select("table_id", "page", F.when(more, F.col("page") + 1).alias("next_page"), "column_count", "columns")
+    return lists.select("table_id", "page", F.when(more, F.col("page") + 1).alias("next_page"), "column_count", "pii_count", "columns")
 
 
 def project_pages(
-    projects: DataFrame, tables: DataFrame, columns: DataFrame, relations: DataFrame, tables_page: int = 50, columns_page: int = 200, links_page: int = 1000
+    projects: DataFrame, tables: DataFrame, columns: DataFrame, relations: DataFrame, tables_page: int = 50, columns_page: int = 200, links_page: int = 1000, counted: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Pages of all projects, and the columns that their tables' entries leave for further pages.
 
     Pages are (project_id, page, next_page, source_type, table_count, relation_count, tables, relations). An entry of ``tables`` has
     table_id, table_name, row_count, column_count, pii_count, its first ``columns_page`` columns with all their fields, and
-    ``next_columns``, the page of the second result to go on with (null: none).
+    ``next_columns``, the page of the second result to go on with (null: none). ``counted`` are the same columns by a shorter plan, if
+    there is one, to find the tables with very many of them.
     """
     known = projects.where("project_id IS NOT NULL")
-    lists = cut_lineage(column_pages(columns, columns_page))
-    flags = F.count_if("is_pii") if "is_pii" in columns.columns else F.lit(0).cast("bigint")
-    pii = columns.where("table_id IS NOT NULL").groupBy("table_id").agg(flags.alias("pii_count"))
-    first = lists.where("page = 0").select("table_id", "column_count", "columns", F.col("next_page").alias("next_columns"))
+    lists = _column_lists(columns, columns_page, counted)
+    first = lists.where("page = 0").select("table_id", "column_count", "pii_count", "columns", F.col("next_page").alias("next_columns"))
     numbered = _paged(tables.where("project_id IS NOT NULL AND table_id IS NOT NULL").select("project_id", "table_id", "table_name", "row_count"), "project_id", ["table_id", "table_name"], tables_page, "page")
-    full = numbered.join(first, "table_id", "left").join(pii, "table_id", "left").na.fill(0, ["column_count", "pii_count"])
+    full = numbered.join(first, "table_id", "left").na.fill(0, ["column_count", "pii_count"])
     full = full.withColumn("columns", F.coalesce("columns", F.array().cast(lists.schema["columns"].dataType)))
     table_lists = _entries(full, ["project_id", "page"], "_i", ["table_id", "table_name", "row_count", "column_count", "pii_count", "columns", "next_columns"], "tables")
 
@@ -84,7 +103,7 @@ def project_pages(
             "project_id", "page", F.when(F.col("page") < F.col("_last"), F.col("page") + 1).alias("next_page"), "source_type", "table_count", "relation_count",
             *[F.coalesce(n, F.array().cast(df.schema[n].dataType)).alias(n) for n, df in (("tables", table_lists), ("relations", link_lists))],
         ),
-        lists.where("page > 0"),
+        lists.where("page > 0").drop("pii_count"),
     )
 
 

@@ -14,7 +14,7 @@ from ..functions import text as X
 from ..operators import catalog as C
 from ..operators import graph as G
 from ..operators import pii
-from ..operators.joins import skew_join
+from ..operators.joins import shuffle_width, skew_join
 from ..session import cut_lineage
 from .common import load, sql_below, sql_pick, sql_u
 
@@ -22,9 +22,14 @@ SUFFIXES = ["_id", "_name", "_email", "_date", "_price", "_category", "_type", "
 TYPES = ["INTEGER", "VARCHAR(20)", "decimal(10,2)", "timestamp with time zone", "text", "DOUBLE  PRECISION", "bool", "Date", "character varying (9)", "blob"]
 
 
-def words(spark, d) -> DataFrame:
-    """(doc_id, source, position, word) of every document, whole texts."""
-    docs = load(spark, d, "documents", "doc_id")
+def words(spark, d, dealt: bool = False) -> DataFrame:
+    """(doc_id, source, position, word) of every document, whole texts.
+
+    ``dealt`` shuffles the texts by doc_id before they are split, so that whatever groups or joins words by document needs no
+    shuffle of the words, which are several times as large; words without a doc_id are left out.
+    """
+    docs = load(spark, d, "documents").where("doc_id IS NOT NULL") if dealt else load(spark, d, "documents", "doc_id")
+    docs = docs.repartition(shuffle_width(docs), "doc_id") if dealt else docs
     split = docs.select("doc_id", "source", F.posexplode(F.split(F.lower("text"), "[^a-z]+")).alias("position", "word"))
     return split.where("word <> ''")
 
@@ -566,16 +571,20 @@ CASE WHEN p_size < 25 THEN 'big, small' WHEN p_size > 30 THEN 'one, two' ELSE ''
 CASE WHEN p_size <= 35 THEN 1.5::DOUBLE END AS null_value_percent, CASE WHEN p_size > 35 THEN '5' ELSE '0' END AS min_val, '9' AS max_val FROM part"""
 
 
-def _star_catalog(spark, d) -> dict[str, DataFrame]:
-    """Sources are projects, documents are tables, words are columns, labels are profiles, neighbours are links."""
+def _star_catalog(spark, d, dealt: bool = False) -> dict[str, DataFrame]:
+    """Sources are projects, documents are tables, words are columns, labels are profiles, neighbours are links.
+
+    ``dealt``: columns and profiles lie by table_id, which profiles have as well; those without one are left out.
+    """
     docs = load(spark, d, "documents", "doc_id")
     named = docs.select("doc_id", "source", F.concat(F.lit("t"), F.col("n_chars").cast("string")).alias("table_name"), "lang", "n_chars")
-    cols = words(spark, d).groupBy("doc_id", "word").agg(F.min("position").alias("position"))
+    cols = words(spark, d, dealt).groupBy("doc_id", "word").agg(F.min("position").alias("position"))
+    table = [F.col("doc_id").alias("table_id")] if dealt else []
     return {
         "projects": docs.select(F.col("source").alias("project_id"), F.lit("CSV").alias("source_type")).distinct(),
         "tables": named.select(F.col("source").alias("project_id"), F.col("doc_id").alias("table_id"), "table_name", F.col("n_chars").alias("row_count")),
         "columns": cols.select(F.col("doc_id").alias("table_id"), F.concat_ws("/", F.col("doc_id").cast("string"), "word").alias("column_id"), F.col("word").alias("column_name"), (F.col("position") + 1).alias("position"), F.lit("text").alias("data_type")),
-        "column_profiles": cols.where("length(word) > 4").select(F.concat_ws("/", F.col("doc_id").cast("string"), "word").alias("column_id"), F.length("word").alias("cardinality")),
+        "column_profiles": cols.where("length(word) > 4").select(*table, F.concat_ws("/", F.col("doc_id").cast("string"), "word").alias("column_id"), F.length("word").alias("cardinality")),
         "relations": named.select(F.col("source").alias("project_id"), F.col("table_name").alias("from_table"), F.lit("id").alias("from_column"), F.concat(F.lit("t"), (F.col("n_chars") + 1).cast("string")).alias("to_table"), F.lit("id").alias("to_column")),
     }
 

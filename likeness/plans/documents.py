@@ -7,16 +7,22 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog as C
 from ..operators import documents as N
+from ..session import session_with
 from .columns import STAR_SQL, _star_catalog, words
 
 TABLES_PAGE, COLUMNS_PAGE, LINKS_PAGE = 25, 40, 60
 
 
+def _by_table(spark):
+    """A session that joins rows lying by table_id where they are, also by table_id and column; else it would shuffle all words again."""
+    return session_with(spark, spark__sql__requireAllClusterKeysForCoPartition="false")
+
+
 def _catalog(spark, d) -> dict[str, DataFrame]:
     """The star catalog; columns carry their profile, and those with long names count as personal."""
-    c = _star_catalog(spark, d)
+    c = _star_catalog(spark, d, dealt=True)
     columns = C.columns_with_stats(c["columns"], c["column_profiles"]).withColumn("is_pii", F.length("column_name") > 6)
-    return {**c, "columns": columns}
+    return {**c, "columns": columns, "counted": c["columns"]}
 
 
 _FULL_SQL = f"""{STAR_SQL}, col AS (SELECT c.*, p.cardinality, length(column_name) > 6 AS is_pii, row_number() OVER (PARTITION BY table_id ORDER BY position, column_id) - 1 AS k,
@@ -46,8 +52,9 @@ def _links(r: Column) -> Column:
 
 def project_pages(spark, d):
     """Project, tables, columns with statistics and links as pages, read back through every level of nesting."""
+    spark = _by_table(spark)
     c = _catalog(spark, d)
-    pages, _ = N.project_pages(c["projects"], c["tables"], c["columns"], c["relations"], TABLES_PAGE, COLUMNS_PAGE, LINKS_PAGE)
+    pages, _ = N.project_pages(c["projects"], c["tables"], c["columns"], c["relations"], TABLES_PAGE, COLUMNS_PAGE, LINKS_PAGE, c["counted"])
 
     def text(t: Column) -> Column:
         inner = F.array_join(F.transform(t["columns"], _column_text), ",")
@@ -67,8 +74,9 @@ FROM pg LEFT JOIN tp USING (project_id, page) LEFT JOIN rp USING (project_id, pa
 
 def project_more_columns(spark, d):
     """The pages of columns beyond the first of every table."""
+    spark = _by_table(spark)
     c = _catalog(spark, d)
-    _, more = N.project_pages(c["projects"], c["tables"], c["columns"], c["relations"], TABLES_PAGE, COLUMNS_PAGE, LINKS_PAGE)
+    _, more = N.project_pages(c["projects"], c["tables"], c["columns"], c["relations"], TABLES_PAGE, COLUMNS_PAGE, LINKS_PAGE, c["counted"])
     return more.select("table_id", "page", "next_page", "column_count", F.size("columns").cast("bigint").alias("n"), _digest("columns", _column_text).alias("columns"))
 
 
@@ -78,8 +86,9 @@ md5(string_agg({_COLUMN_SQL}, ';' ORDER BY k)) AS columns FROM col WHERE k >= {C
 
 def project_digest(spark, d):
     """A short digest per project; the values of a column are the places of its word."""
+    spark = _by_table(spark)
     c = _catalog(spark, d)
-    values = words(spark, d).select(F.col("doc_id").alias("table_id"), F.col("word").alias("column_name"), F.col("position").alias("row"), F.concat(F.lit(" at "), "position").alias("value"))
+    values = words(spark, d, dealt=True).select(F.col("doc_id").alias("table_id"), F.col("word").alias("column_name"), F.col("position").alias("row"), F.concat(F.lit(" at "), "position").alias("value"))
     out = N.project_digests(c["projects"], c["tables"], c["columns"], c["relations"], values)
 
     def text(t: Column) -> Column:

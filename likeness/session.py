@@ -31,6 +31,14 @@ def local_session(cpus: int | str = "*", app: str = "likeness", **extra: str) ->
     return spark
 
 
+def session_with(spark: SparkSession, **settings: str) -> SparkSession:
+    """A session of the same application that differs from the given one in these SQL settings only."""
+    other = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    for key, value in settings.items():
+        other.conf.set(key.replace("__", "."), value)
+    return other
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one only on a local master."""
     sc = spark.sparkContext

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from likeness.operators import catalog as C
 from likeness.operators import documents as N
 
 PROJECTS = [("a", "CSV"), ("b", "SQL"), (None, "X")]
@@ -62,3 +63,29 @@ def test_digest_bounds_rows_before_the_shuffle(spark):
     values = spark.createDataFrame([], "table_id long, column_name string, row long, value string")
     plan = N.value_samples(values)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_columns_that_lie_by_table_are_not_shuffled_again(spark):
+    cols = spark.range(400).select((F.col("id") % 9).alias("table_id"), F.concat(F.lit("c"), "id").alias("column_id"), F.col("id").alias("position"), (F.col("id") % 2 == 0).alias("is_pii"))
+    plan = N.column_pages(cols.repartition(4, "table_id"), 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+
+
+def test_wide_tables_have_the_same_pages(spark, monkeypatch):
+    """A table that is numbered by a range shuffle, and one that is numbered in a task."""
+    rows = [(t, f"c{i}", i // 2, i % 3 == 0) for t, n in ((1, 23), (2, 4), (3, 11)) for i in range(n)] + [(None, "c", 1, True)]
+    cols = spark.createDataFrame(rows, "table_id int, column_id string, position int, is_pii boolean")
+    pages = lambda: sorted(tuple(r) for r in N._column_lists(cols, 5).collect())
+    whole = pages()
+    monkeypatch.setattr(N, "heavy_keys", lambda df, on: df.where("table_id IN (1, 3)").select(*on).distinct().collect())
+    assert pages() == whole and len(whole) == 5 + 1 + 3
+    assert {(r[0], r[3], r[4]) for r in whole} == {(1, 23, 8), (2, 4, 2), (3, 11, 4)} and [r[2] for r in whole if r[0] == 3] == [1, 2, None]
+    assert [c["column_id"] for r in whole if r[0] == 1 for c in r[5]] == [f"c{i}" for i in range(23)]
+
+
+def test_profiles_that_name_their_table(spark):
+    """The join with profiles by table and column gives the rows of the join by column."""
+    cols = spark.createDataFrame([(1, "1/a"), (1, "1/b"), (2, "2/a"), (2, "2/a")], "table_id int, column_id string")
+    prof = spark.createDataFrame([(1, "1/a", 5), (2, "2/a", 6)], "table_id int, column_id string, cardinality int")
+    both = [sorted((r["table_id"], r["column_id"], r["cardinality"] or 0) for r in C.columns_with_stats(cols, p).collect()) for p in (prof, prof.drop("table_id"))]
+    assert both[0] == both[1] == [(1, "1/a", 5), (1, "1/b", 0), (2, "2/a", 6), (2, "2/a", 6)]
