@@ -143,13 +143,15 @@ def project_digests(
     shown = _first(tables.where("project_id IS NOT NULL AND table_id IS NOT NULL").select("project_id", "table_id", "table_name", "row_count"), ["project_id"], ["table_id", "table_name"], max_tables, "_t")
     shown = cut_lineage(shown)
     ids = shown.groupBy("table_id").agg(F.min("_t").alias("_t"))
-    near = skew_join(columns, ids.select("table_id"), ["table_id"], "left_semi")
+    near = cut_lineage(skew_join(columns, ids.select("table_id"), ["table_id"], "left_semi"))  # few rows, read by several steps
     counts = near.groupBy("table_id").agg(F.count(F.lit(1)).alias("column_count"))
     top = _first(near, ["table_id"], ["position", "column_id"], max_columns, "_c")
     clipped = [c for c in ("min", "max", "min_val", "max_val") if c in columns.columns]
     top = top.withColumns({c: clip(c) for c in clipped}) if clipped else top
     asked = top.join(ids.where(F.col("_t") <= sampled_tables), "table_id").where(F.col("_c") <= sampled_columns).select("table_id", "column_name").distinct()
-    samples = value_samples(skew_join(values, asked, ["table_id", "column_name"], "left_semi"), per_column)
+    asked = cut_lineage(asked)
+    inside = skew_join(values, asked.select("table_id").distinct(), ["table_id"], "left_semi")  # before values move by column
+    samples = value_samples(skew_join(inside, asked, ["table_id", "column_name"], "left_semi"), per_column)
     top = top.join(samples, ["table_id", "column_name"], "left").withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
     flags = F.count_if("is_pii") if "is_pii" in columns.columns else F.lit(0).cast("bigint")
     lists = _entries(top, ["table_id"], "_c", [*_column_fields(columns), "samples"], "columns")
