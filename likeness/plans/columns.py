@@ -385,9 +385,9 @@ FROM cols c LEFT JOIN given g USING (batch_id, column_id) WHERE g.batch_id IS NU
 # --- links, settings and documents ---------------------------------------------------
 
 
-def _raw_links(spark, d):
-    """Relation proposals from neighbouring words: some blank, unknown, reversed or repeated."""
-    cols = word_links(spark, d).where("position = 1")
+def _raw_links(catalog):
+    """Relation proposals from neighbouring words (``word_links``): some blank, unknown, reversed or repeated."""
+    cols = catalog.where("position = 1")
     draw = R.below(4, "link", ["table_name", "column_name"], 6)
     return cols.select(
         F.concat(F.col("table_name"), F.lit(" ")).alias("from_table"), F.col("column_name").alias("from_column"),
@@ -401,7 +401,8 @@ def _raw_links(spark, d):
 
 
 def link_validate(spark, d):
-    return C.validate_links(_raw_links(spark, d), word_links(spark, d))
+    catalog = word_links(spark, d)  # written once, read for both
+    return C.validate_links(_raw_links(catalog), catalog)
 
 
 _LP = ["table_name", "column_name"]
@@ -418,7 +419,7 @@ WHERE to_table <> '' AND from_table <> to_table"""
 
 
 def locked_columns(spark, d):
-    return C.locked_columns(_raw_links(spark, d).withColumn("from_table", F.trim("from_table")))
+    return C.locked_columns(_raw_links(word_links(spark, d)).withColumn("from_table", F.trim("from_table")))
 
 
 LOCKED_SQL = f"""WITH {LINKS_SQL}, raw AS (SELECT table_name, column_name, {sql_below(4, 'link', _LP, 6)} AS draw FROM cols WHERE position = 1)
@@ -477,7 +478,7 @@ def graph_edges(spark, d):
     """Nodes with row counts and edges of the document-word catalog as one table."""
     cols = word_links(spark, d)
     tables = cols.groupBy("table_name").agg(F.count(F.lit(1)).alias("row_count"))
-    rel = _raw_links(spark, d).withColumn("from_table", F.trim("from_table")).where("to_table <> ''").withColumn("cardinality", F.upper("cardinality"))
+    rel = _raw_links(word_links(spark, d)).withColumn("from_table", F.trim("from_table")).where("to_table <> ''").withColumn("cardinality", F.upper("cardinality"))
     nodes, edges = C.graph_parts(tables, rel)
     a = nodes.select(F.lit("node").alias("part"), F.col("node").alias("name"), F.lit("").alias("other"), F.col("row_count").alias("size"), F.lit("").alias("detail"))
     b = edges.select(F.lit("edge"), "source", "target", F.lit(0).cast("bigint"), F.concat_ws("/", "from_column", "to_column", "cardinality", F.col("is_optional").cast("string")))

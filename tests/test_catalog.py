@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from likeness.operators import catalog as C
+from likeness.plans import columns
 from likeness.operators import graph as G
 
 SHOP = {
@@ -115,3 +116,11 @@ def test_all_associations_and_the_first_few(spark):
     few = [(r["col_a"], r["col_b"]) for r in C.associations(df, 3).where("table_name = 't'").orderBy("rank").collect()]
     assert few == want[:3]
     assert [(r["col_a"], r["col_b"]) for r in C.associations(df, None).where("table_name = 'u'").collect()] == [("city", "country")]
+
+
+def test_proposed_links_and_their_catalog_are_made_once(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "one two three two one"), (2, "two one id"), (None, "three one")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    made = []
+    monkeypatch.setattr(columns, "word_links", lambda *a, of=columns.word_links: made.append(of(*a)) or made[-1])
+    got = columns.link_validate(spark, str(tmp_path))
+    assert len(made) == 1 and got.exceptAll(columns.C.validate_links(columns._raw_links(made[0]), made[0])).count() == 0
